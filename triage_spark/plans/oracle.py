@@ -108,3 +108,87 @@ def with_base(body: str, extra: list[str] | None = None) -> str:
 
 
 LEDGER_CUTOFF_SQL = f"TIMESTAMP '{LEDGER_CUTOFF}'"
+
+
+def fixed_sql(x: str, d: int) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(38,{d})) AS VARCHAR)"
+
+
+_D = C.DEFAULT_ACCOUNT
+
+
+def _acct(col: str, default_sql: str) -> str:
+    return f"CASE WHEN a.account_id IS NOT NULL THEN a.{col} ELSE {default_sql} END AS acct_{col}"
+
+
+ACCOUNT_DEFAULTS_SQL = {
+    "company_name": f"{q(_D['company_name_prefix'])} || r0.account_id",
+    "current_tier": q(_D["current_tier"]),
+    "balance_usd": f"CAST({_D['balance_usd']} AS DECIMAL(18,2))",
+    "currency": q(_D["currency"]),
+    "overdue_invoices_count": f"CAST({_D['overdue_invoices_count']} AS INTEGER)",
+    "overdue_amount_usd": f"CAST({_D['overdue_amount_usd']} AS DECIMAL(18,2))",
+    "credit_limit_usd": f"CAST({_D['credit_limit_usd']} AS DECIMAL(18,2))",
+    "billing_cycle": q(_D["billing_cycle"]),
+    "seats_allocated": f"CAST({_D['seats_allocated']} AS INTEGER)",
+    "status": q(_D["status"]),
+}
+
+
+def lookup_sql(src: str) -> str:
+    """Left join of ``src`` (with customer_id) to the account fixture + default row."""
+    cols = ",\n         ".join(_acct(c, d) for c, d in ACCOUNT_DEFAULTS_SQL.items())
+    return f"""SELECT r0.*, a.account_id IS NOT NULL AS account_found,
+         {cols}
+  FROM (SELECT s.*, {norm_sql('s.customer_id')} AS account_id FROM {src} s) r0
+  LEFT JOIN accts a ON a.account_id = r0.account_id"""
+
+
+BAL_RESULT_JSON = """json_object('success', true, 'account_id', account_id, 'company_name', acct_company_name,
+  'balance_usd', CAST(acct_balance_usd AS DOUBLE), 'currency', acct_currency,
+  'overdue_invoices_count', acct_overdue_invoices_count, 'overdue_amount_usd', CAST(acct_overdue_amount_usd AS DOUBLE),
+  'credit_limit_usd', CAST(acct_credit_limit_usd AS DOUBLE), 'status', acct_status,
+  'timestamp', strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'))"""
+
+TIER_RESULT_JSON = f"""json_object('success', true, 'account_id', account_id, 'previous_tier', previous_tier,
+  'new_tier', tier_name, 'monthly_cost_usd', CAST(monthly_cost AS DOUBLE), 'max_seats', max_seats,
+  'effective_date', strftime(created_at, '%Y-%m-%d'), 'confirmation_id', confirmation_id,
+  'message', printf({q(C.TPL_TIER_MESSAGE)}, account_id, tier_name))"""
+
+RES_CTES = [
+    f"r1 AS ({lookup_sql('decided')})",
+    f"""r2 AS (SELECT r1.*, t.tier_key IS NOT NULL AS tier_valid, t.name AS tier_name, t.monthly_cost, t.max_seats,
+         (r1.category = 'SUBSCRIPTION' AND t.tier_key IS NOT NULL) AS is_change
+  FROM r1 LEFT JOIN tiers t ON t.tier_key = {norm_sql('r1.target_tier')})""",
+    """r3 AS (SELECT r2.*,
+         coalesce(last_value(CASE WHEN is_change THEN tier_name END IGNORE NULLS) OVER w_prev, acct_current_tier) AS previous_tier,
+         greatest(acct_seats_allocated, max(CASE WHEN is_change THEN max_seats // 2 END) OVER w_run) AS seats_after,
+         CASE WHEN is_change THEN 'TIER-CHG-' || CAST(CAST(floor(epoch(created_at)) AS BIGINT) AS VARCHAR) ELSE 'N/A' END AS confirmation_id
+  FROM r2
+  WINDOW w_prev AS (PARTITION BY account_id ORDER BY created_at, ticket_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         w_run AS (PARTITION BY account_id ORDER BY created_at, ticket_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    f"""r4 AS (SELECT r3.*,
+         CASE WHEN confidence_score < {THR} THEN 'ESCALATED' ELSE 'RESOLVED' END AS status,
+         CASE WHEN confidence_score < {THR} THEN 'WARNING' ELSE 'SUCCESS' END AS gate_status,
+         {gate_msg_sql('confidence_score')} AS gate_message,
+         CASE WHEN category = 'SUBSCRIPTION' THEN printf({q(C.TPL_SUB_REASONING)}, target_tier, confirmation_id)
+              WHEN category = 'BILLING' THEN printf({q(C.TPL_BILL_REASONING)}, {fixed_sql('acct_balance_usd', 2)}, acct_overdue_invoices_count)
+              ELSE printf({q(C.TPL_FALLBACK_REASONING)}, {fixed_sql('confidence_score', 2)}, {fixed_sql(THR, 2)}) END AS reasoning0,
+         CASE WHEN category = 'SUBSCRIPTION' THEN printf({q(C.TPL_SUB_REPLY)}, customer_id, target_tier)
+              WHEN category = 'BILLING' THEN printf({q(C.TPL_BILL_REPLY)}, format('{{:,.2f}}', CAST(acct_balance_usd AS DOUBLE)), acct_overdue_invoices_count)
+              ELSE printf({q(C.TPL_FALLBACK_REPLY)}, subject, ticket_id) END AS customer_reply,
+         CASE WHEN category = 'SUBSCRIPTION' THEN {q(C.TOOL_TIER)} WHEN category = 'BILLING' THEN {q(C.TOOL_BALANCE)} END AS tool_name
+  FROM r3)""",
+    f"""res AS (SELECT r4.* EXCLUDE (reasoning0, status, gate_status, gate_message), status, gate_status, gate_message,
+         reasoning0 || ' [' || gate_message || ']' AS reasoning,
+         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN json_object('account_id', customer_id, 'new_tier', target_tier)
+              WHEN tool_name IS NOT NULL THEN json_object('account_id', customer_id) END AS parameters_json,
+         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN CASE WHEN tier_valid THEN {TIER_RESULT_JSON} END
+              WHEN tool_name = {q(C.TOOL_BALANCE)} THEN {BAL_RESULT_JSON} END AS result_json,
+         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN tier_valid WHEN tool_name IS NOT NULL THEN true END AS tool_success
+  FROM r4)""",
+]
+
+
+def with_res(body: str, extra: list[str] | None = None) -> str:
+    return with_base(body, RES_CTES + list(extra or []))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators.dedupe import with_key
+from ..operators import accounts as A
+from ..operators import kpis as K
+from ..operators.dedupe import duplicate_keys, first_per_key, replay, with_key
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import triage as TR
@@ -84,25 +86,290 @@ KPI_SQL = f"""SELECT CAST(count(*) AS BIGINT) AS total_tickets,
 FROM {{src}}"""
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """AGG-1..6 in one pass (partial aggregates, one global row)."""
-    resolved = F.count_if(F.col("status") == "RESOLVED")
-    total = F.count(F.lit(1))
-    avg_ms = F.coalesce(F.sum("execution_time_ms").cast("double") / F.count("execution_time_ms"), F.lit(0.0))
-    manual = float(C.MANUAL_BENCHMARK_MINUTES)
-    return df.agg(
-        total.cast("bigint").alias("total_tickets"),
-        resolved.cast("bigint").alias("resolved_tickets"),
-        F.count_if(F.col("status") == "ESCALATED").cast("bigint").alias("escalated_tickets"),
-        F.when(total > 0, F.round(resolved.cast("double") * 100 / total, 2))
-        .otherwise(F.lit(0.0))
-        .alias("auto_resolution_rate_pct"),
-        F.round(avg_ms, 2).alias("avg_execution_latency_ms"),
-        F.round((F.lit(manual) - avg_ms / 60000.0) * 100 / F.lit(manual), 2).alias("time_saved_pct"),
-        (resolved * F.lit(C.NET_SAVING_PER_RESOLVED)).cast("decimal(18,2)").alias("cost_savings_usd"),
+@register("kpi_summary", O.with_base(KPI_SQL.format(src="gated")))
+def q_kpi_summary(spark, sf_dir):
+    return K.kpi_summary(TR.decide(requests(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- slice 2
+
+
+@register("dedupe_first", O.with_base("SELECT key, event_id, ticket_id, created_at FROM firsts"))
+def q_dedupe_first(spark, sf_dir):
+    return first_per_key(with_key(requests(spark, sf_dir))).select("key", "event_id", "ticket_id", "created_at")
+
+
+@register(
+    "dedupe_replay",
+    O.with_base(
+        """SELECT k.event_id, k.ticket_id, k.key, g.ticket_id AS first_ticket_id, g.status, g.category,
+       (k.ticket_id <> g.ticket_id OR k.created_at <> g.created_at) AS cached
+FROM keyed k JOIN gated g ON g.key = k.key"""
+    ),
+)
+def q_dedupe_replay(spark, sf_dir):
+    req = with_key(requests(spark, sf_dir))
+    out = TR.decide(req.drop("key")).select("key", "ticket_id", "created_at", "status", "category")
+    r = replay(req, out)
+    return r.select(
+        F.col("req_event_id").alias("event_id"),
+        F.col("req_ticket_id").alias("ticket_id"),
+        "key",
+        "first_ticket_id",
+        F.col("first_status").alias("status"),
+        F.col("first_category").alias("category"),
+        "cached",
     )
 
 
-@register("kpi_summary", O.with_base(KPI_SQL.format(src="gated")))
-def q_kpi_summary(spark, sf_dir):
-    return kpis(TR.decide(requests(spark, sf_dir)))
+@register(
+    "duplicate_keys",
+    O.with_base("SELECT key, CAST(count(*) AS BIGINT) AS n_rows FROM keyed GROUP BY key HAVING count(*) > 1"),
+)
+def q_duplicate_keys(spark, sf_dir):
+    return duplicate_keys(with_key(requests(spark, sf_dir)))
+
+
+@register(
+    "status_distribution",
+    O.with_base(
+        """SELECT status, CAST(count(*) AS BIGINT) AS n_tickets,
+       round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS pct
+FROM gated WHERE status IS NOT NULL GROUP BY status"""
+    ),
+)
+def q_status_distribution(spark, sf_dir):
+    return K.status_distribution(TR.decide(requests(spark, sf_dir)))
+
+
+@register(
+    "confidence_histogram",
+    O.with_base(
+        """SELECT status, CAST(CAST(confidence_score * 1000 AS INTEGER) // 50 AS INTEGER) AS bin,
+       CAST(count(*) AS BIGINT) AS n_tickets,
+       CAST((CAST(confidence_score * 1000 AS INTEGER) // 50) * 50 / 1000 AS DECIMAL(4,3)) AS bin_start
+FROM gated WHERE confidence_score IS NOT NULL GROUP BY ALL"""
+    ),
+)
+def q_confidence_histogram(spark, sf_dir):
+    return K.confidence_histogram(TR.decide(requests(spark, sf_dir)))
+
+
+RECENT_COLS = ["ticket_id", "customer_id", "category", "status", "confidence_score", "created_at"]
+
+
+@register(
+    "recent_tickets",
+    O.with_base(
+        "SELECT ticket_id, customer_id, category, status, confidence_score, created_at FROM gated "
+        "ORDER BY created_at DESC, ticket_id LIMIT 50"
+    ),
+)
+def q_recent_tickets(spark, sf_dir):
+    return K.recent(TR.decide(requests(spark, sf_dir)), RECENT_COLS, 50)
+
+
+@register(
+    "cost_model",
+    O.with_base(
+        f"""SELECT monthly_volume, auto_resolved, monthly_volume - auto_resolved AS escalated,
+       CAST(monthly_volume * {C.MANUAL_COST_PER_TICKET} AS DECIMAL(18,2)) AS manual_cost_usd,
+       CAST(auto_resolved * {C.AI_COST_PER_TICKET} + (monthly_volume - auto_resolved) * {C.MANUAL_COST_PER_TICKET} AS DECIMAL(18,2)) AS automated_cost_usd,
+       CAST(monthly_volume * {C.MANUAL_COST_PER_TICKET} - (auto_resolved * {C.AI_COST_PER_TICKET} + (monthly_volume - auto_resolved) * {C.MANUAL_COST_PER_TICKET}) AS DECIMAL(18,2)) AS monthly_saving_usd,
+       CAST(12 * (monthly_volume * {C.MANUAL_COST_PER_TICKET} - (auto_resolved * {C.AI_COST_PER_TICKET} + (monthly_volume - auto_resolved) * {C.MANUAL_COST_PER_TICKET})) AS DECIMAL(18,2)) AS yearly_saving_usd
+FROM (SELECT CAST(5000 AS BIGINT) AS monthly_volume,
+             CAST(CASE WHEN count(*) > 0 THEN (5000 * count(*) FILTER (WHERE status = 'RESOLVED')) // count(*) ELSE 0 END AS BIGINT) AS auto_resolved
+      FROM gated)"""
+    ),
+)
+def q_cost_model(spark, sf_dir):
+    return K.cost_model(TR.decide(requests(spark, sf_dir)), (5000,))
+
+
+# ---------------------------------------------------------------- slice 3
+
+
+def inputs(spark, sf_dir) -> TR.Inputs:
+    return TR.load(spark, sf_dir)
+
+
+@register(
+    "account_lookup",
+    O.with_base(
+        """SELECT event_id, ticket_id, account_id, account_found, acct_company_name AS company_name,
+       acct_current_tier AS current_tier, acct_balance_usd AS balance_usd,
+       acct_overdue_invoices_count AS overdue_invoices_count, acct_seats_allocated AS seats_allocated,
+       acct_status AS account_status
+FROM (""" + O.lookup_sql("f1") + ")"
+    ),
+)
+def q_account_lookup(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    df = A.lookup_accounts(i.requests, i.accounts)
+    return df.select(
+        "event_id",
+        "ticket_id",
+        "account_id",
+        "account_found",
+        F.col("acct_company_name").alias("company_name"),
+        F.col("acct_current_tier").alias("current_tier"),
+        F.col("acct_balance_usd").alias("balance_usd"),
+        F.col("acct_overdue_invoices_count").alias("overdue_invoices_count"),
+        F.col("acct_seats_allocated").alias("seats_allocated"),
+        F.col("acct_status").alias("account_status"),
+    )
+
+
+@register(
+    "tier_pricing_join",
+    O.with_base(
+        f"""SELECT f.event_id, f.requested_tier, {O.norm_sql('f.requested_tier')} AS tier_key, t.name AS tier_name,
+       t.monthly_cost, t.max_seats, t.sla_hours, t.tier_key IS NOT NULL AS tier_valid,
+       CASE WHEN t.tier_key IS NULL THEN printf({O.q(C.TPL_TIER_INVALID)}, f.requested_tier) END AS error
+FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'Gold' WHEN event_id % 10 < 4 THEN ' starter '
+                            WHEN event_id % 10 < 7 THEN 'Professional' ELSE 'enterprise' END AS requested_tier
+      FROM events) f
+LEFT JOIN tiers t ON t.tier_key = {O.norm_sql('f.requested_tier')}"""
+    ),
+)
+def q_tier_pricing_join(spark, sf_dir):
+    ev = FX.table(spark, sf_dir, "events").select("event_id")
+    df = ev.withColumn("requested_tier", FX.requested_tier(F.col("event_id")))
+    df = A.join_tiers(df, FX.tiers(spark), "requested_tier")
+    return df.select(
+        "event_id",
+        "requested_tier",
+        "tier_key",
+        "tier_name",
+        "monthly_cost",
+        "max_seats",
+        "sla_hours",
+        "tier_valid",
+        F.when(~F.col("tier_valid"), F.format_string(C.TPL_TIER_INVALID, F.col("requested_tier"))).alias("error"),
+    )
+
+
+def resolved(spark, sf_dir) -> DataFrame:
+    i = inputs(spark, sf_dir)
+    return TR.resolve(i.requests, i.accounts, i.tiers)
+
+
+@register(
+    "balance_results",
+    O.with_res(
+        """SELECT key, ticket_id, account_id, acct_company_name AS company_name,
+       CAST(acct_balance_usd AS DOUBLE) AS balance_usd, acct_currency AS currency,
+       acct_overdue_invoices_count AS overdue_invoices_count,
+       CAST(acct_overdue_amount_usd AS DOUBLE) AS overdue_amount_usd,
+       CAST(acct_credit_limit_usd AS DOUBLE) AS credit_limit_usd, acct_status AS account_status,
+       result_json
+FROM res WHERE category = 'BILLING'"""
+    ),
+)
+def q_balance_results(spark, sf_dir):
+    df = resolved(spark, sf_dir).filter(F.col("category") == "BILLING")
+    r = A.balance_result()
+    return df.select(
+        "key",
+        "ticket_id",
+        "account_id",
+        r["company_name"].alias("company_name"),
+        r["balance_usd"].alias("balance_usd"),
+        r["currency"].alias("currency"),
+        r["overdue_invoices_count"].alias("overdue_invoices_count"),
+        r["overdue_amount_usd"].alias("overdue_amount_usd"),
+        r["credit_limit_usd"].alias("credit_limit_usd"),
+        r["status"].alias("account_status"),
+        F.col("actions_taken")[0]["result"].alias("result_json"),
+    )
+
+
+@register(
+    "tier_change_results",
+    O.with_res(
+        f"""SELECT key, ticket_id, account_id, previous_tier, tier_name AS new_tier,
+       CAST(monthly_cost AS DOUBLE) AS monthly_cost_usd, max_seats, seats_after,
+       strftime(created_at, '%Y-%m-%d') AS effective_date, confirmation_id,
+       printf({O.q(C.TPL_TIER_MESSAGE)}, account_id, tier_name) AS message, result_json
+FROM res WHERE is_change"""
+    ),
+)
+def q_tier_change_results(spark, sf_dir):
+    df = resolved(spark, sf_dir).filter(F.col("is_change"))
+    r = A.tier_change_result()
+    return df.select(
+        "key",
+        "ticket_id",
+        "account_id",
+        "previous_tier",
+        r["new_tier"].alias("new_tier"),
+        r["monthly_cost_usd"].alias("monthly_cost_usd"),
+        "max_seats",
+        "seats_after",
+        r["effective_date"].alias("effective_date"),
+        "confirmation_id",
+        r["message"].alias("message"),
+        F.col("actions_taken")[0]["result"].alias("result_json"),
+    )
+
+
+ACCOUNT_STATE_SQL = O.with_base(
+    f"""SELECT coalesce(a.account_id, t.account_id) AS account_id,
+       CASE WHEN a.account_id IS NOT NULL THEN a.company_name ELSE {O.q(C.DEFAULT_ACCOUNT['company_name_prefix'])} || t.account_id END AS company_name,
+       coalesce(t.last_tier, CASE WHEN a.account_id IS NOT NULL THEN a.current_tier ELSE {O.q(C.DEFAULT_ACCOUNT['current_tier'])} END) AS current_tier,
+       greatest(CASE WHEN a.account_id IS NOT NULL THEN a.seats_allocated ELSE {C.DEFAULT_ACCOUNT['seats_allocated']} END, t.max_half) AS seats_allocated,
+       CAST(coalesce(t.tier_changes, 0) AS BIGINT) AS tier_changes,
+       CAST(coalesce(t.tool_calls, 0) AS BIGINT) AS tool_calls,
+       a.account_id IS NULL AS is_new
+FROM accts a FULL OUTER JOIN (
+  SELECT account_id, arg_max(tier_name, (created_at, ticket_id)) FILTER (WHERE is_change) AS last_tier,
+         max(CASE WHEN is_change THEN max_seats // 2 END) AS max_half,
+         count(*) FILTER (WHERE is_change) AS tier_changes, count(*) AS tool_calls
+  FROM (SELECT d.*, {O.norm_sql('d.customer_id')} AS account_id, t.name AS tier_name, t.max_seats,
+               (d.category = 'SUBSCRIPTION' AND t.tier_key IS NOT NULL) AS is_change
+        FROM decided d LEFT JOIN tiers t ON t.tier_key = {O.norm_sql('d.target_tier')}
+        WHERE d.category IN ('SUBSCRIPTION', 'BILLING'))
+  GROUP BY account_id) t ON a.account_id = t.account_id"""
+)
+
+
+@register("account_state", ACCOUNT_STATE_SQL)
+def q_account_state(spark, sf_dir):
+    i = inputs(spark, sf_dir)
+    d = TR.classify(first_per_key(with_key(i.requests)))
+    calls = d.filter(F.col("category").isin("SUBSCRIPTION", "BILLING")).withColumn(
+        "account_id", A.normalize_id("customer_id")
+    )
+    calls = A.join_tiers(calls, i.tiers, "target_tier").withColumn(
+        "is_change", (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
+    )
+    return A.account_state(i.accounts, calls)
+
+
+@register(
+    "response_text",
+    O.with_res("SELECT key, ticket_id, category, status, confidence_score, reasoning, customer_reply FROM res"),
+)
+def q_response_text(spark, sf_dir):
+    return resolved(spark, sf_dir).select(
+        "key", "ticket_id", "category", "status", "confidence_score", "reasoning", "customer_reply"
+    )
+
+
+@register(
+    "tool_dispatch",
+    O.with_res(
+        "SELECT key, ticket_id, tool_name, parameters_json, tool_success AS success, result_json "
+        "FROM res WHERE tool_name IS NOT NULL"
+    ),
+)
+def q_tool_dispatch(spark, sf_dir):
+    df = resolved(spark, sf_dir).select("key", "ticket_id", F.explode("actions_taken").alias("a"))
+    return df.select(
+        "key",
+        "ticket_id",
+        F.col("a.tool_name").alias("tool_name"),
+        F.to_json(F.col("a.parameters")).alias("parameters_json"),
+        F.col("a.success").alias("success"),
+        F.col("a.result").alias("result_json"),
+    )

@@ -28,6 +28,7 @@ from ..operators import accounts as A
 from ..operators.dedupe import first_per_key, with_key
 from ..operators.gate import gate, rule_reasoning, rule_reply, with_gated_reasoning
 from ..operators.skew import DEFAULT_HOT_ROWS
+from ..operators.tools import dispatch_json
 from ..sources import fixtures as FX
 
 
@@ -143,35 +144,32 @@ def account_sequence(df: DataFrame, chunk_seconds: int = A.DEFAULT_CHUNK_SECONDS
     ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max")
 
 
+def tool_name_col() -> Column:
+    """Which tool the rule path calls for the row's category (null: none)."""
+    return F.when(F.col("category") == "SUBSCRIPTION", F.lit(C.TOOL_TIER)).when(
+        F.col("category") == "BILLING", F.lit(C.TOOL_BALANCE)
+    )
+
+
 def tool_call_struct() -> Column:
     """The single action of a rule-path ticket (ToolCallResult), or null."""
-    tier_params = F.create_map(
-        F.lit("account_id"), F.col("customer_id"), F.lit("new_tier"), F.col("target_tier")
-    )
-    bal_params = F.create_map(F.lit("account_id"), F.col("customer_id"))
-    tier_res = A.tier_change_result("account_id")
-    invalid = F.format_string(C.TPL_TIER_INVALID, F.col("target_tier"))
-    return (
-        F.when(
-            F.col("category") == "SUBSCRIPTION",
-            F.struct(
-                F.lit(C.TOOL_TIER).alias("tool_name"),
-                tier_params.alias("parameters"),
-                F.to_json(tier_res).alias("result"),
-                F.col("tier_valid").alias("success"),
-                F.when(~F.col("tier_valid"), invalid).alias("error"),
-            ),
-        )
-        .when(
-            F.col("category") == "BILLING",
-            F.struct(
-                F.lit(C.TOOL_BALANCE).alias("tool_name"),
-                bal_params.alias("parameters"),
-                F.to_json(A.balance_result()).alias("result"),
-                F.lit(True).alias("success"),
-                F.lit(None).cast("string").alias("error"),
-            ),
-        )
+    name = tool_name_col()
+    params = F.when(
+        F.col("category") == "SUBSCRIPTION",
+        F.create_map(F.lit("account_id"), F.col("customer_id"), F.lit("new_tier"), F.col("target_tier")),
+    ).otherwise(F.create_map(F.lit("account_id"), F.col("customer_id")))
+    is_sub = F.col("category") == "SUBSCRIPTION"
+    success = F.when(is_sub, F.col("tier_valid")).otherwise(F.lit(True))
+    error = F.when(is_sub & ~F.col("tier_valid"), F.format_string(C.TPL_TIER_INVALID, F.col("target_tier")))
+    return F.when(
+        name.isNotNull(),
+        F.struct(
+            name.alias("tool_name"),
+            params.alias("parameters"),
+            dispatch_json(name).alias("result"),
+            success.alias("success"),
+            error.alias("error"),
+        ),
     )
 
 
