@@ -102,44 +102,48 @@ def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
     return out.withColumn("tier_valid", F.col("_tk").isNotNull()).drop("_tk")
 
 
-def _chunk(ts: str, chunk_seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.to_timestamp(F.col(ts))) / F.lit(chunk_seconds * 1_000_000))
+def account_sequence(df: DataFrame, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """WIN-2/3 over the tool rows of ``df`` (rows with is_change carry a tier).
 
-
-def tier_change_sequence(changes: DataFrame, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """WIN-2 + WIN-3 + SCL-28 over valid tier changes.
-
-    Input columns: account_id, created_at, ticket_id, tier_name, max_seats,
-    base_tier, base_seats.  Adds previous_tier (the account's tier before this
-    change) and seats_after (running, never falls).
+    Non-change rows pass through the same windows untouched, so no join back
+    by ticket is needed.  Needs account_id, created_at, ticket_id, is_change,
+    tier_name, max_seats, acct_current_tier, acct_seats_allocated.
     """
-    half = F.floor(F.col("max_seats") / 2).cast("int")
-    rows = changes.withColumn("_chunk", _chunk("created_at", chunk_seconds)).withColumn("_half", half)
-    w_in = Window.partitionBy("account_id", "_chunk").orderBy(*ORDER)
+    change_tier = F.when(F.col("is_change"), F.col("tier_name"))
+    change_half = F.when(F.col("is_change"), F.floor(F.col("max_seats") / 2).cast("int"))
+    rows = df.withColumns(
+        {
+            "_chunk": F.floor(F.unix_micros(F.to_timestamp("created_at")) / F.lit(chunk_seconds * 1_000_000)),
+            "_ct": change_tier,
+            "_half": change_half,
+        }
+    )
+    order = [F.col("created_at"), F.col("ticket_id")]
+    w_in = Window.partitionBy("account_id", "_chunk").orderBy(*order)
     rows = rows.withColumns(
         {
-            "_lag_in": F.lag("tier_name").over(w_in),
+            "_lag_in": F.last("_ct", ignorenulls=True).over(w_in.rowsBetween(Window.unboundedPreceding, -1)),
             "_max_in": F.max("_half").over(w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         }
     )
     summary = rows.groupBy("account_id", "_chunk").agg(
-        F.max_by("tier_name", F.struct(*ORDER)).alias("_last"),
+        F.max(F.when(F.col("is_change"), F.struct(*order, F.col("_ct").alias("t")))).alias("_last"),
         F.max("_half").alias("_cmax"),
     )
     w_acc = Window.partitionBy("account_id").orderBy("_chunk")
     carry = summary.select(
         "account_id",
         "_chunk",
-        F.lag("_last").over(w_acc).alias("_prev_last"),
+        F.last("_last.t", ignorenulls=True).over(w_acc.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_last"),
         F.max("_cmax").over(w_acc.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_max"),
     )
     out = rows.join(carry, ["account_id", "_chunk"], "left")
     return out.withColumns(
         {
-            "previous_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last"), F.col("base_tier")),
-            "seats_after": F.greatest(F.col("base_seats"), F.col("_max_in"), F.col("_prev_max")),
+            "previous_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last"), F.col("acct_current_tier")),
+            "seats_after": F.greatest(F.col("acct_seats_allocated"), F.col("_max_in"), F.col("_prev_max")),
         }
-    ).drop("_chunk", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max")
+    ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max")
 
 
 def tier_change_result(account_id: str = "account_id") -> Column:
@@ -182,13 +186,14 @@ def account_state(
     accounts: DataFrame,
     tool_calls: DataFrame,
 ) -> DataFrame:
-    """WIN-4: every account after all tickets.
+    """WIN-4: every account after all tickets (all account fields kept).
 
     ``tool_calls``: one row per processed (first-per-key) ticket that reached a
     tool, with account_id, created_at, ticket_id, is_change (valid tier change),
     tier_name, max_seats.  Accounts first seen by a tool get the default row.
     The per-account fold is an aggregate (partial + final), so a hot account
-    is combined before the shuffle.
+    is combined before the shuffle; the dimension and the fold meet in one
+    full outer join with at most one row per key on each side.
     """
     half = F.floor(F.col("max_seats") / 2).cast("int")
     touched = tool_calls.groupBy("account_id").agg(
@@ -199,18 +204,24 @@ def account_state(
         F.count_if(F.col("is_change")).alias("tier_changes"),
         F.count(F.lit(1)).alias("tool_calls"),
     )
-    base = accounts.select("account_id", "company_name", "current_tier", "seats_allocated", F.lit(True).alias("_known"))
+    base = accounts.select("account_id", *ACCOUNT_FIELDS, F.lit(True).alias("_known"))
     j = base.join(touched, "account_id", "full_outer")
     defaults = default_account_values(F.col("account_id"))
     known = F.coalesce(F.col("_known"), F.lit(False))
-    base_tier = F.when(known, F.col("current_tier")).otherwise(defaults["current_tier"])
-    base_seats = F.when(known, F.col("seats_allocated")).otherwise(defaults["seats_allocated"])
+    fields = {c: F.when(known, F.col(c)).otherwise(defaults[c]) for c in ACCOUNT_FIELDS}
+    fields["current_tier"] = F.coalesce(F.col("_last.t"), fields["current_tier"])
+    fields["seats_allocated"] = F.greatest(fields["seats_allocated"], F.col("_max_half"))
     return j.select(
         "account_id",
-        F.when(known, F.col("company_name")).otherwise(defaults["company_name"]).alias("company_name"),
-        F.coalesce(F.col("_last.t"), base_tier).alias("current_tier"),
-        F.greatest(base_seats, F.col("_max_half")).alias("seats_allocated"),
+        *[v.alias(k) for k, v in fields.items()],
         F.coalesce(F.col("tier_changes"), F.lit(0)).cast("bigint").alias("tier_changes"),
         F.coalesce(F.col("tool_calls"), F.lit(0)).cast("bigint").alias("tool_calls"),
         (~known).alias("is_new"),
     )
+
+
+def tool_calls(resolved: DataFrame) -> DataFrame:
+    """Tool-call rows of resolved tickets, the input of ``account_state``."""
+    return resolved.filter(F.col("category").isin("SUBSCRIPTION", "BILLING")).select(
+        "account_id", *ORDER, "is_change", "tier_name", "max_seats"
+    )

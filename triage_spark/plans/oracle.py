@@ -122,7 +122,7 @@ def _acct(col: str, default_sql: str) -> str:
 
 
 ACCOUNT_DEFAULTS_SQL = {
-    "company_name": f"{q(_D['company_name_prefix'])} || r0.account_id",
+    "company_name": f"{q(_D['company_name_prefix'])} || {{id}}",
     "current_tier": q(_D["current_tier"]),
     "balance_usd": f"CAST({_D['balance_usd']} AS DECIMAL(18,2))",
     "currency": q(_D["currency"]),
@@ -135,13 +135,13 @@ ACCOUNT_DEFAULTS_SQL = {
 }
 
 
-def lookup_sql(src: str) -> str:
-    """Left join of ``src`` (with customer_id) to the account fixture + default row."""
-    cols = ",\n         ".join(_acct(c, d) for c, d in ACCOUNT_DEFAULTS_SQL.items())
+def lookup_sql(src: str, accts: str = "accts") -> str:
+    """Left join of ``src`` (with customer_id) to an account table + default row."""
+    cols = ",\n         ".join(_acct(c, d.replace("{id}", "r0.account_id")) for c, d in ACCOUNT_DEFAULTS_SQL.items())
     return f"""SELECT r0.*, a.account_id IS NOT NULL AS account_found,
          {cols}
   FROM (SELECT s.*, {norm_sql('s.customer_id')} AS account_id FROM {src} s) r0
-  LEFT JOIN accts a ON a.account_id = r0.account_id"""
+  LEFT JOIN {accts} a ON a.account_id = r0.account_id"""
 
 
 BAL_RESULT_JSON = """json_object('success', true, 'account_id', account_id, 'company_name', acct_company_name,
@@ -155,19 +155,20 @@ TIER_RESULT_JSON = f"""json_object('success', true, 'account_id', account_id, 'p
   'effective_date', strftime(created_at, '%Y-%m-%d'), 'confirmation_id', confirmation_id,
   'message', printf({q(C.TPL_TIER_MESSAGE)}, account_id, tier_name))"""
 
-RES_CTES = [
-    f"r1 AS ({lookup_sql('decided')})",
-    f"""r2 AS (SELECT r1.*, t.tier_key IS NOT NULL AS tier_valid, t.name AS tier_name, t.monthly_cost, t.max_seats,
+def res_chain(p: str = "", src: str = "decided", accts: str = "accts") -> list[str]:
+    return [
+    f"{p}r1 AS ({lookup_sql(src, accts)})",
+    f"""{p}r2 AS (SELECT r1.*, t.tier_key IS NOT NULL AS tier_valid, t.name AS tier_name, t.monthly_cost, t.max_seats,
          (r1.category = 'SUBSCRIPTION' AND t.tier_key IS NOT NULL) AS is_change
-  FROM r1 LEFT JOIN tiers t ON t.tier_key = {norm_sql('r1.target_tier')})""",
-    """r3 AS (SELECT r2.*,
+  FROM {p}r1 r1 LEFT JOIN tiers t ON t.tier_key = {norm_sql('r1.target_tier')})""",
+    f"""{p}r3 AS (SELECT r2.*,
          coalesce(last_value(CASE WHEN is_change THEN tier_name END IGNORE NULLS) OVER w_prev, acct_current_tier) AS previous_tier,
          greatest(acct_seats_allocated, max(CASE WHEN is_change THEN max_seats // 2 END) OVER w_run) AS seats_after,
          CASE WHEN is_change THEN 'TIER-CHG-' || CAST(CAST(floor(epoch(created_at)) AS BIGINT) AS VARCHAR) ELSE 'N/A' END AS confirmation_id
-  FROM r2
+  FROM {p}r2 r2
   WINDOW w_prev AS (PARTITION BY account_id ORDER BY created_at, ticket_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          w_run AS (PARTITION BY account_id ORDER BY created_at, ticket_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
-    f"""r4 AS (SELECT r3.*,
+    f"""{p}r4 AS (SELECT r3.*,
          CASE WHEN confidence_score < {THR} THEN 'ESCALATED' ELSE 'RESOLVED' END AS status,
          CASE WHEN confidence_score < {THR} THEN 'WARNING' ELSE 'SUCCESS' END AS gate_status,
          {gate_msg_sql('confidence_score')} AS gate_message,
@@ -178,17 +179,124 @@ RES_CTES = [
               WHEN category = 'BILLING' THEN printf({q(C.TPL_BILL_REPLY)}, format('{{:,.2f}}', CAST(acct_balance_usd AS DOUBLE)), acct_overdue_invoices_count)
               ELSE printf({q(C.TPL_FALLBACK_REPLY)}, subject, ticket_id) END AS customer_reply,
          CASE WHEN category = 'SUBSCRIPTION' THEN {q(C.TOOL_TIER)} WHEN category = 'BILLING' THEN {q(C.TOOL_BALANCE)} END AS tool_name
-  FROM r3)""",
-    f"""res AS (SELECT r4.* EXCLUDE (reasoning0, status, gate_status, gate_message), status, gate_status, gate_message,
+  FROM {p}r3 r3)""",
+    f"""{p}res AS (SELECT r4.* EXCLUDE (reasoning0, status, gate_status, gate_message), status, gate_status, gate_message,
          reasoning0 || ' [' || gate_message || ']' AS reasoning,
          CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN json_object('account_id', customer_id, 'new_tier', target_tier)
               WHEN tool_name IS NOT NULL THEN json_object('account_id', customer_id) END AS parameters_json,
          CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN CASE WHEN tier_valid THEN {TIER_RESULT_JSON} END
               WHEN tool_name = {q(C.TOOL_BALANCE)} THEN {BAL_RESULT_JSON} END AS result_json,
-         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN tier_valid WHEN tool_name IS NOT NULL THEN true END AS tool_success
-  FROM r4)""",
-]
+         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN tier_valid WHEN tool_name IS NOT NULL THEN true END AS tool_success,
+         CASE WHEN tool_name = {q(C.TOOL_TIER)} AND NOT tier_valid THEN printf({q(C.TPL_TIER_INVALID)}, target_tier) END AS tool_error
+  FROM {p}r4 r4)""",
+    ]
+
+
+
+
+RES_CTES = res_chain()
 
 
 def with_res(body: str, extra: list[str] | None = None) -> str:
     return with_base(body, RES_CTES + list(extra or []))
+
+
+def decided_chain(p: str, firsts: str) -> list[str]:
+    """Classification + rule confidence over another first-per-key table."""
+    return [
+        f"""{p}cls AS (
+  SELECT *, {category_sql('mt')} AS category,
+         CASE WHEN {category_sql('mt')} = 'SUBSCRIPTION' THEN {tier_sql('mt')} END AS target_tier
+  FROM (SELECT *, lower(subject || ' ' || body) AS mt FROM {firsts}))""",
+        f"{p}decided AS (SELECT *, {confidence_sql('category')} AS confidence_score FROM {p}cls)",
+    ]
+
+
+ACTIONS_JSON_SQL = """CASE WHEN tool_name IS NULL THEN '[]' ELSE
+  '[{"tool_name":' || to_json(tool_name) || ',"parameters":' || CAST(parameters_json AS VARCHAR)
+  || ',"result":' || coalesce(CAST(result_json AS VARCHAR), '{}') || ',"success":'
+  || CASE WHEN tool_success THEN 'true' ELSE 'false' END || ',"error":' || coalesce(CAST(to_json(tool_error) AS VARCHAR), 'null') || '}]' END"""
+
+
+def ledger_rows_sql(src: str, status: str = "status") -> str:
+    return f"""SELECT sha256(key) AS ticket_key, key AS idempotency_key, ticket_id, customer_id,
+       CAST(NULL AS VARCHAR) AS customer_email, subject, body, category, {q(C.DEFAULT_PRIORITY)} AS priority,
+       {status} AS status, CAST(confidence_score AS DECIMAL(4,3)) AS confidence_score,
+       reasoning AS resolution_summary, customer_reply, {ACTIONS_JSON_SQL} AS actions_taken,
+       execution_time_ms, CAST({C.DEFAULT_COST_USD} AS DECIMAL(6,4)) AS cost_estimate_usd,
+       created_at, created_at AS updated_at
+FROM {src}"""
+
+
+ACCT_FIELDS = ["company_name", "current_tier", "balance_usd", "currency", "overdue_invoices_count",
+               "overdue_amount_usd", "credit_limit_usd", "billing_cycle", "seats_allocated", "status"]
+
+
+def account_state_sql(accts: str, calls: str) -> str:
+    """Accounts after the tool calls in ``calls`` (account_id, created_at, ticket_id, is_change, tier_name, max_seats)."""
+    known = "a.account_id IS NOT NULL"
+    cols = []
+    for c in ACCT_FIELDS:
+        d = ACCOUNT_DEFAULTS_SQL[c].replace("{id}", "t.account_id")
+        base = f"CASE WHEN {known} THEN a.{c} ELSE {d} END"
+        if c == "current_tier":
+            base = f"coalesce(t.last_tier, {base})"
+        if c == "seats_allocated":
+            base = f"greatest({base}, t.max_half)"
+        cols.append(f"{base} AS {c}")
+    return f"""SELECT coalesce(a.account_id, t.account_id) AS account_id, {', '.join(cols)},
+       CAST(coalesce(t.tier_changes, 0) AS BIGINT) AS tier_changes, CAST(coalesce(t.tool_calls, 0) AS BIGINT) AS tool_calls,
+       a.account_id IS NULL AS is_new
+FROM {accts} a FULL OUTER JOIN (
+  SELECT account_id, arg_max(tier_name, (created_at, ticket_id)) FILTER (WHERE is_change) AS last_tier,
+         max(CASE WHEN is_change THEN max_seats // 2 END) AS max_half,
+         count(*) FILTER (WHERE is_change) AS tier_changes, count(*) AS tool_calls
+  FROM {calls} GROUP BY account_id) t ON a.account_id = t.account_id"""
+
+
+CUT = f"CAST({q(LEDGER_CUTOFF)} AS TIMESTAMP)"
+READABLE = "(" + ", ".join(q(x) for x in C.STORED_OUTCOME_STATUSES) + ")"
+
+LEDGER_CTES = (
+    [
+        f"pre_firsts AS (SELECT * FROM keyed WHERE created_at < {CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at, ticket_id) = 1)",
+    ]
+    + decided_chain("p_", "pre_firsts")
+    + res_chain("p_", "p_decided", "accts")
+    + [
+        f"""seed AS ({ledger_rows_sql('p_res', "CASE WHEN event_id % 17 = 0 THEN 'PENDING' WHEN event_id % 19 = 0 THEN 'FAILED' ELSE status END")})""",
+        f"""state AS ({account_state_sql('accts', "(SELECT account_id, created_at, ticket_id, is_change, tier_name, max_seats FROM p_res WHERE category IN ('SUBSCRIPTION', 'BILLING'))")})""",
+        f"inc AS (SELECT * FROM keyed WHERE created_at >= {CUT})",
+        f"""hits AS (SELECT i.*, s.ticket_id AS stored_ticket_id, s.status AS stored_status, s.confidence_score AS stored_confidence_score,
+       s.category AS stored_category, s.resolution_summary AS stored_resolution_summary,
+       s.customer_reply AS stored_customer_reply, s.execution_time_ms AS stored_execution_time_ms,
+       s.actions_taken AS stored_actions_taken
+  FROM inc i JOIN seed s ON s.idempotency_key = i.key WHERE s.status IN {READABLE})""",
+        f"""new_firsts AS (SELECT * FROM inc WHERE key NOT IN (SELECT idempotency_key FROM seed WHERE status IN {READABLE})
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at, ticket_id) = 1)""",
+    ]
+    + decided_chain("n_", "new_firsts")
+    + res_chain("n_", "n_decided", "state")
+    + [
+        f"batch AS ({ledger_rows_sql('n_res')})",
+        """upserted AS (SELECT coalesce(l.idempotency_key, b.idempotency_key) AS idempotency_key,
+       """
+        + ",\n       ".join(
+            (
+                f"CASE WHEN b.idempotency_key IS NOT NULL THEN b.{c} ELSE l.{c} END AS {c}"
+                if c in ("status", "confidence_score", "resolution_summary", "customer_reply", "actions_taken", "execution_time_ms", "updated_at")
+                else f"CASE WHEN l.idempotency_key IS NOT NULL THEN l.{c} ELSE b.{c} END AS {c}"
+            )
+            for c in ["ticket_key", "ticket_id", "customer_id", "customer_email", "subject", "body", "category", "priority",
+                      "status", "confidence_score", "resolution_summary", "customer_reply", "actions_taken",
+                      "execution_time_ms", "cost_estimate_usd", "created_at", "updated_at"]
+        )
+        + """,
+       CASE WHEN l.idempotency_key IS NULL THEN 'INSERTED' WHEN b.idempotency_key IS NOT NULL THEN 'UPDATED' ELSE 'KEPT' END AS change
+  FROM seed l FULL OUTER JOIN batch b ON l.idempotency_key = b.idempotency_key)""",
+    ]
+)
+
+
+def with_ledger(body: str, extra: list[str] | None = None) -> str:
+    return with_base(body, LEDGER_CTES + list(extra or []))

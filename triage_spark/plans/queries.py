@@ -343,7 +343,9 @@ def q_account_state(spark, sf_dir):
     calls = A.join_tiers(calls, i.tiers, "target_tier").withColumn(
         "is_change", (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
     )
-    return A.account_state(i.accounts, calls)
+    return A.account_state(i.accounts, calls).select(
+        "account_id", "company_name", "current_tier", "seats_allocated", "tier_changes", "tool_calls", "is_new"
+    )
 
 
 @register(
@@ -373,3 +375,149 @@ def q_tool_dispatch(spark, sf_dir):
         F.col("a.success").alias("success"),
         F.col("a.result").alias("result_json"),
     )
+
+
+# ---------------------------------------------------------------- slice 4: ledger and audit
+
+from ..operators import audit as AU  # noqa: E402
+from ..operators import ledger as L  # noqa: E402
+from . import ledger_flow as LF  # noqa: E402
+
+LEDGER_SELECT = ", ".join(L.LEDGER_COLUMNS)
+
+
+@register("seed_ledger", O.with_ledger(f"SELECT {LEDGER_SELECT} FROM seed"))
+def q_seed_ledger(spark, sf_dir):
+    return LF.prepare(spark, sf_dir).seed.select(*L.LEDGER_COLUMNS)
+
+
+@register(
+    "ledger_hits",
+    O.with_ledger(
+        "SELECT event_id, ticket_id, key, stored_ticket_id, stored_status, stored_confidence_score FROM hits"
+    ),
+)
+def q_ledger_hits(spark, sf_dir):
+    li = LF.prepare(spark, sf_dir)
+    return L.hits(li.incoming, li.seed).select(
+        "event_id", "ticket_id", "key", "stored_ticket_id", "stored_status", "stored_confidence_score"
+    )
+
+
+@register("new_tickets", O.with_ledger("SELECT key, event_id, ticket_id, created_at FROM new_firsts"))
+def q_new_tickets(spark, sf_dir):
+    return LF.new_tickets(LF.prepare(spark, sf_dir)).select("key", "event_id", "ticket_id", "created_at")
+
+
+@register("ledger_upsert", O.with_ledger(f"SELECT {LEDGER_SELECT}, change FROM upserted"))
+def q_ledger_upsert(spark, sf_dir):
+    return LF.upserted(LF.prepare(spark, sf_dir))
+
+
+REPORT_COLS = [
+    "ticket_id",
+    "customer_id",
+    "subject",
+    "category",
+    "priority",
+    "status",
+    "confidence_score",
+    "execution_time_ms",
+    "cost_estimate_usd",
+    "resolution_summary",
+    "customer_reply",
+    "actions_taken",
+    "created_at",
+]
+
+
+@register(
+    "ledger_report_scan",
+    O.with_ledger(f"SELECT {', '.join(REPORT_COLS)} FROM upserted ORDER BY created_at DESC"),
+)
+def q_ledger_report_scan(spark, sf_dir):
+    """SRC-2 + PRJ-1: 13 columns, newest first (column pruning reaches the plan)."""
+    return LF.upserted(LF.prepare(spark, sf_dir)).select(*REPORT_COLS).orderBy(F.desc("created_at"))
+
+
+@register(
+    "ledger_display",
+    O.with_ledger(
+        "SELECT ticket_id, customer_id, category, priority, status, "
+        "CAST(CAST(confidence_score AS DECIMAL(38,2)) AS VARCHAR) AS confidence_text, "
+        "CAST(execution_time_ms AS VARCHAR) || ' ms' AS latency_text, subject FROM upserted"
+    ),
+)
+def q_ledger_display(spark, sf_dir):
+    return K.display_rows(LF.upserted(LF.prepare(spark, sf_dir)))
+
+
+TICKET_LATEST_COLS = ["ticket_id", "customer_id", "subject", "status", "confidence_score", "resolution_summary",
+                      "customer_reply", "execution_time_ms", "created_at", "updated_at"]
+
+
+@register(
+    "ticket_latest",
+    O.with_ledger(
+        f"SELECT {', '.join(TICKET_LATEST_COLS)} FROM upserted "
+        "QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY created_at DESC, updated_at DESC) = 1"
+    ),
+)
+def q_ticket_latest(spark, sf_dir):
+    return K.latest_per(LF.upserted(LF.prepare(spark, sf_dir)), "ticket_id", TICKET_LATEST_COLS)
+
+
+AUDIT_STEPS_SQL = f"""audit AS (
+  SELECT sha256(key) AS ticket_key, key AS idempotency_key, {O.q(C.STEP_INGESTION)} AS step_name, 'SUCCESS' AS status,
+         CAST(1 AS DECIMAL(4,3)) AS confidence_score, 0 AS latency_ms,
+         json_object('ticket_id', ticket_id, 'customer_id', customer_id, 'subject', subject)::VARCHAR AS input_payload,
+         CAST(NULL AS VARCHAR) AS output_payload, CAST(NULL AS VARCHAR) AS error_message, created_at
+  FROM gated
+  UNION ALL
+  SELECT sha256(key), key, {O.q(C.STEP_GATE)}, gate_status, CAST(confidence_score AS DECIMAL(4,3)),
+         coalesce(execution_time_ms, 0), CAST(NULL AS VARCHAR),
+         json_object('status', status, 'gate_decision', gate_message)::VARCHAR, CAST(NULL AS VARCHAR), created_at
+  FROM gated)"""
+
+AUDIT_SELECT = ", ".join(AU.AUDIT_COLUMNS)
+
+
+@register("audit_rows", O.with_base(f"SELECT {AUDIT_SELECT} FROM audit", [AUDIT_STEPS_SQL]))
+def q_audit_rows(spark, sf_dir):
+    return AU.step_rows(TR.decide(requests(spark, sf_dir))).select(*AU.AUDIT_COLUMNS)
+
+
+@register(
+    "backfill_audit",
+    O.with_ledger(
+        f"""SELECT ticket_key, idempotency_key, {O.q(C.STEP_IDEMPOTENCY)} AS step_name, 'SUCCESS' AS status,
+       CAST(1 AS DECIMAL(4,3)) AS confidence_score, 15 AS latency_ms,
+       json_object('idempotency_key', idempotency_key)::VARCHAR AS input_payload,
+       '{{"is_duplicate":false}}' AS output_payload, CAST(NULL AS VARCHAR) AS error_message,
+       created_at - INTERVAL 300 MILLISECOND AS created_at
+FROM seed
+UNION ALL
+SELECT ticket_key, idempotency_key, {O.q(C.STEP_INTENT)}, CASE WHEN status = 'RESOLVED' THEN 'SUCCESS' ELSE 'WARNING' END,
+       confidence_score, execution_time_ms, json_object('subject', subject, 'body', body)::VARCHAR,
+       '{{"status":' || to_json(status) || ',"confidence_score":' || coalesce(CAST(CAST(confidence_score AS DOUBLE) AS VARCHAR), 'null')
+       || ',"actions":' || coalesce(actions_taken, 'null') || '}}',
+       CAST(NULL AS VARCHAR), created_at
+FROM seed"""
+    ),
+)
+def q_backfill_audit(spark, sf_dir):
+    return AU.backfill_rows(LF.prepare(spark, sf_dir).seed).select(*AU.AUDIT_COLUMNS)
+
+
+@register(
+    "audit_relink",
+    O.with_ledger(
+        """SELECT a.idempotency_key, a.step_name, CASE WHEN s.ticket_key IS NOT NULL THEN a.ticket_key END AS ticket_key,
+       s.ticket_key IS NULL AS orphan
+FROM audit a LEFT JOIN seed s ON s.idempotency_key = a.idempotency_key""",
+        [AUDIT_STEPS_SQL],
+    ),
+)
+def q_audit_relink(spark, sf_dir):
+    audit = AU.step_rows(TR.decide(requests(spark, sf_dir)))
+    return AU.relink(audit, LF.prepare(spark, sf_dir).seed).select("idempotency_key", "step_name", "ticket_key", "orphan")

@@ -19,11 +19,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.rules import classify_columns, dec, match_text, intent, target_tier
+from ..functions.rules import classify_columns, dec
 from ..operators import accounts as A
 from ..operators.dedupe import first_per_key, with_key
 from ..operators.gate import gate, rule_reasoning, rule_reply, with_gated_reasoning
@@ -78,7 +78,7 @@ def resolve(
     df = A.join_tiers(df, tiers, "target_tier")
     is_change = (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
     df = df.withColumn("is_change", is_change)
-    df = account_sequence(df, chunk_seconds)
+    df = A.account_sequence(df, chunk_seconds)
     tool_ok = F.when(F.col("category") == "SUBSCRIPTION", F.col("tier_valid")).otherwise(F.lit(True))
     df = df.withColumn(
         "confidence_score",
@@ -101,49 +101,6 @@ def resolve(
     return df.withColumn("actions_taken", actions_column())
 
 
-def account_sequence(df: DataFrame, chunk_seconds: int = A.DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """WIN-2/3 over the tool rows of ``df`` (rows with is_change carry a tier).
-
-    Non-change rows pass through the same windows untouched, so no join back
-    by ticket is needed.  See ``operators.accounts`` for the chunked scan.
-    """
-    change_tier = F.when(F.col("is_change"), F.col("tier_name"))
-    change_half = F.when(F.col("is_change"), F.floor(F.col("max_seats") / 2).cast("int"))
-    rows = df.withColumns(
-        {
-            "_chunk": F.floor(F.unix_micros(F.to_timestamp("created_at")) / F.lit(chunk_seconds * 1_000_000)),
-            "_ct": change_tier,
-            "_half": change_half,
-        }
-    )
-    order = [F.col("created_at"), F.col("ticket_id")]
-    w_in = Window.partitionBy("account_id", "_chunk").orderBy(*order)
-    rows = rows.withColumns(
-        {
-            "_lag_in": F.last("_ct", ignorenulls=True).over(w_in.rowsBetween(Window.unboundedPreceding, -1)),
-            "_max_in": F.max("_half").over(w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        }
-    )
-    summary = rows.groupBy("account_id", "_chunk").agg(
-        F.max(F.when(F.col("is_change"), F.struct(*order, F.col("_ct").alias("t")))).alias("_last"),
-        F.max("_half").alias("_cmax"),
-    )
-    w_acc = Window.partitionBy("account_id").orderBy("_chunk")
-    carry = summary.select(
-        "account_id",
-        "_chunk",
-        F.last("_last.t", ignorenulls=True).over(w_acc.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_last"),
-        F.max("_cmax").over(w_acc.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_max"),
-    )
-    out = rows.join(carry, ["account_id", "_chunk"], "left")
-    return out.withColumns(
-        {
-            "previous_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last"), F.col("acct_current_tier")),
-            "seats_after": F.greatest(F.col("acct_seats_allocated"), F.col("_max_in"), F.col("_prev_max")),
-        }
-    ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max")
-
-
 def tool_name_col() -> Column:
     """Which tool the rule path calls for the row's category (null: none)."""
     return F.when(F.col("category") == "SUBSCRIPTION", F.lit(C.TOOL_TIER)).when(
