@@ -300,3 +300,94 @@ LEDGER_CTES = (
 
 def with_ledger(body: str, extra: list[str] | None = None) -> str:
     return with_base(body, LEDGER_CTES + list(extra or []))
+
+
+F8_CTE = """f8 AS (
+  SELECT event_id, CASE WHEN event_id % 23 = 0 THEN NULL ELSE ticket_id END AS ticket_id, customer_id, idempotency_key,
+         CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 37 = 0 THEN repeat('x', 256) ELSE subject END AS subject,
+         CASE WHEN event_id % 31 = 0 THEN NULL ELSE body END AS body, created_at, execution_time_ms,
+         CASE WHEN event_id % 41 = 0 THEN 'NOW' ELSE 'MEDIUM' END AS priority,
+         CAST(CASE WHEN event_id % 43 = 0 THEN 12.5 ELSE 0.9 END AS DECIMAL(10,3)) AS confidence_raw
+  FROM f1)"""
+
+F6_CTE = f"""f6 AS (
+  SELECT event_id,
+         CASE WHEN event_id % 7 = 0 THEN '{{"category":"BILLING","confidence'
+              ELSE '{{"category":"BILLING","confidence_score":' || CASE WHEN event_id % 5 = 0 THEN '1.5' ELSE '0.9' END
+                   || ',"requires_escalation":false,"reasoning":"r' || {K} || '"'
+                   || CASE WHEN event_id % 3 = 0 THEN '}}' ELSE ',"customer_reply":"ok"}}' END END AS output_json,
+         CASE WHEN event_id % 4 = 0 THEN '{{"content":"done","tool_calls":[]}}'
+              WHEN event_id % 4 = 1 THEN '{{"content":"done","tool_calls":[{{"name":"wipe_disk","args":{{}}}}]}}'
+              ELSE '{{"content":"done","tool_calls":[{{"name":"check_account_balance","args":{{"account_id":"CUST-'
+                   || CAST(user_id AS VARCHAR) || '"}}}}]}}' END AS message_json
+  FROM events e)"""
+
+F5_CTE = f"""f5 AS (
+  SELECT event_id,
+         CASE WHEN event_id % 4 = 0 THEN '[{{"tool":"check_account_balance","status":"SUCCESS","details":{{"n":' || {K} || '}}}}]'
+              WHEN event_id % 4 = 1 THEN '[{{"tool_name":"update_subscription_tier","success":false,"error":"E' || {K} || '"}}]'
+              WHEN event_id % 4 = 2 THEN '[{{"tool":"check_account_balance","status":"FAILED"}}]'
+              ELSE '[]' END AS actions_json
+  FROM events e)"""
+
+F7_CTE = f"""f7 AS (
+  SELECT '{{"execution":{{"id":"' || CAST(event_id AS VARCHAR) || '"'
+         || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"error":{{"message":"m' || {K} || '","stack":"s"}}' END
+         || '}},"workflow":{{"name":"wf-' || CAST(user_id % 4 AS VARCHAR) || '"}}}}' AS failure_json, ts AS failed_at
+  FROM events e WHERE event_type = 'error')"""
+
+FAILURES_CTE = f"""failures AS (
+  SELECT json_extract_string(failure_json, '$.execution.id') AS execution_id,
+         json_extract_string(failure_json, '$.workflow.name') AS workflow_name,
+         CASE WHEN json_extract(failure_json, '$.execution.error') IS NOT NULL
+              THEN json_extract_string(failure_json, '$.execution.error.message') ELSE {q(C.UNKNOWN_FAILURE)} END AS error_message,
+         CASE WHEN json_extract(failure_json, '$.execution.error') IS NOT NULL
+              THEN json_extract_string(failure_json, '$.execution.error.stack') ELSE '' END AS error_stack,
+         failed_at, {q(C.STEP_WORKFLOW_FAILURE)} AS step_name
+  FROM f7)"""
+
+
+def violations_sql(rules: list[tuple[str, str]]) -> str:
+    """violation_text and n_violations columns from (code, SQL predicate) pairs."""
+    text = "concat_ws(',', " + ", ".join(f"CASE WHEN {p} THEN {q(c)} END" for c, p in rules) + ")"
+    n = "CAST(" + " + ".join(f"(CASE WHEN {p} THEN 1 ELSE 0 END)" for c, p in rules) + " AS INTEGER)"
+    return f"{text} AS violation_text, {n} AS n_violations"
+
+
+REQUEST_RULES_SQL = [
+    ("TICKET_ID_REQUIRED", "ticket_id IS NULL"),
+    ("CUSTOMER_ID_REQUIRED", "customer_id IS NULL"),
+    ("SUBJECT_REQUIRED", "subject IS NULL"),
+    ("SUBJECT_EMPTY", "subject IS NOT NULL AND length(subject) < 1"),
+    ("BODY_REQUIRED", "body IS NULL"),
+    ("BODY_EMPTY", "body IS NOT NULL AND length(body) < 1"),
+]
+
+
+def ledger_rules_sql() -> list[tuple[str, str]]:
+    pr = ", ".join(q(x) for x in C.TICKET_PRIORITIES)
+    st = ", ".join(q(x) for x in C.LEDGER_STATUSES)
+    rules = [
+        ("KEY_REQUIRED", "idempotency_key IS NULL"),
+        ("TICKET_ID_REQUIRED", "ticket_id IS NULL"),
+        ("CUSTOMER_ID_REQUIRED", "customer_id IS NULL"),
+        ("SUBJECT_REQUIRED", "subject IS NULL"),
+        ("BODY_REQUIRED", "body IS NULL"),
+        ("STATUS_REQUIRED", "status IS NULL"),
+        ("PRIORITY_DOMAIN", f"priority IS NOT NULL AND priority NOT IN ({pr})"),
+        ("STATUS_DOMAIN", f"status IS NOT NULL AND status NOT IN ({st})"),
+    ]
+    for c, n in C.LEDGER_LENGTHS.items():
+        rules.append((f"{c.upper()}_TOO_LONG", f"length({c}) > {n}"))
+    rules.append(("CONFIDENCE_OVERFLOW", "confidence_raw IS NOT NULL AND TRY_CAST(confidence_raw AS DECIMAL(4,3)) IS NULL"))
+    return rules
+
+
+AUDIT_RULES_SQL = [
+    ("STEP_REQUIRED", "step_name IS NULL"),
+    ("STATUS_REQUIRED", "status IS NULL"),
+    ("STATUS_DOMAIN", "status IS NOT NULL AND status NOT IN (" + ", ".join(q(x) for x in C.AUDIT_STATUSES) + ")"),
+    ("STEP_TOO_LONG", "length(step_name) > 64"),
+    ("LATENCY_NEGATIVE", "latency_ms < 0"),
+    ("CONFIDENCE_RANGE", "confidence_score < 0 OR confidence_score > 1"),
+]

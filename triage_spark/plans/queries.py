@@ -521,3 +521,279 @@ FROM audit a LEFT JOIN seed s ON s.idempotency_key = a.idempotency_key""",
 def q_audit_relink(spark, sf_dir):
     audit = AU.step_rows(TR.decide(requests(spark, sf_dir)))
     return AU.relink(audit, LF.prepare(spark, sf_dir).seed).select("idempotency_key", "step_name", "ticket_key", "orphan")
+
+
+# ---------------------------------------------------------------- slice 5: contracts and feeds
+
+from ..operators import contract as CT  # noqa: E402
+from ..operators import model_feed as MF  # noqa: E402
+from ..operators.gate import exception_outcome  # noqa: E402
+from ..sources import feeds as FD  # noqa: E402
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return FX.table(spark, sf_dir, "events")
+
+
+REQ_JSON_SQL = """rq AS (
+  SELECT event_id, CASE WHEN event_id % 47 = 0 THEN 'x' ELSE '' END
+         || json_object('ticket_id', ticket_id, 'customer_id', customer_id, 'subject', subject, 'body', body,
+                        'idempotency_key', idempotency_key)::VARCHAR AS value
+  FROM f1)"""
+
+
+@register(
+    "ingest_requests",
+    O.with_base(
+        """SELECT event_id,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.ticket_id') END AS ticket_id,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.customer_id') END AS customer_id,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.subject') END AS subject,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.body') END AS body,
+       CASE WHEN json_valid(value) THEN json_extract_string(value, '$.idempotency_key') END AS idempotency_key,
+       NOT json_valid(value) AS is_corrupt
+FROM rq""",
+        [REQ_JSON_SQL],
+    ),
+)
+def q_ingest_requests(spark, sf_dir):
+    parsed = FD.parse_requests(FD.request_json(events(spark, sf_dir)))
+    return parsed.select("event_id", "ticket_id", "customer_id", "subject", "body", "idempotency_key", "is_corrupt")
+
+
+@register(
+    "request_contract",
+    O.with_base(f"SELECT event_id, {O.violations_sql(O.REQUEST_RULES_SQL)} FROM f8", [O.F8_CTE]),
+)
+def q_request_contract(spark, sf_dir):
+    df = CT.check(FX.broken_requests(events(spark, sf_dir)), CT.request_rules())
+    return df.select("event_id", "violation_text", "n_violations")
+
+
+def _ledger_candidates(f8: DataFrame) -> DataFrame:
+    """F8 as ledger rows as they would be inserted (CON-6 defaults for omitted columns)."""
+    return with_key(f8).select(
+        "event_id",
+        F.col("key").alias("idempotency_key"),
+        "ticket_id",
+        "customer_id",
+        F.lit(None).cast("string").alias("customer_email"),
+        "subject",
+        "body",
+        F.lit(C.DEFAULT_CATEGORY).alias("category"),
+        "priority",
+        F.lit(C.DEFAULT_STATUS).alias("status"),
+        "confidence_raw",
+    )
+
+
+@register(
+    "ledger_contract",
+    O.with_base(
+        f"""SELECT event_id, {O.violations_sql(O.ledger_rules_sql())}
+FROM (SELECT event_id, coalesce(nullif(idempotency_key, ''), ticket_id) AS idempotency_key, ticket_id, customer_id,
+             CAST(NULL AS VARCHAR) AS customer_email, subject, body, {O.q(C.DEFAULT_CATEGORY)} AS category, priority,
+             {O.q(C.DEFAULT_STATUS)} AS status, confidence_raw FROM f8)""",
+        [O.F8_CTE],
+    ),
+)
+def q_ledger_contract(spark, sf_dir):
+    df = CT.check(_ledger_candidates(FX.broken_requests(events(spark, sf_dir))), CT.ledger_rules())
+    return df.select("event_id", "violation_text", "n_violations")
+
+
+@register(
+    "audit_contract",
+    O.with_base(
+        f"SELECT idempotency_key, step_name, {O.violations_sql(O.AUDIT_RULES_SQL)} FROM audit",
+        [AUDIT_STEPS_SQL],
+    ),
+)
+def q_audit_contract(spark, sf_dir):
+    audit = AU.step_rows(TR.decide(requests(spark, sf_dir)))
+    return CT.check(audit, CT.audit_rules()).select("idempotency_key", "step_name", "violation_text", "n_violations")
+
+
+@register(
+    "response_contract",
+    O.with_res(
+        f"""SELECT key, {O.violations_sql([
+            ("CONFIDENCE_RANGE", "confidence_score < 0 OR confidence_score > 1"),
+            ("STATUS_DOMAIN", "coalesce(status IN (" + ", ".join(O.q(x) for x in C.RESPONSE_STATUSES) + "), false) = false"),
+            ("ACTION_INCOMPLETE", "tool_name IS NOT NULL AND tool_success IS NULL"),
+        ])} FROM res"""
+    ),
+)
+def q_response_contract(spark, sf_dir):
+    return CT.check(resolved(spark, sf_dir), CT.response_rules()).select("key", "violation_text", "n_violations")
+
+
+MODEL_OUT_SQL = f"""mo AS (
+  SELECT event_id, v,
+         CASE WHEN v THEN json_extract_string(output_json, '$.category') END AS category,
+         CASE WHEN v THEN json_extract_string(output_json, '$.priority') END AS priority0,
+         CASE WHEN v THEN TRY_CAST(json_extract(output_json, '$.confidence_score') AS DOUBLE) END AS conf,
+         CASE WHEN v THEN TRY_CAST(json_extract(output_json, '$.requires_escalation') AS BOOLEAN) END AS req_esc,
+         CASE WHEN v THEN json_extract_string(output_json, '$.reasoning') END AS reasoning,
+         CASE WHEN v THEN json_extract_string(output_json, '$.customer_reply') END AS reply
+  FROM (SELECT *, json_valid(output_json) AS v FROM f6))"""
+
+MODEL_RULES_SQL = [
+    ("MALFORMED_JSON", "NOT v"),
+    ("CATEGORY_REQUIRED", "v AND category IS NULL"),
+    ("CONFIDENCE_REQUIRED", "v AND conf IS NULL"),
+    ("CONFIDENCE_RANGE", "conf < 0 OR conf > 1"),
+    ("ESCALATION_FLAG_REQUIRED", "v AND req_esc IS NULL"),
+    ("REASONING_REQUIRED", "v AND reasoning IS NULL"),
+    ("CUSTOMER_REPLY_REQUIRED", "v AND reply IS NULL"),
+    ("PRIORITY_DOMAIN", "priority0 IS NOT NULL AND priority0 NOT IN (" + ", ".join(O.q(x) for x in C.TICKET_PRIORITIES) + ")"),
+]
+
+
+@register(
+    "model_output_contract",
+    O.with_base(
+        f"""SELECT event_id, category, coalesce(priority0, {O.q(C.DEFAULT_PRIORITY)}) AS priority, conf AS model_confidence,
+       violation_text, n_violations,
+       CASE WHEN n_violations > 0 THEN 'ESCALATED' WHEN req_esc OR conf < {C.CONFIDENCE_THRESHOLD} THEN 'ESCALATED' ELSE 'RESOLVED' END AS status
+FROM (SELECT *, {O.violations_sql(MODEL_RULES_SQL)} FROM mo)""",
+        [O.F6_CTE, MODEL_OUT_SQL],
+    ),
+)
+def q_model_output_contract(spark, sf_dir):
+    df = MF.judge_output(FX.model_responses(events(spark, sf_dir)))
+    return df.select("event_id", "category", "priority", "model_confidence", "violation_text", "n_violations", "status")
+
+
+_KNOWN = ", ".join(O.q(t) for t in sorted(MF.REQUIRED_ARGS))
+_CALL_OK = " OR ".join(
+    "(json_extract_string(x, '$.name') = " + O.q(t) + " AND "
+    + " AND ".join(f"json_extract_string(x, '$.args.{a}') IS NOT NULL" for a in args) + ")"
+    for t, args in MF.REQUIRED_ARGS.items()
+)
+
+
+@register(
+    "model_response_actions",
+    O.with_base(
+        f"""SELECT event_id, CAST(n_calls AS INTEGER) AS n_calls, CAST(len(kept) AS INTEGER) AS n_actions,
+       confidence_score, 'GENERAL' AS category,
+       CASE WHEN confidence_score < {O.THR} THEN 'ESCALATED' ELSE 'RESOLVED' END AS status,
+       {O.q(C.MODEL_REASONING + " [")} || {O.gate_msg_sql('confidence_score')} || ']' AS reasoning,
+       coalesce(nullif(content, ''), {O.q(C.MODEL_DEFAULT_REPLY)}) AS customer_reply
+FROM (SELECT *, CAST(CASE WHEN len(kept) > 0 AND list_bool_and(list_transform(kept, lambda x: {_CALL_OK}))
+                     THEN {C.CONF_MODEL_ALL_OK} ELSE {C.CONF_MODEL_OTHER} END AS DECIMAL(4,3)) AS confidence_score
+      FROM (SELECT event_id, json_extract_string(message_json, '$.content') AS content,
+                   coalesce(json_array_length(message_json, '$.tool_calls'), 0) AS n_calls,
+                   coalesce(list_filter(CAST(json_extract(message_json, '$.tool_calls[*]') AS JSON[]),
+                               lambda x: json_extract_string(x, '$.name') IN ({_KNOWN})), []) AS kept
+            FROM f6))""",
+        [O.F6_CTE],
+    ),
+)
+def q_model_response_actions(spark, sf_dir):
+    df = MF.model_actions(FX.model_responses(events(spark, sf_dir)))
+    return df.select(
+        "event_id",
+        F.col("_n_calls").alias("n_calls"),
+        F.size("_actions").alias("n_actions"),
+        "confidence_score",
+        "category",
+        "status",
+        "reasoning",
+        "customer_reply",
+    )
+
+
+@register(
+    "normalize_actions",
+    O.with_base(
+        """SELECT event_id, CAST(i AS INTEGER) AS pos,
+       coalesce(json_extract_string(a, '$.tool'), json_extract_string(a, '$.tool_name'), 'unknown') AS tool_name,
+       coalesce(json_extract_string(a, '$.status') = 'SUCCESS', false)
+         OR coalesce(CAST(json_extract(a, '$.success') AS BOOLEAN), true) AS success,
+       coalesce(CAST(json_extract(a, '$.details') AS VARCHAR), CAST(json_extract(a, '$.result') AS VARCHAR), '{}') AS result_json,
+       json_extract_string(a, '$.error') AS error
+FROM (SELECT event_id, i, json_extract(actions_json, '$[' || i || ']') AS a
+      FROM f5, range(CAST(json_array_length(actions_json) AS BIGINT)) r(i))""",
+        [O.F5_CTE],
+    ),
+)
+def q_normalize_actions(spark, sf_dir):
+    df = MF.normalize_actions(FX.stored_actions(events(spark, sf_dir)))
+    return df.select("event_id", "pos", "tool_name", "success", "result_json", "error")
+
+
+@register(
+    "workflow_failures",
+    O.with_base("SELECT * FROM failures", [O.F7_CTE, O.FAILURES_CTE]),
+)
+def q_workflow_failures(spark, sf_dir):
+    return FD.parse_failures(FX.workflow_failures_raw(events(spark, sf_dir)))
+
+
+def failure_audit(failures: DataFrame) -> DataFrame:
+    """SNK-8: one audit row per workflow failure (no ticket link)."""
+    return failures.select(
+        F.lit(None).cast("string").alias("ticket_key"),
+        F.lit(None).cast("string").alias("idempotency_key"),
+        F.lit(C.STEP_WORKFLOW_FAILURE).alias("step_name"),
+        F.lit("ERROR").alias("status"),
+        F.lit(0).cast("decimal(4,3)").alias("confidence_score"),
+        F.lit(0).alias("latency_ms"),
+        F.to_json(F.struct("execution_id")).alias("input_payload"),
+        F.to_json(F.struct(F.col("workflow_name").alias("workflow"))).alias("output_payload"),
+        "error_message",
+        F.col("failed_at").alias("created_at"),
+    )
+
+
+@register(
+    "failure_audit_rows",
+    O.with_base(
+        f"""SELECT CAST(NULL AS VARCHAR) AS ticket_key, CAST(NULL AS VARCHAR) AS idempotency_key, step_name,
+       'ERROR' AS status, CAST(0 AS DECIMAL(4,3)) AS confidence_score, 0 AS latency_ms,
+       json_object('execution_id', execution_id)::VARCHAR AS input_payload,
+       json_object('workflow', workflow_name)::VARCHAR AS output_payload, error_message, failed_at AS created_at
+FROM failures""",
+        [O.F7_CTE, O.FAILURES_CTE],
+    ),
+)
+def q_failure_audit_rows(spark, sf_dir):
+    return failure_audit(FD.parse_failures(FX.workflow_failures_raw(events(spark, sf_dir))))
+
+
+@register(
+    "fallback_rows",
+    O.with_base(
+        f"""SELECT coalesce(nullif(idempotency_key, ''), ticket_id) AS key, event_id, ticket_id, 'ESCALATED' AS status,
+       'TECHNICAL' AS category, CAST(0 AS DECIMAL(4,3)) AS confidence_score,
+       printf({O.q(C.TPL_EXC_REASONING)}, 'invalid request: ' || violation_text) AS reasoning,
+       printf({O.q(C.TPL_EXC_REPLY)}, coalesce(subject, ''), coalesce(ticket_id, '')) AS customer_reply, violation_text
+FROM (SELECT *, {O.violations_sql(O.REQUEST_RULES_SQL)} FROM f8) WHERE n_violations > 0""",
+        [O.F8_CTE],
+    ),
+)
+def q_fallback_rows(spark, sf_dir):
+    checked = CT.check(FX.broken_requests(events(spark, sf_dir)), CT.request_rules())
+    _, bad = CT.split(checked)
+    bad = with_key(bad).withColumns(
+        {
+            "error": F.concat(F.lit("invalid request: "), F.col("violation_text")),
+            "subject": F.coalesce(F.col("subject"), F.lit("")),
+            "ticket_id_text": F.coalesce(F.col("ticket_id"), F.lit("")),
+        }
+    )
+    out = exception_outcome("error")
+    out["customer_reply"] = F.format_string(C.TPL_EXC_REPLY, F.col("subject"), F.col("ticket_id_text"))
+    return bad.select(
+        "key",
+        "event_id",
+        "ticket_id",
+        out["status"].alias("status"),
+        out["category"].alias("category"),
+        out["confidence_score"].alias("confidence_score"),
+        out["reasoning"].alias("reasoning"),
+        out["customer_reply"].alias("customer_reply"),
+        "violation_text",
+    )
