@@ -150,17 +150,13 @@ def upsert(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     return j.select(*out, change.alias("change"))
 
 
-def cached_response(hit_rows: DataFrame) -> DataFrame:
-    """SCL-17: the stored outcome as a response (defaults when missing).
+def cached_columns() -> list[Column]:
+    """SCL-17: the stored outcome read back as a response (defaults when missing).
 
     Deviation Q7: only a *null* stored confidence reads back as 1.0; a stored
     0 stays 0, so a failed ticket never looks certain.
     """
-    return hit_rows.select(
-        "key",
-        "ticket_id",
-        F.col("stored_ticket_id").alias("stored_ticket_id"),
-        F.col("stored_status").alias("status"),
+    return [
         F.coalesce(F.col("stored_confidence_score"), F.lit(1).cast("decimal(4,3)")).alias("confidence_score"),
         F.coalesce(F.col("stored_category"), F.lit(C.DEFAULT_CATEGORY)).alias("category"),
         F.concat(F.lit(C.CACHED_REASONING_PREFIX), F.coalesce(F.col("stored_resolution_summary"), F.lit("None"))).alias(
@@ -168,5 +164,4 @@ def cached_response(hit_rows: DataFrame) -> DataFrame:
         ),
         F.coalesce(F.col("stored_customer_reply"), F.lit("")).alias("customer_reply"),
         F.coalesce(F.col("stored_execution_time_ms"), F.lit(0)).alias("latency_ms"),
-        F.lit(True).alias("cached"),
-    )
+    ]

@@ -797,3 +797,157 @@ def q_fallback_rows(spark, sf_dir):
         out["customer_reply"].alias("customer_reply"),
         "violation_text",
     )
+
+
+# ---------------------------------------------------------------- slice 6: routing
+
+from ..operators import routing as RT  # noqa: E402
+
+
+@register(
+    "route_counts",
+    O.with_ledger(
+        """SELECT CASE WHEN status = 'RESOLVED' THEN 'resolution_card' WHEN status = 'ESCALATED' THEN 'escalation_task'
+            ELSE 'UNROUTED' END AS route, CAST(count(*) AS BIGINT) AS n_tickets
+FROM upserted GROUP BY 1"""
+    ),
+)
+def q_route_counts(spark, sf_dir):
+    return RT.route_counts(LF.upserted(LF.prepare(spark, sf_dir)))
+
+
+def _pct_sql(c: str) -> str:
+    return f"{O.fixed_sql(c + ' * 100', 1)} || '%'"
+
+
+_ACTIONS_RES = O.ACTIONS_JSON_SQL
+
+
+def _card_sql() -> str:
+    return f"""json_object('channel', {O.q(C.RESOLUTION_CHANNEL)}, 'text', printf({O.q(C.RESOLUTION_TITLE)}, ticket_id),
+  'attachments', json_array(json_object('color', {O.q(RT.RESOLUTION_COLOR)}, 'fields', json_array(
+     json_object('title', 'Category', 'value', category, 'short', true),
+     json_object('title', 'Confidence Score', 'value', {_pct_sql('confidence_score')}, 'short', true),
+     json_object('title', 'Actions Executed', 'value', {_ACTIONS_RES}, 'short', false),
+     json_object('title', 'Drafted Customer Reply', 'value', customer_reply, 'short', false)))))::VARCHAR"""
+
+
+def _task_sql() -> str:
+    return f"""json_object('name', printf({O.q(C.ESCALATION_NAME)}, ticket_id, category),
+  'description', printf({O.q(C.ESCALATION_DESCRIPTION)}, reasoning, {_pct_sql('confidence_score')}, customer_reply),
+  'priority', 1, 'tags', json_array({', '.join(O.q(t) for t in C.ESCALATION_TAGS)}, lower(category)))::VARCHAR"""
+
+
+@register(
+    "resolution_cards",
+    O.with_res(
+        f"""SELECT key, ticket_id, {O.q(C.RESOLUTION_CHANNEL)} AS channel, printf({O.q(C.RESOLUTION_TITLE)}, ticket_id) AS text,
+       category, {_pct_sql('confidence_score')} AS confidence_text, {_ACTIONS_RES} AS actions_text, customer_reply
+FROM res WHERE status = 'RESOLVED'"""
+    ),
+)
+def q_resolution_cards(spark, sf_dir):
+    df = RT.with_route(resolved(spark, sf_dir)).filter(F.col("route") == "resolution_card")
+    card = RT.resolution_card(L.actions_json())
+    return df.select(
+        "key",
+        "ticket_id",
+        card["channel"].alias("channel"),
+        card["text"].alias("text"),
+        "category",
+        card["attachments"][0]["fields"][1]["value"].alias("confidence_text"),
+        card["attachments"][0]["fields"][2]["value"].alias("actions_text"),
+        "customer_reply",
+    )
+
+
+@register(
+    "escalation_tasks",
+    O.with_res(
+        f"""SELECT key, ticket_id, printf({O.q(C.ESCALATION_NAME)}, ticket_id, category) AS name,
+       printf({O.q(C.ESCALATION_DESCRIPTION)}, reasoning, {_pct_sql('confidence_score')}, customer_reply) AS description,
+       1 AS priority, {O.q(','.join(C.ESCALATION_TAGS))} || ',' || lower(category) AS tags
+FROM res WHERE status = 'ESCALATED'"""
+    ),
+)
+def q_escalation_tasks(spark, sf_dir):
+    df = RT.with_route(resolved(spark, sf_dir)).filter(F.col("route") == "escalation_task")
+    task = RT.escalation_task()
+    return df.select(
+        "key",
+        "ticket_id",
+        task["name"].alias("name"),
+        task["description"].alias("description"),
+        task["priority"].alias("priority"),
+        F.array_join(task["tags"], ",").alias("tags"),
+    )
+
+
+@register(
+    "ops_alerts",
+    O.with_base(
+        f"""SELECT {O.q(C.ALERT_CHANNEL)} AS channel, {O.q(C.ALERT_TEXT)} AS text, {O.q(RT.ALERT_COLOR)} AS color,
+       printf({O.q(C.ALERT_TITLE)}, workflow_name, execution_id) AS title, error_message,
+       strftime(failed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS failed_at, {O.q(C.ALERT_AUDIT_STATUS)} AS audit_status
+FROM failures""",
+        [O.F7_CTE, O.FAILURES_CTE],
+    ),
+)
+def q_ops_alerts(spark, sf_dir):
+    f = FD.parse_failures(FX.workflow_failures_raw(events(spark, sf_dir)))
+    return f.select(RT.ops_alert().alias("a")).select("a.*")
+
+
+@register(
+    "repeat_replies",
+    O.with_ledger(
+        f"""SELECT event_id, key, stored_ticket_id,
+       json_object('ticket_id', stored_ticket_id, 'status', stored_status, 'cached', true, 'note', {O.q(C.CACHED_NOTE)})::VARCHAR AS reply_json,
+       coalesce(stored_confidence_score, CAST(1 AS DECIMAL(4,3))) AS confidence_score,
+       coalesce(stored_category, {O.q(C.DEFAULT_CATEGORY)}) AS category,
+       {O.q(C.CACHED_REASONING_PREFIX)} || coalesce(stored_resolution_summary, 'None') AS reasoning,
+       coalesce(stored_customer_reply, '') AS customer_reply, coalesce(stored_execution_time_ms, 0) AS latency_ms
+FROM hits"""
+    ),
+)
+def q_repeat_replies(spark, sf_dir):
+    li = LF.prepare(spark, sf_dir)
+    h = L.hits(li.incoming, li.seed)
+    return h.select("event_id", "key", "stored_ticket_id", RT.repeat_reply().alias("reply_json"), *L.cached_columns())
+
+
+@register(
+    "response_json",
+    O.with_res(
+        f"""SELECT key, ticket_id,
+       left(json_object('ticket_id', ticket_id, 'idempotency_key', key, 'status', status,
+                        'confidence_score', CAST(confidence_score AS DOUBLE), 'category', category, 'reasoning', reasoning)::VARCHAR,
+            -1)
+       || ',"actions_taken":' || {_ACTIONS_RES} || ','
+       || substr(json_object('customer_reply', customer_reply, 'latency_ms', execution_time_ms, 'cached', false)::VARCHAR, 2)
+       AS response
+FROM res"""
+    ),
+)
+def q_response_json(spark, sf_dir):
+    df = resolved(spark, sf_dir)
+    return df.select("key", "ticket_id", RT.response_json(L.actions_json()).alias("response"))
+
+
+@register(
+    "route_messages",
+    O.with_res(
+        f"""SELECT key, ticket_id, 'resolution_card' AS route, {_card_sql()} AS message FROM res WHERE status = 'RESOLVED'
+UNION ALL
+SELECT key, ticket_id, 'escalation_task' AS route, {_task_sql()} AS message FROM res WHERE status = 'ESCALATED'"""
+    ),
+)
+def q_route_messages(spark, sf_dir):
+    df = RT.with_route(resolved(spark, sf_dir))
+    cards = df.filter(F.col("route") == "resolution_card").select(
+        "key", "ticket_id", "route", F.to_json(RT.resolution_card(L.actions_json())).alias("message")
+    )
+    tasks = df.filter(F.col("route") == "escalation_task").select(
+        "key", "ticket_id", "route", F.to_json(RT.escalation_task()).alias("message")
+    )
+    return cards.unionByName(tasks)
