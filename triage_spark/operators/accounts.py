@@ -204,19 +204,32 @@ def account_state(
         F.count_if(F.col("is_change")).alias("tier_changes"),
         F.count(F.lit(1)).alias("tool_calls"),
     )
-    base = accounts.select("account_id", *ACCOUNT_FIELDS, F.lit(True).alias("_known"))
+    carried = [c for c in ("tier_changes", "tool_calls", "is_new") if c in accounts.columns]
+    base = accounts.select(
+        "account_id", *ACCOUNT_FIELDS, *[F.col(c).alias(f"_base_{c}") for c in carried], F.lit(True).alias("_known")
+    )
     j = base.join(touched, "account_id", "full_outer")
     defaults = default_account_values(F.col("account_id"))
     known = F.coalesce(F.col("_known"), F.lit(False))
     fields = {c: F.when(known, F.col(c)).otherwise(defaults[c]) for c in ACCOUNT_FIELDS}
     fields["current_tier"] = F.coalesce(F.col("_last.t"), fields["current_tier"])
     fields["seats_allocated"] = F.greatest(fields["seats_allocated"], F.col("_max_half"))
+    changes = F.coalesce(F.col("tier_changes"), F.lit(0)).cast("bigint")
+    calls = F.coalesce(F.col("tool_calls"), F.lit(0)).cast("bigint")
+    is_new = ~known
+    # A state table as base (streams): counts accumulate, "new" sticks.
+    if "tier_changes" in carried:
+        changes = changes + F.coalesce(F.col("_base_tier_changes"), F.lit(0))
+    if "tool_calls" in carried:
+        calls = calls + F.coalesce(F.col("_base_tool_calls"), F.lit(0))
+    if "is_new" in carried:
+        is_new = F.coalesce(F.col("_base_is_new"), F.lit(False)) | ~known
     return j.select(
         "account_id",
         *[v.alias(k) for k, v in fields.items()],
-        F.coalesce(F.col("tier_changes"), F.lit(0)).cast("bigint").alias("tier_changes"),
-        F.coalesce(F.col("tool_calls"), F.lit(0)).cast("bigint").alias("tool_calls"),
-        (~known).alias("is_new"),
+        changes.alias("tier_changes"),
+        calls.alias("tool_calls"),
+        is_new.alias("is_new"),
     )
 
 

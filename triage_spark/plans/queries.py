@@ -951,3 +951,48 @@ def q_route_messages(spark, sf_dir):
         "key", "ticket_id", "route", F.to_json(RT.escalation_task()).alias("message")
     )
     return cards.unionByName(tasks)
+
+
+# ---------------------------------------------------------------- slice 7: streams (compared with their batch twins)
+
+from ..streaming import jobs as SJ  # noqa: E402
+
+
+@register(
+    "stream_triage",
+    O.with_base(
+        f"""SELECT event_id, ticket_id, key, category, target_tier, confidence_score,
+       CASE WHEN confidence_score < {O.THR} THEN 'ESCALATED' ELSE 'RESOLVED' END AS status
+FROM (SELECT *, {O.confidence_sql('category')} AS confidence_score
+      FROM (SELECT *, {O.category_sql('mt')} AS category,
+                   CASE WHEN {O.category_sql('mt')} = 'SUBSCRIPTION' THEN {O.tier_sql('mt')} END AS target_tier
+            FROM (SELECT *, lower(subject || ' ' || body) AS mt FROM keyed)))"""
+    ),
+)
+def q_stream_triage(spark, sf_dir):
+    return SJ.triage_stream(spark, sf_dir, SJ.new_run(spark, "stream_triage"))
+
+
+@register("stream_dedupe", ORACLE["dedupe_first"])
+def q_stream_dedupe(spark, sf_dir):
+    return SJ.dedupe_stream(spark, sf_dir, SJ.new_run(spark, "stream_dedupe"))
+
+
+@register("stream_ledger", O.with_res(f"SELECT {LEDGER_SELECT} FROM ({O.ledger_rows_sql('res')})"))
+def q_stream_ledger(spark, sf_dir):
+    job = SJ.ledger_stream(spark, sf_dir, SJ.new_run(spark, "stream_ledger"))
+    return job.ledger.read().select(*L.LEDGER_COLUMNS)
+
+
+@register("stream_account_state", ACCOUNT_STATE_SQL)
+def q_stream_account_state(spark, sf_dir):
+    job = SJ.ledger_stream(spark, sf_dir, SJ.new_run(spark, "stream_account_state"))
+    return job.state.read().select(
+        "account_id", "company_name", "current_tier", "seats_allocated", "tier_changes", "tool_calls", "is_new"
+    )
+
+
+@register("stream_failures", ORACLE["failure_audit_rows"])
+def q_stream_failures(spark, sf_dir):
+    audit_root, _ = SJ.failure_stream(spark, sf_dir, SJ.new_run(spark, "stream_failures"))
+    return spark.read.parquet(audit_root).select(*AU.AUDIT_COLUMNS)
