@@ -92,3 +92,14 @@ def classify_columns(subject: str | Column = "subject", body: str | Column = "bo
         F.when(category == "SUBSCRIPTION", target_tier(text)).alias("target_tier"),
         rule_confidence(category).alias("confidence_score"),
     ]
+
+
+def classify_text_columns(text: str | Column) -> list[Column]:
+    """The same rules over one whole text (documents, conversation turns)."""
+    t = F.lower(col(text))
+    category = intent(t)
+    return [
+        category.alias("category"),
+        F.when(category == "SUBSCRIPTION", target_tier(t)).alias("target_tier"),
+        rule_confidence(category).alias("confidence_score"),
+    ]

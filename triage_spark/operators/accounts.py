@@ -233,6 +233,9 @@ def account_state(
     )
 
 
+TOOL_CALL_COLUMNS = ["account_id", "category", *ORDER, "is_change", "tier_name", "max_seats"]
+
+
 def tool_calls(resolved: DataFrame) -> DataFrame:
     """Tool-call rows of resolved tickets, the input of ``account_state``."""
     return resolved.filter(F.col("category").isin("SUBSCRIPTION", "BILLING")).select(

@@ -36,6 +36,23 @@ LEDGER_COLUMNS = [
     "created_at",
     "updated_at",
 ]
+# Columns of a resolved frame that ``ledger_rows`` reads.
+RESOLVED_FOR_LEDGER = [
+    "key",
+    "event_id",
+    "ticket_id",
+    "customer_id",
+    "subject",
+    "body",
+    "category",
+    "status",
+    "confidence_score",
+    "reasoning",
+    "customer_reply",
+    "actions_taken",
+    "execution_time_ms",
+    "created_at",
+]
 # Columns an upsert overwrites (the rest keep their first value, Q9/Q10).
 MUTABLE = [
     "status",

@@ -46,9 +46,14 @@ def prepare(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS)
     keyed = with_key(i.requests)
     pre = keyed.filter(F.col("created_at") < cutoff())
     inc = keyed.filter(F.col("created_at") >= cutoff())
+    # The historical load (SRC-5) is a table in its own right: it is written
+    # once (reliable checkpoint in the shared spark.checkpoint.dir) and read
+    # back, so consumers scan it instead of recomputing its plan.
     pre_res = TR.resolve(first_per_key(pre), i.accounts, i.tiers, deduped=True, hot_rows=hot_rows)
-    seed = L.ledger_rows(pre_res, seed_status())
-    state = A.account_state(i.accounts, A.tool_calls(pre_res)).select("account_id", *A.ACCOUNT_FIELDS)
+    pre_res = pre_res.select(*L.RESOLVED_FOR_LEDGER, *[c for c in A.TOOL_CALL_COLUMNS if c not in L.RESOLVED_FOR_LEDGER])
+    pre_res = pre_res.checkpoint()
+    seed = L.ledger_rows(pre_res, seed_status()).checkpoint()
+    state = A.account_state(i.accounts, A.tool_calls(pre_res)).select("account_id", *A.ACCOUNT_FIELDS).checkpoint()
     return LedgerInputs(seed=seed, incoming=inc, state=state, tiers=i.tiers)
 
 

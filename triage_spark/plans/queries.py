@@ -996,3 +996,27 @@ def q_stream_account_state(spark, sf_dir):
 def q_stream_failures(spark, sf_dir):
     audit_root, _ = SJ.failure_stream(spark, sf_dir, SJ.new_run(spark, "stream_failures"))
     return spark.read.parquet(audit_root).select(*AU.AUDIT_COLUMNS)
+
+
+# ---------------------------------------------------------------- rules over the text tables
+
+from ..functions.rules import classify_text_columns  # noqa: E402
+
+
+def _text_cls_sql(src: str, cols: str, where: str = "") -> str:
+    return f"""SELECT {cols}, {O.category_sql('mt')} AS category,
+       CASE WHEN {O.category_sql('mt')} = 'SUBSCRIPTION' THEN {O.tier_sql('mt')} END AS target_tier,
+       {O.confidence_sql(O.category_sql('mt'))} AS confidence_score
+FROM (SELECT *, lower(text) AS mt FROM {src} {where})"""
+
+
+@register("classify_documents", _text_cls_sql("documents", "doc_id, lang"))
+def q_classify_documents(spark, sf_dir):
+    d = FX.table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", *classify_text_columns("text"))
+
+
+@register("classify_conversations", _text_cls_sql("conversations", "conv_id, turn", "WHERE role = 'user'"))
+def q_classify_conversations(spark, sf_dir):
+    c = FX.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", *classify_text_columns("text"))
