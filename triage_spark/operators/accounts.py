@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.rules import normalize_id
 from ..functions.text import confirmation_id, effective_date
-from .skew import DEFAULT_HOT_ROWS, skew_join
+from .skew import DEFAULT_HOT_ROWS, hot_keys, skew_join
 
 ORDER = ("created_at", "ticket_id")
 DEFAULT_CHUNK_SECONDS = 3600
@@ -64,6 +64,7 @@ def lookup_accounts(
     id_col: str = "customer_id",
     salt_by: list[str] | None = None,
     hot_rows: int = DEFAULT_HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """JOIN-2 + SCL-12: attach the account (or the default row) to every ticket.
 
@@ -76,7 +77,7 @@ def lookup_accounts(
     a = accounts.select(
         "account_id", F.lit(True).alias("account_found"), *[F.col(c).alias(f"acct_{c}") for c in ACCOUNT_FIELDS]
     )
-    joined = skew_join(t, a, ["account_id"], "left", salt_by=salt_by or ["ticket_id"], hot_rows=hot_rows)
+    joined = skew_join(t, a, ["account_id"], "left", salt_by=salt_by or ["ticket_id"], hot_rows=hot_rows, hot=hot)
     found = F.coalesce(F.col("account_found"), F.lit(False))
     defaults = default_account_values(F.col("account_id"))
     return joined.withColumn("account_found", found).withColumns(
@@ -84,6 +85,11 @@ def lookup_accounts(
     )
 
 
+def hot_accounts(requests: DataFrame, id_col: str = "customer_id", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+    """Accounts holding at least ``hot_rows`` requests (counted on the raw feed)."""
+    return hot_keys(requests.select(normalize_id(id_col).alias("account_id")), ["account_id"], hot_rows)
+
+
 def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
     """JOIN-3 + SCL-13: price-list columns for a requested tier name.
 

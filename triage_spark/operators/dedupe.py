@@ -1,7 +1,7 @@
 """Idempotency: one outcome per effective key (SCL-1, WIN-1, CON-4, SRT-2).
 
 "First" is the smallest ``(created_at, ticket_id)``.  ``first_per_key`` is an
-aggregate (``min_by``), not a window: Spark plans it as a partial aggregate on
+aggregate (``min`` of a struct led by the order columns), not a window: Spark plans it as a partial aggregate on
 the map side and a final one after the shuffle, so a key holding a third of
 all rows contributes one row per map task to the shuffle, never a whole group
 to one task.
@@ -26,9 +26,17 @@ def with_key(df: DataFrame, key: str = "key") -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str = "key", order: Sequence[str] = ORDER) -> DataFrame:
-    """WIN-1: the first row of every key, all columns kept."""
+    """WIN-1: the first row of every key, all columns kept.
+
+    ``min`` over a struct whose leading fields are the order columns: structs
+    compare field by field, so this is the row with the smallest order (ties
+    on the order broken by the remaining columns, so the pick is
+    deterministic).  Measured faster than ``min_by`` with a separate ordering
+    struct, and it combines map-side just the same.
+    """
     payload = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"))
+    rest = [c for c in payload if c not in order]
+    picked = df.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in payload])
 
 

@@ -7,8 +7,6 @@ only result rows leave the cluster.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +65,9 @@ def recent(df: DataFrame, columns: Sequence[str], k: int = 50) -> DataFrame:
 def latest_per(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """FLT-2 / SRT-3 in bulk: the most recent row per ``key`` (an aggregate, hot-key safe)."""
     payload = [c for c in columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*payload), F.struct("created_at", "updated_at")).alias("_r"))
+    order = ["created_at", "updated_at"]
+    rest = [c for c in payload if c not in order]
+    picked = df.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_r"))
     return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in payload])
 
 
@@ -119,14 +119,3 @@ def minutes(ms_col: str) -> F.Column:
     """SCL-29: milliseconds to minutes."""
     return F.col(ms_col) / F.lit(60000.0)
 
-
-__all__ = [
-    "kpi_summary",
-    "status_distribution",
-    "confidence_histogram",
-    "recent",
-    "latest_per",
-    "cost_model",
-    "display_rows",
-    "Decimal",
-]

@@ -40,16 +40,23 @@ def skew_join(
     salt_by: Sequence[str] | None = None,
     hot_rows: int = DEFAULT_HOT_ROWS,
     n_salts: int = DEFAULT_SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join ``big`` (many rows per key) with ``small`` (few rows per key).
 
     ``how`` is one of inner, left, left_semi, left_anti (the big side is kept
     on the left).  ``salt_by`` names big-side columns that vary inside a key
     (for example the ticket id); they spread a hot key over ``n_salts`` tasks.
+    ``hot`` optionally supplies the hot keys, one row per key (any superset of
+    the true hot keys of ``big``, e.g. counted on the raw input before a
+    dedupe, so ``big`` is not recomputed just to count it).
     """
     keys = list(keys)
     salt_cols = list(salt_by or [c for c in big.columns if c not in keys])
-    hot = F.broadcast(hot_keys(big, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    # ``hot`` may be given precomputed (e.g. from a cheaper upstream scan whose
+    # keys are a superset); salting a key that is not hot is harmless.
+    hot_df = hot if hot is not None else hot_keys(big, keys, hot_rows)
+    hot = F.broadcast(hot_df.select(*keys).withColumn("_hot", F.lit(True)))
     big_s = (
         big.join(hot, keys, "left")
         .withColumn(

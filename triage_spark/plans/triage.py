@@ -74,7 +74,11 @@ def resolve(
     """
     firsts = requests if deduped else first_per_key(with_key(requests))
     df = classify(firsts)
-    df = A.lookup_accounts(df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows)
+    # Hot accounts are counted on the input as given (before the dedupe when
+    # there is one): a superset of the hot accounts among first tickets, found
+    # with a map-side-combined count instead of a second dedupe shuffle.
+    hot = A.hot_accounts(requests, hot_rows=hot_rows)
+    df = A.lookup_accounts(df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows, hot=hot)
     df = A.join_tiers(df, tiers, "target_tier")
     is_change = (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
     df = df.withColumn("is_change", is_change)
