@@ -70,3 +70,11 @@ def test_invalid_tier(spark):
     df = spark.createDataFrame([("Gold",), (" starter ",)], "t string")
     out = {r.t: (r.tier_valid, r.tier_name) for r in A.join_tiers(df, FX.tiers(spark), "t").collect()}
     assert out == {"Gold": (False, None), " starter ": (True, "Starter")}
+
+
+def test_adaptive_chunks_for_hot_account(spark, sf_small):
+    df = _tool_rows(spark, sf_small, hot=True)
+    hot = A.hot_accounts(df, hot_rows=100)
+    assert hot.count() == 1  # CUST-7 holds a third of the tickets
+    got = A.account_sequence(df, 3600, hot=hot, chunk_rows=10).select("ticket_id", "previous_tier", "seats_after")
+    assert rows(got) == rows(_brute(df))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.rules import normalize_id
 from ..functions.text import confirmation_id, effective_date
-from .skew import DEFAULT_HOT_ROWS, hot_keys, skew_join
+from .skew import DEFAULT_HOT_ROWS, skew_join
 
 ORDER = ("created_at", "ticket_id")
 DEFAULT_CHUNK_SECONDS = 3600
@@ -86,8 +86,19 @@ def lookup_accounts(
 
 
 def hot_accounts(requests: DataFrame, id_col: str = "customer_id", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
-    """Accounts holding at least ``hot_rows`` requests (counted on the raw feed)."""
-    return hot_keys(requests.select(normalize_id(id_col).alias("account_id")), ["account_id"], hot_rows)
+    """Accounts holding at least ``hot_rows`` requests, with their time span.
+
+    Counted on the raw feed (a partial + final hash aggregate), so the result
+    has at most ``rows / hot_rows`` rows: safe to broadcast.  Columns:
+    account_id, n, t_min, t_max (event time in microseconds).
+    """
+    t = F.unix_micros(F.to_timestamp(F.col("created_at")))
+    return (
+        requests.select(normalize_id(id_col).alias("account_id"), t.alias("_t"))
+        .groupBy("account_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t_min"), F.max("_t").alias("t_max"))
+        .filter(F.col("n") >= hot_rows)
+    )
 
 
 def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
@@ -108,18 +119,43 @@ def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
     return out.withColumn("tier_valid", F.col("_tk").isNotNull()).drop("_tk")
 
 
-def account_sequence(df: DataFrame, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+DEFAULT_CHUNK_ROWS = 1_000_000
+
+
+def account_sequence(
+    df: DataFrame,
+    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    hot: DataFrame | None = None,
+    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+) -> DataFrame:
     """WIN-2/3 over the tool rows of ``df`` (rows with is_change carry a tier).
 
     Non-change rows pass through the same windows untouched, so no join back
     by ticket is needed.  Needs account_id, created_at, ticket_id, is_change,
     tier_name, max_seats, acct_current_tier, acct_seats_allocated.
+
+    Chunk width: ``chunk_seconds`` for ordinary accounts (an account below
+    the hot threshold has fewer rows than that in total); a hot account (from
+    ``hot_accounts``, broadcast, bounded) gets ``span * chunk_rows / n`` so its
+    chunks hold about ``chunk_rows`` rows each.  Chunk numbers grow with time
+    inside an account, which is all the carry step needs.
     """
     change_tier = F.when(F.col("is_change"), F.col("tier_name"))
     change_half = F.when(F.col("is_change"), F.floor(F.col("max_seats") / 2).cast("int"))
+    width = F.lit(chunk_seconds * 1_000_000).cast("double")
+    if hot is not None:
+        widths = hot.select(
+            "account_id",
+            F.greatest(
+                F.lit(1_000_000.0),
+                (F.col("t_max") - F.col("t_min") + 1).cast("double") * F.lit(float(chunk_rows)) / F.col("n"),
+            ).alias("_w"),
+        )
+        df = df.join(F.broadcast(widths), "account_id", "left")
+        width = F.coalesce(F.col("_w"), width)
     rows = df.withColumns(
         {
-            "_chunk": F.floor(F.unix_micros(F.to_timestamp("created_at")) / F.lit(chunk_seconds * 1_000_000)),
+            "_chunk": F.floor(F.unix_micros(F.to_timestamp("created_at")) / width),
             "_ct": change_tier,
             "_half": change_half,
         }
@@ -149,7 +185,7 @@ def account_sequence(df: DataFrame, chunk_seconds: int = DEFAULT_CHUNK_SECONDS)
             "previous_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last"), F.col("acct_current_tier")),
             "seats_after": F.greatest(F.col("acct_seats_allocated"), F.col("_max_in"), F.col("_prev_max")),
         }
-    ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max")
+    ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max", "_w")
 
 
 def tier_change_result(account_id: str = "account_id") -> Column:

@@ -78,11 +78,13 @@ def resolve(
     # there is one): a superset of the hot accounts among first tickets, found
     # with a map-side-combined count instead of a second dedupe shuffle.
     hot = A.hot_accounts(requests, hot_rows=hot_rows)
-    df = A.lookup_accounts(df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows, hot=hot)
+    df = A.lookup_accounts(
+        df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows, hot=hot.select("account_id")
+    )
     df = A.join_tiers(df, tiers, "target_tier")
     is_change = (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
     df = df.withColumn("is_change", is_change)
-    df = A.account_sequence(df, chunk_seconds)
+    df = A.account_sequence(df, chunk_seconds, hot=hot)
     tool_ok = F.when(F.col("category") == "SUBSCRIPTION", F.col("tier_valid")).otherwise(F.lit(True))
     df = df.withColumn(
         "confidence_score",

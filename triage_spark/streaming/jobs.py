@@ -31,7 +31,7 @@ from ..operators.dedupe import first_per_key, with_key
 from ..operators.gate import gate
 from ..plans import triage as TR
 from ..session import scratch_path
-from ..sinks.versioned import VersionedTable
+from ..sinks.versioned import VersionedTable, bucket_of
 from ..sources import feeds as FD
 from ..sources import fixtures as FX
 
@@ -157,8 +157,15 @@ def ledger_stream(
         state_t = job.state.read(state_buckets)
         res = TR.resolve(new, state_t.select("account_id", *A.ACCOUNT_FIELDS), tiers, deduped=True).persist()
         rows = L.ledger_rows(res)
-        job.ledger.write(L.upsert(ledger_t, rows).drop("change"), batch_id, job.ledger.touched(new, "key"))
-        AU.step_rows(res).write.mode("overwrite").parquet(f"{job.audit_root}/batch_id={batch_id}")
+        # Rewrite only the buckets new tickets fall in (hit-only buckets stay as they are).
+        new_buckets = job.ledger.touched(new, "key")
+        upserted = L.upsert(ledger_t, rows).drop("change")
+        upserted = upserted.filter(bucket_of("idempotency_key", job.ledger.buckets).isin(new_buckets))
+        job.ledger.write(upserted, batch_id, new_buckets)
+        # SNK-2: append-only audit, one folder per batch (replay-safe), by log date inside
+        AU.with_log_date(AU.step_rows(res)).write.mode("overwrite").partitionBy("log_date").parquet(
+            f"{job.audit_root}/batch_id={batch_id}"
+        )
         job.state.write(A.account_state(state_t, A.tool_calls(res)), batch_id, state_buckets)
         for d in (res, new, keyed):
             d.unpersist()
