@@ -279,7 +279,12 @@ TOOL_CALL_COLUMNS = ["account_id", "category", *ORDER, "is_change", "tier_name",
 
 
 def tool_calls(resolved: DataFrame) -> DataFrame:
-    """Tool-call rows of resolved tickets, the input of ``account_state``."""
-    return resolved.filter(F.col("category").isin("SUBSCRIPTION", "BILLING")).select(
+    """Tool calls that reach an account: balance checks and valid tier changes.
+
+    An unknown tier is rejected before the account is looked up, so it
+    neither creates nor changes an account.  The input of ``account_state``.
+    """
+    reaches = (F.col("category") == "BILLING") | ((F.col("category") == "SUBSCRIPTION") & F.col("is_change"))
+    return resolved.filter(reaches).select(
         "account_id", *ORDER, "is_change", "tier_name", "max_seats"
     )

@@ -265,7 +265,7 @@ LEDGER_CTES = (
     + res_chain("p_", "p_decided", "accts")
     + [
         f"""seed AS ({ledger_rows_sql('p_res', "CASE WHEN event_id % 17 = 0 THEN 'PENDING' WHEN event_id % 19 = 0 THEN 'FAILED' ELSE status END")})""",
-        f"""state AS ({account_state_sql('accts', "(SELECT account_id, created_at, ticket_id, is_change, tier_name, max_seats FROM p_res WHERE category IN ('SUBSCRIPTION', 'BILLING'))")})""",
+        f"""state AS ({account_state_sql('accts', "(SELECT account_id, created_at, ticket_id, is_change, tier_name, max_seats FROM p_res WHERE category = 'BILLING' OR is_change)")})""",
         f"inc AS (SELECT * FROM keyed WHERE created_at >= {CUT})",
         f"""hits AS (SELECT i.*, s.ticket_id AS stored_ticket_id, s.status AS stored_status, s.confidence_score AS stored_confidence_score,
        s.category AS stored_category, s.resolution_summary AS stored_resolution_summary,

@@ -328,7 +328,7 @@ FROM accts a FULL OUTER JOIN (
   FROM (SELECT d.*, {O.norm_sql('d.customer_id')} AS account_id, t.name AS tier_name, t.max_seats,
                (d.category = 'SUBSCRIPTION' AND t.tier_key IS NOT NULL) AS is_change
         FROM decided d LEFT JOIN tiers t ON t.tier_key = {O.norm_sql('d.target_tier')}
-        WHERE d.category IN ('SUBSCRIPTION', 'BILLING'))
+        WHERE d.category = 'BILLING' OR (d.category = 'SUBSCRIPTION' AND t.tier_key IS NOT NULL))
   GROUP BY account_id) t ON a.account_id = t.account_id"""
 )
 
@@ -343,7 +343,7 @@ def q_account_state(spark, sf_dir):
     calls = A.join_tiers(calls, i.tiers, "target_tier").withColumn(
         "is_change", (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
     )
-    return A.account_state(i.accounts, calls).select(
+    return A.account_state(i.accounts, A.tool_calls(calls)).select(
         "account_id", "company_name", "current_tier", "seats_allocated", "tier_changes", "tool_calls", "is_new"
     )
 

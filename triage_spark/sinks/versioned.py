@@ -90,6 +90,11 @@ class VersionedTable:
             out = out.unionByName(p)
         return out
 
+    def is_empty(self, buckets: Iterable[int]) -> bool:
+        """True when none of ``buckets`` has committed rows and there is no base table."""
+        man = self.manifest()
+        return self.base is None and not any(b in man for b in buckets)
+
     def touched(self, df: DataFrame, key: str | None = None) -> list[int]:
         """Buckets holding the keys of ``df`` (a bounded collect: at most ``buckets`` ints)."""
         k = key or self.key

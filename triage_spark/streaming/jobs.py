@@ -147,12 +147,18 @@ def ledger_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         keyed = with_key(FX.ticket_requests(batch)).persist()
-        ledger_t = job.ledger.read(job.ledger.touched(keyed, "key"))
-        hits = L.hits(keyed, ledger_t)
-        hits.select("event_id", "key", "stored_ticket_id", "stored_status", *L.cached_columns()).write.mode(
-            "overwrite"
-        ).parquet(f"{job.replies_root}/batch_id={batch_id}")
-        new = first_per_key(L.misses(keyed, ledger_t)).persist()
+        read_buckets = job.ledger.touched(keyed, "key")
+        ledger_t = job.ledger.read(read_buckets)
+        if job.ledger.is_empty(read_buckets):
+            # nothing stored yet for these keys: no repeats of earlier batches
+            misses = keyed
+        else:
+            hits = L.hits(keyed, ledger_t)
+            hits.select("event_id", "key", "stored_ticket_id", "stored_status", *L.cached_columns()).write.mode(
+                "overwrite"
+            ).parquet(f"{job.replies_root}/batch_id={batch_id}")
+            misses = L.misses(keyed, ledger_t)
+        new = first_per_key(misses).persist()
         state_buckets = job.state.touched(new.withColumn("account_id", A.normalize_id("customer_id")), "account_id")
         state_t = job.state.read(state_buckets)
         res = TR.resolve(new, state_t.select("account_id", *A.ACCOUNT_FIELDS), tiers, deduped=True).persist()
