@@ -28,9 +28,20 @@ def percent_text(fraction: str | Column) -> Column:
     return F.concat(fixed(col(fraction) * 100, 1), F.lit("%"))
 
 
+def epoch_seconds(ts: str | Column) -> Column:
+    """Whole seconds since 1970-01-01 of a wall-clock (NTZ) time, independent of the session zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(ts).cast("timestamp_ntz"))
+
+
+def epoch_micros(ts: str | Column) -> Column:
+    return F.timestamp_diff(
+        "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(ts).cast("timestamp_ntz")
+    )
+
+
 def confirmation_id(ts: str | Column) -> Column:
     """SCL-22: ``TIER-CHG-<epoch seconds>`` from the ticket's own event time."""
-    return F.concat(F.lit("TIER-CHG-"), F.unix_seconds(F.to_timestamp(col(ts))).cast("string"))
+    return F.concat(F.lit("TIER-CHG-"), epoch_seconds(ts).cast("string"))
 
 
 def effective_date(ts: str | Column) -> Column:

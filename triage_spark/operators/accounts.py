@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rules import normalize_id
-from ..functions.text import confirmation_id, effective_date
+from ..functions.text import confirmation_id, effective_date, epoch_micros
 from .skew import DEFAULT_HOT_ROWS, skew_join
 
 ORDER = ("created_at", "ticket_id")
@@ -92,7 +92,7 @@ def hot_accounts(requests: DataFrame, id_col: str = "customer_id", hot_rows: int
     has at most ``rows / hot_rows`` rows: safe to broadcast.  Columns:
     account_id, n, t_min, t_max (event time in microseconds).
     """
-    t = F.unix_micros(F.to_timestamp(F.col("created_at")))
+    t = epoch_micros("created_at")
     return (
         requests.select(normalize_id(id_col).alias("account_id"), t.alias("_t"))
         .groupBy("account_id")
@@ -155,7 +155,7 @@ def account_sequence(
         width = F.coalesce(F.col("_w"), width)
     rows = df.withColumns(
         {
-            "_chunk": F.floor(F.unix_micros(F.to_timestamp("created_at")) / width),
+            "_chunk": F.floor(epoch_micros("created_at") / width),
             "_ct": change_tier,
             "_half": change_half,
         }

@@ -19,6 +19,7 @@ from ..operators import accounts as A
 from ..operators import ledger as L
 from ..operators.dedupe import first_per_key, with_key
 from ..operators.skew import DEFAULT_HOT_ROWS
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import LEDGER_CUTOFF
 from . import triage as TR
 
@@ -50,6 +51,7 @@ def prepare(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS)
     Like any stored table it is written once (the historical load) and then
     read by every query of the session.
     """
+    ensure_checkpoint_dir(spark)  # the session's shared folder; set only when missing (local runs)
     memo = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), hot_rows)
     if memo not in _PREPARED:
         _PREPARED[memo] = _build(spark, sf_dir, hot_rows)

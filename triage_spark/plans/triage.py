@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rules import classify_columns, dec
+from ..functions.text import confirmation_id
 from ..operators import accounts as A
 from ..operators.dedupe import first_per_key, with_key
 from ..operators.gate import gate, rule_reasoning, rule_reply, with_gated_reasoning
@@ -95,7 +96,7 @@ def resolve(
     df = df.withColumns(
         {
             "confirmation_id": F.when(
-                F.col("is_change"), F.concat(F.lit("TIER-CHG-"), F.unix_seconds(F.to_timestamp("created_at")).cast("string"))
+                F.col("is_change"), confirmation_id("created_at")
             ).otherwise(F.lit("N/A")),
             "balance_usd": F.col("acct_balance_usd"),
             "overdue_invoices_count": F.col("acct_overdue_invoices_count"),
