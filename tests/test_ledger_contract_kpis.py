@@ -60,7 +60,6 @@ def test_fixture_contract_counts(spark):
     f8 = FX.broken_requests(FX.table(spark, "/root/testdata/sf0.01", "events"))
     eid = F.col("event_id")
     assert [f8.filter(eid % m == 0).count() for m in (23, 29, 31, 37, 41, 43)] == [435, 345, 323, 271, 244, 233]
-    from triage_spark.operators.dedupe import with_key
     from triage_spark.plans.queries import _ledger_candidates
 
     both = CT.check(_ledger_candidates(f8), CT.ledger_rules() + CT.request_rules(), name="v")

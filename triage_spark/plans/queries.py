@@ -7,7 +7,6 @@ runs over whole tables; result columns carry the same names as the oracle's.
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +70,7 @@ def q_classify(spark, sf_dir):
     ),
 )
 def q_gate(spark, sf_dir):
-    return TR.decide(requests(spark, sf_dir)).select(
+    return TR.decide(requests(spark, sf_dir), keep=[]).select(
         "key", "ticket_id", "category", "confidence_score", "status", "gate_status", "gate_message"
     )
 
@@ -88,7 +87,7 @@ FROM {{src}}"""
 
 @register("kpi_summary", O.with_base(KPI_SQL.format(src="gated")))
 def q_kpi_summary(spark, sf_dir):
-    return K.kpi_summary(TR.decide(requests(spark, sf_dir)))
+    return K.kpi_summary(TR.decide(requests(spark, sf_dir), keep=["execution_time_ms"]))
 
 
 # ---------------------------------------------------------------- slice 2
@@ -109,7 +108,7 @@ FROM keyed k JOIN gated g ON g.key = k.key"""
 )
 def q_dedupe_replay(spark, sf_dir):
     req = with_key(requests(spark, sf_dir))
-    out = TR.decide(req.drop("key")).select("key", "ticket_id", "created_at", "status", "category")
+    out = TR.decide(req.drop("key"), keep=[]).select("key", "ticket_id", "created_at", "status", "category")
     r = replay(req, out)
     return r.select(
         F.col("req_event_id").alias("event_id"),
@@ -139,7 +138,7 @@ FROM gated WHERE status IS NOT NULL GROUP BY status"""
     ),
 )
 def q_status_distribution(spark, sf_dir):
-    return K.status_distribution(TR.decide(requests(spark, sf_dir)))
+    return K.status_distribution(TR.decide(requests(spark, sf_dir), keep=[]))
 
 
 @register(
@@ -152,7 +151,7 @@ FROM gated WHERE confidence_score IS NOT NULL GROUP BY ALL"""
     ),
 )
 def q_confidence_histogram(spark, sf_dir):
-    return K.confidence_histogram(TR.decide(requests(spark, sf_dir)))
+    return K.confidence_histogram(TR.decide(requests(spark, sf_dir), keep=[]))
 
 
 RECENT_COLS = ["ticket_id", "customer_id", "category", "status", "confidence_score", "created_at"]
@@ -166,7 +165,7 @@ RECENT_COLS = ["ticket_id", "customer_id", "category", "status", "confidence_sco
     ),
 )
 def q_recent_tickets(spark, sf_dir):
-    return K.recent(TR.decide(requests(spark, sf_dir)), RECENT_COLS, 50)
+    return K.recent(TR.decide(requests(spark, sf_dir), keep=["customer_id"]), RECENT_COLS, 50)
 
 
 @register(
@@ -183,7 +182,7 @@ FROM (SELECT CAST(5000 AS BIGINT) AS monthly_volume,
     ),
 )
 def q_cost_model(spark, sf_dir):
-    return K.cost_model(TR.decide(requests(spark, sf_dir)), (5000,))
+    return K.cost_model(TR.decide(requests(spark, sf_dir), keep=[]), (5000,))
 
 
 # ---------------------------------------------------------------- slice 3
@@ -480,11 +479,12 @@ AUDIT_STEPS_SQL = f"""audit AS (
   FROM gated)"""
 
 AUDIT_SELECT = ", ".join(AU.AUDIT_COLUMNS)
+AUDIT_KEEP = ["customer_id", "subject", "execution_time_ms"]  # the body is not logged
 
 
 @register("audit_rows", O.with_base(f"SELECT {AUDIT_SELECT} FROM audit", [AUDIT_STEPS_SQL]))
 def q_audit_rows(spark, sf_dir):
-    return AU.step_rows(TR.decide(requests(spark, sf_dir))).select(*AU.AUDIT_COLUMNS)
+    return AU.step_rows(TR.decide(requests(spark, sf_dir), keep=AUDIT_KEEP)).select(*AU.AUDIT_COLUMNS)
 
 
 @register(
@@ -519,7 +519,7 @@ FROM audit a LEFT JOIN seed s ON s.idempotency_key = a.idempotency_key""",
     ),
 )
 def q_audit_relink(spark, sf_dir):
-    audit = AU.step_rows(TR.decide(requests(spark, sf_dir)))
+    audit = AU.step_rows(TR.decide(requests(spark, sf_dir), keep=AUDIT_KEEP))
     return AU.relink(audit, LF.prepare(spark, sf_dir).seed).select("idempotency_key", "step_name", "ticket_key", "orphan")
 
 
@@ -610,7 +610,7 @@ def q_ledger_contract(spark, sf_dir):
     ),
 )
 def q_audit_contract(spark, sf_dir):
-    audit = AU.step_rows(TR.decide(requests(spark, sf_dir)))
+    audit = AU.step_rows(TR.decide(requests(spark, sf_dir), keep=AUDIT_KEEP))
     return CT.check(audit, CT.audit_rules()).select("idempotency_key", "step_name", "violation_text", "n_violations")
 
 

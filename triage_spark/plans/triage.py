@@ -16,6 +16,7 @@ Both are plain DataFrame transforms; the same functions run inside
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -54,9 +55,25 @@ def classify(df: DataFrame) -> DataFrame:
     return df.select("*", *classify_columns())
 
 
-def decide(requests: DataFrame, threshold: Decimal = C.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """First-per-key tickets with category, target tier, confidence and gate."""
-    return gate(classify(first_per_key(with_key(requests))), threshold)
+CLASS_COLUMNS = ["category", "target_tier", "confidence_score"]
+
+
+def decide(
+    requests: DataFrame, threshold: Decimal = C.CONFIDENCE_THRESHOLD, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """First-per-key tickets with category, target tier, confidence and gate.
+
+    Classification is a pure per-row function, so it runs *before* the dedupe,
+    next to the scan.  With ``keep`` (the request columns a report needs) the
+    texts are consumed map-side and only key, order, ``keep`` and the three
+    rule columns travel through the dedupe shuffle; with ``keep=None`` every
+    request column is kept.
+    """
+    cls = classify(with_key(requests))
+    if keep is not None:
+        cls = cls.select("key", "created_at", "ticket_id", *[c for c in keep if c not in ("created_at", "ticket_id")],
+                         *CLASS_COLUMNS)
+    return gate(first_per_key(cls), threshold)
 
 
 def resolve(
