@@ -122,17 +122,19 @@ def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
 DEFAULT_CHUNK_ROWS = 1_000_000
 
 
-def account_sequence(
+def change_carry(
     df: DataFrame,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
     hot: DataFrame | None = None,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
-    """WIN-2/3 over the tool rows of ``df`` (rows with is_change carry a tier).
+    """The account prefix scan without the account's base values.
 
-    Non-change rows pass through the same windows untouched, so no join back
-    by ticket is needed.  Needs account_id, created_at, ticket_id, is_change,
-    tier_name, max_seats, acct_current_tier, acct_seats_allocated.
+    Needs account_id, created_at, ticket_id, is_change, tier_name, max_seats
+    (other columns pass through).  Adds ``prev_change_tier`` (tier of the
+    account's last change strictly before the row, null if none) and
+    ``run_max_half`` (largest ``max_seats // 2`` over the account's changes up
+    to and including the row, null if none).
 
     Chunk width: ``chunk_seconds`` for ordinary accounts (an account below
     the hot threshold has fewer rows than that in total); a hot account (from
@@ -182,12 +184,62 @@ def account_sequence(
     out = rows.join(carry, ["account_id", "_chunk"], "left")
     return out.withColumns(
         {
-            "previous_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last"), F.col("acct_current_tier")),
-            "seats_after": F.greatest(F.col("acct_seats_allocated"), F.col("_max_in"), F.col("_prev_max")),
+            "prev_change_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last")),
+            "run_max_half": F.greatest(F.col("_max_in"), F.col("_prev_max")),
         }
     ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max", "_w")
 
 
+def with_base(df: DataFrame) -> DataFrame:
+    """previous_tier / seats_after from the carry and the account's base row."""
+    return df.withColumns(
+        {
+            "previous_tier": F.coalesce(F.col("prev_change_tier"), F.col("acct_current_tier")),
+            "seats_after": F.greatest(F.col("acct_seats_allocated"), F.col("run_max_half")),
+        }
+    ).drop("prev_change_tier", "run_max_half")
+
+
+def account_sequence(
+    df: DataFrame,
+    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    hot: DataFrame | None = None,
+    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+) -> DataFrame:
+    """WIN-2/3 over every row of ``df`` (rows with is_change carry a tier).
+
+    Non-change rows pass through the same windows untouched.  Needs the
+    columns of ``change_carry`` plus acct_current_tier, acct_seats_allocated.
+    """
+    return with_base(change_carry(df, chunk_seconds, hot, chunk_rows))
+
+
+def change_sequence(
+    changes: DataFrame,
+    key: str = "key",
+    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    hot: DataFrame | None = None,
+    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+) -> DataFrame:
+    """WIN-2/3 on the tier changes alone: one row per change, keyed by ``key``.
+
+    ``changes`` holds only valid tier changes, narrow (key, account_id,
+    created_at, ticket_id, tier_name, max_seats).  Only changes move an
+    account's tier or seats, so the scan needs no other ticket and no account
+    column; the result (key, prev_change_tier, run_max_half) is joined back to
+    the wide rows by key, where they are already partitioned after the dedupe.
+    """
+    c = changes.select(key, "account_id", *ORDER, "tier_name", "max_seats", F.lit(True).alias("is_change"))
+    # One row per key already; the aggregate makes that known to the planner
+    # (so an unused branch is pruned) and its shuffle on key is the one the
+    # join back needs anyway.
+    return (
+        change_carry(c, chunk_seconds, hot, chunk_rows)
+        .groupBy(key)
+        .agg(F.max("prev_change_tier").alias("prev_change_tier"), F.max("run_max_half").alias("run_max_half"))
+    )
+
+
 def tier_change_result(account_id: str = "account_id") -> Column:
     """SCL-32: the tool result struct of ``update_subscription_tier``."""
     ok = F.col("tier_valid")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import effective_key
@@ -25,21 +25,44 @@ def with_key(df: DataFrame, key: str = "key") -> DataFrame:
     return df.withColumn(key, effective_key())
 
 
+def row_hash(df: DataFrame, key: str = "key", order: Sequence[str] = ORDER) -> Column:
+    """Tie-break for rows of one key with equal order columns: a hash of the rest of the row."""
+    return F.xxhash64(*[F.col(c) for c in df.columns if c != key and c not in order])
+
+
 def first_per_key(df: DataFrame, key: str = "key", order: Sequence[str] = ORDER) -> DataFrame:
     """WIN-1: the first row of every key, all columns kept.
 
     ``min`` over a struct whose leading fields are the order columns: structs
-    compare field by field, so this is the row with the smallest order (ties
-    on the order broken by the remaining columns, so the pick is
-    deterministic).  Measured faster than ``min_by`` with a separate ordering
-    struct, and it combines map-side just the same.
+    compare field by field, so this is the row with the smallest order; ties
+    on the order are broken by ``row_hash`` and then the remaining columns,
+    so the pick is deterministic.  Measured faster than ``min_by`` with a
+    separate ordering struct, and it combines map-side just the same.
     """
     payload = [c for c in df.columns if c != key]
     rest = [c for c in payload if c not in order]
-    picked = df.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    picked = df.groupBy(key).agg(F.min(F.struct(*order, row_hash(df, key, order).alias("_tb"), *rest)).alias("_first"))
     return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in payload])
 
 
+def first_fields(
+    df: DataFrame, fields: dict[str, Column], key: str = "key", order: Sequence[str] = ORDER
+) -> DataFrame:
+    """A narrow ``first_per_key``: only ``fields`` (per-row expressions) of each key's first row.
+
+    Picks the same row as ``first_per_key(df)`` (same order, same
+    ``row_hash`` tie-break over all of ``df``'s columns), but only the order
+    columns, the hash and ``fields`` go through the shuffle.  Lets a second
+    consumer of the first tickets skip the wide columns (texts).
+    """
+    picked = df.groupBy(key).agg(
+        F.min(
+            F.struct(*order, row_hash(df, key, order).alias("_tb"), *[v.alias(k) for k, v in fields.items()])
+        ).alias("_first")
+    )
+    return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in (*order, *fields)])
+
+
 def replay(
     requests: DataFrame,
     outcomes: DataFrame,

@@ -66,7 +66,7 @@ def _build(spark: SparkSession, sf_dir: str, hot_rows: int) -> LedgerInputs:
     # The historical load (SRC-5) is a table in its own right: it is written
     # once (reliable checkpoint in the shared spark.checkpoint.dir) and read
     # back, so consumers scan it instead of recomputing its plan.
-    pre_res = TR.resolve(first_per_key(pre), i.accounts, i.tiers, deduped=True, hot_rows=hot_rows)
+    pre_res = TR.resolve(pre, i.accounts, i.tiers, hot_rows=hot_rows)
     pre_res = pre_res.select(*L.RESOLVED_FOR_LEDGER, *[c for c in A.TOOL_CALL_COLUMNS if c not in L.RESOLVED_FOR_LEDGER])
     pre_res = pre_res.checkpoint()
     seed = L.ledger_rows(pre_res, seed_status()).checkpoint()
@@ -80,7 +80,8 @@ def new_tickets(li: LedgerInputs, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame
 
 
 def batch_rows(li: LedgerInputs, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
-    res = TR.resolve(new_tickets(li, hot_rows), li.state, li.tiers, deduped=True, hot_rows=hot_rows)
+    # resolve takes the misses and dedupes them itself (== new_tickets)
+    res = TR.resolve(L.misses(li.incoming, li.seed, hot_rows).drop("key"), li.state, li.tiers, hot_rows=hot_rows)
     return L.ledger_rows(res)
 
 

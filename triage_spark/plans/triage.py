@@ -27,7 +27,7 @@ from .. import constants as C
 from ..functions.rules import classify_columns, dec
 from ..functions.text import confirmation_id
 from ..operators import accounts as A
-from ..operators.dedupe import first_per_key, with_key
+from ..operators.dedupe import ORDER, first_fields, first_per_key, with_key
 from ..operators.gate import gate, rule_reasoning, rule_reply, with_gated_reasoning
 from ..operators.skew import DEFAULT_HOT_ROWS
 from ..operators.tools import dispatch_json
@@ -90,19 +90,37 @@ def resolve(
     Tools run only for first-per-key tickets (repeats never reach a tool), so
     account state advances once per key.
     """
-    firsts = requests if deduped else first_per_key(with_key(requests))
+    category, target_tier, _ = classify_columns()
+    narrow_cols = {"account_id": A.normalize_id("customer_id"), "category": category, "target_tier": target_tier}
+    if deduped:  # ``requests`` is already one row per key (a persisted batch, say)
+        firsts = requests
+        narrow = requests.select("key", *ORDER, *[v.alias(k) for k, v in narrow_cols.items()])
+    else:
+        keyed = with_key(requests)
+        firsts = first_per_key(keyed)
+        # the same first rows, but only key, order and three short columns shuffled
+        narrow = first_fields(keyed, narrow_cols)
     df = classify(firsts)
     # Hot accounts are counted on the input as given (before the dedupe when
     # there is one): a superset of the hot accounts among first tickets, found
     # with a map-side-combined count instead of a second dedupe shuffle.
     hot = A.hot_accounts(requests, hot_rows=hot_rows)
+    # WIN-2/3 on a narrow branch of tier changes only (no text, no account
+    # columns).  It ends in one row per key, partitioned by key, and joins back
+    # where ``df`` is already partitioned by key: the wide rows are not
+    # shuffled for the scan, and a report that reads none of its columns
+    # drops the branch (left join on a unique key).
+    changes = A.join_tiers(narrow.filter(F.col("category") == "SUBSCRIPTION"), tiers, "target_tier").filter(
+        F.col("tier_valid")
+    )
+    seq = A.change_sequence(changes, "key", chunk_seconds, hot=hot)
+    df = df.join(seq, "key", "left")
     df = A.lookup_accounts(
         df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows, hot=hot.select("account_id")
     )
     df = A.join_tiers(df, tiers, "target_tier")
     is_change = (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
-    df = df.withColumn("is_change", is_change)
-    df = A.account_sequence(df, chunk_seconds, hot=hot)
+    df = A.with_base(df.withColumn("is_change", is_change))
     tool_ok = F.when(F.col("category") == "SUBSCRIPTION", F.col("tier_valid")).otherwise(F.lit(True))
     df = df.withColumn(
         "confidence_score",

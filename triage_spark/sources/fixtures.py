@@ -39,8 +39,16 @@ LEDGER_CUTOFF = "2024-01-16 00:00:00"
 # --------------------------------------------------------------------------
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the reader (file listing, footers, schema) is made once per session."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    memo = (spark.sparkContext.applicationId, path)
+    if memo not in _TABLES:
+        _TABLES[memo] = spark.read.parquet(path)
+    return _TABLES[memo]
 
 
 def _prop_k() -> Column:
@@ -107,8 +115,16 @@ TIER_SCHEMA = T.StructType(
 
 
 def tiers(spark: SparkSession) -> DataFrame:
-    """the three-row tier price list (size fixed, so broadcast is safe)."""
-    return spark.createDataFrame([tuple(t) for t in C.TIERS], TIER_SCHEMA)
+    """the three-row tier price list (size fixed, so broadcast is safe).
+
+    Built as a JVM literal (``inline`` of an array of structs), so it plans as
+    a local relation: no Python rows to serialise, no Python worker.
+    """
+    rows = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(t, TIER_SCHEMA.fields)])
+        for t in C.TIERS
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def requested_tier(event_id: Column) -> Column:
