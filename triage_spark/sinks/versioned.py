@@ -116,5 +116,13 @@ class VersionedTable:
             .partitionBy("kb")
             .parquet(f"{self.root}/data/v={version}")
         )
-        commit = self.spark.createDataFrame([(b, int(version)) for b in buckets], MANIFEST_SCHEMA)
+        # at most ``buckets`` rows, built as a JVM literal (no Python rows, no Python worker)
+        commit = self.spark.range(1).select(
+            F.inline(
+                F.array(
+                    *[F.struct(F.lit(b).cast("int").alias("kb"), F.lit(int(version)).cast("long").alias("version"))
+                      for b in buckets]
+                )
+            )
+        )
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_manifest/batch={version}")
