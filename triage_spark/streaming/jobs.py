@@ -87,14 +87,14 @@ def triage_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Data
 
 # --------------------------------------------------------------------- STR-2
 def dedupe_stream(
-    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, buckets: int = 16
+    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, buckets: int | None = None
 ) -> DataFrame:
     """STR-2: first request per key against everything seen so far.
 
     Per batch: first per key inside the batch (partial aggregate), then an
     anti join with the stored firsts of the touched buckets only.
     """
-    store = VersionedTable(spark, f"{run.root}/firsts", "key", S.FIRSTS_SCHEMA, buckets)
+    store = VersionedTable(spark, f"{run.root}/firsts", "key", S.FIRSTS_SCHEMA, default_buckets(spark, buckets))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         firsts = first_per_key(with_key(FX.ticket_requests(batch))).select(*S.FIRSTS_SCHEMA.fieldNames())
@@ -119,11 +119,23 @@ class LedgerJob:
     replies_root: str
 
 
-def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun, buckets: int = 16) -> LedgerJob:
+def default_buckets(spark: SparkSession, buckets: int | None = None) -> int:
+    """Hash buckets of a keyed store: given, else the session's shuffle partitions.
+
+    A bucket is what one task rewrites, so on a cluster it follows the
+    shuffle width the deployment sized for its data (thousands of buckets
+    for a large ledger), not a constant; a micro-batch rewrites only the
+    buckets its new keys fall in.
+    """
+    return int(buckets or spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun, buckets: int | None = None) -> LedgerJob:
     accounts = FX.accounts(FX.table(spark, sf_dir, "customer")).select(
         "*", F.lit(0).cast("bigint").alias("tier_changes"), F.lit(0).cast("bigint").alias("tool_calls"),
         F.lit(False).alias("is_new"),
     )
+    buckets = default_buckets(spark, buckets)
     return LedgerJob(
         ledger=VersionedTable(spark, f"{run.root}/ledger", "idempotency_key", S.LEDGER_SCHEMA, buckets),
         state=VersionedTable(spark, f"{run.root}/accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, buckets, base=accounts),
@@ -133,7 +145,7 @@ def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun, buckets: int =
 
 
 def ledger_stream(
-    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, buckets: int = 16
+    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, buckets: int | None = None
 ) -> LedgerJob:
     """STR-3 + STR-4: per micro-batch, one transaction-like step.
 
