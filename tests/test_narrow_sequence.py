@@ -59,3 +59,13 @@ def test_unused_sequence_branch_is_pruned(spark, sf_small):
     # tier_change_results needs it: the window runs, but no wide row goes through it
     p = _plan(E.queries()["tier_change_results"](spark, sf_small))
     assert "Window" in p
+
+
+def test_reports_do_not_shuffle_the_body(spark, sf_small):
+    """Responses never show the ticket body, so the dedupe struct leaves it out; the ledger keeps it."""
+    def dedupe_structs(name):
+        p = _plan(E.queries()[name](spark, sf_small))
+        return [ln for ln in p.splitlines() if "partial_min(struct(" in ln]
+
+    assert not any("body, body" in ln for ln in dedupe_structs("response_text"))
+    assert any("body, body" in ln for ln in dedupe_structs("ledger_upsert"))

@@ -270,10 +270,14 @@ def q_tier_pricing_join(spark, sf_dir):
     )
 
 
+RESOLVED_KEEP = ("event_id", "idempotency_key", "subject", "execution_time_ms")
+
+
 def resolved(spark, sf_dir) -> DataFrame:
     def build():
         i = inputs(spark, sf_dir)
-        return TR.resolve(i.requests, i.accounts, i.tiers)
+        # the responses and routes never show the ticket body: it is not shuffled
+        return TR.resolve(i.requests, i.accounts, i.tiers, keep=RESOLVED_KEEP)
 
     return shared(spark, "resolved", sf_dir, build=build)
 

@@ -27,7 +27,7 @@ from .. import constants as C
 from ..functions.rules import classify_columns, dec
 from ..functions.text import confirmation_id
 from ..operators import accounts as A
-from ..operators.dedupe import ORDER, first_fields, first_per_key, with_key
+from ..operators.dedupe import ORDER, first_fields, first_per_key, row_hash, with_key
 from ..operators.gate import gate, rule_reasoning, rule_reply, with_gated_reasoning
 from ..operators.skew import DEFAULT_HOT_ROWS
 from ..operators.tools import dispatch_json
@@ -84,23 +84,34 @@ def resolve(
     chunk_seconds: int = A.DEFAULT_CHUNK_SECONDS,
     hot_rows: int = DEFAULT_HOT_ROWS,
     deduped: bool = False,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Full outcome per first-per-key ticket (the response of the service).
 
     Tools run only for first-per-key tickets (repeats never reach a tool), so
     account state advances once per key.
+
+    Unless ``deduped``, classification runs map-side, before the dedupe, and
+    with ``keep`` (the request columns a report needs besides key, order and
+    customer_id) only those go through the dedupe shuffle: a report that
+    never shows the ticket body does not shuffle it.  Ties on the order are
+    broken by a hash of the whole request row, so every variant picks the
+    same first row.
     """
     category, target_tier, _ = classify_columns()
     narrow_cols = {"account_id": A.normalize_id("customer_id"), "category": category, "target_tier": target_tier}
     if deduped:  # ``requests`` is already one row per key (a persisted batch, say)
-        firsts = requests
+        df = classify(requests)
         narrow = requests.select("key", *ORDER, *[v.alias(k) for k, v in narrow_cols.items()])
     else:
         keyed = with_key(requests)
-        firsts = first_per_key(keyed)
+        payload = [c for c in keyed.columns if c not in ("key", *ORDER)]
+        if keep is not None:
+            payload = [c for c in payload if c in keep or c == "customer_id"]
+        cls = keyed.select("key", *ORDER, row_hash(keyed).alias("_tb"), *payload, *classify_columns())
+        df = first_per_key(cls, order=(*ORDER, "_tb"), hash_ties=False).drop("_tb")
         # the same first rows, but only key, order and three short columns shuffled
         narrow = first_fields(keyed, narrow_cols)
-    df = classify(firsts)
     # Hot accounts are counted on the input as given (before the dedupe when
     # there is one): a superset of the hot accounts among first tickets, found
     # with a map-side-combined count instead of a second dedupe shuffle.
