@@ -7,6 +7,7 @@ import __spark_entry__ as E
 from conftest import rows
 from triage_spark.functions.rules import classify_columns
 from triage_spark.operators.dedupe import first_fields, first_per_key, with_key
+from triage_spark.plans import queries as Q
 from triage_spark.plans import triage as TR
 from triage_spark.sources import fixtures as FX
 
@@ -69,3 +70,14 @@ def test_reports_do_not_shuffle_the_body(spark, sf_small):
 
     assert not any("body, body" in ln for ln in dedupe_structs("response_text"))
     assert any("body, body" in ln for ln in dedupe_structs("ledger_upsert"))
+
+
+def test_reports_and_responses_pick_the_same_first_row(spark, sf_small):
+    """Under ties on (created_at, ticket_id) decide and resolve still agree on every key's first ticket."""
+    i = TR.load(spark, sf_small)
+    tied = i.requests.withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).withColumn(
+        "ticket_id", F.lit("TCK-SAME")
+    )
+    d = TR.decide(tied, keep=["event_id"]).select("key", "event_id")
+    r = TR.resolve(tied, i.accounts, i.tiers, keep=Q.RESOLVED_KEEP).select("key", "event_id")
+    assert rows(d) == rows(r)

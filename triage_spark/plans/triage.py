@@ -69,11 +69,13 @@ def decide(
     rule columns travel through the dedupe shuffle; with ``keep=None`` every
     request column is kept.
     """
-    cls = classify(with_key(requests))
+    keyed = with_key(requests)
+    # ties on the order: a hash of the whole request row, as in ``resolve``,
+    # so reports and responses always agree on which ticket came first
+    cls = classify(keyed).withColumn("_tb", row_hash(keyed))
     if keep is not None:
-        cls = cls.select("key", "created_at", "ticket_id", *[c for c in keep if c not in ("created_at", "ticket_id")],
-                         *CLASS_COLUMNS)
-    return gate(first_per_key(cls), threshold)
+        cls = cls.select("key", *ORDER, "_tb", *[c for c in keep if c not in ORDER], *CLASS_COLUMNS)
+    return gate(first_per_key(cls, order=(*ORDER, "_tb"), hash_ties=False).drop("_tb"), threshold)
 
 
 def resolve(
