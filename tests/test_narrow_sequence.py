@@ -81,3 +81,17 @@ def test_reports_and_responses_pick_the_same_first_row(spark, sf_small):
     d = TR.decide(tied, keep=["event_id"]).select("key", "event_id")
     r = TR.resolve(tied, i.accounts, i.tiers, keep=Q.RESOLVED_KEEP).select("key", "event_id")
     assert rows(d) == rows(r)
+
+
+def test_resolve_with_hot_account_equals_unsalted(spark, sf_small):
+    """A third of all tickets on one account: salting and adaptive chunks change no result."""
+    i = TR.load(spark, sf_small)
+    req = i.requests.withColumn(
+        "customer_id", F.when(F.col("event_id") % 3 == 0, F.lit("CUST-7")).otherwise(F.col("customer_id"))
+    )
+    cols = ["ticket_id", "account_id", "category", "status", "confidence_score", "previous_tier", "seats_after",
+            "customer_reply"]
+    hot = TR.resolve(req, i.accounts, i.tiers, hot_rows=50).select(*cols)
+    cold = TR.resolve(req, i.accounts, i.tiers, hot_rows=10**9).select(*cols)
+    assert rows(hot) == rows(cold)
+    assert "xxhash64" in _plan(TR.resolve(req, i.accounts, i.tiers, hot_rows=50))

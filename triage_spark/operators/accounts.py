@@ -122,6 +122,20 @@ def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
 DEFAULT_CHUNK_ROWS = 1_000_000
 
 
+def hot_width(chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Column:
+    """Chunk width (microseconds) of a hot account: about ``chunk_rows`` rows per chunk, at least one second."""
+    return F.greatest(
+        F.lit(1_000_000.0),
+        (F.col("t_max") - F.col("t_min") + 1).cast("double") * F.lit(float(chunk_rows)) / F.col("n"),
+    )
+
+
+def hot_marker(hot: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """The hot-account list for salting (account_id, _hot), read off the same
+    aggregate columns as the chunk widths, so the two uses share one count."""
+    return hot.select("account_id", (hot_width(chunk_rows) > 0).alias("_hot"))
+
+
 def change_carry(
     df: DataFrame,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
@@ -146,13 +160,7 @@ def change_carry(
     change_half = F.when(F.col("is_change"), F.floor(F.col("max_seats") / 2).cast("int"))
     width = F.lit(chunk_seconds * 1_000_000).cast("double")
     if hot is not None:
-        widths = hot.select(
-            "account_id",
-            F.greatest(
-                F.lit(1_000_000.0),
-                (F.col("t_max") - F.col("t_min") + 1).cast("double") * F.lit(float(chunk_rows)) / F.col("n"),
-            ).alias("_w"),
-        )
+        widths = hot.select("account_id", hot_width(chunk_rows).alias("_w"))
         df = df.join(F.broadcast(widths), "account_id", "left")
         width = F.coalesce(F.col("_w"), width)
     rows = df.withColumns(

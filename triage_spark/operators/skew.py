@@ -56,7 +56,10 @@ def skew_join(
     # ``hot`` may be given precomputed (e.g. from a cheaper upstream scan whose
     # keys are a superset); salting a key that is not hot is harmless.
     hot_df = hot if hot is not None else hot_keys(big, keys, hot_rows)
-    hot = F.broadcast(hot_df.select(*keys).withColumn("_hot", F.lit(True)))
+    # a ``_hot`` column in ``hot`` is used as the marker (it lets a caller
+    # share one hot-key aggregate between several consumers); else every row is hot
+    flag = F.col("_hot") if "_hot" in hot_df.columns else F.lit(True)
+    hot = F.broadcast(hot_df.select(*keys, flag.alias("_hot")))
     big_s = (
         big.join(hot, keys, "left")
         .withColumn(

@@ -129,7 +129,7 @@ def resolve(
     seq = A.change_sequence(changes, "key", chunk_seconds, hot=hot)
     df = df.join(seq, "key", "left")
     df = A.lookup_accounts(
-        df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows, hot=hot.select("account_id")
+        df, accounts, "customer_id", salt_by=["ticket_id"], hot_rows=hot_rows, hot=A.hot_marker(hot)
     )
     df = A.join_tiers(df, tiers, "target_tier")
     is_change = (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
