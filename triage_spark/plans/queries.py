@@ -977,14 +977,17 @@ SELECT key, ticket_id, 'escalation_task' AS route, {_task_sql()} AS message FROM
     ),
 )
 def q_route_messages(spark, sf_dir):
-    df = RT.with_route(resolved(spark, sf_dir))
-    cards = df.filter(F.col("route") == "resolution_card").select(
-        "key", "ticket_id", "route", F.to_json(RT.resolution_card(L.actions_json())).alias("message")
-    )
-    tasks = df.filter(F.col("route") == "escalation_task").select(
-        "key", "ticket_id", "route", F.to_json(RT.escalation_task()).alias("message")
-    )
-    return cards.unionByName(tasks)
+    """SET-3: the two route branches merged into one reply stream.
+
+    One pass: each routed row gets its branch's message from the one
+    ``route`` column.  A union of two filters of the same plan would run
+    everything above the shared shuffles (final dedupe, joins, texts) twice.
+    """
+    df = RT.with_route(resolved(spark, sf_dir)).filter(F.col("route").isin("resolution_card", "escalation_task"))
+    message = F.when(
+        F.col("route") == "resolution_card", F.to_json(RT.resolution_card(L.actions_json()))
+    ).otherwise(F.to_json(RT.escalation_task()))
+    return df.select("key", "ticket_id", "route", message.alias("message"))
 
 
 # ---------------------------------------------------------------- slice 7: streams (compared with their batch twins)
