@@ -130,7 +130,7 @@ FROM keyed k JOIN gated g ON g.key = k.key"""
 )
 def q_dedupe_replay(spark, sf_dir):
     req = with_key(requests(spark, sf_dir))
-    out = TR.decide(req.drop("key"), keep=[]).select("key", "ticket_id", "created_at", "status", "category")
+    out = decided(spark, sf_dir).select("key", "ticket_id", "created_at", "status", "category")
     r = replay(req, out)
     return r.select(
         F.col("req_event_id").alias("event_id"),
