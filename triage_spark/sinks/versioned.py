@@ -52,10 +52,16 @@ class VersionedTable:
         # Rows have one row per key, so buckets are even; at scale raise
         # ``buckets`` (a bucket is one task's worth) or ``files_per_bucket``.
         self.files_per_bucket = files_per_bucket
+        self._manifest: dict[int, int] | None = None  # read once, dropped by every write
 
     # ------------------------------------------------------------------ read
     def manifest(self) -> dict[int, int]:
         """Newest committed version per bucket (at most ``buckets`` entries)."""
+        if self._manifest is None:
+            self._manifest = self._read_manifest()
+        return self._manifest
+
+    def _read_manifest(self) -> dict[int, int]:
         path = f"{self.root}/_manifest"
         try:
             m = self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
@@ -106,6 +112,7 @@ class VersionedTable:
         buckets = sorted(set(buckets))
         if not buckets:
             return
+        self._manifest = None
         (
             rows.select(*self.schema.fieldNames())
             .withColumn("kb", bucket_of(self.key, self.buckets))
@@ -126,3 +133,4 @@ class VersionedTable:
             )
         )
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_manifest/batch={version}")
+        self._manifest = None
