@@ -1,7 +1,9 @@
 """The ticket pipeline as one logical plan per use.
 
-read -> contract -> effective key -> first per key -> classify ->
-account lookup -> tier price -> account sequence -> gate -> texts.
+read -> contract -> effective key -> classify (map-side) -> first per key ->
+account lookup -> tier price -> gate -> texts, with the account sequence
+(previous tier, running seats) on a narrow branch of tier changes that joins
+back by key.
 
 Two entry points:
 
