@@ -171,12 +171,16 @@ def ledger_stream(
             ).parquet(f"{job.replies_root}/batch_id={batch_id}")
             misses = L.misses(keyed, ledger_t)
         new = first_per_key(misses).persist()
-        state_buckets = job.state.touched(new.withColumn("account_id", A.normalize_id("customer_id")), "account_id")
+        # buckets of the new tickets in both stores, in one job (each set holds at most ``buckets`` ints)
+        b = new.agg(
+            F.collect_set(bucket_of("key", job.ledger.buckets)).alias("kb"),
+            F.collect_set(bucket_of(A.normalize_id("customer_id"), job.state.buckets)).alias("ab"),
+        ).first()
+        new_buckets, state_buckets = sorted(b["kb"]), sorted(b["ab"])
         state_t = job.state.read(state_buckets)
         res = TR.resolve(new, state_t.select("account_id", *A.ACCOUNT_FIELDS), tiers, deduped=True).persist()
         rows = L.ledger_rows(res)
         # Rewrite only the buckets new tickets fall in (hit-only buckets stay as they are).
-        new_buckets = job.ledger.touched(new, "key")
         upserted = L.upsert(ledger_t, rows).drop("change")
         upserted = upserted.filter(bucket_of("idempotency_key", job.ledger.buckets).isin(new_buckets))
         job.ledger.write(upserted, batch_id, new_buckets)
