@@ -103,7 +103,13 @@ def resolve(
     same first row.
     """
     category, target_tier, _ = classify_columns()
-    narrow_cols = {"account_id": A.normalize_id("customer_id"), "category": category, "target_tier": target_tier}
+    is_sub = category == "SUBSCRIPTION"
+    # only subscription tickets can change a tier: the rest carry a flag and nulls
+    narrow_cols = {
+        "is_sub": is_sub,
+        "account_id": F.when(is_sub, A.normalize_id("customer_id")),
+        "target_tier": target_tier,
+    }
     if deduped:  # ``requests`` is already one row per key (a persisted batch, say)
         df = classify(requests)
         narrow = requests.select("key", *ORDER, *[v.alias(k) for k, v in narrow_cols.items()])
@@ -125,9 +131,7 @@ def resolve(
     # where ``df`` is already partitioned by key: the wide rows are not
     # shuffled for the scan, and a report that reads none of its columns
     # drops the branch (left join on a unique key).
-    changes = A.join_tiers(narrow.filter(F.col("category") == "SUBSCRIPTION"), tiers, "target_tier").filter(
-        F.col("tier_valid")
-    )
+    changes = A.join_tiers(narrow.filter(F.col("is_sub")), tiers, "target_tier").filter(F.col("tier_valid"))
     seq = A.change_sequence(changes, "key", chunk_seconds, hot=hot)
     df = df.join(seq, "key", "left")
     df = A.lookup_accounts(
