@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from triage_spark.llm.op3_bpe_tree import op3_bpe_tree
 from triage_spark.llm.op6_token_files import op6_token_files
 
 QUERIES = {
+    "op3_bpe_tree": op3_bpe_tree,
     "op6_token_files": op6_token_files,
 }
 
