@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from triage_spark.llm import op10_url_filter
 from triage_spark.llm.op3_bpe_tree import op3_bpe_tree
 from triage_spark.llm.op6_token_files import op6_token_files
 
 QUERIES = {
     "op3_bpe_tree": op3_bpe_tree,
     "op6_token_files": op6_token_files,
+    "op10_url_filter": op10_url_filter.op10_url_filter,
 }
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_url_filter": op10_url_filter.ORACLE_SQL,
+}
