@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from triage_spark.llm import op10_url_filter
+from triage_spark.llm import op2_source_mix, op10_url_filter
 from triage_spark.llm.op3_bpe_tree import op3_bpe_tree
 from triage_spark.llm.op6_token_files import op6_token_files
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix.op2_source_mix,
     "op3_bpe_tree": op3_bpe_tree,
     "op6_token_files": op6_token_files,
     "op10_url_filter": op10_url_filter.op10_url_filter,
@@ -14,5 +15,6 @@ QUERIES = {
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
+    "op2_source_mix": op2_source_mix.ORACLE_SQL,
     "op10_url_filter": op10_url_filter.ORACLE_SQL,
 }
