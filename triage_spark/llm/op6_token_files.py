@@ -14,8 +14,8 @@ Documents lie in ascending doc_id order (null first; equal ids by a hash of
 their text) over the files, whose names ascend too.  Ranges of ids are cut at
 quantiles of the whole doc_id column, and rows with one doc_id may spread over
 several ranges by their hash, so no range depends on one key.  A task
-streams its sorted rows into files; it writes under a temporary name and
-renames, so a repeated task gives the same file again.
+encodes its sorted rows and streams them into a file; it writes under a temporary
+name and renames, so a repeated task gives the same file again.
 """
 
 from __future__ import annotations
@@ -133,20 +133,6 @@ class TokenFile:
         return self.span(start, int(self.ends[i]) - start)
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, h (hash of the text), ids (their bytes, with the end id)."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(path, BYTE_CHUNKS)
-        end = np.asarray([end_id], enc.dtype).tobytes()
-        for b in text_steps(batches, "text"):
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
-    return src.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(encode, "doc_id long, h long, ids binary")
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", file_chars: int = FILE_CHARS) -> DataFrame:
     """Encode, append ``end_id`` and write the files into ``path``; returns their manifest (part, file, n_docs, n_ids).
 
@@ -163,33 +149,36 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     # Bounded by the number of files: one quantile for each.
     bounds = sizes.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     cuts = F.array(*[F.lit(int(x)) for x in bounds or []]).cast("array<bigint>")
-    ids = saved(_encoded(docs, tokenizer, end_id, id_col, text), "token-ids")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     key = F.coalesce("doc_id", F.lit(first))
     low, high = F.size(F.filter(cuts, lambda c: c < key)), F.size(F.filter(cuts, lambda c: c <= key))
-    share = (F.shiftrightunsigned("h", 32).cast("double") / F.lit(float(1 << 32))).alias("share")
-    placed = ids.select("doc_id", "h", "ids", share, key.alias("k"), low.alias("low"), high.alias("high"))
-    placed = placed.select("doc_id", "ids", "k", "share", "h", (F.col("low") + F.floor(F.col("share") * (F.col("high") - F.col("low") + 1))).cast("int").alias("part"))
+    share = F.shiftrightunsigned("h", 32).cast("double") / F.lit(float(1 << 32))
+    placed = src.select("doc_id", "text", "h", share.alias("share"), key.alias("k"), low.alias("low"), high.alias("high"))
+    placed = placed.select("doc_id", "text", "k", "share", "h", (F.col("low") + F.floor(F.col("share") * (F.col("high") - F.col("low") + 1))).cast("int").alias("part"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = ChunkEncoder(tokenizer, BYTE_CHUNKS)
+        end = np.asarray([end_id], dtype).tobytes()
         fs, folder = pafs.FileSystem.from_uri(path)
         fs.create_dir(folder)
         out, part, done = None, None, []
-        for b in batches:
-            for p, doc_id, data in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+        for b in text_steps(batches, "text"):
+            for p, doc_id, data in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 if p != part:
                     if out:
                         out.close()
                         done.append((part, len(out.docs), out.total))
                     part, out = p, TokenFileWriter(fs, f"{folder}/part-{p:08d}.tok", bits)
-                out.add(doc_id, np.frombuffer(data, dtype))
+                out.add(doc_id, np.frombuffer(data + end, dtype))
         if out:
             out.close()
             done.append((part, len(out.docs), out.total))
         cols = list(zip(*done)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([f"part-{p:08d}.tok" for p in cols[0]], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["part", "file", "n_docs", "n_ids"])
 
-    shuffled = placed.repartition(parts, "part").sortWithinPartitions("part", "k", "share", "h")
-    return saved(shuffled.select("part", "doc_id", "ids").mapInArrow(write, "part int, file string, n_docs long, n_ids long"), "token-manifest")
+    # The texts move once and are encoded where their file is written.
+    dealt = placed.repartitionById(parts, "part").sortWithinPartitions("part", "k", "share", "h")
+    return saved(dealt.select("part", "doc_id", "text").mapInArrow(write, "part int, file string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

@@ -1,29 +1,58 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of whitespace-separated chunks.
+"""Token ids of whole texts by the tokenizers library, with a cache of text chunks.
 
 Both vocabularies split a text into words before they merge, and no word
-spans the cuts made here (see ``WORD_CHUNKS`` and ``BYTE_CHUNKS``), so the ids of a
-text are those of its chunks in a row.  Each task keeps a bounded
-dictionary chunk -> ids; the library encodes the chunks that are not in it.
-Texts for which the cuts are not proven (rare white space, special-token
-strings) are encoded by the library as a whole.
+spans the cuts made here, so the ids of a text are those of its chunks in a
+row.  Each task keeps a bounded dictionary chunk -> ids.  For a chunk not in it,
+a plain word goes straight to the library's merges, anything else through the whole
+tokenizer.  Texts for which the cuts are not proven (rare white space,
+special-token strings) are encoded by the library as a whole.
+
+Where texts are cut:
+
+* at plain white space, which byte-level words take as one leading space
+  and the other kind drops;
+* between a word of plain letters and the full stops or commas after it, which the
+  word pattern of both vocabularies never joins.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
-#: For tokenizers whose words hold no white space and which drop it: runs without plain white space.
-WORD_CHUNKS = r"[^ \n\t\r]+"
-#: For byte-level words with their leading space: a run with one space before it; of longer white space the last character stays apart.
-BYTE_CHUNKS = r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
+#: Letters that need no normalisation but lower case.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: For tokenizers whose words hold no white space and which drop it and the case.
+WORD_CHUNKS = rf"[{LETTERS}]+(?![^ \n\t\r.,])|[.,]+(?![^ \n\t\r])|[^ \n\t\r]+"
+#: For byte-level words with their leading space; of longer white space the last character stays apart.
+BYTE_CHUNKS = rf" ?[{LETTERS}]+(?![^ \n\t\r.,])|[.,]+(?![^ \n\t\r])| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
 #: White space beyond the plain kind, on whose nature regex libraries differ or which can join a run of it.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 #: Chunks a task remembers at most before it starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Chunks(dict):
+    """chunk -> id bytes; what is missing is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.of = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.of(chunk)
+        return ids
 
 
 class ChunkEncoder:
@@ -36,16 +65,24 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        top = max(self.tok.get_vocab_size(with_added_tokens=True) - 1, max(self.tok.get_vocab(with_added_tokens=True).values()))
-        self.vocab_size = top + 1
-        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.vocab_size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
+        self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.find = re.compile(chunks).findall
         self.drops_space = chunks == WORD_CHUNKS
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.plain = re.compile(rf" ?[{LETTERS}]+").fullmatch
+        self.alphabet, self.merge = byte_alphabet(), self.tok.model.tokenize
+        self.cache = _Chunks(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not self.plain(chunk):
+            return self.whole(chunk)
+        word = chunk.lower() if self.drops_space else chunk
+        return array(self.code, [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def in_one(self, text: str) -> bool:
         """Whether the text must go to the library as a whole."""
@@ -53,13 +90,7 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The id bytes of each text."""
-        cut = [None if self.in_one(t) else self.find(t) for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        new = list(set().union(*(c for c in cut if c)).difference(self.cache))
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for chunk, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[chunk] = np.asarray(e.ids, self.dtype).tobytes()
         get = self.cache.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        return [self.whole(t) if self.in_one(t) else b"".join(map(get, self.find(t))) for t in texts]
