@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from triage_spark.llm import op2_source_mix, op10_url_filter
 from triage_spark.llm.op3_bpe_tree import op3_bpe_tree
+from triage_spark.llm.op4_ann_graph import op4_ann_graph
 from triage_spark.llm.op5_toxicity import op5_toxicity
 from triage_spark.llm.op6_token_files import op6_token_files
 from triage_spark.llm.op7_chat_format import op7_chat_format
@@ -11,6 +12,7 @@ from triage_spark.llm.op7_chat_format import op7_chat_format
 QUERIES = {
     "op2_source_mix": op2_source_mix.op2_source_mix,
     "op3_bpe_tree": op3_bpe_tree,
+    "op4_ann_graph": op4_ann_graph,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_chat_format": op7_chat_format,
