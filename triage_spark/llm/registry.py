@@ -8,6 +8,7 @@ from triage_spark.llm.op4_ann_graph import op4_ann_graph
 from triage_spark.llm.op5_toxicity import op5_toxicity
 from triage_spark.llm.op6_token_files import op6_token_files
 from triage_spark.llm.op7_chat_format import op7_chat_format
+from triage_spark.llm.op8_fingerprints import op8_fingerprints
 
 QUERIES = {
     "op2_source_mix": op2_source_mix.op2_source_mix,
@@ -16,11 +17,13 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_chat_format": op7_chat_format,
+    "op8_fingerprints": op8_fingerprints,
     "op10_url_filter": op10_url_filter.op10_url_filter,
 }
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op2_source_mix": op2_source_mix.ORACLE_SQL,
+    "op8_fingerprints": op8_fingerprints,
     "op10_url_filter": op10_url_filter.ORACLE_SQL,
 }
