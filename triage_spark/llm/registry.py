@@ -9,6 +9,7 @@ from triage_spark.llm.op5_toxicity import op5_toxicity
 from triage_spark.llm.op6_token_files import op6_token_files
 from triage_spark.llm.op7_chat_format import op7_chat_format
 from triage_spark.llm.op8_fingerprints import op8_fingerprints
+from triage_spark.llm.op9_near_dedup import op9_near_dedup
 
 QUERIES = {
     "op2_source_mix": op2_source_mix.op2_source_mix,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_chat_format": op7_chat_format,
     "op8_fingerprints": op8_fingerprints,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter.op10_url_filter,
 }
 
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_source_mix": op2_source_mix.ORACLE_SQL,
     "op8_fingerprints": op8_fingerprints,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter.ORACLE_SQL,
 }
