@@ -31,6 +31,17 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it new to ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], text_name: str, max_chars: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``max_chars`` bytes of text each, one row at least."""
     for batch in batches:

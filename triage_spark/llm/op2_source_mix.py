@@ -90,8 +90,10 @@ def mix(
     document of a leaf, of which the prefix of m_take words fits.  budget: ``budget_percent`` of all words.
     Null level values are the group '', null ids are allowed, null and empty
     texts have no words: they come with whole epochs of their leaf, or
-    in a prefix if their place is before its end.  An empty table gives an empty result.
+    in a prefix if their place is before its end.  Columns of ``docs`` whose names begin with
+    m_ are left out.  An empty table gives an empty result.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("m_")])
     names = [f"m_l{i}" for i in range(len(levels))]
     marks = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)]
     body = text_col(text)

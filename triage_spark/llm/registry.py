@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triage_spark.llm import op2_source_mix, op10_url_filter
+from triage_spark.llm import op1_line_dedup, op2_source_mix, op10_url_filter
 from triage_spark.llm.op3_bpe_tree import op3_bpe_tree
 from triage_spark.llm.op4_ann_graph import op4_ann_graph
 from triage_spark.llm.op5_toxicity import op5_toxicity
@@ -12,6 +12,7 @@ from triage_spark.llm.op8_fingerprints import op8_fingerprints
 from triage_spark.llm.op9_near_dedup import op9_near_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup.op1_line_dedup,
     "op2_source_mix": op2_source_mix.op2_source_mix,
     "op3_bpe_tree": op3_bpe_tree,
     "op4_ann_graph": op4_ann_graph,
@@ -25,6 +26,7 @@ QUERIES = {
 
 #: Queries that SQL cannot express are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": op1_line_dedup.ORACLE_SQL,
     "op2_source_mix": op2_source_mix.ORACLE_SQL,
     "op8_fingerprints": op8_fingerprints,
     "op9_near_dedup": op9_near_dedup,
