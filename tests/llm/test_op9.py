@@ -131,3 +131,13 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in A.op9_near_dedup(spark, sf).collect()} == classes(rows)
+
+
+def test_keep_first(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(4, long), (2, long + " end"), (None, long), (3, "other text"), (3, "other text"), (3, "third text"), (None, None), (None, ""), (9, "x y"), (9, "x y")]
+    docs = spark.createDataFrame([(*r, i, "k", 2, 3, 4) for i, r in enumerate(rows)], COLS.replace("node", "k_id").replace("kept", "nth"))
+    got = A.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(2, long + " end"), (3, "other text"), (3, "third text"), (None, ""), (9, "x y")], key=str)
+    assert A.keep_first(docs.limit(0)).count() == 0

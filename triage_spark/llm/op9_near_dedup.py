@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import saved, text_col, text_steps
+from triage_spark.llm.common import saved, text_col, text_steps, unused
 from triage_spark.llm.components import components
 from triage_spark.llm.shingles import U64, mix, weighted_shingles
 
@@ -42,6 +42,8 @@ SLOTS = BANDS * ROWS
 HUB_MEMBERS = 256
 #: Rows of (id, hub) up to which they are broadcast to the scan of the texts, about 100 bytes each.
 BROADCAST_ROWS = 200_000
+#: Rows of (id, hash) up to which they are broadcast to the scan, about 30 bytes each.
+BROADCAST_KEYS = 1_000_000
 #: Pairs of different classes for each node, below which they are all compared.
 REST_PAIRS = 2
 MOST_ROUNDS = 12
@@ -135,15 +137,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, kept: one row for each row of ``docs``.
-
-    class_id is the least doc_id of the row's class: rows joined by a chain of
-    links of at least ``similarity``.  kept holds for rows whose id it is (for all
-    rows of a class without any id).  Texts that are equal are one class, null
-    ones count as empty; texts without words are like equal ones only.  Repeated rows
-    are all returned.  Only the two columns are read.  An empty table gives an empty result.
-    """
+def _rooted(docs: DataFrame, similarity: float, id_col: str, text: str) -> DataFrame:
+    """doc_id, h (hash of the text), root (number of the class), class_id of each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     signed = saved(_signed(rows.select("doc_id", "text", "h", F.md5("text").alias("copy"))), "near-signed")
     nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("bands").alias("bands"))
@@ -188,8 +183,47 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
             break
     of = nodes.join(root, F.col("node") == F.col("r_node"), "left").select("copy", "rep", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = of.join(least, "root").select(F.col("copy").alias("n_copy"), "class_id")
-    return signed.join(named, F.col("copy") == F.col("n_copy")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    named = of.join(least, "root").select(F.col("copy").alias("n_copy"), "root", "class_id")
+    return signed.join(named, F.col("copy") == F.col("n_copy")).select("doc_id", "h", "root", "class_id")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, kept: one row for each row of ``docs``.
+
+    class_id is the least doc_id of the row's class: rows joined by a chain of
+    links of at least ``similarity``.  kept holds for rows whose id it is (for all
+    rows of a class without any id).  Texts that are equal are one class, null
+    ones count as empty; texts without words are like equal ones only.  Repeated rows
+    are all returned.  Only the two columns are read.  An empty table gives an empty result.
+    """
+    got = _rooted(docs, similarity, id_col, text)
+    return got.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns: the one of least doc_id (null last), then of least text hash.
+
+    Of rows equal in both the one of least hash over all columns stays.
+    """
+    k_id, k_h = unused(docs, "k_id", "k_h")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    best = _rooted(docs, similarity, id_col, text).groupBy("root", "doc_id", "h").agg(F.count("*").alias("rows")).groupBy("root").agg(F.min(F.struct(place.alias("place"), "rows")).alias("best"))
+    best = saved(best.select(F.col("best.place.doc_id").alias(k_id), F.col("best.place.h").alias(k_h), F.col("best.rows").alias("rows")), "near-best")
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(k_id)) & (F.xxhash64(text_col(text)) == F.col(k_h))
+
+    def rows(keys: DataFrame) -> DataFrame:
+        keys = keys.select(k_id, k_h)
+        return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on)
+
+    mine = [F.col(f"`{c}`") for c in docs.columns]
+    once, often = best.filter("rows = 1"), best.filter("rows > 1")
+    kept = rows(once).select(*mine)
+    if often.isEmpty():
+        return kept
+    # Only repeated rows are ranked; all but the first of each go before the exchange.
+    (nth,) = unused(docs, "nth")
+    rank = F.row_number().over(Window.partitionBy(k_id, k_h).orderBy(F.xxhash64(*mine)))
+    return kept.unionAll(rows(often).withColumn(nth, rank).filter(F.col(nth) == 1).select(*mine))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
