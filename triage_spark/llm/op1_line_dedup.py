@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage_spark.llm.common import saved, text_col, unused
+from triage_spark.llm.setjoin import fits, prefix_size, rare_prefixes, side, small
 
 WORDS = 5
 #: The least Jaccard likeness, P / Q.
@@ -52,11 +53,6 @@ def lines_of(text: Column) -> Column:
     return F.split(F.when(odd, F.translate(text, "\t\r", "  ")).otherwise(text), "\n")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The saved table ``df``, with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def judged_lines(docs: DataFrame) -> DataFrame:
     """doc_id, dh, no, c1, c2, n, prefix of each line with tokens, and one row with no = -1 and the number of lines as n for each document."""
     # The null line in front stands for the document.
@@ -64,22 +60,11 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     numbered = listed.select("doc_id", "dh", F.size("ls").alias("lines"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "ls")).alias("place", "line"))
     words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", f"inline(transform(array({WORDS_OF}), w -> struct(xxhash64(w) AS c1, xxhash64(1, w) AS c2, CASE WHEN size(w) >= {WORDS} THEN {TOKENS} END AS s)))")
     # Tokens are sorted by hash, so the prefix is the front of the list.
-    cut = f"inline(transform(array(s), s -> struct(size(s) AS n, slice(s, 1, greatest(0, size(s) - ({P} * size(s) + {Q - 1}) div {Q} + 1)) AS prefix)))"
+    cut = f"inline(transform(array(s), s -> struct(size(s) AS n, slice(s, 1, {prefix_size('size(s)', P, Q)}) AS prefix)))"
     cut_lines = words.filter("no < 0 OR s IS NOT NULL").selectExpr("doc_id", "dh", "no", "lines", "c1", "c2", cut)
     return cut_lines.withColumn("n", F.when(F.col("no") < 0, F.col("lines")).otherwise(F.col("n"))).drop("lines")
 
 
-def fits(a: str, b: str) -> Column:
-    """Length and position filter of two prefix entries (n, at from 1): can enough tokens be common?"""
-    na, nb, ia, ib = (F.col(f"{x}_{c}") for c in ("n", "at") for x in (a, b))
-    most = 1 + F.least(na - ia, nb - ib)
-    return (F.least(na, nb) * Q >= F.greatest(na, nb) * P) & (most * (P + Q) >= (na + nb) * P)
-
-
-def side(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in cols])
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b: first class keys) whose token sets are as like as asked for."""
     left = sets.select(F.col("c1").alias("a"), F.col("s").alias("a_s"))
@@ -99,15 +84,6 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFram
     return got.selectExpr("c1", "first", f"inline(transform(array({WORDS_OF}), w -> struct({TOKENS} AS s)))").dropDuplicates(["c1"])
 
 
-def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """token, c1, first, n, at: prefix entries under the order of rarity among these sets, for tokens of two sets at least."""
-    all_ = sets.select("c1", F.explode("s").alias("token"))
-    counts = saved(all_.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("token", "d_token"), "line-counts")
-    ranked = all_.join(small(counts), F.col("token") == F.col("d_token"), "left").groupBy("c1").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("order"))
-    front = ranked.selectExpr("c1", "size(order) AS n", f"posexplode(slice(order, 1, size(order) - ({P} * size(order) + {Q - 1}) div {Q} + 1)) AS (i, e)")
-    return front.filter("e.df > 1").select("e.token", "c1", "n", (F.col("i") + 1).alias("at")).join(sets.select("c1", "first"), "c1")
-
-
 def later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of each matching pair the class whose first line comes later."""
     a, b = sets.select(F.col("c1").alias("a"), F.col("first").alias("a_first")), sets.select(F.col("c1").alias("b"), F.col("first").alias("b_first"))
@@ -116,7 +92,7 @@ def later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def heavy_removed(sets: DataFrame) -> DataFrame:
     """c1 of the sets that match an earlier one, by rarity prefixes and hubs."""
-    entries = saved(rare_prefixes(sets), "line-rare")
+    entries = saved(rare_prefixes(sets, P, Q, BROADCAST_ROWS).join(sets.select("c1", "first"), "c1"), "line-rare")
     removed, hubs, open_ = None, None, entries
     for turn in range(HUBS + 1):
         if turn < HUBS:
@@ -127,7 +103,7 @@ def heavy_removed(sets: DataFrame) -> DataFrame:
             # The exact rest: every earlier line of the bucket beyond the hubs.
             early = entries.join(hubs.withColumnRenamed("first", "h_first"), "token").filter("first > h_first")
         cols = ["c1", "first", "n", "at"]
-        met = side(open_, "x", cols).join(side(early, "y", cols), "token").filter(F.col("y_first") < F.col("x_first")).filter(fits("x", "y"))
+        met = side(open_, "x", cols).join(side(early, "y", cols), "token").filter(F.col("y_first") < F.col("x_first")).filter(fits("x", "y", P, Q))
         pairs = saved(met.select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b")).distinct(), "line-pairs")
         found = saved(verified(pairs, sets).select(F.col("a").alias("c1")).distinct(), "line-found")
         removed = found if removed is None else removed.unionAll(found)
@@ -149,14 +125,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     entry = judged.selectExpr("c1", "n", "posexplode(prefix) AS (i, token)")
     shared = judged.select("c1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi")
     shared = saved(shared.select(F.col("token").alias("s_token")), "line-shared")
-    entries = entry.join(small(shared), F.col("token") == F.col("s_token")).select("token", "c1", "n", (F.col("i") + 1).alias("at")).distinct()
+    entries = entry.join(small(shared, BROADCAST_ROWS), F.col("token") == F.col("s_token")).select("token", "c1", "n", (F.col("i") + 1).alias("at")).distinct()
     entries = saved(entries, "line-entries")
     count = entries.groupBy("token").agg(F.count("*").alias("k")).withColumnRenamed("token", "k_token")
     counted = entries.join(count, F.col("token") == F.col("k_token"))
     light = saved(counted.filter(F.col("k") < HEAVY).select("token", "c1", "n", "at"), "line-light")
     heavy = saved(counted.filter(F.col("k") >= HEAVY).select("c1").distinct(), "line-heavy")
     cols = ["c1", "n", "at"]
-    pairs = side(light, "x", cols).join(side(light, "y", cols), "token").filter("x_c1 < y_c1").filter(fits("x", "y"))
+    pairs = side(light, "x", cols).join(side(light, "y", cols), "token").filter("x_c1 < y_c1").filter(fits("x", "y", P, Q))
     pairs = saved(pairs.select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b")).distinct(), "line-pairs")
 
     wanted = heavy.unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()

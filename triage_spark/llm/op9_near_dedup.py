@@ -13,18 +13,20 @@ Bands of ``ROWS`` slots give candidates: at J = 0.8 a pair shares none of the
 (see ``weighted_shingles``), so J stays close to the plain Jaccard likeness of the shingle
 sets, on which every candidate pair is verified exactly.
 
-Classes, without pairing up a bucket: exact copies are one node.  A round
-compares every node of a bucket with one hub (the bucket's least node at first) and joins
-what is linked to classes.  As long as buckets hold nodes of different classes, a next
-round takes a hub from outside the first hub's class, and compares it with all nodes of other classes.  When the pairs
-of different classes are about as few as the nodes, the last round compares them all. So no
-candidate pair of different classes stays unchecked, and a group of near copies costs rows in
-proportion to its size.  Hubs with many members are dealt over several tasks, with their text.
+Classes, without pairing up a bucket: exact copies are one node.  Every node of a
+bucket is compared with one hub, the bucket's least node, and what is linked is joined to classes; that
+settles most groups of near copies with rows in proportion to their size.  Where
+buckets still hold nodes of different classes, all their nodes go through an exact set-similarity join:
+shingles in order of rarity among these nodes, and only nodes of different classes that share one in
+their prefixes can be linked.  Members of a family that are less alike than asked for have
+shingles of their own in the prefix and do not meet.  So no link between different texts
+is lost among the candidates.  Hubs with many members are dealt over several tasks, with their text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from triage_spark.llm.common import saved, text_col, text_steps, unused
 from triage_spark.llm.components import components
+from triage_spark.llm.setjoin import fits, rare_prefixes, side
 from triage_spark.llm.shingles import U64, mix, weighted_shingles
 
 SIMILARITY = 0.8
@@ -44,9 +47,8 @@ HUB_MEMBERS = 256
 BROADCAST_ROWS = 200_000
 #: Rows of (id, hash) up to which they are broadcast to the scan, about 30 bytes each.
 BROADCAST_KEYS = 1_000_000
-#: Pairs of different classes for each node, below which they are all compared.
-REST_PAIRS = 2
-MOST_ROUNDS = 12
+#: Counted shingles up to which they are broadcast, 16 bytes each.
+BROADCAST_TOKENS = 1_000_000
 STEP = 1_500_000
 
 _STEP, _SLOT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -116,10 +118,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
     member = pairs.join(parts.withColumnRenamed("a", "p_a"), F.col("a") == F.col("p_a")).select("a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.col("b").alias("node"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
-    wanted = member.unionByName(heads).join(nodes.select(F.col("node").alias("n_node"), "rep", F.col("h").alias("n_h")), F.col("node") == F.col("n_node"))
-    wanted = saved(wanted.select("a", "part", "node", "rep", "n_h"), "near-wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("n_h"))).select("a", "part", "node", "text")
+    rows = _text_rows(docs, nodes, member.unionByName(heads))
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", (F.col("node") != F.col("a")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,50 +136,59 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _text_rows(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` (with node) and the text of each of its nodes."""
+    named = wanted.join(nodes.select(F.col("node").alias("n_node"), "rep", F.col("h").alias("n_h")), F.col("node") == F.col("n_node")).drop("n_node")
+    named = saved(named, "near-wanted")
+    side_ = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    return docs.join(side_, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("n_h"))).select(*wanted.columns, "text")
+
+
+def _prefix_pairs(docs: DataFrame, nodes: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that can be as like as ``similarity``; held: distinct node, root."""
+    p, q = Fraction(similarity).limit_denominator(1000).as_integer_ratio()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_steps(batches, "text", STEP):
+            sets = shingle_sets(b.column("text").to_pylist())
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["c1", "s"])
+
+    texts = _text_rows(docs, nodes, held.select("node"))
+    sets = saved(texts.mapInArrow(run, "c1 long, s array<long>").dropDuplicates(["c1"]), "near-sets")
+    entries = rare_prefixes(sets, p, q, BROADCAST_TOKENS).join(held.select(F.col("node").alias("c1"), "root"), "c1")
+    entries = saved(entries, "near-rare")
+    # In a bucket, members of its largest class meet the others only.
+    sizes = entries.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = entries.join(saved(sizes.filter("roots > 1").select("token", "main"), "near-mixed"), "token")
+    x = side(mixed.filter("root <> main"), "x", ["c1", "n", "at", "root"])
+    y = side(mixed, "y", ["c1", "n", "at", "root", "main"])
+    met = x.join(y, "token").filter("x_root <> y_root AND (y_root = y_main OR x_c1 < y_c1)").filter(fits("x", "y", p, q))
+    return met.select(F.least("x_c1", "y_c1").alias("a"), F.greatest("x_c1", "y_c1").alias("b")).distinct()
+
+
 def _rooted(docs: DataFrame, similarity: float, id_col: str, text: str) -> DataFrame:
     """doc_id, h (hash of the text), root (number of the class), class_id of each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     signed = saved(_signed(rows.select("doc_id", "text", "h", F.md5("text").alias("copy"))), "near-signed")
     nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("bands").alias("bands"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    total = nodes.count()
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "node")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub")
     # Buckets with one node, most of all, are gone from here on.
-    buckets = saved(buckets.join(shared, "key"), "near-buckets")
-
-    root = nodes.select(F.col("node").alias("r_node"), F.col("node").alias("root"))
-    links = checked = None
-    for turn in range(MOST_ROUNDS):
-        if links is not None:
-            root = saved(components(links).select(F.col("node").alias("r_node"), "root"), "near-roots")
-        held = buckets.join(root, F.col("node") == F.col("r_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        classes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
-        open_ = classes.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("root").alias("least")).filter("k > 1")
-        open_ = saved(open_.select(F.col("key").alias("o_key"), "least", (F.expr("n * n - squares") / 2).alias("pairs")), "near-open")
-        held = held.join(open_, F.col("key") == F.col("o_key")).select("key", "node", "root", "least")
-        rest = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not rest:
-            break
-        last = turn and (rest <= REST_PAIRS * total or turn == MOST_ROUNDS - 1)
-        if last:
-            other = held.select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-            pairs = held.withColumnRenamed("node", "b").join(other, "key").filter("a < b AND a_root <> root").select("a", "b")
-        else:
-            # Later hubs come from outside the class that the bucket's first hub belongs to.
-            hubs = (held.filter("root <> least") if turn else held).groupBy("key").agg(F.min("node").alias("a"))
-            hubs = hubs.join(held.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")), ["key", "a"])
-            pairs = held.withColumnRenamed("node", "b").join(hubs, "key").filter("a_root <> root").select("a", "b")
-        pairs = pairs.distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        pairs = saved(pairs, "near-pairs")
-        found = saved(_verified(rows, nodes, pairs, similarity), "near-links")
-        links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if last:
-            root = saved(components(links).select(F.col("node").alias("r_node"), "root"), "near-roots")
-            break
+    buckets = saved(buckets.join(hubs, "key"), "near-buckets")
+
+    pairs = saved(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    links = saved(_verified(rows, nodes, pairs, similarity), "near-links")
+    root = saved(components(links), "near-roots").withColumnRenamed("node", "r_node")
+    held = saved(buckets.join(root, F.col("node") == F.col("r_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-held")
+    open_ = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    held = saved(held.join(open_, "key", "left_semi").select("node", "root").distinct(), "near-open")
+    if not held.isEmpty():
+        pairs = saved(_prefix_pairs(rows, nodes, held, similarity), "near-pairs")
+        links = saved(_verified(rows, nodes, pairs, similarity).unionAll(links), "near-links")
+        root = saved(components(links), "near-roots").withColumnRenamed("node", "r_node")
     of = nodes.join(root, F.col("node") == F.col("r_node"), "left").select("copy", "rep", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = of.join(least, "root").select(F.col("copy").alias("n_copy"), "root", "class_id")
