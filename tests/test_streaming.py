@@ -41,7 +41,7 @@ def test_dedupe_stream_multi_batch(spark, sf_small, split_events):
     want = first_per_key(with_key(FX.ticket_requests(FX.table(spark, sf_small, "events"))))
     assert rows(got, "key", "ticket_id") == rows(want, "key", "ticket_id")
     # 4 batches committed
-    assert spark.read.parquet(f"{run.root}/firsts/_manifest").select("version").distinct().count() == 4
+    assert spark.read.parquet(f"{run.root}/_commits").select("batch").distinct().count() == 4
 
 
 def test_ledger_and_state_stream_multi_batch(spark, sf_small, split_events):
@@ -59,17 +59,86 @@ def test_ledger_and_state_stream_multi_batch(spark, sf_small, split_events):
     assert audit.count() == 2 * batch.count()
 
 
-def test_replayed_batch_is_idempotent(spark, sf_small):
-    """Running the same micro-batch twice (a replay after a failure) leaves one copy."""
+class Stopped(Exception):
+    pass
+
+
+def _outputs(job):
+    """Everything a ledger job left, as sorted rows."""
+    audit = job.committed_rows(job.audit_root).drop("log_date")
+    replies = job.committed_rows(job.replies_root)
+    return rows(job.ledger.read()), rows(job.state.read()), rows(audit), rows(replies)
+
+
+@pytest.fixture(scope="module")
+def clean(spark, sf_small, split_events):
+    run = SJ.new_run(spark, "t-clean", tempfile.mkdtemp(prefix="t-clean-", dir="/tmp"))
+    job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=3)
+    return _outputs(job)
+
+
+@pytest.mark.parametrize("mode, fail_at", [("static", 2), ("dynamic", 3), ("static", 4), ("dynamic", 5)])
+def test_failed_batch_replays_to_the_clean_result(spark, sf_small, split_events, clean, monkeypatch, mode, fail_at):
+    """The second batch stops before its n-th write (replies, ledger, audit, state, commit) and starts again."""
+    from triage_spark.sinks import versioned as V
+
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        run = SJ.new_run(spark, "t-fail", tempfile.mkdtemp(prefix="t-fail-", dir="/tmp"))
+        whole, seen = V.overwrite, []
+
+        def stopping(df, path, *by):
+            seen.append(path)
+            if "batch_id=1" in path or "v=1" in path or path.endswith("_commits/batch=1"):
+                stopping.n += 1
+                if stopping.n == fail_at:
+                    raise Stopped(path)
+            whole(df, path, *by)
+
+        stopping.n = 0
+        monkeypatch.setattr(V, "overwrite", stopping)
+        monkeypatch.setattr(SJ, "overwrite", stopping)
+        with pytest.raises(Exception, match="Stopped"):
+            SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=3)
+        monkeypatch.setattr(V, "overwrite", whole)
+        monkeypatch.setattr(SJ, "overwrite", whole)
+        # The restart asks for another bucket count; the stored one holds.
+        job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=7)
+        assert job.ledger.buckets == job.state.buckets == 3
+        assert _outputs(job) == clean
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_reopened_table_keeps_its_buckets(spark, sf_small):
+    """A table opened again with another count loses no key; a committed batch is not written twice."""
     from triage_spark.schemas import FIRSTS_SCHEMA
-    from triage_spark.sinks.versioned import VersionedTable
+    from triage_spark.sinks.versioned import CommitLog, VersionedTable
 
-    root = tempfile.mkdtemp(prefix="t-replay-", dir="/tmp")
-    store = VersionedTable(spark, root, "key", FIRSTS_SCHEMA, 4)
+    root = tempfile.mkdtemp(prefix="t-reopen-", dir="/tmp")
     firsts = first_per_key(with_key(FX.ticket_requests(FX.table(spark, sf_small, "events")))).select(*FIRSTS_SCHEMA.fieldNames())
-    for _ in range(2):
-        store.write(firsts, 0, store.touched(firsts))
-    assert store.read().count() == firsts.count()
+    log = CommitLog(spark, f"{root}/_commits")
+    store = VersionedTable(log, root, "firsts", "key", FIRSTS_SCHEMA, 4)
+    written = store.write(firsts, 0, store.touched(firsts))
+    assert store.read().count() == 0  # nothing is visible before the commit
+    log.commit(0, written)
+    again = VersionedTable(CommitLog(spark, f"{root}/_commits"), root, "firsts", "key", FIRSTS_SCHEMA, 8)
+    few = firsts.limit(20)
+    touched = again.touched(few)
+    again.log.commit(1, again.write(again.read(touched), 1, touched))
+    assert again.buckets == 4 and rows(again.read()) == rows(firsts)
+    assert again.log.committed(1) and not again.log.committed(2)
+
+
+def test_only_a_missing_log_is_empty(spark, tmp_path):
+    from triage_spark.sinks.versioned import CommitLog
+
+    assert CommitLog(spark, f"{tmp_path}/none").newest() == (-1, {}, {})
+    bad = tmp_path / "log" / "batch=0"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        CommitLog(spark, str(tmp_path / "log")).newest()
 
 
 def test_triage_and_failure_streams(spark, sf_small):

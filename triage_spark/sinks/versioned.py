@@ -1,30 +1,39 @@
-"""A keyed Parquet table written in versions of hash buckets (SNK-1 storage).
+"""Keyed Parquet tables in versions of hash buckets, committed together (SNK-1 storage).
 
 No table format (Delta, Iceberg, Hudi) ships with this build, so upserts are
 written as plain Parquet:
 
-    <root>/data/v=<version>/kb=<bucket>/part-*.parquet
-    <root>/_manifest/batch=<version>/part-*.parquet   (rows: kb, version)
+    <table>/v=<batch>/kb=<bucket>/part-*.parquet
+    <log>/batch=<batch>/part-*.parquet   (rows: name, kb, version, buckets)
 
 ``kb = pmod(xxhash64(key), buckets)``.  A micro-batch rewrites only the
-buckets its keys fall in, into a new version folder, and then writes its
-manifest rows; the manifest is the commit.  Readers take, per bucket, the
-newest version named in the manifest, so a half-written version is never
-read, and a replayed batch overwrites its own folders (same version = batch
-id).  The manifest holds at most ``buckets`` rows per batch, so reading it on
-the driver is bounded by the bucket count, not by the data.  Where a catalog
-with ``MERGE INTO`` is available, ``DataFrame.mergeInto`` replaces all this.
+buckets its keys fall in, into a version folder of its own.  One commit record,
+written last, covers every table (and plain output folder) of the batch and
+holds the current version of all their buckets, so
+
+* a batch that fails half-way has committed nothing: its replay reads the
+  versions of earlier batches and writes the same folders again;
+* a batch that is already committed is skipped;
+* the bucket count belongs to the table: it is stored with it, and a later
+  run with another setting keeps the stored one.
+
+A record holds at most ``tables x buckets`` rows, and a reader needs the newest
+one alone, so reading it on the driver is bounded by the bucket count.  Only
+"path not found" means that nothing is committed yet; any other error is raised.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MANIFEST_SCHEMA = T.StructType([T.StructField("kb", T.IntegerType()), T.StructField("version", T.LongType())])
+COMMIT_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("kb", T.IntegerType()), T.StructField("version", T.LongType()), T.StructField("buckets", T.IntegerType())])
+#: Names a commit that holds no bucket, so every committed batch has a record.
+NO_TABLE = ""
 
 
 def bucket_of(key: str | Column, buckets: int) -> Column:
@@ -32,63 +41,99 @@ def bucket_of(key: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
+def overwrite(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write ``df`` as the whole content of ``path``, whatever the session's overwrite mode is."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+class CommitLog:
+    """The committed batches of one job and the bucket versions they left."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._newest: tuple[int, dict[str, dict[int, int]], dict[str, int]] | None = None
+
+    def batches(self) -> DataFrame:
+        """batch of every committed record (the folder names; no file is read)."""
+        schema = T.StructType([*COMMIT_SCHEMA.fields, T.StructField("batch", T.LongType())])
+        return self.spark.read.schema(schema).parquet(self.root).select("batch")
+
+    def newest(self) -> tuple[int, dict[str, dict[int, int]], dict[str, int]]:
+        """(batch, versions by table and bucket, bucket count by table); -1 before the first commit."""
+        if self._newest is None:
+            try:
+                last = self.batches().agg(F.max("batch")).first()[0]
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                last = None
+            if last is None:
+                return -1, {}, {}
+            rows = self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/batch={last}").filter(F.col("name") != NO_TABLE).collect()
+            versions: dict[str, dict[int, int]] = {}
+            for r in rows:
+                versions.setdefault(r.name, {})[r.kb] = r.version
+            self._newest = int(last), versions, {r.name: r.buckets for r in rows}
+        return self._newest
+
+    def committed(self, batch: int) -> bool:
+        return batch <= self.newest()[0]
+
+    def commit(self, batch: int, written: dict[str, tuple[int, Iterable[int]]]) -> None:
+        """Make ``batch`` current; written: bucket count and rewritten buckets by table."""
+        _, versions, counts = self.newest()
+        versions = {n: dict(v) for n, v in versions.items()}
+        for name, (buckets, touched) in written.items():
+            counts = counts | {name: buckets}
+            versions.setdefault(name, {}).update(dict.fromkeys(touched, batch))
+        rows = [(n, kb, v, counts[n]) for n, m in versions.items() for kb, v in m.items()] or [(NO_TABLE, 0, batch, 0)]
+        # Bounded by tables x buckets; a JVM literal, no Python rows and no Python worker.
+        struct = [F.struct(F.lit(n).alias("name"), F.lit(kb).cast("int").alias("kb"), F.lit(v).cast("long").alias("version"), F.lit(c).cast("int").alias("buckets")) for n, kb, v, c in rows]
+        overwrite(self.spark.range(1).select(F.inline(F.array(*struct))).coalesce(1), f"{self.root}/batch={batch}")
+        self._newest = None
+
+
 class VersionedTable:
     def __init__(
         self,
-        spark: SparkSession,
+        log: CommitLog,
         root: str,
+        name: str,
         key: str,
         schema: T.StructType,
         buckets: int = 64,
         base: DataFrame | None = None,
         files_per_bucket: int = 1,
     ):
-        self.spark = spark
-        self.root = root.rstrip("/")
+        self.spark, self.log = log.spark, log
+        self.root = f"{root.rstrip('/')}/{name}"
+        self.name = name
         self.key = key
         self.schema = schema
-        self.buckets = buckets
+        self.buckets = log.newest()[2].get(name, buckets)
         self.base = base  # rows of buckets never written (e.g. the account dimension)
         # Rows have one row per key, so buckets are even; at scale raise
         # ``buckets`` (a bucket is one task's worth) or ``files_per_bucket``.
         self.files_per_bucket = files_per_bucket
-        self._manifest: dict[int, int] | None = None  # read once, dropped by every write
 
     # ------------------------------------------------------------------ read
     def manifest(self) -> dict[int, int]:
-        """Newest committed version per bucket (at most ``buckets`` entries)."""
-        if self._manifest is None:
-            self._manifest = self._read_manifest()
-        return self._manifest
-
-    def _read_manifest(self) -> dict[int, int]:
-        path = f"{self.root}/_manifest"
-        try:
-            m = self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
-        except Exception:  # noqa: BLE001 - no commit yet
-            return {}
-        rows = m.groupBy("kb").agg(F.max("version").alias("version")).collect()
-        return {int(r["kb"]): int(r["version"]) for r in rows}
+        """Committed version per bucket (at most ``buckets`` entries)."""
+        return self.log.newest()[1].get(self.name, {})
 
     def read(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        """Current rows of the given buckets (all buckets when None)."""
+        """Committed rows of the given buckets (all buckets when None)."""
         want = sorted(set(range(self.buckets) if buckets is None else buckets))
         man = self.manifest()
         written = [b for b in want if b in man]
         parts: list[DataFrame] = []
         if written:
-            paths = [f"{self.root}/data/v={man[b]}/kb={b}" for b in written]
-            parts.append(
-                self.spark.read.schema(self.schema)
-                .option("basePath", f"{self.root}/data")
-                .parquet(*paths)
-                .select(*self.schema.fieldNames())
-            )
+            paths = [f"{self.root}/v={man[b]}/kb={b}" for b in written]
+            parts.append(self.spark.read.schema(self.schema).option("basePath", self.root).parquet(*paths).select(*self.schema.fieldNames()))
         fresh = [b for b in want if b not in man]
         if fresh and self.base is not None:
-            parts.append(
-                self.base.filter(bucket_of(self.key, self.buckets).isin(fresh)).select(*self.schema.fieldNames())
-            )
+            parts.append(self.base.filter(bucket_of(self.key, self.buckets).isin(fresh)).select(*self.schema.fieldNames()))
         if not parts:
             return self.spark.createDataFrame([], self.schema)
         out = parts[0]
@@ -107,30 +152,21 @@ class VersionedTable:
         return sorted(int(r[0]) for r in df.select(bucket_of(k, self.buckets)).distinct().collect())
 
     # ----------------------------------------------------------------- write
-    def write(self, rows: DataFrame, version: int, buckets: Iterable[int]) -> None:
-        """Write the full new content of ``buckets`` as ``version``, then commit it."""
+    def write(self, rows: DataFrame, version: int, buckets: Iterable[int]) -> dict[str, tuple[int, list[int]]]:
+        """Write the full new content of ``buckets`` as ``version``; returns what ``CommitLog.commit`` takes.
+
+        Nothing is visible before that commit.  A bucket may end up without
+        rows; its folder is then missing, so such buckets are kept out of the record
+        only if they have no rows at all, which an upsert never causes.
+        """
         buckets = sorted(set(buckets))
-        if not buckets:
-            return
-        self._manifest = None
-        (
-            rows.select(*self.schema.fieldNames())
-            .withColumn("kb", bucket_of(self.key, self.buckets))
-            .withColumn("_f", F.pmod(F.xxhash64(F.col(self.key), F.lit(7)), F.lit(self.files_per_bucket)))
-            .repartition(len(buckets) * self.files_per_bucket, "kb", "_f")
-            .drop("_f")
-            .write.mode("overwrite")
-            .partitionBy("kb")
-            .parquet(f"{self.root}/data/v={version}")
-        )
-        # at most ``buckets`` rows, built as a JVM literal (no Python rows, no Python worker)
-        commit = self.spark.range(1).select(
-            F.inline(
-                F.array(
-                    *[F.struct(F.lit(b).cast("int").alias("kb"), F.lit(int(version)).cast("long").alias("version"))
-                      for b in buckets]
-                )
+        if buckets:
+            placed = (
+                rows.select(*self.schema.fieldNames())
+                .withColumn("kb", bucket_of(self.key, self.buckets))
+                .withColumn("_f", F.pmod(F.xxhash64(F.col(self.key), F.lit(7)), F.lit(self.files_per_bucket)))
+                .repartition(len(buckets) * self.files_per_bucket, "kb", "_f")
+                .drop("_f")
             )
-        )
-        commit.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_manifest/batch={version}")
-        self._manifest = None
+            overwrite(placed, f"{self.root}/v={version}", "kb")
+        return {self.name: (self.buckets, buckets)}

@@ -6,7 +6,8 @@ can feed several sinks and be replayed safely:
 
 * every write of batch ``n`` goes to a folder named by ``n`` (overwrite), so
   a replay after a failure rewrites the same folders;
-* the versioned tables commit through a manifest written last.
+* one commit record over all outputs of the batch is written last; a batch
+  reads only what earlier batches committed, and is skipped if its own record is there.
 
 Order: tickets are applied in arrival (micro-batch) order, and by
 ``(created_at, ticket_id)`` inside a batch.  The stream equals the batch
@@ -31,7 +32,7 @@ from ..operators.dedupe import first_per_key, with_key
 from ..operators.gate import gate
 from ..plans import triage as TR
 from ..session import scratch_path
-from ..sinks.versioned import VersionedTable, bucket_of
+from ..sinks.versioned import CommitLog, VersionedTable, bucket_of, overwrite
 from ..sources import feeds as FD
 from ..sources import fixtures as FX
 
@@ -94,15 +95,18 @@ def dedupe_stream(
     Per batch: first per key inside the batch (partial aggregate), then an
     anti join with the stored firsts of the touched buckets only.
     """
-    store = VersionedTable(spark, f"{run.root}/firsts", "key", S.FIRSTS_SCHEMA, default_buckets(spark, buckets))
+    log = CommitLog(spark, f"{run.root}/_commits")
+    store = VersionedTable(log, run.root, "firsts", "key", S.FIRSTS_SCHEMA, default_buckets(spark, buckets))
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        if log.committed(batch_id):
+            return
         firsts = first_per_key(with_key(FX.ticket_requests(batch))).select(*S.FIRSTS_SCHEMA.fieldNames())
         firsts = firsts.persist()
         touched = store.touched(firsts)
         seen = store.read(touched)
         new = firsts.join(seen.select("key"), "key", "left_anti")
-        store.write(seen.unionByName(new), batch_id, touched)
+        log.commit(batch_id, store.write(seen.unionByName(new), batch_id, touched))
         firsts.unpersist()
 
     ev = source if source is not None else event_stream(spark, sf_dir)
@@ -113,11 +117,16 @@ def dedupe_stream(
 # ------------------------------------------------------------------ STR-3/4
 @dataclass
 class LedgerJob:
+    log: CommitLog
     ledger: VersionedTable
     state: VersionedTable
     audit_root: str
     replies_root: str
 
+    def committed_rows(self, root: str) -> DataFrame:
+        """The rows of an append-only output that belong to committed batches."""
+        return self.log.spark.read.parquet(root).filter(F.col("batch_id") <= self.log.newest()[0])
+
 
 def default_buckets(spark: SparkSession, buckets: int | None = None) -> int:
     """Hash buckets of a keyed store: given, else the session's shuffle partitions.
@@ -136,9 +145,11 @@ def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun, buckets: int |
         F.lit(False).alias("is_new"),
     )
     buckets = default_buckets(spark, buckets)
+    log = CommitLog(spark, f"{run.root}/_commits")
     return LedgerJob(
-        ledger=VersionedTable(spark, f"{run.root}/ledger", "idempotency_key", S.LEDGER_SCHEMA, buckets),
-        state=VersionedTable(spark, f"{run.root}/accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, buckets, base=accounts),
+        log=log,
+        ledger=VersionedTable(log, run.root, "ledger", "idempotency_key", S.LEDGER_SCHEMA, buckets),
+        state=VersionedTable(log, run.root, "accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, buckets, base=accounts),
         audit_root=f"{run.root}/audit",
         replies_root=f"{run.root}/replies",
     )
@@ -152,12 +163,14 @@ def ledger_stream(
     hits -> cached replies; misses -> first per key -> resolve against the
     account state left by earlier batches -> upsert of the touched ledger
     buckets + audit rows + new account state.  All writes of batch ``n`` are
-    keyed by ``n``; the manifests commit last.
+    keyed by ``n`` and become visible together, by one commit record at the end.
     """
     job = ledger_job(spark, sf_dir, run, buckets)
     tiers = FX.tiers(spark)
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        if job.log.committed(batch_id):
+            return
         keyed = with_key(FX.ticket_requests(batch)).persist()
         read_buckets = job.ledger.touched(keyed, "key")
         ledger_t = job.ledger.read(read_buckets)
@@ -166,9 +179,8 @@ def ledger_stream(
             misses = keyed
         else:
             hits = L.hits(keyed, ledger_t)
-            hits.select("event_id", "key", "stored_ticket_id", "stored_status", *L.cached_columns()).write.mode(
-                "overwrite"
-            ).parquet(f"{job.replies_root}/batch_id={batch_id}")
+            replies = hits.select("event_id", "key", "stored_ticket_id", "stored_status", *L.cached_columns())
+            overwrite(replies, f"{job.replies_root}/batch_id={batch_id}")
             misses = L.misses(keyed, ledger_t)
         new = first_per_key(misses).persist()
         # buckets of the new tickets in both stores, in one job (each set holds at most ``buckets`` ints)
@@ -183,12 +195,11 @@ def ledger_stream(
         # Rewrite only the buckets new tickets fall in (hit-only buckets stay as they are).
         upserted = L.upsert(ledger_t, rows).drop("change")
         upserted = upserted.filter(bucket_of("idempotency_key", job.ledger.buckets).isin(new_buckets))
-        job.ledger.write(upserted, batch_id, new_buckets)
+        written = job.ledger.write(upserted, batch_id, new_buckets)
         # SNK-2: append-only audit, one folder per batch (replay-safe), by log date inside
-        AU.with_log_date(AU.step_rows(res)).write.mode("overwrite").partitionBy("log_date").parquet(
-            f"{job.audit_root}/batch_id={batch_id}"
-        )
-        job.state.write(A.account_state(state_t, A.tool_calls(res)), batch_id, state_buckets)
+        overwrite(AU.with_log_date(AU.step_rows(res)), f"{job.audit_root}/batch_id={batch_id}", "log_date")
+        written |= job.state.write(A.account_state(state_t, A.tool_calls(res)), batch_id, state_buckets)
+        job.log.commit(batch_id, written)
         for d in (res, new, keyed):
             d.unpersist()
 
@@ -207,8 +218,8 @@ def failure_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Dat
 
     def step(batch: DataFrame, batch_id: int) -> None:
         f = FD.parse_failures(FX.workflow_failures_raw(batch)).persist()
-        failure_audit(f).write.mode("overwrite").parquet(f"{audit_root}/batch_id={batch_id}")
-        f.select(ops_alert().alias("a")).select("a.*").write.mode("overwrite").parquet(f"{alert_root}/batch_id={batch_id}")
+        overwrite(failure_audit(f), f"{audit_root}/batch_id={batch_id}")
+        overwrite(f.select(ops_alert().alias("a")).select("a.*"), f"{alert_root}/batch_id={batch_id}")
         f.unpersist()
 
     ev = source if source is not None else event_stream(spark, sf_dir)
