@@ -57,9 +57,10 @@ def confidence_histogram(df: DataFrame, width_thousandths: int = 50) -> DataFram
     )
 
 
-def recent(df: DataFrame, columns: Sequence[str], k: int = 50) -> DataFrame:
-    """SRT-1: the k newest rows (a top-k report: Spark plans TakeOrderedAndProject)."""
-    return df.orderBy(F.desc("created_at"), F.asc("ticket_id")).limit(k).select(*columns)
+def recent(df: DataFrame, columns: Sequence[str], k: int | None = None) -> DataFrame:
+    """SRT-1: rows from newest to oldest; the first ``k`` if given (Spark plans TakeOrderedAndProject)."""
+    newest = df.orderBy(F.desc("created_at"), F.asc("ticket_id"))
+    return (newest.limit(k) if k else newest).select(*columns)
 
 
 def latest_per(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

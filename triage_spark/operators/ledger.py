@@ -42,6 +42,7 @@ RESOLVED_FOR_LEDGER = [
     "event_id",
     "ticket_id",
     "customer_id",
+    "customer_email",
     "subject",
     "body",
     "category",
@@ -71,27 +72,29 @@ def ticket_key(key: str | Column = "idempotency_key") -> Column:
 
 def json_str(c: Column) -> Column:
     """A JSON string literal for ``c`` (``null`` when c is null)."""
-    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    j = F.to_json(F.array(c))
+    return F.substr(j, F.lit(2), F.length(j) - 2)
 
 
 def actions_json() -> Column:
-    """``actions_taken`` of a resolved row as JSON text (raw result JSON embedded)."""
-    a = F.col("actions_taken")
-    one = a[0]
-    item = F.concat(
-        F.lit('{"tool_name":'),
-        json_str(one["tool_name"]),
-        F.lit(',"parameters":'),
-        F.to_json(one["parameters"]),
-        F.lit(',"result":'),
-        F.coalesce(one["result"], F.lit("{}")),
-        F.lit(',"success":'),
-        F.when(one["success"], F.lit("true")).otherwise(F.lit("false")),
-        F.lit(',"error":'),
-        json_str(one["error"]),
-        F.lit("}"),
-    )
-    return F.when(F.size(a) == 0, F.lit("[]")).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    """All of ``actions_taken`` of a resolved row as JSON text, in order (raw result JSON embedded)."""
+
+    def item(one: Column) -> Column:
+        return F.concat(
+            F.lit('{"tool_name":'),
+            json_str(one["tool_name"]),
+            F.lit(',"parameters":'),
+            F.coalesce(F.to_json(one["parameters"]), F.lit("{}")),
+            F.lit(',"result":'),
+            F.coalesce(one["result"], F.lit("{}")),
+            F.lit(',"success":'),
+            F.when(one["success"], F.lit("true")).otherwise(F.lit("false")),
+            F.lit(',"error":'),
+            json_str(one["error"]),
+            F.lit("}"),
+        )
+
+    return F.concat(F.lit("["), F.array_join(F.transform("actions_taken", item), ","), F.lit("]"))
 
 
 def ledger_rows(resolved: DataFrame, status: Column | None = None) -> DataFrame:
@@ -101,7 +104,7 @@ def ledger_rows(resolved: DataFrame, status: Column | None = None) -> DataFrame:
         F.col("key").alias("idempotency_key"),
         "ticket_id",
         "customer_id",
-        F.lit(None).cast("string").alias("customer_email"),
+        "customer_email",
         "subject",
         "body",
         "category",

@@ -63,8 +63,10 @@ BASE_CTES = {
     "f1": f"""f1 AS (
   SELECT e.event_id,
          'TCK-' || CAST(e.event_id AS VARCHAR) AS ticket_id,
-         CASE WHEN e.event_id % 5 = 0 THEN ' cust-' || CAST(e.user_id AS VARCHAR) || ' '
+         CASE WHEN e.event_id % 7 = 3 THEN 'GUEST-' || CAST(e.user_id AS VARCHAR)
+              WHEN e.event_id % 5 = 0 THEN ' cust-' || CAST(e.user_id AS VARCHAR) || ' '
               ELSE 'CUST-' || CAST(e.user_id AS VARCHAR) END AS customer_id,
+         CASE WHEN e.event_id % 4 <> 0 THEN 'user' || CAST(e.user_id AS VARCHAR) || '@example.com' END AS customer_email,
          CASE WHEN e.event_id % 11 = 0 THEN NULL
               WHEN e.event_id % 13 = 0 THEN ''
               ELSE 'IDEMP-' || CAST(e.user_id AS VARCHAR) || '-' || {K} END AS idempotency_key,
@@ -95,7 +97,7 @@ BASE_CTES = {
          CASE WHEN c_custkey % 2 = 0 THEN 'ANNUAL' ELSE 'MONTHLY' END AS billing_cycle,
          CAST(10 + c_custkey % 90 AS INTEGER) AS seats_allocated,
          CASE WHEN c_acctbal < 0 THEN 'OVERDUE_WARNING' ELSE 'ACTIVE' END AS status
-  FROM customer WHERE c_custkey % 4 <> 0)""",
+  FROM customer)""",
     "tiers": "tiers(tier_key, name, monthly_cost, max_seats, sla_hours) AS (VALUES "
     + ", ".join(f"({q(k)}, {q(n)}, CAST({c} AS DECIMAL(10,2)), {m}, {s})" for k, n, c, m, s in C.TIERS)
     + ")",
@@ -220,7 +222,7 @@ ACTIONS_JSON_SQL = """CASE WHEN tool_name IS NULL THEN '[]' ELSE
 
 def ledger_rows_sql(src: str, status: str = "status") -> str:
     return f"""SELECT sha256(key) AS ticket_key, key AS idempotency_key, ticket_id, customer_id,
-       CAST(NULL AS VARCHAR) AS customer_email, subject, body, category, {q(C.DEFAULT_PRIORITY)} AS priority,
+       customer_email, subject, body, category, {q(C.DEFAULT_PRIORITY)} AS priority,
        {status} AS status, CAST(confidence_score AS DECIMAL(4,3)) AS confidence_score,
        reasoning AS resolution_summary, customer_reply, {ACTIONS_JSON_SQL} AS actions_taken,
        execution_time_ms, CAST({C.DEFAULT_COST_USD} AS DECIMAL(6,4)) AS cost_estimate_usd,

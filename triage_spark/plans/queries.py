@@ -183,11 +183,11 @@ RECENT_COLS = ["ticket_id", "customer_id", "category", "status", "confidence_sco
     "recent_tickets",
     O.with_base(
         "SELECT ticket_id, customer_id, category, status, confidence_score, created_at FROM gated "
-        "ORDER BY created_at DESC, ticket_id LIMIT 50"
+        "ORDER BY created_at DESC, ticket_id"
     ),
 )
 def q_recent_tickets(spark, sf_dir):
-    return K.recent(decided(spark, sf_dir, ("customer_id",)), RECENT_COLS, 50)
+    return K.recent(decided(spark, sf_dir, ("customer_id",)), RECENT_COLS)
 
 
 @register(
@@ -1053,7 +1053,7 @@ def q_classify_documents(spark, sf_dir):
     return d.select("doc_id", "lang", *classify_text_columns("text"))
 
 
-@register("classify_conversations", _text_cls_sql("conversations", "conv_id, turn", "WHERE role = 'user'"))
+@register("classify_conversations", _text_cls_sql("conversations", "conv_id, turn, role"))
 def q_classify_conversations(spark, sf_dir):
-    c = FX.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return c.select("conv_id", "turn", *classify_text_columns("text"))
+    c = FX.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", *classify_text_columns("text"))

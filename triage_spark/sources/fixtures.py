@@ -69,9 +69,11 @@ def ticket_requests(events: DataFrame) -> DataFrame:
     return events.select(
         eid.alias("event_id"),
         F.concat(F.lit("TCK-"), _s(eid)).alias("ticket_id"),
-        F.when(eid % 5 == 0, F.concat(F.lit(" cust-"), uid, F.lit(" ")))
+        F.when(eid % 7 == 3, F.concat(F.lit("GUEST-"), uid))
+        .when(eid % 5 == 0, F.concat(F.lit(" cust-"), uid, F.lit(" ")))
         .otherwise(F.concat(F.lit("CUST-"), uid))
         .alias("customer_id"),
+        F.when(eid % 4 != 0, F.concat(F.lit("user"), uid, F.lit("@example.com"))).alias("customer_email"),
         F.when(eid % 11 == 0, F.lit(None).cast("string"))
         .when(eid % 13 == 0, F.lit(""))
         .otherwise(F.concat(F.lit("IDEMP-"), uid, F.lit("-"), _prop_k()))
@@ -84,9 +86,9 @@ def ticket_requests(events: DataFrame) -> DataFrame:
 
 
 def accounts(customer: DataFrame) -> DataFrame:
-    """the account dimension; every fourth customer is left out."""
+    """the account dimension, one row for each customer."""
     key = F.col("c_custkey")
-    return customer.filter(key % 4 != 0).select(
+    return customer.select(
         F.concat(F.lit("CUST-"), _s(key)).alias("account_id"),
         F.col("c_name").alias("company_name"),
         F.when(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"), F.lit("Starter"))
