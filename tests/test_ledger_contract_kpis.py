@@ -94,3 +94,30 @@ def test_status_distribution_shares(spark):
     df = spark.createDataFrame([("RESOLVED",)] * 3 + [("ESCALATED",)] + [(None,)], "status string")
     out = rows(K.status_distribution(df))
     assert out == [("ESCALATED", 1, 25.0), ("RESOLVED", 3, 75.0)]
+
+
+def test_every_action_reaches_the_ledger_text(spark):
+    import json
+
+    kind = "actions_taken array<struct<tool_name:string,parameters:map<string,string>,result:string,success:boolean,error:string>>"
+    one = ("a", {"x": "1"}, '{"n":1}', True, None)
+    two = ('b"]', None, None, False, "bad [x]")
+    df = spark.createDataFrame([([],), ([one],), ([one, two],), ([two, one, two],)], kind)
+    got = [json.loads(r[0]) for r in df.select(L.actions_json()).collect()]
+    item = {"a": {"tool_name": "a", "parameters": {"x": "1"}, "result": {"n": 1}, "success": True, "error": None}, "b": {"tool_name": 'b"]', "parameters": {}, "result": {}, "success": False, "error": "bad [x]"}}
+    assert got == [[], [item["a"]], [item["a"], item["b"]], [item["b"], item["a"], item["b"]]]
+
+
+def test_rows_without_a_key_are_not_folded(spark):
+    from triage_spark.operators.dedupe import first_per_key
+
+    df = spark.createDataFrame([(None, None, 1, "a"), (None, None, 1, "b"), (None, "t", 1, "c"), ("k", "t", 2, "d"), ("k", "t", 1, "e")], "key string, ticket_id string, created_at long, body string")
+    assert sorted(r.body for r in first_per_key(df).collect()) == ["a", "b", "c", "e"]
+
+
+def test_reports_prune_the_stored_ledger(spark, sf_small):
+    from triage_spark.plans import queries as Q
+
+    plan = Q.QUERIES["route_counts"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    schema = [x for x in plan.split("\n") if "ReadSchema" in x]
+    assert len(schema) == 1 and "status" in schema[0] and "body" not in schema[0]

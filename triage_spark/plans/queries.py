@@ -419,6 +419,11 @@ def upserted(spark, sf_dir) -> DataFrame:
     return shared(spark, "upserted", sf_dir, build=lambda: LF.upserted(LF.prepare(spark, sf_dir)))
 
 
+def stored_ledger(spark, sf_dir) -> DataFrame:
+    """The upserted ledger as a table, written once per session; the reports scan the columns they show."""
+    return LF.stored_ledger(LF.prepare(spark, sf_dir))
+
+
 @register("seed_ledger", O.with_ledger(f"SELECT {LEDGER_SELECT} FROM seed"))
 def q_seed_ledger(spark, sf_dir):
     return LF.prepare(spark, sf_dir).seed.select(*L.LEDGER_COLUMNS)
@@ -470,7 +475,7 @@ REPORT_COLS = [
 )
 def q_ledger_report_scan(spark, sf_dir):
     """SRC-2 + PRJ-1: 13 columns, newest first (column pruning reaches the plan)."""
-    return upserted(spark, sf_dir).select(*REPORT_COLS).orderBy(F.desc("created_at"))
+    return stored_ledger(spark, sf_dir).select(*REPORT_COLS).orderBy(F.desc("created_at"))
 
 
 @register(
@@ -482,7 +487,7 @@ def q_ledger_report_scan(spark, sf_dir):
     ),
 )
 def q_ledger_display(spark, sf_dir):
-    return K.display_rows(upserted(spark, sf_dir))
+    return K.display_rows(stored_ledger(spark, sf_dir))
 
 
 TICKET_LATEST_COLS = ["ticket_id", "customer_id", "subject", "status", "confidence_score", "resolution_summary",
@@ -497,7 +502,7 @@ TICKET_LATEST_COLS = ["ticket_id", "customer_id", "subject", "status", "confiden
     ),
 )
 def q_ticket_latest(spark, sf_dir):
-    return K.latest_per(upserted(spark, sf_dir), "ticket_id", TICKET_LATEST_COLS)
+    return K.latest_per(stored_ledger(spark, sf_dir), "ticket_id", TICKET_LATEST_COLS)
 
 
 AUDIT_STEPS_SQL = f"""audit AS (
@@ -847,7 +852,7 @@ FROM upserted GROUP BY 1"""
     ),
 )
 def q_route_counts(spark, sf_dir):
-    return RT.route_counts(upserted(spark, sf_dir))
+    return RT.route_counts(stored_ledger(spark, sf_dir))
 
 
 def _pct_sql(c: str) -> str:

@@ -9,6 +9,7 @@ a shared folder) comes from the deployment; we only fill the gap locally.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,8 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is left alone.  Only when it is missing (tests, local runs) do we point
-    it at a fresh folder under the system temp directory.
+    and is left alone.  Only when it is missing in a local session (tests) do we
+    point it at a fresh folder under the system temp directory; executors of a
+    cluster would not share such a folder, so there it must be set.
     """
     global _LOCAL_CHECKPOINT_ROOT
     current = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _LOCAL_CHECKPOINT_ROOT is None:
         _LOCAL_CHECKPOINT_ROOT = tempfile.mkdtemp(prefix="triage-ckpt-")
     spark.conf.set("spark.checkpoint.dir", _LOCAL_CHECKPOINT_ROOT)
