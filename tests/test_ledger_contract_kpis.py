@@ -109,10 +109,10 @@ def test_every_action_reaches_the_ledger_text(spark):
 
 
 def test_rows_without_a_key_are_not_folded(spark):
-    from triage_spark.operators.dedupe import first_per_key
+    from triage_spark.operators.dedupe import first_per_key, with_key
 
-    df = spark.createDataFrame([(None, None, 1, "a"), (None, None, 1, "b"), (None, "t", 1, "c"), ("k", "t", 2, "d"), ("k", "t", 1, "e")], "key string, ticket_id string, created_at long, body string")
-    assert sorted(r.body for r in first_per_key(df).collect()) == ["a", "b", "c", "e"]
+    df = spark.createDataFrame([(None, None, 1, "a"), ("", None, 1, "b"), (None, "t", 1, "c"), ("k", "t", 2, "d"), ("k", "t", 1, "e")], "idempotency_key string, ticket_id string, created_at long, body string")
+    assert sorted(r.body for r in first_per_key(with_key(df)).collect()) == ["a", "b", "c", "e"]
 
 
 def test_reports_prune_the_stored_ledger(spark, sf_small):

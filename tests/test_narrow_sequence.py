@@ -7,6 +7,7 @@ import __spark_entry__ as E
 from conftest import rows
 from triage_spark.functions.rules import classify_columns
 from triage_spark.operators.dedupe import first_fields, first_per_key, with_key
+from triage_spark.plans import ledger_flow as LF
 from triage_spark.plans import queries as Q
 from triage_spark.plans import triage as TR
 from triage_spark.sources import fixtures as FX
@@ -64,12 +65,11 @@ def test_unused_sequence_branch_is_pruned(spark, sf_small):
 
 def test_reports_do_not_shuffle_the_body(spark, sf_small):
     """Responses never show the ticket body, so the dedupe struct leaves it out; the ledger keeps it."""
-    def dedupe_structs(name):
-        p = _plan(E.queries()[name](spark, sf_small))
-        return [ln for ln in p.splitlines() if "partial_min(struct(" in ln]
+    def dedupe_structs(df):
+        return [ln for ln in _plan(df).splitlines() if "partial_min(struct(" in ln]
 
-    assert not any("body, body" in ln for ln in dedupe_structs("response_text"))
-    assert any("body, body" in ln for ln in dedupe_structs("ledger_upsert"))
+    assert not any("body, body" in ln for ln in dedupe_structs(E.queries()["response_text"](spark, sf_small)))
+    assert any("body, body" in ln for ln in dedupe_structs(LF.new_tickets(LF.prepare(spark, sf_small))))
 
 
 def test_reports_and_responses_pick_the_same_first_row(spark, sf_small):
@@ -95,3 +95,9 @@ def test_resolve_with_hot_account_equals_unsalted(spark, sf_small):
     cold = TR.resolve(req, i.accounts, i.tiers, hot_rows=10**9).select(*cols)
     assert rows(hot) == rows(cold)
     assert "xxhash64" in _plan(TR.resolve(req, i.accounts, i.tiers, hot_rows=50))
+
+
+def test_first_row_queries_shuffle_no_body(spark, sf_small):
+    for name in ("dedupe_first", "account_state", "new_tickets"):
+        picks = [x for x in _plan(Q.QUERIES[name](spark, sf_small)).splitlines() if "min(struct(" in x]
+        assert picks and not any("body, body" in x for x in picks), name

@@ -99,7 +99,6 @@ STEP_WORKFLOW_FAILURE = "N8N_WORKFLOW_FAILURE_ROLLBACK"
 # Tool names.
 TOOL_BALANCE = "check_account_balance"
 TOOL_TIER = "update_subscription_tier"
-TOOL_NAMES = [TOOL_BALANCE, TOOL_TIER]
 
 # Text templates (%s / %d slots are filled by format_string).
 TPL_SUB_REASONING = (

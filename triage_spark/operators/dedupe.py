@@ -21,8 +21,13 @@ ORDER = ("created_at", "ticket_id")
 
 
 def with_key(df: DataFrame, key: str = "key") -> DataFrame:
-    """Add the effective key column (request key, else ticket_id)."""
-    return df.withColumn(key, effective_key())
+    """Add the effective key column (request key, else ticket_id).
+
+    A request with neither breaks the contract; it has nothing in common with
+    others of its kind, so a hash of the whole row is its key.
+    """
+    own = F.concat(F.lit("ROW-"), F.hex(F.xxhash64(*df.columns)))
+    return df.withColumn(key, F.coalesce(effective_key(), own))
 
 
 def row_hash(df: DataFrame, key: str = "key", order: Sequence[str] = ORDER) -> Column:
@@ -41,13 +46,11 @@ def first_per_key(
     so the pick is deterministic.  Measured faster than ``min_by`` with a
     separate ordering struct, and it combines map-side just the same.
     ``hash_ties=False`` when ``order`` already ends in such a hash.
-    Rows without a key have nothing in common: each distinct one stays.
     """
     payload = [c for c in df.columns if c != key]
     rest = [c for c in payload if c not in order]
     ties = [row_hash(df, key, order).alias("_tb")] if hash_ties else []
-    unkeyed = F.when(F.col(key).isNull(), F.xxhash64(*order, *rest)).alias("_unkeyed")
-    picked = df.groupBy(key, unkeyed).agg(F.min(F.struct(*order, *ties, *rest)).alias("_first"))
+    picked = df.groupBy(key).agg(F.min(F.struct(*order, *ties, *rest)).alias("_first"))
     return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in payload])
 
 

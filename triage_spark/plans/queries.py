@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import accounts as A
 from ..operators import kpis as K
-from ..operators.dedupe import duplicate_keys, first_per_key, replay, with_key
+from ..operators.dedupe import first_fields, duplicate_keys, first_per_key, replay, with_key
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import triage as TR
@@ -117,7 +117,8 @@ def q_kpi_summary(spark, sf_dir):
 
 @register("dedupe_first", O.with_base("SELECT key, event_id, ticket_id, created_at FROM firsts"))
 def q_dedupe_first(spark, sf_dir):
-    return first_per_key(with_key(requests(spark, sf_dir))).select("key", "event_id", "ticket_id", "created_at")
+    firsts = first_fields(with_key(requests(spark, sf_dir)), {"event_id": F.col("event_id")})
+    return firsts.select("key", "event_id", "ticket_id", "created_at")
 
 
 @register(
@@ -364,7 +365,9 @@ FROM accts a FULL OUTER JOIN (
 @register("account_state", ACCOUNT_STATE_SQL)
 def q_account_state(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    d = TR.classify(first_per_key(with_key(i.requests)))
+    category, target_tier, _ = TR.classify_columns()
+    narrow = {"customer_id": F.col("customer_id"), "category": category, "target_tier": target_tier}
+    d = first_fields(with_key(i.requests), narrow)
     calls = d.filter(F.col("category").isin("SUBSCRIPTION", "BILLING")).withColumn(
         "account_id", A.normalize_id("customer_id")
     )
@@ -444,7 +447,9 @@ def q_ledger_hits(spark, sf_dir):
 
 @register("new_tickets", O.with_ledger("SELECT key, event_id, ticket_id, created_at FROM new_firsts"))
 def q_new_tickets(spark, sf_dir):
-    return LF.new_tickets(LF.prepare(spark, sf_dir)).select("key", "event_id", "ticket_id", "created_at")
+    li = LF.prepare(spark, sf_dir)
+    firsts = first_fields(L.misses(li.incoming, li.seed), {"event_id": F.col("event_id")})
+    return firsts.select("key", "event_id", "ticket_id", "created_at")
 
 
 @register("ledger_upsert", O.with_ledger(f"SELECT {LEDGER_SELECT}, change FROM upserted"))

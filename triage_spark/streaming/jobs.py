@@ -28,7 +28,7 @@ from .. import schemas as S
 from ..operators import accounts as A
 from ..operators import audit as AU
 from ..operators import ledger as L
-from ..operators.dedupe import first_per_key, with_key
+from ..operators.dedupe import ORDER, first_fields, first_per_key, with_key
 from ..operators.gate import gate
 from ..plans import triage as TR
 from ..session import scratch_path
@@ -101,7 +101,9 @@ def dedupe_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         if log.committed(batch_id):
             return
-        firsts = first_per_key(with_key(FX.ticket_requests(batch))).select(*S.FIRSTS_SCHEMA.fieldNames())
+        names = S.FIRSTS_SCHEMA.fieldNames()
+        narrow = {c: F.col(c) for c in names if c not in ("key", *ORDER)}
+        firsts = first_fields(with_key(FX.ticket_requests(batch)), narrow).select(*names)
         firsts = firsts.persist()
         touched = store.touched(firsts)
         seen = store.read(touched)
