@@ -148,3 +148,12 @@ def test_triage_and_failure_streams(spark, sf_small):
     audit_root, alert_root = SJ.failure_stream(spark, sf_small, run)
     n_err = FX.table(spark, sf_small, "events").filter("event_type = 'error'").count()
     assert spark.read.parquet(audit_root).count() == spark.read.parquet(alert_root).count() == n_err
+
+
+def test_contract_stream_loses_no_request(spark, sf_small, split_events):
+    run = SJ.new_run(spark, "t-contract", tempfile.mkdtemp(prefix="t-contract-", dir="/tmp"))
+    SJ.contract_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
+    good, bad, audit = (spark.read.parquet(f"{run.root}/{x}") for x in ("accepted", "fallback", "audit"))
+    assert good.count() + bad.count() == FX.table(spark, sf_small, "events").count()
+    assert audit.count() == 2 * bad.count() > 0
+    assert rows(bad.drop("batch_id")) == rows(Q.q_fallback_rows(spark, sf_small))

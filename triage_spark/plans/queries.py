@@ -15,6 +15,7 @@ from .. import constants as C
 from ..operators import accounts as A
 from ..operators import kpis as K
 from ..operators.dedupe import first_fields, duplicate_keys, first_per_key, replay, with_key
+from ..functions.rules import effective_key
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import triage as TR
@@ -807,23 +808,27 @@ def q_failure_audit_rows(spark, sf_dir):
     return failure_audit(FD.parse_failures(FX.workflow_failures_raw(events(spark, sf_dir))))
 
 
-@register(
-    "fallback_rows",
-    O.with_base(
+FALLBACK_SQL = O.with_base(
         f"""SELECT coalesce(nullif(idempotency_key, ''), ticket_id) AS key, event_id, ticket_id, 'ESCALATED' AS status,
        'TECHNICAL' AS category, CAST(0 AS DECIMAL(4,3)) AS confidence_score,
        printf({O.q(C.TPL_EXC_REASONING)}, 'invalid request: ' || violation_text) AS reasoning,
        printf({O.q(C.TPL_EXC_REPLY)}, coalesce(subject, ''), coalesce(ticket_id, '')) AS customer_reply, violation_text
 FROM (SELECT *, {O.violations_sql(O.REQUEST_RULES_SQL)} FROM f8) WHERE n_violations > 0""",
         [O.F8_CTE],
-    ),
 )
-def q_fallback_rows(spark, sf_dir):
-    checked = CT.check(FX.broken_requests(events(spark, sf_dir)), CT.request_rules())
-    _, bad = CT.split(checked)
-    bad = with_key(bad).withColumns(
+
+
+def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """CON-1 in the flow: (requests that keep the contract, the others with the error that STR-6 reports)."""
+    good, bad = CT.split(CT.check(requests, CT.request_rules()))
+    bad = bad.withColumns({"key": effective_key(), "error": F.concat(F.lit("invalid request: "), F.col("violation_text"))})
+    return good, bad
+
+
+def fallback_outcomes(bad: DataFrame) -> DataFrame:
+    """STR-6: the escalated response of every request that breaks the contract."""
+    bad = bad.withColumns(
         {
-            "error": F.concat(F.lit("invalid request: "), F.col("violation_text")),
             "subject": F.coalesce(F.col("subject"), F.lit("")),
             "ticket_id_text": F.coalesce(F.col("ticket_id"), F.lit("")),
         }
@@ -843,6 +848,33 @@ def q_fallback_rows(spark, sf_dir):
     )
 
 
+@register("fallback_rows", FALLBACK_SQL)
+def q_fallback_rows(spark, sf_dir):
+    return fallback_outcomes(split_requests(FX.broken_requests(events(spark, sf_dir)))[1])
+
+
+@register(
+    "fallback_audit_rows",
+    O.with_base(
+        f"""SELECT sha256(key) AS ticket_key, key AS idempotency_key, step_name, status, confidence_score, latency_ms, input_payload,
+       output_payload, error_message, created_at
+FROM (SELECT *, coalesce(nullif(idempotency_key, ''), ticket_id) AS key, {O.violations_sql(O.REQUEST_RULES_SQL)} FROM f8) b,
+  LATERAL (
+    SELECT {O.q(C.STEP_INGESTION)} AS step_name, 'SUCCESS' AS status, CAST(1 AS DECIMAL(4,3)) AS confidence_score, 0 AS latency_ms,
+           json_object('ticket_id', b.ticket_id, 'customer_id', b.customer_id, 'subject', b.subject)::VARCHAR AS input_payload,
+           CAST(NULL AS VARCHAR) AS output_payload, CAST(NULL AS VARCHAR) AS error_message
+    UNION ALL
+    SELECT {O.q(C.STEP_FALLBACK)}, 'WARNING', CAST(0 AS DECIMAL(4,3)), coalesce(b.execution_time_ms, 0), CAST(NULL AS VARCHAR),
+           json_object('action', {O.q(C.EXC_ACTION)})::VARCHAR, 'invalid request: ' || b.violation_text) s
+WHERE n_violations > 0""",
+        [O.F8_CTE],
+    ),
+)
+def q_fallback_audit_rows(spark, sf_dir):
+    _, bad = split_requests(FX.broken_requests(events(spark, sf_dir)))
+    return AU.fallback_step_rows(bad).select(*AU.AUDIT_COLUMNS)
+
+
 # ---------------------------------------------------------------- slice 6: routing
 
 from ..operators import routing as RT  # noqa: E402
@@ -1045,6 +1077,13 @@ def q_stream_failures(spark, sf_dir):
     return spark.read.parquet(audit_root).select(*AU.AUDIT_COLUMNS)
 
 
+@register("stream_fallback", FALLBACK_SQL)
+def q_stream_fallback(spark, sf_dir):
+    run = SJ.new_run(spark, "stream_fallback")
+    SJ.contract_stream(spark, sf_dir, run)
+    return spark.read.parquet(f"{run.root}/fallback").drop("batch_id")
+
+
 # ---------------------------------------------------------------- rules over the text tables
 
 from ..functions.rules import classify_text_columns  # noqa: E402

@@ -227,3 +227,24 @@ def failure_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Dat
     ev = source if source is not None else event_stream(spark, sf_dir)
     _run(ev.writeStream.foreachBatch(step).option("checkpointLocation", run.ck("failures")).trigger(availableNow=True).start())
     return audit_root, alert_root
+
+
+# --------------------------------------------------------------------- STR-6
+def contract_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> None:
+    """STR-6: requests that keep the contract go on, the others get the fallback response and two audit rows.
+
+    Three outputs of one batch, under ``accepted``, ``fallback`` and ``audit``; no
+    request is lost and none stops the job.
+    """
+    from ..plans.queries import fallback_outcomes, split_requests
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        requests = FX.broken_requests(batch).persist()
+        good, bad = split_requests(requests)
+        overwrite(good.select(*requests.columns), f"{run.root}/accepted/batch_id={batch_id}")
+        overwrite(fallback_outcomes(bad), f"{run.root}/fallback/batch_id={batch_id}")
+        overwrite(AU.fallback_step_rows(bad).select(*AU.AUDIT_COLUMNS), f"{run.root}/audit/batch_id={batch_id}")
+        requests.unpersist()
+
+    ev = source if source is not None else event_stream(spark, sf_dir)
+    _run(ev.writeStream.foreachBatch(step).option("checkpointLocation", run.ck("contract")).trigger(availableNow=True).start())
