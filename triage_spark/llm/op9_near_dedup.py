@@ -14,7 +14,7 @@ Bands of ``ROWS`` slots give candidates: at J = 0.8 a pair shares none of the
 sets, on which every candidate pair is verified exactly.
 
 Classes, without pairing up a bucket: exact copies are one node.  Every node of a
-bucket is compared with one hub, the bucket's least node, and what is linked is joined to classes; that
+bucket is compared with one hub, its node with the most company, and what is linked is joined to classes; that
 settles most groups of near copies with rows in proportion to their size.  Where
 buckets still hold nodes of different classes, all their nodes go through an exact set-similarity join:
 shingles in order of rarity among these nodes, and only nodes of different classes that share one in
@@ -175,11 +175,15 @@ def _rooted(docs: DataFrame, similarity: float, id_col: str, text: str) -> DataF
     nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("bands").alias("bands"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "node")
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     # Buckets with one node, most of all, are gone from here on.
-    buckets = saved(buckets.join(hubs, "key"), "near-buckets")
-
-    pairs = saved(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    buckets = saved(buckets.join(shared, "key"), "near-buckets")
+    # The hub is the node with the most company in all its buckets: of a family of copies, one with few edits.
+    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
+    met = buckets.join(company.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node")).select("key", "node", "company")
+    hubs = met.groupBy("key").agg(F.max(F.struct("company", "node")).alias("hub")).select(F.col("key").alias("h_key"), F.col("hub.node").alias("hub"))
+    pairs = buckets.join(hubs, F.col("key") == F.col("h_key")).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = saved(pairs.distinct(), "near-pairs")
     links = saved(_verified(rows, nodes, pairs, similarity), "near-links")
     root = saved(components(links), "near-roots").withColumnRenamed("node", "r_node")
     held = saved(buckets.join(root, F.col("node") == F.col("r_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-held")
