@@ -76,5 +76,20 @@ def test_adaptive_chunks_for_hot_account(spark, sf_small):
     df = _tool_rows(spark, sf_small, hot=True)
     hot = A.hot_accounts(df, hot_rows=100)
     assert hot.count() == 1  # CUST-7 holds a third of the tickets
-    got = A.account_sequence(df, 3600, hot=hot, chunk_rows=10).select("ticket_id", "previous_tier", "seats_after")
+    got = A.account_sequence(df, 3600, hot=hot, hot_parts=10).select("ticket_id", "previous_tier", "seats_after")
     assert rows(got) == rows(_brute(df))
+
+
+def test_a_burst_is_cut_evenly(spark):
+    """One old row, then 200,000 rows within an hour: no chunk holds more than twice its share."""
+    df = spark.range(200_000).select(
+        F.lit("CUST-1").alias("account_id"),
+        F.when(F.col("id") == 0, F.lit("2020-01-01").cast("timestamp_ntz")).otherwise((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") * 0.018)).cast("timestamp_ntz")).alias("created_at"),
+    )
+    hot = spark.createDataFrame([("CUST-1", 200_000)], "account_id string, n long")
+    cuts = A.hot_cuts(df, hot, 200).first()._cuts
+    times = [r[0] for r in df.select(A.epoch_micros("created_at")).collect()]
+    import bisect
+    from collections import Counter
+
+    assert max(Counter(bisect.bisect_right(cuts, t) for t in times).values()) <= 2 * 1000

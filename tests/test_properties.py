@@ -44,7 +44,7 @@ def test_change_sequence_equals_fold(spark, changes, chunk, chunk_rows):
     df = df.withColumn("key", F.col("ticket_id"))
     # every account with at least 3 changes counts as hot here, so adaptive chunk widths are exercised
     hot = A.hot_accounts(df.withColumn("customer_id", F.col("account_id")), hot_rows=3)
-    got = A.change_sequence(df, "key", chunk, hot=hot, chunk_rows=chunk_rows).collect()
+    got = A.change_sequence(df, "key", chunk, hot=hot, hot_parts=chunk_rows + 1).collect()
     assert {r.key: (r.prev_change_tier, r.run_max_half) for r in got} == _brute(changes)
 
 

@@ -86,17 +86,16 @@ def lookup_accounts(
 
 
 def hot_accounts(requests: DataFrame, id_col: str = "customer_id", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
-    """Accounts holding at least ``hot_rows`` requests, with their time span.
+    """Accounts holding at least ``hot_rows`` requests.
 
     Counted on the raw feed (a partial + final hash aggregate), so the result
     has at most ``rows / hot_rows`` rows: safe to broadcast.  Columns:
-    account_id, n, t_min, t_max (event time in microseconds).
+    account_id, n.
     """
-    t = epoch_micros("created_at")
     return (
-        requests.select(normalize_id(id_col).alias("account_id"), t.alias("_t"))
+        requests.select(normalize_id(id_col).alias("account_id"))
         .groupBy("account_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t_min"), F.max("_t").alias("t_max"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= hot_rows)
     )
 
@@ -119,28 +118,31 @@ def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
     return out.withColumn("tier_valid", F.col("_tk").isNotNull()).drop("_tk")
 
 
-DEFAULT_CHUNK_ROWS = 1_000_000
+#: Chunks that a hot account is cut into, at quantiles of its own times.
+HOT_PARTS = 256
 
 
-def hot_width(chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Column:
-    """Chunk width (microseconds) of a hot account: about ``chunk_rows`` rows per chunk, at least one second."""
-    return F.greatest(
-        F.lit(1_000_000.0),
-        (F.col("t_max") - F.col("t_min") + 1).cast("double") * F.lit(float(chunk_rows)) / F.col("n"),
-    )
+def hot_marker(hot: DataFrame) -> DataFrame:
+    """The hot-account list for salting (account_id, _hot), off the same aggregate that the chunks use."""
+    return hot.select("account_id", (F.col("n") > 0).alias("_hot"))
 
 
-def hot_marker(hot: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """The hot-account list for salting (account_id, _hot), read off the same
-    aggregate columns as the chunk widths, so the two uses share one count."""
-    return hot.select("account_id", (hot_width(chunk_rows) > 0).alias("_hot"))
+def hot_cuts(df: DataFrame, hot: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
+    """account_id, _cuts: the times that cut each hot account's rows of ``df`` into ``parts`` even chunks.
+
+    Quantiles follow the arrivals, so a burst is cut as finely as it is dense.
+    At most ``parts`` numbers for each hot account: safe to broadcast.
+    """
+    quantiles = [i / parts for i in range(1, parts)]
+    mine = df.join(F.broadcast(hot.select("account_id")), "account_id", "left_semi")
+    return mine.groupBy("account_id").agg(F.percentile_approx(epoch_micros("created_at"), quantiles, 100 * parts).alias("_cuts"))
 
 
 def change_carry(
     df: DataFrame,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
     hot: DataFrame | None = None,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """The account prefix scan without the account's base values.
 
@@ -152,20 +154,21 @@ def change_carry(
 
     Chunk width: ``chunk_seconds`` for ordinary accounts (an account below
     the hot threshold has fewer rows than that in total); a hot account (from
-    ``hot_accounts``, broadcast, bounded) gets ``span * chunk_rows / n`` so its
-    chunks hold about ``chunk_rows`` rows each.  Chunk numbers grow with time
-    inside an account, which is all the carry step needs.
+    ``hot_accounts``, broadcast, bounded) is cut at ``hot_parts`` quantiles of its
+    own times.  Chunk numbers grow with time inside an account, which is all the
+    carry step needs.
     """
     change_tier = F.when(F.col("is_change"), F.col("tier_name"))
     change_half = F.when(F.col("is_change"), F.floor(F.col("max_seats") / 2).cast("int"))
-    width = F.lit(chunk_seconds * 1_000_000).cast("double")
+    t = epoch_micros("created_at")
+    chunk = F.floor(t / F.lit(chunk_seconds * 1_000_000).cast("double"))
     if hot is not None:
-        widths = hot.select("account_id", hot_width(chunk_rows).alias("_w"))
-        df = df.join(F.broadcast(widths), "account_id", "left")
-        width = F.coalesce(F.col("_w"), width)
+        df = df.join(F.broadcast(hot_cuts(df, hot, hot_parts)), "account_id", "left")
+        passed = F.size(F.filter("_cuts", lambda c: c <= t)).cast("long")
+        chunk = F.when(F.col("_cuts").isNotNull(), passed).otherwise(chunk)
     rows = df.withColumns(
         {
-            "_chunk": F.floor(epoch_micros("created_at") / width),
+            "_chunk": chunk,
             "_ct": change_tier,
             "_half": change_half,
         }
@@ -195,7 +198,7 @@ def change_carry(
             "prev_change_tier": F.coalesce(F.col("_lag_in"), F.col("_prev_last")),
             "run_max_half": F.greatest(F.col("_max_in"), F.col("_prev_max")),
         }
-    ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max", "_w")
+    ).drop("_chunk", "_ct", "_half", "_lag_in", "_max_in", "_prev_last", "_prev_max", "_cuts")
 
 
 def with_base(df: DataFrame) -> DataFrame:
@@ -212,14 +215,14 @@ def account_sequence(
     df: DataFrame,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
     hot: DataFrame | None = None,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """WIN-2/3 over every row of ``df`` (rows with is_change carry a tier).
 
     Non-change rows pass through the same windows untouched.  Needs the
     columns of ``change_carry`` plus acct_current_tier, acct_seats_allocated.
     """
-    return with_base(change_carry(df, chunk_seconds, hot, chunk_rows))
+    return with_base(change_carry(df, chunk_seconds, hot, hot_parts))
 
 
 def change_sequence(
@@ -227,7 +230,7 @@ def change_sequence(
     key: str = "key",
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
     hot: DataFrame | None = None,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """WIN-2/3 on the tier changes alone: one row per change, keyed by ``key``.
 
@@ -242,7 +245,7 @@ def change_sequence(
     # (so an unused branch is pruned) and its shuffle on key is the one the
     # join back needs anyway.
     return (
-        change_carry(c, chunk_seconds, hot, chunk_rows)
+        change_carry(c, chunk_seconds, hot, hot_parts)
         .groupBy(key)
         .agg(F.max("prev_change_tier").alias("prev_change_tier"), F.max("run_max_half").alias("run_max_half"))
     )
