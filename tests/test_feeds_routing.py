@@ -81,9 +81,9 @@ def test_failure_feed_defaults(spark):
     f = FD.parse_failures(df)
     out = {r.execution_id: (r.error_message, r.error_stack, r.workflow_name) for r in f.collect()}
     assert out == {"7": ("m1", "s", "wf-1"), "8": ("Unknown runtime failure", "", "wf-2")}
-    alert = f.select(RT.ops_alert().alias("a")).select("a.*").filter("title like '%ID: 7%'").first()
-    assert alert.failed_at == "2024-01-02T03:04:05.678Z"
-    assert alert.title == "Workflow: wf-1 (ID: 7)"
+    alert = f.select(RT.ops_alert().alias("a")).select("a.*").filter("attachments[0].title like '%ID: 7%'").first()
+    one = alert.attachments[0]
+    assert one.title == "Workflow: wf-1 (ID: 7)" and one.fields[1].value == "2024-01-02T03:04:05.678Z"
 
 
 def test_request_json_permissive(spark):

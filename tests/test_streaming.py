@@ -67,7 +67,8 @@ def _outputs(job):
     """Everything a ledger job left, as sorted rows."""
     audit = job.committed_rows(job.audit_root).drop("log_date")
     replies = job.committed_rows(job.replies_root)
-    return rows(job.ledger.read()), rows(job.state.read()), rows(audit), rows(replies)
+    routes = job.committed_rows(job.routes_root).drop("message")
+    return rows(job.ledger.read()), rows(job.state.read()), rows(audit), rows(replies), rows(routes)
 
 
 @pytest.fixture(scope="module")
@@ -77,9 +78,9 @@ def clean(spark, sf_small, split_events):
     return _outputs(job)
 
 
-@pytest.mark.parametrize("mode, fail_at", [("static", 2), ("dynamic", 3), ("static", 4), ("dynamic", 5)])
+@pytest.mark.parametrize("mode, fail_at", [("static", 2), ("dynamic", 3), ("static", 4), ("dynamic", 5), ("static", 6)])
 def test_failed_batch_replays_to_the_clean_result(spark, sf_small, split_events, clean, monkeypatch, mode, fail_at):
-    """The second batch stops before its n-th write (replies, ledger, audit, state, commit) and starts again."""
+    """The second batch stops before its n-th write (replies, ledger, audit, routes, state, commit) and starts again."""
     from triage_spark.sinks import versioned as V
 
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)

@@ -69,15 +69,21 @@ def escalation_task() -> Column:
 
 
 def ops_alert() -> Column:
-    """SNK-5: the operations alert for one workflow failure."""
+    """SNK-5: the operations alert for one workflow failure (channel, text, one attachment of three fields)."""
     return F.struct(
         F.lit(C.ALERT_CHANNEL).alias("channel"),
         F.lit(C.ALERT_TEXT).alias("text"),
-        F.lit(ALERT_COLOR).alias("color"),
-        F.format_string(C.ALERT_TITLE, F.col("workflow_name"), F.col("execution_id")).alias("title"),
-        F.col("error_message").alias("error_message"),
-        iso_millis("failed_at").alias("failed_at"),
-        F.lit(C.ALERT_AUDIT_STATUS).alias("audit_status"),
+        F.array(
+            F.struct(
+                F.lit(ALERT_COLOR).alias("color"),
+                F.format_string(C.ALERT_TITLE, F.col("workflow_name"), F.col("execution_id")).alias("title"),
+                F.array(
+                    _field("Error Message", F.col("error_message"), False),
+                    _field("Failed At", iso_millis("failed_at"), True),
+                    _field("Audit Status", F.lit(C.ALERT_AUDIT_STATUS), True),
+                ).alias("fields"),
+            )
+        ).alias("attachments"),
     )
 
 
@@ -113,9 +119,15 @@ def response_json(actions_text: Column) -> Column:
         )
     )
     return F.concat(
-        F.regexp_replace(head, r"\}$", ""),
+        F.substr(head, F.lit(1), F.length(head) - 1),
         F.lit(',"actions_taken":'),
         actions_text,
         F.lit(","),
-        F.regexp_replace(tail, r"^\{", ""),
+        F.substr(tail, F.lit(2)),
     )
+
+
+def route_message(actions_text: Column) -> Column:
+    """The message of a routed row as JSON: a resolution card or an escalation task (needs ``route``)."""
+    card = F.when(F.col("route") == "resolution_card", F.to_json(resolution_card(actions_text)))
+    return card.when(F.col("route") == "escalation_task", F.to_json(escalation_task()))

@@ -964,14 +964,29 @@ def q_escalation_tasks(spark, sf_dir):
     O.with_base(
         f"""SELECT {O.q(C.ALERT_CHANNEL)} AS channel, {O.q(C.ALERT_TEXT)} AS text, {O.q(RT.ALERT_COLOR)} AS color,
        printf({O.q(C.ALERT_TITLE)}, workflow_name, execution_id) AS title, error_message,
-       strftime(failed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS failed_at, {O.q(C.ALERT_AUDIT_STATUS)} AS audit_status
+       strftime(failed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS failed_at, {O.q(C.ALERT_AUDIT_STATUS)} AS audit_status,
+       json_object('channel', {O.q(C.ALERT_CHANNEL)}, 'text', {O.q(C.ALERT_TEXT)}, 'attachments', json_array(json_object(
+         'color', '#ef4444', 'title', printf({O.q(C.ALERT_TITLE)}, workflow_name, execution_id), 'fields', json_array(
+           json_object('title', 'Error Message', 'value', error_message, 'short', false),
+           json_object('title', 'Failed At', 'value', strftime(failed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', 'short', true),
+           json_object('title', 'Audit Status', 'value', {O.q(C.ALERT_AUDIT_STATUS)}, 'short', true)))))::VARCHAR AS alert_json
 FROM failures""",
         [O.F7_CTE, O.FAILURES_CTE],
     ),
 )
 def q_ops_alerts(spark, sf_dir):
     f = FD.parse_failures(FX.workflow_failures_raw(events(spark, sf_dir)))
-    return f.select(RT.ops_alert().alias("a")).select("a.*")
+    a, one = F.col("a"), F.col("a")["attachments"][0]
+    return f.select(RT.ops_alert().alias("a")).select(
+        a["channel"].alias("channel"),
+        a["text"].alias("text"),
+        one["color"].alias("color"),
+        one["title"].alias("title"),
+        one["fields"][0]["value"].alias("error_message"),
+        one["fields"][1]["value"].alias("failed_at"),
+        one["fields"][2]["value"].alias("audit_status"),
+        F.to_json(a, {"ignoreNullFields": "false"}).alias("alert_json"),
+    )
 
 
 @register(
@@ -1010,14 +1025,14 @@ def q_response_json(spark, sf_dir):
     return df.select("key", "ticket_id", RT.response_json(L.actions_json()).alias("response"))
 
 
-@register(
-    "route_messages",
-    O.with_res(
-        f"""SELECT key, ticket_id, 'resolution_card' AS route, {_card_sql()} AS message FROM res WHERE status = 'RESOLVED'
+ROUTE_MESSAGES_SQL = O.with_res(
+    f"""SELECT key, ticket_id, 'resolution_card' AS route, {_card_sql()} AS message FROM res WHERE status = 'RESOLVED'
 UNION ALL
 SELECT key, ticket_id, 'escalation_task' AS route, {_task_sql()} AS message FROM res WHERE status = 'ESCALATED'"""
-    ),
 )
+
+
+@register("route_messages", ROUTE_MESSAGES_SQL)
 def q_route_messages(spark, sf_dir):
     """SET-3: the two route branches merged into one reply stream.
 
@@ -1026,10 +1041,7 @@ def q_route_messages(spark, sf_dir):
     everything above the shared shuffles (final dedupe, joins, texts) twice.
     """
     df = RT.with_route(resolved(spark, sf_dir)).filter(F.col("route").isin("resolution_card", "escalation_task"))
-    message = F.when(
-        F.col("route") == "resolution_card", F.to_json(RT.resolution_card(L.actions_json()))
-    ).otherwise(F.to_json(RT.escalation_task()))
-    return df.select("key", "ticket_id", "route", message.alias("message"))
+    return df.select("key", "ticket_id", "route", RT.route_message(L.actions_json()).alias("message"))
 
 
 # ---------------------------------------------------------------- slice 7: streams (compared with their batch twins)
@@ -1077,6 +1089,13 @@ def q_stream_failures(spark, sf_dir):
     return spark.read.parquet(audit_root).select(*AU.AUDIT_COLUMNS)
 
 
+@register("stream_routes", ROUTE_MESSAGES_SQL)
+def q_stream_routes(spark, sf_dir):
+    job = SJ.ledger_stream(spark, sf_dir, SJ.new_run(spark, "stream_routes"))
+    sent = job.committed_rows(job.routes_root).filter(F.col("route") != "UNROUTED")
+    return sent.select("key", "ticket_id", "route", "message")
+
+
 @register("stream_fallback", FALLBACK_SQL)
 def q_stream_fallback(spark, sf_dir):
     run = SJ.new_run(spark, "stream_fallback")

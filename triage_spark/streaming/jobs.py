@@ -28,6 +28,7 @@ from .. import schemas as S
 from ..operators import accounts as A
 from ..operators import audit as AU
 from ..operators import ledger as L
+from ..operators import routing as RT
 from ..operators.dedupe import ORDER, first_fields, first_per_key, with_key
 from ..operators.gate import gate
 from ..plans import triage as TR
@@ -124,6 +125,7 @@ class LedgerJob:
     state: VersionedTable
     audit_root: str
     replies_root: str
+    routes_root: str
 
     def committed_rows(self, root: str) -> DataFrame:
         """The rows of an append-only output that belong to committed batches."""
@@ -154,6 +156,7 @@ def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun, buckets: int |
         state=VersionedTable(log, run.root, "accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, buckets, base=accounts),
         audit_root=f"{run.root}/audit",
         replies_root=f"{run.root}/replies",
+        routes_root=f"{run.root}/routes",
     )
 
 
@@ -200,6 +203,10 @@ def ledger_stream(
         written = job.ledger.write(upserted, batch_id, new_buckets)
         # SNK-2: append-only audit, one folder per batch (replay-safe), by log date inside
         overwrite(AU.with_log_date(AU.step_rows(res)), f"{job.audit_root}/batch_id={batch_id}", "log_date")
+        # SNK-3, SNK-4, SNK-7: one folder per route, each row with its message and the full response
+        routed = RT.with_route(res).withColumn("message", RT.route_message(L.actions_json()))
+        routed = routed.select("key", "ticket_id", "message", RT.response_json(L.actions_json()).alias("response"), "route")
+        overwrite(routed, f"{job.routes_root}/batch_id={batch_id}", "route")
         written |= job.state.write(A.account_state(state_t, A.tool_calls(res)), batch_id, state_buckets)
         job.log.commit(batch_id, written)
         for d in (res, new, keyed):
