@@ -135,3 +135,17 @@ def test_fingerprint_column(spark):
 def test_query(spark, sf_small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert {r.doc_id: tuple(r)[1:] for r in A.op8_fingerprints(spark, sf_small).collect()} == expected(rows)
+
+
+def test_ranges_ascend_at_any_number(spark, monkeypatch):
+    from triage_spark.llm.common import in_ranges
+
+    rows = [(i * 3 % 997, f"text {i}") for i in range(900)] + [(5, f"hot {i}") for i in range(600)] + [(None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chars in (10**9, 900, 60):
+        placed, parts = in_ranges(docs, chars)
+        got = sorted(((r.k, r.share, r.h), r.part) for r in placed.collect())
+        assert [p for _, p in got] == sorted(p for _, p in got) and 0 <= got[0][1] and got[-1][1] < parts
+        if parts > 10:
+            sizes = np.bincount([p for _, p in got])
+            assert sizes.max() < 0.2 * len(rows)

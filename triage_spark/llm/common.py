@@ -31,6 +31,42 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Ranges that rows are cut into at most, whatever their number; larger inputs get larger ranges.
+MOST_RANGES = 10_000
+LOWEST = -(1 << 63)
+
+
+def _passed(bounds: list[int], key: Column, strict: bool) -> Column:
+    """How many of the ascending bounds lie below ``key`` (or at it, unless ``strict``); two short scans instead of a long one."""
+    longs = lambda v: F.array(*map(F.lit, v)).cast("array<bigint>")
+    below = lambda a: F.size(F.filter(a, (lambda c: c < key) if strict else (lambda c: c <= key)))
+    if len(bounds) <= 64:
+        return below(longs(bounds))
+    step = int(len(bounds) ** 0.5)
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    full = below(longs([g[-1] for g in groups]))
+    inside = below(F.get(F.array(*map(longs, groups)), full))
+    return full * step + F.coalesce(inside, F.lit(0)) if len(bounds) % step == 0 else F.least(full * step + F.coalesce(inside, F.lit(0)), F.lit(len(bounds)))
+
+
+def in_ranges(rows: DataFrame, chars: int) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text) with k (doc_id, null lowest), h (hash of the text), share (h as a part of one) and part, and the number of parts.
+
+    Parts are ranges of (k, share, h) that ascend with part, cut at quantiles of the whole doc_id
+    column, one for each ``chars`` characters of text.  Rows with one id at several cuts spread
+    over the parts that meet there by their hash, so no part depends on one id.
+    """
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("h"))
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    parts = min(MOST_RANGES, total // chars + 1)
+    bounds = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    bounds = [int(b) for b in bounds or []]
+    share = F.shiftrightunsigned("h", 32).cast("double") / F.lit(float(1 << 32))
+    placed = rows.withColumns({"share": share, "low": _passed(bounds, F.col("k"), True), "high": _passed(bounds, F.col("k"), False)})
+    part = F.col("low") + F.floor(F.col("share") * (F.col("high") - F.col("low") + 1))
+    return placed.withColumn("part", part.cast("int")).drop("low", "high"), parts
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as make it new to ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

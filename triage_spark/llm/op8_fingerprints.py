@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import text_col, text_steps
+from triage_spark.llm.common import in_ranges, text_col, text_steps
 
 #: Levels of the sketch, from the top, with the number of hashes kept and the least number of names to compare by.
 SKETCH = ((4, 48, 12), (3, 16, 6), (2, 16, 0))
@@ -207,18 +207,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     are empty.  Other columns are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    lowest = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(lowest)).alias("k"), F.xxhash64("text").alias("h"))
-    parts = int((rows.agg(F.sum(F.length("text"))).first()[0] or 0) // range_chars + 1)
-    bounds = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    cuts = F.array(*[F.lit(int(x)) for x in bounds or []]).cast("array<bigint>")
-    # Rows of one id at a cut spread over the ranges that meet there, by their hash.
-    low, high = F.size(F.filter(cuts, lambda c: c < F.col("k"))), F.size(F.filter(cuts, lambda c: c <= F.col("k")))
-    share = F.shiftrightunsigned("h", 32).cast("double") / F.lit(float(1 << 32))
-    placed = rows.withColumns({"low": low, "high": high, "share": share})
-    placed = placed.withColumn("part", (F.col("low") + F.floor(F.col("share") * (F.col("high") - F.col("low") + 1))).cast("int"))
-    # The largest row of each range, the first in descending order: one small row for each range.
+    placed, parts = in_ranges(rows, range_chars)
+    # The largest row of each range, the first in descending order: one small row for each of at most MOST_RANGES.
     top = sorted(placed.groupBy("part").agg(F.max(F.struct("k", "share", "h")).alias("t")).collect(), key=lambda r: r.part)
     sends = [(r.part, r.t.k, r.t.share, r.t.h, top[(i + 1) % len(top)].part) for i, r in enumerate(top)]
     heads = spark.createDataFrame(sends, "t_part int, t_k long, t_share double, t_h long, goes int")
