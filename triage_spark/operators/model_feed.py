@@ -130,7 +130,7 @@ def normalize_actions(df: DataFrame, col: str = "actions_json") -> DataFrame:
 
     ``tool`` or ``tool_name`` (else ``unknown``); success is
     ``status == 'SUCCESS' or success (default true)`` (Q13: FAILED without a
-    success field reads as true); result is ``details`` or ``result``.
+    success field reads as true); parameters are kept; result is ``details`` or ``result``.
     """
     arr = F.from_json(F.col(col), STORED_ACTIONS)
     norm = F.transform(
@@ -140,6 +140,7 @@ def normalize_actions(df: DataFrame, col: str = "actions_json") -> DataFrame:
             (F.coalesce(a["status"] == "SUCCESS", F.lit(False)) | F.coalesce(a["success"], F.lit(True))).alias(
                 "success"
             ),
+            F.coalesce(a["parameters"], F.lit("{}")).alias("parameters_json"),
             F.coalesce(a["details"], a["result"], F.lit("{}")).alias("result_json"),
             a["error"].alias("error"),
         ),

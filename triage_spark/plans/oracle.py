@@ -327,7 +327,8 @@ F6_CTE = f"""f6 AS (
 F5_CTE = f"""f5 AS (
   SELECT event_id,
          CASE WHEN event_id % 4 = 0 THEN '[{{"tool":"check_account_balance","status":"SUCCESS","details":{{"n":' || {K} || '}}}}]'
-              WHEN event_id % 4 = 1 THEN '[{{"tool_name":"update_subscription_tier","success":false,"error":"E' || {K} || '"}}]'
+              WHEN event_id % 4 = 1 THEN '[{{"tool_name":"update_subscription_tier","parameters":{{"n":' || {K} || '}},"success":false,"error":"E' || {K} || '"}},{{"tool":"check_account_balance","status":"SUCCESS"}}]'
+              WHEN event_id % 20 = 2 THEN '[{{"tool":"check_account_balance","status":"FAILED"}},{{"success":true}},{{"tool_name":"x","result":{{"r":1}}}}]'
               WHEN event_id % 4 = 2 THEN '[{{"tool":"check_account_balance","status":"FAILED"}}]'
               ELSE '[]' END AS actions_json
   FROM events e)"""

@@ -757,6 +757,7 @@ def q_model_response_actions(spark, sf_dir):
        coalesce(json_extract_string(a, '$.tool'), json_extract_string(a, '$.tool_name'), 'unknown') AS tool_name,
        coalesce(json_extract_string(a, '$.status') = 'SUCCESS', false)
          OR coalesce(CAST(json_extract(a, '$.success') AS BOOLEAN), true) AS success,
+       coalesce(CAST(json_extract(a, '$.parameters') AS VARCHAR), '{}') AS parameters_json,
        coalesce(CAST(json_extract(a, '$.details') AS VARCHAR), CAST(json_extract(a, '$.result') AS VARCHAR), '{}') AS result_json,
        json_extract_string(a, '$.error') AS error
 FROM (SELECT event_id, i, json_extract(actions_json, '$[' || i || ']') AS a
@@ -766,7 +767,7 @@ FROM (SELECT event_id, i, json_extract(actions_json, '$[' || i || ']') AS a
 )
 def q_normalize_actions(spark, sf_dir):
     df = MF.normalize_actions(FX.stored_actions(events(spark, sf_dir)))
-    return df.select("event_id", "pos", "tool_name", "success", "result_json", "error")
+    return df.select("event_id", "pos", "tool_name", "success", "parameters_json", "result_json", "error")
 
 
 @register(

@@ -151,8 +151,12 @@ def stored_actions(events: DataFrame) -> DataFrame:
         )
         .when(
             eid % 4 == 1,
-            F.concat(F.lit('[{"tool_name":"update_subscription_tier","success":false,"error":"E'), k, F.lit('"}]')),
+            F.concat(
+                F.lit('[{"tool_name":"update_subscription_tier","parameters":{"n":'), k,
+                F.lit('},"success":false,"error":"E'), k, F.lit('"},{"tool":"check_account_balance","status":"SUCCESS"}]'),
+            ),
         )
+        .when(eid % 20 == 2, F.lit('[{"tool":"check_account_balance","status":"FAILED"},{"success":true},{"tool_name":"x","result":{"r":1}}]'))
         .when(eid % 4 == 2, F.lit('[{"tool":"check_account_balance","status":"FAILED"}]'))
         .otherwise(F.lit("[]"))
         .alias("actions_json"),
