@@ -32,6 +32,7 @@ def test_pack_round_trip(bits):
     data = pack(ids, bits)
     assert len(data) == (1001 * bits + 7) // 8
     assert np.array_equal(unpack(data, bits, 1001), ids)
+    assert np.array_equal(unpack(data, bits, 13, 501), ids[501:514])
 
 
 @pytest.mark.parametrize("bits", [16, 17])
@@ -57,7 +58,7 @@ def test_edge_rows_over_many_files(spark, tmp_path, library):
     texts = {0: None, 1: "", 2: "one two", -5: "x\n\n y", 9: "word " * 3000}
     rows = [(i, t, 1, "c", 1, 1, 0.0) for i, t in texts.items()] + [(7, f"hot {i}", 1, "c", 1, 1, 0.0) for i in range(60)] + [(None, "no id", 1, "c", 1, 1, 0.0)] * 2
     path = f"file://{tmp_path}/t"
-    manifest = write_token_files(spark.createDataFrame(rows, cols), path, PATH, file_chars=900)
+    manifest = write_token_files(spark.createDataFrame(rows, cols), path, PATH, range_chars=900, file_ids=500)
     got = read_token_files(spark, path, manifest).orderBy("start").collect()
     assert manifest.count() > 3
     ids = lambda t: library.encode(t or "", add_special_tokens=False).ids + [0]

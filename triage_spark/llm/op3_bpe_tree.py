@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole texts, long unsplit runs by tree concatenation.
 
 A text whose runs without white space are short is encoded in one step
-(``ChunkEncoder``).  A run longer than ``leaf_chars`` (a base64 blob, a text in a
+(``tokens.ChunkEncoder``).  A run longer than ``leaf_chars`` (a base64 blob, a text in a
 script without spaces) is one piece of work that no cut at white space
 divides, and a word inside it may be as long.  Such texts take this path:
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage_spark.llm.common import text_col, text_steps
-from triage_spark.llm.tokens import WORD_CHUNKS, ChunkEncoder
+from triage_spark.llm.tokens import WORD_CHUNKS, chunk_encoder
 
 #: Longest run that is encoded in one piece.
 LEAF_CHARS = 16_384
@@ -49,7 +49,7 @@ class WordModel:
     def __init__(self, path: str):
         from tokenizers.models import BPE
 
-        self.enc = ChunkEncoder(path, WORD_CHUNKS)
+        self.enc = chunk_encoder(path, WORD_CHUNKS)
         with open(path) as f:
             spec = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
@@ -159,7 +159,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
 def _plain(src: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(tokenizer, WORD_CHUNKS)
+        enc = chunk_encoder(tokenizer, WORD_CHUNKS)
         for b in text_steps(batches, "text"):
             ids = [np.frombuffer(x, enc.dtype) for x in enc.encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _id_lists(ids), pa.array(_decode(enc.tok, ids), pa.string())], ["doc_id", "ids", "decoded"])

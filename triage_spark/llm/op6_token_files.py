@@ -12,10 +12,9 @@ block offsets let a reader fetch any span of ids with numpy alone.
 
 Documents lie in ascending doc_id order (null first; equal ids by a hash of
 their text) over the files, whose names ascend too.  Ranges of ids are cut at
-quantiles of the whole doc_id column, and rows with one doc_id may spread over
-several ranges by their hash, so no range depends on one key.  A task
-encodes its sorted rows and streams them into a file; it writes under a temporary
-name and renames, so a repeated task gives the same file again.
+quantiles of the whole doc_id column (``common.in_ranges``).  A task encodes the
+sorted rows of a range and streams them into files of bounded size; it writes under a temporary
+name and renames, so a repeated task gives the same files again.
 """
 
 from __future__ import annotations
@@ -31,15 +30,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import saved, text_col, text_steps
-from triage_spark.llm.tokens import BYTE_CHUNKS, ChunkEncoder
+from triage_spark.llm.common import in_ranges, saved, text_col, text_steps
+from triage_spark.llm.tokens import BYTE_CHUNKS, chunk_encoder
 from triage_spark.session import scratch_path
 
 MAGIC = b"TKBITS1\0"
 BLOCK = 1 << 16
 TRAILER = struct.Struct("<QQQQII8s")
-#: Characters of text for each file; bounds what a reader holds of one file.
-FILE_CHARS = 24_000_000
+#: Characters of text for each range of documents, the work of one task.
+RANGE_CHARS = 24_000_000
+#: Ids after which a task goes on in a new file; bounds what a reader holds of one file.
+FILE_IDS = 16_000_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -50,13 +51,14 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     return np.packbits(wide[:, :bits].ravel(), bitorder="little").tobytes()
 
 
-def unpack(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
-    """The first ``n`` ids of a block."""
+def unpack(data: bytes | memoryview, bits: int, n: int, start: int = 0) -> np.ndarray:
+    """``n`` ids of a block from place ``start``; reads their bytes only."""
+    first, skip = divmod(start * bits, 8)
     if bits in (8, 16, 32):
-        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
-    flat = np.unpackbits(np.frombuffer(data, np.uint8, (n * bits + 7) // 8), count=n * bits, bitorder="little")
+        return np.frombuffer(data, f"<u{bits // 8}", n, first).astype("<u4")
+    flat = np.unpackbits(np.frombuffer(data, np.uint8, (skip + n * bits + 7) // 8, first), count=skip + n * bits, bitorder="little")
     wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = flat.reshape(n, bits)
+    wide[:, :bits] = flat[skip:].reshape(n, bits)
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
@@ -119,13 +121,12 @@ class TokenFile:
         self.ends = np.frombuffer(self.data, "<u8", n, at + n)
 
     def span(self, start: int, n: int) -> np.ndarray:
-        """``n`` ids from position ``start``; touches only the blocks they lie in."""
+        """``n`` ids from position ``start``; touches only their bytes."""
         stop = min(start + n, self.n_ids)
         parts = []
         for b in range(start // self.block, (max(stop, start + 1) - 1) // self.block + 1 if stop > start else 0):
-            size = min(self.block, self.n_ids - b * self.block)
-            ids = unpack(self.data[int(self.offsets[b]) :], self.bits, size)
-            parts.append(ids[max(0, start - b * self.block) : stop - b * self.block])
+            low, high = max(0, start - b * self.block), min(self.block, stop - b * self.block)
+            parts.append(unpack(self.data[int(self.offsets[b]) :], self.bits, high - low, low))
         return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
     def doc(self, i: int) -> np.ndarray:
@@ -133,48 +134,42 @@ class TokenFile:
         return self.span(start, int(self.ends[i]) - start)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", file_chars: int = FILE_CHARS) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", range_chars: int = RANGE_CHARS, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode, append ``end_id`` and write the files into ``path``; returns their manifest (part, file, n_docs, n_ids).
 
     Null texts are empty (just the end id), null ids come first, repeated
     rows are all kept, other columns are not read.  An empty table gives no file.
     """
     spark = docs.sparkSession
-    enc = ChunkEncoder(tokenizer, BYTE_CHUNKS)
+    enc = chunk_encoder(tokenizer, BYTE_CHUNKS)
     bits, dtype = max(1, (enc.vocab_size - 1).bit_length()), enc.dtype
-    first = -(1 << 63)
-    sizes = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(first)).alias("k"), F.length(text_col(text)).cast("long").alias("n"))
-    chars = sizes.agg(F.sum("n")).first()[0] or 0
-    parts = chars // file_chars + 1
-    # Bounded by the number of files: one quantile for each.
-    bounds = sizes.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    cuts = F.array(*[F.lit(int(x)) for x in bounds or []]).cast("array<bigint>")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    key = F.coalesce("doc_id", F.lit(first))
-    low, high = F.size(F.filter(cuts, lambda c: c < key)), F.size(F.filter(cuts, lambda c: c <= key))
-    share = F.shiftrightunsigned("h", 32).cast("double") / F.lit(float(1 << 32))
-    placed = src.select("doc_id", "text", "h", share.alias("share"), key.alias("k"), low.alias("low"), high.alias("high"))
-    placed = placed.select("doc_id", "text", "k", "share", "h", (F.col("low") + F.floor(F.col("share") * (F.col("high") - F.col("low") + 1))).cast("int").alias("part"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
+    placed, parts = in_ranges(src, range_chars)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(tokenizer, BYTE_CHUNKS)
+        enc = chunk_encoder(tokenizer, BYTE_CHUNKS)
         end = np.asarray([end_id], dtype).tobytes()
         fs, folder = pafs.FileSystem.from_uri(path)
         fs.create_dir(folder)
         out, part, done = None, None, []
+
+        def close() -> None:
+            out.close()
+            done.append((part, f"{out.path.rpartition('/')[2]}", len(out.docs), out.total))
+
         for b in text_steps(batches, "text"):
             for p, doc_id, data in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
-                if p != part:
-                    if out:
-                        out.close()
-                        done.append((part, len(out.docs), out.total))
-                    part, out = p, TokenFileWriter(fs, f"{folder}/part-{p:08d}.tok", bits)
+                if out and (p != part or out.total >= file_ids):
+                    close()
+                    out = None
+                if out is None:
+                    nth = len(done) if p == part else 0
+                    part, out = p, TokenFileWriter(fs, f"{folder}/part-{p:08d}-{nth:06d}.tok", bits)
                 out.add(doc_id, np.frombuffer(data + end, dtype))
         if out:
-            out.close()
-            done.append((part, len(out.docs), out.total))
-        cols = list(zip(*done)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([f"part-{p:08d}.tok" for p in cols[0]], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["part", "file", "n_docs", "n_ids"])
+            close()
+        cols = list(zip(*done)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "file", "n_docs", "n_ids"])
 
     # The texts move once and are encoded where their file is written.
     dealt = placed.repartitionById(parts, "part").sortWithinPartitions("part", "k", "share", "h")
@@ -199,7 +194,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     docs = files.mapInArrow(read, "file string, doc_id long, local long, n_tokens long, ids_crc32 long")
     # One row for each file.
-    before = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("base"))
+    before = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("base"))
     return docs.join(before, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -21,6 +21,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 
@@ -32,7 +33,7 @@ WORD_CHUNKS = rf"[{LETTERS}]+(?![^ \n\t\r.,])|[.,]+(?![^ \n\t\r])|[^ \n\t\r]+"
 BYTE_CHUNKS = rf" ?[{LETTERS}]+(?![^ \n\t\r.,])|[.,]+(?![^ \n\t\r])| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
 #: White space beyond the plain kind, on whose nature regex libraries differ or which can join a run of it.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
-#: Chunks a task remembers at most before it starts anew.
+#: Chunks a worker remembers at most before it starts anew.
 CACHE_CHUNKS = 400_000
 
 
@@ -94,3 +95,9 @@ class ChunkEncoder:
             self.cache.clear()
         get = self.cache.__getitem__
         return [self.whole(t) if self.in_one(t) else b"".join(map(get, self.find(t))) for t in texts]
+
+
+@cache
+def chunk_encoder(path: str, chunks: str) -> ChunkEncoder:
+    """One encoder for each Python worker, so the tasks it runs share vocabulary and cache."""
+    return ChunkEncoder(path, chunks)
