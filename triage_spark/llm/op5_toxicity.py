@@ -13,12 +13,13 @@ their evidence: a first fit on the two grades finds the words that speak
 for toxicity, and the toxic sample is split at the terciles of their number into grades 1 to 3.
 
 The fit reads a bounded sample: the ``sample_rows`` labelled documents
-of lowest hashed id.  Only their feature numbers reach the driver.  Scoring reads every whole text,
+of lowest hashed id.  It runs in one task; only the weights reach the driver.  Scoring reads every whole text,
 in Arrow batches, with the non-zero weights alone (at most ``max_features``).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,6 @@ L1 = 4e-3
 MOST = 5
 #: Weight in the fit on two grades from which a feature is strong evidence.
 STRONG = 1.0
-BUCKETS = 1 << 22
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
 #: The columns that scoring adds.
@@ -51,7 +51,7 @@ ADDED = {"tox_severity": T.DoubleType(), "tox_p": T.DoubleType(), "tox_grade": T
 
 def word_features(word: str) -> list[int]:
     names = ("w" + word, "4" + word[:4], "5" + word[:5]) if len(word) > 5 else ("w" + word, "4" + word[:4]) if len(word) > 4 else ("w" + word,)
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
 
 
 def words_of(text: str) -> set[str]:
@@ -127,24 +127,24 @@ def train(features: list[np.ndarray], toxic: np.ndarray, max_features: int = MAX
     toxic = np.asarray(toxic, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return Ordinal()
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    pairs, values = np.unique(rows.astype(np.int64) * BUCKETS + np.concatenate(features), return_counts=True)
-    rows, ids = pairs // BUCKETS, pairs % BUCKETS
-    seen = np.bincount(ids, minlength=BUCKETS)
-    hits = np.bincount(ids, toxic[rows], minlength=BUCKETS)
+    found = [np.unique(np.asarray(f, np.uint32), return_counts=True) for f in features]
+    ids, values = np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found]).astype(np.uint16)
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f, _ in found])
+    vocabulary, seen = np.unique(ids, return_counts=True)
+    hits = np.bincount(np.searchsorted(vocabulary, ids[toxic[rows]]), minlength=len(vocabulary))
     rate = toxic.mean()
     # Distance of a feature's toxic share from the sample's, in standard errors.
-    z = np.abs(hits - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
+    z = np.abs(hits - seen * rate) / np.sqrt(seen * rate * (1 - rate))
     kept = np.flatnonzero((seen >= 3) & (z > 4))
-    kept = kept[np.argsort(-z[kept], kind="stable")[:max_features]]
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    use = place[ids] >= 0
-    rows, cols, values = rows[use], place[ids[use]], np.minimum(values[use], MOST).astype(float)
+    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:max_features]])
     if not len(kept):
         return Ordinal()
+    kept, seen = vocabulary[kept], seen[kept]
+    cols = np.minimum(np.searchsorted(kept, ids), len(kept) - 1)
+    use = kept[cols] == ids
+    rows, cols, values = rows[use], cols[use], np.minimum(values[use], MOST).astype(float)
     # Rare features, whose association is more often chance, pay more.
-    l1 = L1 / seen[kept]
+    l1 = L1 / seen
     beta, _ = fit(rows, cols, values, toxic.astype(int), l1)
     strong = beta >= STRONG
     evidence = np.bincount(rows, values * (beta[cols] > 0), minlength=len(toxic))
@@ -182,16 +182,30 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, "text"):
             lists = [[f for w in words_of(t) for f in word_features(w)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("l_id"), b.column("toxic"), pa.array(lists, pa.list_(pa.int32()))], ["l_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([b.column("l_id"), b.column("toxic"), pa.array(lists, pa.list_(pa.int64()))], ["l_id", "toxic", "features"])
 
-    got = texts.select("l_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "l_id long, toxic int, features array<int>")
+    got = texts.select("l_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "l_id long, toxic int, features array<long>")
     # Repeated rows of a chosen id keep the bound.
     return got.orderBy("l_id", F.hash("features")).limit(sample_rows)
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text: str = "text") -> Ordinal:
-    got = sample_features(docs, labels, sample_rows, id_col, text).toArrow()
-    return train([np.asarray(f.values, np.int64) for f in got.column("features")], got.column("toxic").to_numpy(), max_features)
+    """The model of the labelled sample, fitted in one task on at most ``sample_rows`` rows of feature numbers."""
+
+    def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, toxic = [], []
+        for b in batches:
+            lists += [np.asarray(f.values, np.uint32) for f in b.column("features")]
+            toxic += b.column("toxic").to_pylist()
+        m = train(lists, np.array(toxic), max_features)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([list(m.weights.items()), m.thresholds, m.cut, sorted(m.strong), m.any_weight])])], ["model"])
+
+    sample = sample_features(docs, labels, sample_rows, id_col, text)
+    got = sample.select("toxic", "features").coalesce(1).mapInArrow(fit_rows, "model string").first()
+    if got is None:
+        return Ordinal()
+    weights, thresholds, cut, strong, any_weight = json.loads(got.model)
+    return Ordinal({f: w for f, w in weights}, thresholds, cut, frozenset(strong), any_weight)
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
