@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import accounts as A
 from ..operators import kpis as K
-from ..operators.dedupe import first_fields, duplicate_keys, first_per_key, replay, with_key
+from ..operators.dedupe import duplicate_keys, first_fields, replay, with_key
 from ..functions.rules import effective_key
 from ..sources import fixtures as FX
 from . import oracle as O
