@@ -17,7 +17,8 @@ The join, on classes of equal lines (the first line stands for its class):
    goes last, so only lines that consist of it meet in its bucket.  There lines are compared with the
    bucket's earliest lines first, one hub after the other; a matched line is done,
    and only lines without a match are compared with all earlier ones of their buckets.
-4. What passes is verified on the whole token sets.
+4. Pairs are tested by two bitmaps of the parities of their hashed tokens: matching lines differ in
+   (x + y) / 9 tokens at most, so in as many bits.  What passes is verified on the whole token sets.
 
 A match needs one earlier line only, so a group of near copies costs rows in proportion to its
 size.  Everything is DataFrame code; counts and prefixes cover all lines.
@@ -37,14 +38,16 @@ P, Q = 4, 5
 #: Number of prefixes from which a token is heavy.
 HEAVY = 32
 #: Hubs that are tried before all earlier lines.
-HUBS = 4
+HUBS = 1
 #: Rows up to which a table of tokens or line keys is broadcast (8 to 60 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 #: Sorted distinct shingle hashes of the words ``w``.
 TOKENS = f"sort_array(array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(WORDS))}))))"
 #: Each expression is bound once by a lambda, so that nothing is computed twice.
-WORDS_OF = "array_remove(split(lower(line), ' '), '')"
+WORDS_OF = "array_remove(split(line, ' '), '')"
+#: A bitmap of the parities of the tokens ``s`` in 64 buckets, by the given bits of the hash.
+PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, CAST(shiftrightunsigned(x, {}) & 63 AS INT)))"
 
 
 def lines_of(text: Column) -> Column:
@@ -57,8 +60,9 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     """doc_id, dh, no, c1, c2, n, prefix of each line with tokens, and one row with no = -1 and the number of lines as n for each document."""
     # The null line in front stands for the document.
     listed = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.explode(F.array(lines_of(F.col("text")))).alias("ls"))
-    numbered = listed.select("doc_id", "dh", F.size("ls").alias("lines"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "ls")).alias("place", "line"))
-    words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", f"inline(transform(array({WORDS_OF}), w -> struct(xxhash64(w) AS c1, xxhash64(1, w) AS c2, CASE WHEN size(w) >= {WORDS} THEN {TOKENS} END AS s)))")
+    numbered = listed.select("doc_id", "dh", F.size("ls").alias("lines"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "ls")).alias("place", "raw"))
+    numbered = numbered.withColumn("line", F.lower("raw"))
+    words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", "xxhash64(line) AS c1", "xxhash64(1, line) AS c2", f"inline(transform(array({WORDS_OF}), w -> struct(CASE WHEN size(w) >= {WORDS} THEN {TOKENS} END AS s)))")
     # Tokens are sorted by hash, so the prefix is the front of the list.
     cut = f"inline(transform(array(s), s -> struct(size(s) AS n, slice(s, 1, {prefix_size('size(s)', P, Q)}) AS prefix)))"
     cut_lines = words.filter("no < 0 OR s IS NOT NULL").selectExpr("doc_id", "dh", "no", "lines", "c1", "c2", cut)
@@ -66,22 +70,29 @@ def judged_lines(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: first class keys) whose token sets are as like as asked for."""
+    """The pairs (a, b: class keys) whose token sets are as like as asked for; first by the bitmaps, then whole."""
+    maps = [sets.select(F.col("c1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "g0", "g1")]) for x in "ab"]
+    most = (F.col("a_n") + F.col("b_n")) * (Q - P)
+    near = pairs.join(maps[0], "a").join(maps[1], "b")
+    for g in ("g0", "g1"):
+        near = near.filter(F.bit_count(F.col(f"a_{g}").bitwiseXOR(F.col(f"b_{g}"))) * (P + Q) <= most)
+    near = saved(near.select("a", "b"), "line-near")
     left = sets.select(F.col("c1").alias("a"), F.col("s").alias("a_s"))
     right = sets.select(F.col("c1").alias("b"), F.col("s").alias("b_s"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = near.join(left, "a").join(right, "b")
     return both.filter(F.size(F.array_intersect("a_s", "b_s")) * (P + Q) >= (F.size("a_s") + F.size("b_s")) * P).select("a", "b")
 
 
 def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """c1, first, s (all tokens) of the classes with the given keys, read from their first line."""
+    """c1, first, s (all tokens), n, g0, g1 (number and bitmaps of the tokens) of the classes with the given keys, read from their first line."""
     wanted = classes.join(keys, "c1").groupBy("first.doc_id", "first.dh").agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "c1", "first")).alias("lines"))
     wanted = saved(wanted.select(F.col("doc_id").alias("w_id"), F.col("dh").alias("w_dh"), "lines"), "line-wanted")
     on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_dh"))
     got = docs.join(small(wanted, BROADCAST_ROWS // 4), on).select(F.col("lines").alias("ls"), lines_of(F.col("text")).alias("ts"))
-    got = got.selectExpr("inline(transform(ls, l -> struct(l.c1 AS c1, l.first AS first, ts[l.no] AS line)))")
+    got = got.selectExpr("inline(transform(ls, l -> struct(l.c1 AS c1, l.first AS first, lower(ts[l.no]) AS line)))")
     # Repeated rows of a document give their lines repeatedly.
-    return got.selectExpr("c1", "first", f"inline(transform(array({WORDS_OF}), w -> struct({TOKENS} AS s)))").dropDuplicates(["c1"])
+    sets = got.selectExpr("c1", "first", f"inline(transform(array({WORDS_OF}), w -> struct({TOKENS} AS s)))").dropDuplicates(["c1"])
+    return sets.selectExpr("*", "size(s) AS n", f"{PARITY.format(0)} AS g0", f"{PARITY.format(6)} AS g1")
 
 
 def later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
