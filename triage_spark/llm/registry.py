@@ -28,7 +28,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_line_dedup": op1_line_dedup.ORACLE_SQL,
     "op2_source_mix": op2_source_mix.ORACLE_SQL,
-    "op8_fingerprints": op8_fingerprints,
-    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter.ORACLE_SQL,
 }
