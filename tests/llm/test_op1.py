@@ -83,3 +83,33 @@ def test_query_and_plan(spark, sf_small):
     assert {r.doc_id: r.removed_lines for r in got.collect()} == {d: ",".join(map(str, x)) for d, x in brute(rows).items()}
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def whole_tokens(line):
+    """Five-word shingles, or all words of a line that has one to four."""
+    w = tuple(x for x in line.replace("\t", " ").replace("\r", " ").lower().split(" ") if x)
+    return frozenset(w[i : i + 5] for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("heavy", [32, 2])
+def test_short_lines_against_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(A, "HEAVY", heavy)
+    monkeypatch.setitem(globals(), "tokens", whole_tokens)
+    rnd = random.Random(9)
+    short = ["all rights reserved.", "of, edti oner.", "one", "a b c d", "a b c d e"]
+    rows = [(d, "\n".join([text, *(rnd.choice([x, x.upper(), x.replace(" ", "  "), f"\t{x}\r", "", f"{x} {d}"]) for x in rnd.sample(short, 3))])) for d, text in corpus(rnd, 80)]
+    want = brute(rows)
+    assert {r.doc_id: r.removed for r in A.removed_lines(frame(spark, rows)).collect()} == want
+    assert sum(0 < len(t.split("\n")[i].split()) < 5 for d, t in rows for i in want[d]) > 100
+
+
+def test_short_lines_of_equal_words_go_and_lines_without_words_stay(spark):
+    rows = [(1, "All rights reserved.\n\n \nb a"), (2, "all  rights\treserved.\n\n \na b"), (3, "rights reserved.\nall rights reserved. x y\na b"), (4, None)]
+    assert {r.doc_id: r.removed for r in A.removed_lines(frame(spark, rows)).collect()} == {1: [], 2: [0], 3: [2], 4: []}
+    assert {r.doc_id: r.text for r in A.dedup_lines(frame(spark, rows)).collect()}[2] == "\n \na b"
+
+
+def test_query_removes_short_lines(spark, sf_small, monkeypatch):
+    monkeypatch.setitem(globals(), "tokens", whole_tokens)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
+    assert {r.doc_id: r.removed_lines for r in A.op1_line_dedup(spark, sf_small).collect()} == {d: ",".join(map(str, x)) for d, x in brute(rows).items()}

@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct shingles of five words (lower case, split at
-spaces and tabs); lines of fewer words have none and stay.  Two lines match if the Jaccard likeness of
+spaces and tabs); a line of one to four words has one token, the hash of all its words, so
+it matches the lines of the same words.  Only lines without words have none and stay.  Two lines match if the Jaccard likeness of
 their tokens is at least 4/5, and a line goes if an earlier line, in the order of
 (doc_id, text hash, line number), matches it.  All bounds are whole numbers: with
 x + y tokens in all, 9 * common >= 4 * (x + y).
@@ -42,8 +43,8 @@ HUBS = 1
 #: Rows up to which a table of tokens or line keys is broadcast (8 to 60 bytes each).
 BROADCAST_ROWS = 1_000_000
 
-#: Sorted distinct shingle hashes of the words ``w``.
-TOKENS = f"sort_array(array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(WORDS))}))))"
+#: Sorted distinct shingle hashes of the words ``w``; of one to four words the hash of all of them, of none null.
+TOKENS = f"CASE WHEN size(w) >= {WORDS} THEN sort_array(array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(WORDS))})))) WHEN size(w) > 0 THEN array(xxhash64(w)) END"
 #: Each expression is bound once by a lambda, so that nothing is computed twice.
 WORDS_OF = "array_remove(split(line, ' '), '')"
 #: A bitmap of the parities of the tokens ``s`` in 64 buckets, by the given bits of the hash.
@@ -62,7 +63,7 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     listed = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.explode(F.array(lines_of(F.col("text")))).alias("ls"))
     numbered = listed.select("doc_id", "dh", F.size("ls").alias("lines"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "ls")).alias("place", "raw"))
     numbered = numbered.withColumn("line", F.lower("raw"))
-    words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", "xxhash64(line) AS c1", "xxhash64(1, line) AS c2", f"inline(transform(array({WORDS_OF}), w -> struct(CASE WHEN size(w) >= {WORDS} THEN {TOKENS} END AS s)))")
+    words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", "xxhash64(line) AS c1", "xxhash64(1, line) AS c2", f"inline(transform(array({WORDS_OF}), w -> struct({TOKENS} AS s)))")
     # Tokens are sorted by hash, so the prefix is the front of the list.
     cut = f"inline(transform(array(s), s -> struct(size(s) AS n, slice(s, 1, {prefix_size('size(s)', P, Q)}) AS prefix)))"
     cut_lines = words.filter("no < 0 OR s IS NOT NULL").selectExpr("doc_id", "dh", "no", "lines", "c1", "c2", cut)
@@ -126,7 +127,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """doc_id, dh (hash of the text), n_lines, removed (ascending numbers from 0 of the lines that go): one row for each document.
 
     Rows equal in id and text are one document here.  Null ids come first in the order, null texts are empty (one
-    line, without tokens).  Only the two columns are read.  An empty table gives an empty result.
+    line, without words).  Only the two columns are read.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
     lines = saved(judged_lines(rows), "lines")
