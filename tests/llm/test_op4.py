@@ -77,3 +77,14 @@ def test_query_recall(spark):
     got, want = found(op4_ann_graph(spark, sf)), brute(rows, lambda i: i % 20 == 0, 20)
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.97
+
+
+def test_recall_with_a_few_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:105] *= 1e4
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, shard_rows=1000)), brute(rows, lambda i: i % 20 == 0, 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.97

@@ -12,7 +12,9 @@ so a task holds one shard and one block.  The best of all shards are merged.
 
 Largest inner product becomes least distance by one more component,
 sqrt(M^2 - |x|^2) with M the largest norm of all vectors (queries have 0 there), so all
-nodes have norm M and the pruning works on true distances.  Scores are
+nodes have norm M and the build works on true distances.  These are taken from the original
+vectors, and the difference of the components from their norms, so a few long
+vectors do not drown the distances of the rest; the longest nodes are entries too.  Scores are
 inner products of the original vectors in double precision.
 """
 
@@ -33,14 +35,35 @@ DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, ENTRIES = 32, 64, 128, 1.2, 16
 BUILD_BATCH, EXPAND = 512, 4
 
 
-def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int) -> np.ndarray:
-    """Beam search for many queries at once: the ``beam`` best nodes met, best first, -1 where there are fewer; edges: (n, degree), -1 for none."""
+class Level:
+    """Squared distances of vectors that one more component brings to the norm ``norm`` (their largest, if none is given)."""
+
+    def __init__(self, x: np.ndarray, norm: float | None = None):
+        self.sq = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+        self.rest = np.sqrt(np.maximum((self.sq.max() if norm is None else norm * norm) - self.sq, 0))
+
+    def gap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rest[a] - rest[b], by the difference of squares as the two may be large and all but equal."""
+        total = self.rest[a] + self.rest[b]
+        return (self.sq[b] - self.sq[a]) / np.where(total > 0, total, np.inf)
+
+    def apart(self, a: np.ndarray, b: np.ndarray, dots: np.ndarray) -> np.ndarray:
+        """Squared distances of the nodes a and b with the inner products ``dots`` of their original vectors."""
+        return self.sq[a] + self.sq[b] - 2 * dots.astype(np.float64) + self.gap(a, b) ** 2
+
+
+def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, level: Level | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """Beam search for many queries at once: the ``beam`` best nodes met, best first, -1 where there are fewer; edges: (n, degree), -1 for none.
+
+    Best is the largest inner product; with ``level``, for queries that are the nodes ``own``, the least distance.
+    """
     n, q = len(x), len(queries)
     beam = min(beam, n)
     entries = entries[: max(1, beam)]
     ids = np.full((q, beam), -1)
-    sims = np.full((q, beam), -np.inf, np.float32)
-    ids[:, : len(entries)], sims[:, : len(entries)] = entries, queries @ x[entries].T
+    sims = np.full((q, beam), -np.inf, np.float32 if level is None else np.float64)
+    first = queries @ x[entries].T
+    ids[:, : len(entries)], sims[:, : len(entries)] = entries, first if level is None else -level.apart(own[:, None], entries, first)
     done = np.ones((q, beam), bool)
     done[:, : len(entries)] = False
     met = np.zeros((q, n + 1), bool)
@@ -64,8 +87,9 @@ def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
         near[:, 1:][near[:, 1:] == near[:, :-1]] = n  # one visit for a node met twice in this step
         met[live[:, None], near] = True
         row, col = np.nonzero(near < n)
-        new = np.full(near.shape, -np.inf, np.float32)
-        new[row, col] = np.einsum("ij,ij->i", x[near[row, col]], queries[live[row]])
+        new = np.full(near.shape, -np.inf, sims.dtype)
+        dots = np.einsum("ij,ij->i", x[near[row, col]], queries[live[row]])
+        new[row, col] = dots if level is None else -level.apart(own[live[row]], near[row, col], dots)
         all_sims = np.hstack([sims[live], new])
         best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         sims[live] = np.take_along_axis(all_sims, best, 1)
@@ -74,20 +98,20 @@ def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
     return np.take_along_axis(ids, np.argsort(-sims, axis=1, kind="stable"), 1)
 
 
-def prune(x: np.ndarray, nodes: np.ndarray, cands: np.ndarray, alpha: float, degree: int) -> np.ndarray:
+def prune(x: np.ndarray, nodes: np.ndarray, cands: np.ndarray, alpha: float, degree: int, level: Level | None = None) -> np.ndarray:
     """(len(nodes), degree) diverse neighbours out of the candidate lists, nearest first; -1 for none."""
+    level = level or Level(x)
     b, c = cands.shape
     cands = np.where(cands == nodes[:, None], -1, cands)
     cands = np.sort(cands, axis=1)
     cands[:, 1:][cands[:, 1:] == cands[:, :-1]] = -1
-    size = float(np.einsum("j,j->", x[0], x[0]))  # the squared norm that all nodes share
     vectors = x[cands]
-    dist = 2 * size - 2 * np.einsum("bcd,bd->bc", vectors, x[nodes])
+    dist = level.apart(nodes[:, None], cands, np.einsum("bcd,bd->bc", vectors, x[nodes]))
     dist[cands < 0] = np.inf
     order = np.argsort(dist, axis=1, kind="stable")
     cands, dist = np.take_along_axis(cands, order, 1), np.take_along_axis(dist, order, 1)
     vectors = np.take_along_axis(vectors, order[:, :, None], 1)
-    apart = 2 * size - 2 * (vectors @ vectors.transpose(0, 2, 1))
+    dots = vectors @ vectors.transpose(0, 2, 1)
     alive = np.isfinite(dist)
     out, rows = np.full((b, degree), -1), np.arange(b)
     for k in range(degree):
@@ -96,15 +120,18 @@ def prune(x: np.ndarray, nodes: np.ndarray, cands: np.ndarray, alpha: float, deg
             break
         first = np.argmax(alive, axis=1)
         out[some, k] = cands[some, first[some]]
-        alive &= ~(alpha * alpha * apart[rows, first] <= dist)
+        apart = level.apart(cands[rows, first][:, None], cands, dots[rows, first])
+        alive &= ~(alpha * alpha * apart <= dist)
         alive[rows, first] = False
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """edges (n, degree) and entry nodes for vectors of equal norm."""
-    n, rng = len(x), np.random.default_rng(seed)
-    entries = np.unique(np.append(np.argmax(x @ x.mean(axis=0)), rng.integers(0, n, ENTRIES)))
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 0, norm: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """edges (n, degree) and entry nodes for vectors that are levelled to ``norm``."""
+    n, rng, level = len(x), np.random.default_rng(seed), Level(x, norm)
+    middle = np.argmax(x @ x.mean(axis=0) + level.gap(np.arange(n), np.argmin(level.sq)) * level.rest.mean())
+    longest = np.argsort(-level.sq, kind="stable")[:ENTRIES]
+    entries = np.unique(np.concatenate([[middle], rng.integers(0, n, ENTRIES), longest]))
     if n <= degree + 1:
         every = np.broadcast_to(np.arange(n), (n, n)).copy()
         every[np.arange(n), np.arange(n)] = -1
@@ -116,8 +143,8 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         order = rng.permutation(n)
         for i in range(0, n, BUILD_BATCH):
             batch = order[i : i + BUILD_BATCH]
-            found = greedy(x, edges, x[batch], entries, beam)
-            kept = prune(x, batch, np.hstack([found, edges[batch]]), factor, degree)
+            found = greedy(x, edges, x[batch], entries, beam, level, batch)
+            kept = prune(x, batch, np.hstack([found, edges[batch]]), factor, degree, level)
             edges[batch] = -1
             edges[batch, :degree] = kept
             count[batch] = (kept >= 0).sum(axis=1)
@@ -138,7 +165,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
                 more[row, place[~free]] = src[~free]
                 for j in range(0, len(full), BUILD_BATCH):
                     part = full[j : j + BUILD_BATCH]
-                    slim = prune(x, part, np.hstack([edges[part], more[j : j + BUILD_BATCH]]), factor, degree)
+                    slim = prune(x, part, np.hstack([edges[part], more[j : j + BUILD_BATCH]]), factor, degree, level)
                     edges[part] = -1
                     edges[part, :degree] = slim
                     count[part] = (slim >= 0).sum(axis=1)
@@ -147,16 +174,10 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         part = np.arange(j, min(n, j + BUILD_BATCH))
         part = part[count[part] > degree]
         if len(part):
-            out[part] = prune(x, part, edges[part], alpha, degree)
+            out[part] = prune(x, part, edges[part], alpha, degree, level)
     return out, entries
 
 
-def _level(x: np.ndarray, norm: float) -> np.ndarray:
-    """The vectors with the component that gives them all the same norm."""
-    rest = np.sqrt(np.maximum(norm * norm - np.einsum("ij,ij->i", x, x, dtype=np.float64), 0))
-    return np.hstack([x, rest[:, None].astype(np.float32)])
-
-
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, no null or non-finite component, not zero."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -180,7 +201,7 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) ->
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("ids", key=lambda s: s.str[0], kind="stable").reset_index(drop=True)
-        edges, entries = build_graph(_level(np.stack(f["v"].to_numpy()).astype(np.float32), norm))
+        edges, entries = build_graph(np.stack(f["v"].to_numpy()).astype(np.float32), norm=norm)
         entry = np.zeros(len(f), bool)
         entry[entries] = True
         return f.assign(node=np.arange(len(f)), edges=[e[e >= 0] for e in edges], entry=entry)[["shard", "node", "v", "ids", "edges", "entry"]]
