@@ -174,18 +174,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
-#: Plain DuckDB: all pairs of lines that share a shingle, counted.
+#: Plain DuckDB: all pairs of lines that share a token, counted.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(translate(coalesce(text, ''), chr(9) || chr(13), '  '), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i - 1 AS no, [x FOR x IN string_split(lower(ls[i]), ' ') IF x <> ''] AS w FROM d, range(1, 100000) r(i) WHERE i <= len(ls)),
-j AS (SELECT doc_id, no, array_to_string(w, ' ') AS line, w FROM l WHERE len(w) >= {WORDS}),
-c AS (SELECT line, any_value(w) AS w, min(doc_id * 1000000 + no) AS pos FROM j GROUP BY line),
-t AS (SELECT DISTINCT pos, array_to_string(w[i : i + {WORDS - 1}], ' ') AS token FROM c, range(1, 100000) r(i) WHERE i <= len(w) - {WORDS - 1}),
+l AS (SELECT doc_id, i - 1 AS no, [x FOR x IN string_split(lower(ls[i]), ' ') IF x <> ''] AS w FROM d, unnest(range(1, len(ls) + 1)) r(i)),
+j AS (SELECT doc_id, no, array_to_string(w, ' ') AS line, w FROM l WHERE len(w) > 0),
+c AS (SELECT line, any_value(w) AS w, min(doc_id * 1000000000 + no) AS pos FROM j GROUP BY line),
+t AS (SELECT DISTINCT pos, array_to_string(w[i : i + {WORDS - 1}], ' ') AS token FROM c, unnest(range(1, greatest(2, len(w) - {WORDS - 2}))) r(i)),
 n AS (SELECT pos, count(*) AS n FROM t GROUP BY pos),
 m AS (SELECT a.pos AS a, b.pos AS b, count(*) AS k FROM t a JOIN t b ON a.token = b.token AND a.pos < b.pos GROUP BY ALL),
 gone AS (SELECT DISTINCT b AS pos FROM m JOIN n x ON x.pos = a JOIN n y ON y.pos = b WHERE k * {P + Q} >= (x.n + y.n) * {P}),
 stay AS (SELECT pos FROM c WHERE pos NOT IN (SELECT pos FROM gone)),
-r AS (SELECT doc_id, no FROM j WHERE doc_id * 1000000 + no NOT IN (SELECT pos FROM stay))
+r AS (SELECT doc_id, no FROM j WHERE doc_id * 1000000000 + no NOT IN (SELECT pos FROM stay))
 SELECT d.doc_id, CAST(any_value(len(ls)) AS BIGINT) AS n_lines, count(r.no) AS n_removed, coalesce(string_agg(CAST(r.no AS VARCHAR), ',' ORDER BY r.no), '') AS removed_lines
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id
 """
