@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage_spark.session import scratch_path
@@ -67,6 +67,32 @@ def in_ranges(rows: DataFrame, chars: int) -> tuple[DataFrame, int]:
     return placed.withColumn("part", part.cast("int")).drop("low", "high"), parts
 
 
+def in_order(rows: DataFrame, order: list[str], place: str) -> DataFrame:
+    """``rows`` in one global order of the columns (nulls first), dealt over the tasks by ranges, with ``place``, a number that rises with it.
+
+    The row numbers break ties, so that many equal rows spread over tasks.  Ids of tasks are in the places, so write the result before two uses.
+    """
+    (tie,) = unused(rows, "tie")
+    cols = [F.col(f"`{c}`") for c in order]
+    spread = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*cols, tie).sortWithinPartitions(*cols, tie)
+    return spread.drop(tie).withColumn(place, F.monotonically_increasing_id())
+
+
+def with_rank(rows: DataFrame, keys: list[str], place: str, rank: str) -> DataFrame:
+    """Stored rows of ``in_order`` with their rank from 0 among the rows of the same keys, by which they were ordered first; keys are not null.
+
+    A key's rows lie side by side in each task's range, so one aggregate over (key, range) gives what is to be added
+    to their places; a key of very many rows meets its sums range by range.
+    """
+    part, low, count, move = unused(rows, "part", "low", "count", "move")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.withColumn(part, F.shiftright(place, 33))
+    spans = rows.groupBy(*keys, part).agg(F.min(place).alias(low), F.count("*").alias(count))
+    before = F.sum(count).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    moves = spans.select(*keys, part, (F.coalesce(before, F.lit(0)) - F.col(low)).alias(move))
+    return rows.join(moves, [*keys, part]).select(*kept, (F.col(place) + F.col(move)).alias(rank))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as make it new to ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -92,3 +118,16 @@ def text_steps(batches: Iterator[pa.RecordBatch], text_name: str, max_chars: int
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+
+
+#: DuckDB: a table ``crc`` whose one row holds the 256 numbers (t) that a CRC-32 looks up.
+CRC_SQL = (
+    "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v"
+    " FROM range(256) r(i)))"
+)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text in UTF-8, beside the table ``crc``."""
+    octets = f"[CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode({text})), '..')]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda v, b: xor(v >> 8, t[(xor(v, b) & 255) + 1])))"
