@@ -1,6 +1,7 @@
 """Streams equal their batch twins, also when the feed arrives in several micro-batches."""
 
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,16 +38,18 @@ def _source(spark, sf_small, d):
 
 def test_dedupe_stream_multi_batch(spark, sf_small, split_events):
     run = SJ.new_run(spark, "t-dedupe", tempfile.mkdtemp(prefix="t-dedupe-", dir="/tmp"))
-    got = SJ.dedupe_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=4)
+    got = SJ.dedupe_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
     want = first_per_key(with_key(FX.ticket_requests(FX.table(spark, sf_small, "events"))))
     assert rows(got, "key", "ticket_id") == rows(want, "key", "ticket_id")
-    # 4 batches committed
-    assert spark.read.parquet(f"{run.root}/_commits").select("batch").distinct().count() == 4
+    # 4 batches committed, each with its own rows only
+    assert sorted(p.name for p in Path(run.root, "_done").iterdir() if not p.name.startswith(".")) == ["0", "1", "2", "3"]
+    written = spark.read.parquet(f"{run.root}/firsts")
+    assert written.count() == want.count() and written.select("lo").distinct().count() == 4
 
 
 def test_ledger_and_state_stream_multi_batch(spark, sf_small, split_events):
     run = SJ.new_run(spark, "t-ledger", tempfile.mkdtemp(prefix="t-ledger-", dir="/tmp"))
-    job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=4)
+    job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
     i = TR.load(spark, sf_small)
     batch = L.ledger_rows(TR.resolve(i.requests, i.accounts, i.tiers))
     cols = ["idempotency_key", "ticket_id", "status", "confidence_score", "resolution_summary", "customer_reply", "actions_taken"]
@@ -74,14 +77,14 @@ def _outputs(job):
 @pytest.fixture(scope="module")
 def clean(spark, sf_small, split_events):
     run = SJ.new_run(spark, "t-clean", tempfile.mkdtemp(prefix="t-clean-", dir="/tmp"))
-    job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=3)
+    job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
     return _outputs(job)
 
 
 @pytest.mark.parametrize("mode, fail_at", [("static", 2), ("dynamic", 3), ("static", 4), ("dynamic", 5), ("static", 6)])
 def test_failed_batch_replays_to_the_clean_result(spark, sf_small, split_events, clean, monkeypatch, mode, fail_at):
     """The second batch stops before its n-th write (replies, ledger, audit, routes, state, commit) and starts again."""
-    from triage_spark.sinks import versioned as V
+    from triage_spark.sinks import runs as V
 
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
     try:
@@ -90,56 +93,89 @@ def test_failed_batch_replays_to_the_clean_result(spark, sf_small, split_events,
 
         def stopping(df, path, *by):
             seen.append(path)
-            if "batch_id=1" in path or "v=1" in path or path.endswith("_commits/batch=1"):
-                stopping.n += 1
-                if stopping.n == fail_at:
-                    raise Stopped(path)
+            if "batch_id=1" in path or "/lo=1/" in path:
+                count(path)
             whole(df, path, *by)
 
+        def count(path):
+            stopping.n += 1
+            if stopping.n == fail_at:
+                raise Stopped(path)
+
+        mark = V.Commits.commit
+
+        def stopping_mark(self, batch):
+            if batch == 1:
+                count("marker")
+            mark(self, batch)
+
         stopping.n = 0
         monkeypatch.setattr(V, "overwrite", stopping)
         monkeypatch.setattr(SJ, "overwrite", stopping)
+        monkeypatch.setattr(V.Commits, "commit", stopping_mark)
         with pytest.raises(Exception, match="Stopped"):
-            SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=3)
+            SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
         monkeypatch.setattr(V, "overwrite", whole)
         monkeypatch.setattr(SJ, "overwrite", whole)
-        # The restart asks for another bucket count; the stored one holds.
-        job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), buckets=7)
-        assert job.ledger.buckets == job.state.buckets == 3
+        monkeypatch.setattr(V.Commits, "commit", mark)
+        job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
         assert _outputs(job) == clean
     finally:
         spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
 
 
-def test_reopened_table_keeps_its_buckets(spark, sf_small):
-    """A table opened again with another count loses no key; a committed batch is not written twice."""
-    from triage_spark.schemas import FIRSTS_SCHEMA
-    from triage_spark.sinks.versioned import CommitLog, VersionedTable
-
-    root = tempfile.mkdtemp(prefix="t-reopen-", dir="/tmp")
-    firsts = first_per_key(with_key(FX.ticket_requests(FX.table(spark, sf_small, "events")))).select(*FIRSTS_SCHEMA.fieldNames())
-    log = CommitLog(spark, f"{root}/_commits")
-    store = VersionedTable(log, root, "firsts", "key", FIRSTS_SCHEMA, 4)
-    written = store.write(firsts, 0, store.touched(firsts))
-    assert store.read().count() == 0  # nothing is visible before the commit
-    log.commit(0, written)
-    again = VersionedTable(CommitLog(spark, f"{root}/_commits"), root, "firsts", "key", FIRSTS_SCHEMA, 8)
-    few = firsts.limit(20)
-    touched = again.touched(few)
-    again.log.commit(1, again.write(again.read(touched), 1, touched))
-    assert again.buckets == 4 and rows(again.read()) == rows(firsts)
-    assert again.log.committed(1) and not again.log.committed(2)
-
-
-def test_only_a_missing_log_is_empty(spark, tmp_path):
-    from triage_spark.sinks.versioned import CommitLog
-
-    assert CommitLog(spark, f"{tmp_path}/none").newest() == (-1, {}, {})
-    bad = tmp_path / "log" / "batch=0"
-    bad.mkdir(parents=True)
-    (bad / "part-0.parquet").write_bytes(b"not parquet")
-    with pytest.raises(Exception):
-        CommitLog(spark, str(tmp_path / "log")).newest()
+def test_live_runs_cover_all_batches_and_stay_few():
+    from triage_spark.sinks.runs import FAN, live
+
+    for n in range(0, 1200):
+        runs = live(n)
+        assert [b for lo, size in runs for b in range(lo, lo + size)] == list(range(n)) and len(runs) <= 4 * (FAN - 1)
+    assert live(8) == [(0, 8)] and live(74) == [(0, 64), (64, 8), (72, 1), (73, 1)]
+
+
+def test_runs_merge_on_read_fold_and_drop_old_folders(spark, tmp_path, monkeypatch):
+    """Twelve batches with folds of two: the latest row of each key, before and after every commit, and few folders."""
+    from triage_spark.sinks import runs as V
+
+    monkeypatch.setattr(V, "FAN", 2)
+    monkeypatch.setattr(V, "KEEP", 2)
+    schema = spark.createDataFrame([], "k string, v long").schema
+    base = spark.createDataFrame([("a", -1), ("z", -1)], schema)
+    want = {"a": -1, "z": -1}
+    root = f"file://{tmp_path}/t"
+    for n in range(12):
+        commits = V.Commits(spark, root)
+        table = V.KeyedRuns(commits, "rows", "k", schema, base)
+        assert commits.newest() == n - 1 and dict(map(tuple, table.read().collect())) == want
+        batch = {k: n for i, k in enumerate("abcdef") if (n + i) % 3 == 0}
+        table.append(spark.createDataFrame(list(batch.items()), schema), n)
+        # Nothing is visible before the marker; a replay writes the same folders.
+        assert dict(map(tuple, table.read().collect())) == want
+        table.append(spark.createDataFrame(list(batch.items()), schema), n)
+        commits.commit(n)
+        want |= batch
+        some = spark.createDataFrame([("a",), ("b",), ("a",), ("none",)], "k string")
+        assert dict(map(tuple, table.read(some).collect())) == {k: v for k, v in want.items() if k in "ab"}
+    assert commits.committed(11) and not commits.committed(12)
+    folders = sorted(str(p.relative_to(tmp_path / "t" / "rows")) for p in (tmp_path / "t" / "rows").glob("lo=*/size=*"))
+    # The live runs, those of the last two commits, and what they folded.
+    assert len(folders) <= 10 and {"lo=0/size=8", "lo=8/size=4"} <= set(folders) and not {"lo=0/size=1", "lo=0/size=2", "lo=2/size=1"} & set(folders)
+    assert len([p for p in (tmp_path / "t" / "_done").iterdir() if not p.name.startswith(".")]) <= 3
+
+
+def test_a_fold_holds_the_latest_row_of_each_key(spark, tmp_path, monkeypatch):
+    from triage_spark.sinks import runs as V
+
+    monkeypatch.setattr(V, "FAN", 2)
+    schema = spark.createDataFrame([], "k string, v long").schema
+    commits = V.Commits(spark, f"file://{tmp_path}/t")
+    table = V.KeyedRuns(commits, "rows", "k", schema)
+    assert commits.newest() == -1 and table.read().count() == 0
+    for n in range(2):
+        table.append(spark.createDataFrame([("a", n), (f"only{n}", n)], schema), n)
+        commits.commit(n)
+    assert rows(spark.read.parquet(f"file://{tmp_path}/t/rows/lo=0/size=2")) == [("a", 1), ("only0", 0), ("only1", 1)]
+    assert rows(table.read()) == [("a", 1), ("only0", 0), ("only1", 1)]
 
 
 def test_triage_and_failure_streams(spark, sf_small):

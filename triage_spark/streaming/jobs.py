@@ -6,8 +6,8 @@ can feed several sinks and be replayed safely:
 
 * every write of batch ``n`` goes to a folder named by ``n`` (overwrite), so
   a replay after a failure rewrites the same folders;
-* one commit record over all outputs of the batch is written last; a batch
-  reads only what earlier batches committed, and is skipped if its own record is there.
+* one marker over all outputs of the batch is made last; a batch
+  reads only what earlier batches committed, and is skipped if its own marker is there.
 
 Order: tickets are applied in arrival (micro-batch) order, and by
 ``(created_at, ticket_id)`` inside a batch.  The stream equals the batch
@@ -33,7 +33,7 @@ from ..operators.dedupe import ORDER, first_fields, first_per_key, with_key
 from ..operators.gate import gate
 from ..plans import triage as TR
 from ..session import scratch_path
-from ..sinks.versioned import CommitLog, VersionedTable, bucket_of, overwrite
+from ..sinks.runs import Commits, KeyedRuns, overwrite
 from ..sources import feeds as FD
 from ..sources import fixtures as FX
 
@@ -88,28 +88,24 @@ def triage_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Data
 
 
 # --------------------------------------------------------------------- STR-2
-def dedupe_stream(
-    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, buckets: int | None = None
-) -> DataFrame:
+def dedupe_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> DataFrame:
     """STR-2: first request per key against everything seen so far.
 
     Per batch: first per key inside the batch (partial aggregate), then an
-    anti join with the stored firsts of the touched buckets only.
+    anti join with the stored firsts of its keys; only the new firsts are written.
     """
-    log = CommitLog(spark, f"{run.root}/_commits")
-    store = VersionedTable(log, run.root, "firsts", "key", S.FIRSTS_SCHEMA, default_buckets(spark, buckets))
+    commits = Commits(spark, run.root)
+    store = KeyedRuns(commits, "firsts", "key", S.FIRSTS_SCHEMA)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if log.committed(batch_id):
+        if commits.committed(batch_id):
             return
         names = S.FIRSTS_SCHEMA.fieldNames()
         narrow = {c: F.col(c) for c in names if c not in ("key", *ORDER)}
         firsts = first_fields(with_key(FX.ticket_requests(batch)), narrow).select(*names)
         firsts = firsts.persist()
-        touched = store.touched(firsts)
-        seen = store.read(touched)
-        new = firsts.join(seen.select("key"), "key", "left_anti")
-        log.commit(batch_id, store.write(seen.unionByName(new), batch_id, touched))
+        store.append(firsts.join(store.read(firsts.select("key")).select("key"), "key", "left_anti"), batch_id)
+        commits.commit(batch_id)
         firsts.unpersist()
 
     ev = source if source is not None else event_stream(spark, sf_dir)
@@ -120,97 +116,76 @@ def dedupe_stream(
 # ------------------------------------------------------------------ STR-3/4
 @dataclass
 class LedgerJob:
-    log: CommitLog
-    ledger: VersionedTable
-    state: VersionedTable
+    commits: Commits
+    ledger: KeyedRuns
+    state: KeyedRuns
     audit_root: str
     replies_root: str
     routes_root: str
 
     def committed_rows(self, root: str) -> DataFrame:
         """The rows of an append-only output that belong to committed batches."""
-        return self.log.spark.read.parquet(root).filter(F.col("batch_id") <= self.log.newest()[0])
+        return self.commits.spark.read.parquet(root).filter(F.col("batch_id") <= self.commits.newest())
 
 
-def default_buckets(spark: SparkSession, buckets: int | None = None) -> int:
-    """Hash buckets of a keyed store: given, else the session's shuffle partitions.
-
-    A bucket is what one task rewrites, so on a cluster it follows the
-    shuffle width the deployment sized for its data (thousands of buckets
-    for a large ledger), not a constant; a micro-batch rewrites only the
-    buckets its new keys fall in.
-    """
-    return int(buckets or spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun, buckets: int | None = None) -> LedgerJob:
+def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun) -> LedgerJob:
     accounts = FX.accounts(FX.table(spark, sf_dir, "customer")).select(
         "*", F.lit(0).cast("bigint").alias("tier_changes"), F.lit(0).cast("bigint").alias("tool_calls"),
         F.lit(False).alias("is_new"),
     )
-    buckets = default_buckets(spark, buckets)
-    log = CommitLog(spark, f"{run.root}/_commits")
+    commits = Commits(spark, run.root)
     return LedgerJob(
-        log=log,
-        ledger=VersionedTable(log, run.root, "ledger", "idempotency_key", S.LEDGER_SCHEMA, buckets),
-        state=VersionedTable(log, run.root, "accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, buckets, base=accounts),
+        commits=commits,
+        ledger=KeyedRuns(commits, "ledger", "idempotency_key", S.LEDGER_SCHEMA),
+        state=KeyedRuns(commits, "accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, base=accounts),
         audit_root=f"{run.root}/audit",
         replies_root=f"{run.root}/replies",
         routes_root=f"{run.root}/routes",
     )
 
 
-def ledger_stream(
-    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, buckets: int | None = None
-) -> LedgerJob:
+def ledger_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> LedgerJob:
     """STR-3 + STR-4: per micro-batch, one transaction-like step.
 
     hits -> cached replies; misses -> first per key -> resolve against the
-    account state left by earlier batches -> upsert of the touched ledger
-    buckets + audit rows + new account state.  All writes of batch ``n`` are
-    keyed by ``n`` and become visible together, by one commit record at the end.
+    account state left by earlier batches -> changed ledger rows + audit rows + the state of the
+    accounts in the batch.  All writes of batch ``n`` are keyed by ``n``, in proportion to the batch,
+    and become visible together, by one marker at the end.
     """
-    job = ledger_job(spark, sf_dir, run, buckets)
+    job = ledger_job(spark, sf_dir, run)
     tiers = FX.tiers(spark)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if job.log.committed(batch_id):
+        if job.commits.committed(batch_id):
             return
         keyed = with_key(FX.ticket_requests(batch)).persist()
-        read_buckets = job.ledger.touched(keyed, "key")
-        ledger_t = job.ledger.read(read_buckets)
-        if job.ledger.is_empty(read_buckets):
-            # nothing stored yet for these keys: no repeats of earlier batches
+        known = None
+        if job.commits.newest() < 0:
+            # nothing stored yet: no repeats of earlier batches
             misses = keyed
         else:
-            hits = L.hits(keyed, ledger_t)
-            replies = hits.select("event_id", "key", "stored_ticket_id", "stored_status", *L.cached_columns())
+            known = job.ledger.read(keyed.select(F.col("key").alias("idempotency_key"))).persist()
+            replies = L.hits(keyed, known).select("event_id", "key", "stored_ticket_id", "stored_status", *L.cached_columns())
             overwrite(replies, f"{job.replies_root}/batch_id={batch_id}")
-            misses = L.misses(keyed, ledger_t)
+            misses = L.misses(keyed, known)
         new = first_per_key(misses).persist()
-        # buckets of the new tickets in both stores, in one job (each set holds at most ``buckets`` ints)
-        b = new.agg(
-            F.collect_set(bucket_of("key", job.ledger.buckets)).alias("kb"),
-            F.collect_set(bucket_of(A.normalize_id("customer_id"), job.state.buckets)).alias("ab"),
-        ).first()
-        new_buckets, state_buckets = sorted(b["kb"]), sorted(b["ab"])
-        state_t = job.state.read(state_buckets)
+        state_t = job.state.read(new.select(A.normalize_id("customer_id").alias("account_id"))).persist()
         res = TR.resolve(new, state_t.select("account_id", *A.ACCOUNT_FIELDS), tiers, deduped=True).persist()
         rows = L.ledger_rows(res)
-        # Rewrite only the buckets new tickets fall in (hit-only buckets stay as they are).
-        upserted = L.upsert(ledger_t, rows).drop("change")
-        upserted = upserted.filter(bucket_of("idempotency_key", job.ledger.buckets).isin(new_buckets))
-        written = job.ledger.write(upserted, batch_id, new_buckets)
+        if known is not None:
+            rows = L.upsert(known, rows).filter("change <> 'KEPT'").drop("change")
+        job.ledger.append(rows, batch_id)
         # SNK-2: append-only audit, one folder per batch (replay-safe), by log date inside
         overwrite(AU.with_log_date(AU.step_rows(res)), f"{job.audit_root}/batch_id={batch_id}", "log_date")
         # SNK-3, SNK-4, SNK-7: one folder per route, each row with its message and the full response
         routed = RT.with_route(res).withColumn("message", RT.route_message(L.actions_json()))
         routed = routed.select("key", "ticket_id", "message", RT.response_json(L.actions_json()).alias("response"), "route")
         overwrite(routed, f"{job.routes_root}/batch_id={batch_id}", "route")
-        written |= job.state.write(A.account_state(state_t, A.tool_calls(res)), batch_id, state_buckets)
-        job.log.commit(batch_id, written)
-        for d in (res, new, keyed):
-            d.unpersist()
+        job.state.append(A.account_state(state_t, A.tool_calls(res)), batch_id)
+        job.commits.commit(batch_id)
+        for d in (res, state_t, new, keyed, known):
+            if d is not None:
+                d.unpersist()
 
     ev = source if source is not None else event_stream(spark, sf_dir)
     _run(ev.writeStream.foreachBatch(step).option("checkpointLocation", run.ck("ledger")).trigger(availableNow=True).start())
