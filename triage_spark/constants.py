@@ -134,6 +134,7 @@ TPL_EXC_REPLY = (
 )
 TPL_TIER_MESSAGE = "Successfully updated account '%s' to %s tier."
 TPL_TIER_INVALID = "Invalid tier '%s'. Supported tiers are: STARTER, PROFESSIONAL, ENTERPRISE."
+TPL_MISSING_ARGUMENT = "%s() missing %d required positional argument%s: %s"
 CACHED_REASONING_PREFIX = "Idempotent cached response: "
 MODEL_REASONING = "Processed via live LangChain tool-calling agent."
 MODEL_DEFAULT_REPLY = "Your request has been processed."

@@ -17,13 +17,15 @@ tickets) into one task, so the scan is split in time chunks:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rules import normalize_id
 from ..functions.text import confirmation_id, effective_date, epoch_micros
-from .skew import DEFAULT_HOT_ROWS, skew_join
+from .skew import DEFAULT_HOT_ROWS, heavy_hitters, skew_join
 
 ORDER = ("created_at", "ticket_id")
 DEFAULT_CHUNK_SECONDS = 3600
@@ -88,16 +90,10 @@ def lookup_accounts(
 def hot_accounts(requests: DataFrame, id_col: str = "customer_id", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Accounts holding at least ``hot_rows`` requests.
 
-    Counted on the raw feed (a partial + final hash aggregate), so the result
-    has at most ``rows / hot_rows`` rows: safe to broadcast.  Columns:
-    account_id, n.
+    Found on the raw feed by a frequent-items sketch, so the list is bounded (``skew.MOST_HOT``): safe to
+    broadcast.  Columns: account_id, n.
     """
-    return (
-        requests.select(normalize_id(id_col).alias("account_id"))
-        .groupBy("account_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= hot_rows)
-    )
+    return heavy_hitters(requests.select(normalize_id(id_col).alias("account_id")), "account_id", hot_rows)
 
 
 def join_tiers(df: DataFrame, tiers: DataFrame, tier_col: str) -> DataFrame:
@@ -143,6 +139,7 @@ def change_carry(
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
     hot: DataFrame | None = None,
     hot_parts: int = HOT_PARTS,
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """The account prefix scan without the account's base values.
 
@@ -173,7 +170,7 @@ def change_carry(
             "_half": change_half,
         }
     )
-    order = [F.col("created_at"), F.col("ticket_id")]
+    order = [F.col(c) for c in order]
     w_in = Window.partitionBy("account_id", "_chunk").orderBy(*order)
     rows = rows.withColumns(
         {
@@ -270,6 +267,11 @@ def tier_change_result(account_id: str = "account_id") -> Column:
     )
 
 
+def tier_failure_result(asked: Column) -> Column:
+    """SCL-32: the result struct of ``update_subscription_tier`` for a tier that is not on the list."""
+    return F.struct(F.lit(False).alias("success"), F.format_string(C.TPL_TIER_INVALID, asked).alias("error"))
+
+
 def balance_result(prefix: str = "acct_") -> Column:
     """SCL-31: the tool result struct of ``check_account_balance`` (10 fields)."""
     p = prefix
@@ -290,6 +292,7 @@ def balance_result(prefix: str = "acct_") -> Column:
 def account_state(
     accounts: DataFrame,
     tool_calls: DataFrame,
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """WIN-4: every account after all tickets (all account fields kept).
 
@@ -302,7 +305,7 @@ def account_state(
     """
     half = F.floor(F.col("max_seats") / 2).cast("int")
     touched = tool_calls.groupBy("account_id").agg(
-        F.max(F.when(F.col("is_change"), F.struct(*[F.col(c) for c in ORDER], F.col("tier_name").alias("t")))).alias(
+        F.max(F.when(F.col("is_change"), F.struct(*[F.col(c) for c in order], F.col("tier_name").alias("t")))).alias(
             "_last"
         ),
         F.max(F.when(F.col("is_change"), half)).alias("_max_half"),

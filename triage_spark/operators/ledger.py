@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .model_feed import normalized
 from .skew import DEFAULT_HOT_ROWS, skew_join
 
 LEDGER_COLUMNS = [
@@ -184,4 +185,18 @@ def cached_columns() -> list[Column]:
         ),
         F.coalesce(F.col("stored_customer_reply"), F.lit("")).alias("customer_reply"),
         F.coalesce(F.col("stored_execution_time_ms"), F.lit(0)).alias("latency_ms"),
+        cached_actions("stored_actions_taken").alias("actions_taken"),
     ]
+
+
+def cached_actions(stored: str) -> Column:
+    """SCL-16/17: the stored actions of a cached reply as JSON text, in the shape of a response; ``[]`` if none are stored.
+
+    Each row's list is read and written within the row, so it travels with its reply.
+    """
+
+    def item(a: Column) -> Column:
+        texts = {"tool_name": json_str(a["tool_name"]), "parameters": a["parameters_json"], "result": a["result_json"], "success": a["success"].cast("string"), "error": json_str(a["error"])}
+        return F.concat(*[x for i, (k, v) in enumerate(texts.items()) for x in (F.lit(f'{"," if i else "{"}"{k}":'), v)], F.lit("}"))
+
+    return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(normalized(F.col(stored)), item), ","), F.lit("")), F.lit("]"))

@@ -125,16 +125,15 @@ def model_actions(df: DataFrame, message_col: str = "message_json", threshold=C.
     )
 
 
-def normalize_actions(df: DataFrame, col: str = "actions_json") -> DataFrame:
-    """SCL-16 + SCL-19: stored actions in either shape -> one row per action.
+def normalized(stored: Column) -> Column:
+    """SCL-16 + SCL-19: stored actions in either shape as an array of structs of one shape; null if the text holds no list.
 
     ``tool`` or ``tool_name`` (else ``unknown``); success is
     ``status == 'SUCCESS' or success (default true)`` (Q13: FAILED without a
     success field reads as true); parameters are kept; result is ``details`` or ``result``.
     """
-    arr = F.from_json(F.col(col), STORED_ACTIONS)
-    norm = F.transform(
-        arr,
+    return F.transform(
+        F.from_json(stored, STORED_ACTIONS),
         lambda a: F.struct(
             F.coalesce(a["tool"], a["tool_name"], F.lit("unknown")).alias("tool_name"),
             (F.coalesce(a["status"] == "SUCCESS", F.lit(False)) | F.coalesce(a["success"], F.lit(True))).alias(
@@ -145,6 +144,10 @@ def normalize_actions(df: DataFrame, col: str = "actions_json") -> DataFrame:
             a["error"].alias("error"),
         ),
     )
-    return df.select("*", F.posexplode(norm).alias("pos", "action")).select(
+
+
+def normalize_actions(df: DataFrame, col: str = "actions_json") -> DataFrame:
+    """One row for each stored action."""
+    return df.select("*", F.posexplode(normalized(F.col(col))).alias("pos", "action")).select(
         *df.columns, "pos", "action.*"
     )

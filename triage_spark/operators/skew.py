@@ -2,16 +2,15 @@
 
 A single key (one idempotency key, one account) may hold a third of all rows.
 A plain shuffle join sends all of them to one task.  ``skew_join`` finds the
-hot keys with a partially-aggregated count (combined map-side, so the count
-itself never skews), then salts only those keys:
+hot keys with a frequent-items sketch (one small sketch a task is shuffled, not a count
+for every key), then salts only those keys:
 
 * big side: hot rows get ``salt = pmod(xxhash64(salt_by), n_salts)``, cold rows 0;
 * small side: hot rows are replicated ``n_salts`` times, cold rows once.
 
 The join runs on ``keys + [salt]`` so a hot key is spread over ``n_salts``
-tasks.  The hot-key list is broadcast; its size is bounded by
-``rows(big) / hot_rows`` (every hot key holds at least ``hot_rows`` rows), so
-the broadcast cannot grow past that bound whatever the data.  The salt is a
+tasks.  The hot-key list is broadcast; it has ``MOST_HOT`` keys at most, whatever the data.
+The list only shapes the plan: results do not depend on it, and keys beyond it are left to AQE's skew join.  The salt is a
 hash of row content, never ``rand()``, so a recomputed task after an executor
 loss gets the same salts.
 """
@@ -27,9 +26,36 @@ DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_SALTS = 64
 
 
+#: Items that a sketch tracks (a key with more than about 1/2000 of all rows is never missed) and keys that a list holds.
+TRACKED, MOST_HOT = 8192, 1000
+#: Tasks that merge the sketches of the scan's tasks before the last one does.
+MERGERS = 64
+
+
+def heavy_hitters(df: DataFrame, key: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+    """key, n (about): the keys of at least ``hot_rows`` rows, by a frequent-items sketch.
+
+    Each scan task sends one sketch of bounded size; they are merged in two steps, so the
+    last task gets ``MERGERS`` sketches, however many tasks there are.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_g")
+    # One null key more, as there is nothing to merge for a table without rows.
+    none = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[key].dataType).alias("_k"), F.lit(0).alias("_g"))
+    sketches = df.select(F.col(key).alias("_k"), group).unionAll(none).groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(_k, {TRACKED})").alias("_s"))
+    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {TRACKED}), {MOST_HOT})").alias("_t"))
+    found = top.select(F.inline("_t").alias(key, "n"))
+    return found.filter((F.col("n") >= hot_rows) & F.col(key).isNotNull())
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
-    """Keys holding at least ``hot_rows`` rows (partial + final hash aggregate)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
+    """Keys holding at least ``hot_rows`` rows; several key columns are looked for as one text each."""
+    keys = list(keys)
+    if len(keys) == 1:
+        return heavy_hitters(df, keys[0], hot_rows).select(*keys)
+    one = F.to_json(F.struct(*keys)).alias("_key")
+    schema = df.select(*keys).schema
+    found = heavy_hitters(df.select(one), "_key", hot_rows)
+    return found.select(F.from_json("_key", schema).alias("_v")).select(*[F.col("_v")[k].alias(k) for k in keys])
 
 
 def skew_join(

@@ -29,10 +29,12 @@ def known_tool(name: Column) -> Column:
     return name.isin(*REGISTRY.keys())
 
 
-def dispatch_json(name: Column) -> Column:
-    """JSON text of the named tool's result struct (null for an unknown tool)."""
+def dispatch_json(name: Column, asked: str = "target_tier") -> Column:
+    """JSON text of the named tool's result struct (null for an unknown tool); ``asked``: the column of the tier asked for."""
     chain = None
     for tool, fn in REGISTRY.items():
         branch = F.to_json(fn())
+        if tool == C.TOOL_TIER:
+            branch = F.coalesce(branch, F.to_json(A.tier_failure_result(F.col(asked))))
         chain = F.when(name == tool, branch) if chain is None else chain.when(name == tool, branch)
     return chain

@@ -157,6 +157,9 @@ TIER_RESULT_JSON = f"""json_object('success', true, 'account_id', account_id, 'p
   'effective_date', strftime(created_at, '%Y-%m-%d'), 'confirmation_id', confirmation_id,
   'message', printf({q(C.TPL_TIER_MESSAGE)}, account_id, tier_name))"""
 
+TIER_FAILURE_JSON = "json_object('success', false, 'error', 'Invalid tier ''" + "' || target_tier || '" + "''. Supported tiers are: STARTER, PROFESSIONAL, ENTERPRISE.')"
+
+
 def res_chain(p: str = "", src: str = "decided", accts: str = "accts") -> list[str]:
     return [
     f"{p}r1 AS ({lookup_sql(src, accts)})",
@@ -186,7 +189,7 @@ def res_chain(p: str = "", src: str = "decided", accts: str = "accts") -> list[s
          reasoning0 || ' [' || gate_message || ']' AS reasoning,
          CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN json_object('account_id', customer_id, 'new_tier', target_tier)
               WHEN tool_name IS NOT NULL THEN json_object('account_id', customer_id) END AS parameters_json,
-         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN CASE WHEN tier_valid THEN {TIER_RESULT_JSON} END
+         CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN CASE WHEN tier_valid THEN {TIER_RESULT_JSON} ELSE {TIER_FAILURE_JSON} END
               WHEN tool_name = {q(C.TOOL_BALANCE)} THEN {BAL_RESULT_JSON} END AS result_json,
          CASE WHEN tool_name = {q(C.TOOL_TIER)} THEN tier_valid WHEN tool_name IS NOT NULL THEN true END AS tool_success,
          CASE WHEN tool_name = {q(C.TOOL_TIER)} AND NOT tier_valid THEN printf({q(C.TPL_TIER_INVALID)}, target_tier) END AS tool_error
@@ -394,3 +397,109 @@ AUDIT_RULES_SQL = [
     ("LATENCY_NEGATIVE", "latency_ms < 0"),
     ("CONFIDENCE_RANGE", "confidence_score < 0 OR confidence_score > 1"),
 ]
+
+
+# ------------------------------------------------------------------ cached actions, asked tiers, model path, feed files
+
+
+def _cached_action(a: str) -> str:
+    part = lambda *paths: "coalesce(" + ", ".join(f"CAST(json_extract({a}, '$.{p}') AS VARCHAR)" for p in paths) + ", '{}')"
+    return (
+        f"""'{{"tool_name":' || to_json(coalesce(json_extract_string({a}, '$.tool'), json_extract_string({a}, '$.tool_name'), 'unknown'))"""
+        f""" || ',"parameters":' || {part("parameters")} || ',"result":' || {part("details", "result")} || ',"success":'"""
+        f""" || CASE WHEN coalesce(json_extract_string({a}, '$.status') = 'SUCCESS', false) OR coalesce(CAST(json_extract({a}, '$.success') AS BOOLEAN), true) THEN 'true' ELSE 'false' END"""
+        f""" || ',"error":' || coalesce(CAST(to_json(json_extract_string({a}, '$.error')) AS VARCHAR), 'null') || '}}'"""
+    )
+
+
+CACHED_ACTIONS_SQL = f"'[' || coalesce(array_to_string([{_cached_action('a')} FOR a IN CAST(json_extract(stored_actions_taken, '$[*]') AS JSON[])], ','), '') || ']'"
+
+_ASKED = "CASE WHEN event_id % 10 = 0 THEN 'Gold' WHEN event_id % 10 < 4 THEN ' starter ' WHEN event_id % 10 < 7 THEN 'Professional' ELSE 'enterprise' END"
+
+ASKED_TIER_CTES = [
+    f"""q_decided AS (SELECT * REPLACE (CASE WHEN category = 'SUBSCRIPTION' THEN {_ASKED} END AS target_tier,
+         CAST(CASE WHEN category = 'SUBSCRIPTION' AND event_id % 10 = 0 THEN 0.50 ELSE confidence_score END AS DECIMAL(4,3)) AS confidence_score) FROM decided)""",
+    *res_chain("q_", "q_decided"),
+]
+
+FAILED_TIER_SQL = f"""SELECT key, target_tier, tier_valid, confidence_score, status, CASE WHEN tier_valid THEN previous_tier END AS previous_tier,
+       CASE WHEN tier_valid THEN seats_after END AS seats_after, reasoning, customer_reply, {ACTIONS_JSON_SQL} AS actions_taken, CASE WHEN confidence_score < {THR} THEN 'WARNING' ELSE 'SUCCESS' END AS audit_status,
+       json_object('status', status, 'gate_decision', gate_message)::VARCHAR AS output_payload
+FROM q_res WHERE category = 'SUBSCRIPTION'"""
+
+
+def _call_text(name: str, *args: str) -> str:
+    return " || ".join([f"""'{{"name":"{name}","args":{{'""", *args, "'}}'"])
+
+
+_ACCOUNT_ARG = """'"account_id":"' || customer_id || '"'"""
+_BALANCE, _UNKNOWN = _call_text("check_account_balance", _ACCOUNT_ARG), """'{"name":"wipe_disk","args":{}}'"""
+
+
+def _tier_call(t: str) -> str:
+    return _call_text("update_subscription_tier", _ACCOUNT_ARG, """',"new_tier":"'""", t, """'"'""")
+
+
+def _message(content: str, *calls: str) -> str:
+    return f"""'{{"content":{content},"tool_calls":[' || """ + " || ',' || ".join(calls or ["''"]) + " || ']}'"
+
+
+_MESSAGES = [
+    _message('"done"'),
+    _message('"done"', _UNKNOWN),
+    _message('"done"', _BALANCE),
+    _message('"done"', _tier_call(_ASKED)),
+    _message('""', _tier_call("'Starter'"), _BALANCE, _tier_call("'Enterprise'")),
+    _message('"done"', _call_text("check_account_balance")),
+    _message('"done"', _call_text("update_subscription_tier", _ACCOUNT_ARG), _BALANCE, _call_text("update_subscription_tier")),
+    _message("null", _UNKNOWN, _tier_call("' professional '")),
+]
+_WINDOW = "PARTITION BY account_id ORDER BY created_at, ticket_id, call_no ROWS BETWEEN UNBOUNDED PRECEDING AND"
+
+MODEL_PATH_CTES = [
+    "f9 AS (SELECT *, CASE " + " ".join(f"WHEN event_id % 8 = {i} THEN {m}" for i, m in enumerate(_MESSAGES)) + " END AS message_json FROM keyed)",
+    "m_firsts AS (SELECT * FROM f9 QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at, ticket_id) = 1)",
+    """m_calls AS (SELECT key, created_at, ticket_id, call_no, json_extract(message_json, '$.tool_calls[' || call_no || ']') AS c
+  FROM m_firsts, unnest(range(CAST(json_array_length(message_json, '$.tool_calls') AS BIGINT))) r(call_no))""",
+    """m_known AS (SELECT key, created_at, ticket_id, call_no, c, json_extract_string(c, '$.name') AS tool_name,
+         json_extract_string(c, '$.args.account_id') AS customer_id, json_extract_string(c, '$.args.new_tier') AS target_tier
+  FROM m_calls WHERE json_extract_string(c, '$.name') IN ('check_account_balance', 'update_subscription_tier'))""",
+    f"m1 AS ({lookup_sql('m_known')})",
+    f"""m2 AS (SELECT m1.*, t.name AS tier_name, t.monthly_cost, t.max_seats, t.tier_key IS NOT NULL AS tier_valid,
+         CASE WHEN tool_name = 'check_account_balance' AND customer_id IS NULL THEN 'check_account_balance() missing 1 required positional argument: ''account_id'''
+              WHEN tool_name = 'update_subscription_tier' AND customer_id IS NULL AND target_tier IS NULL THEN 'update_subscription_tier() missing 2 required positional arguments: ''account_id'' and ''new_tier'''
+              WHEN tool_name = 'update_subscription_tier' AND customer_id IS NULL THEN 'update_subscription_tier() missing 1 required positional argument: ''account_id'''
+              WHEN tool_name = 'update_subscription_tier' AND target_tier IS NULL THEN 'update_subscription_tier() missing 1 required positional argument: ''new_tier''' END AS error
+  FROM m1 LEFT JOIN tiers t ON t.tier_key = {norm_sql('m1.target_tier')})""",
+    "m3 AS (SELECT *, coalesce(error IS NULL AND tool_name = 'update_subscription_tier' AND tier_valid, false) AS is_change FROM m2)",
+    f"""m4 AS (SELECT *, coalesce(last_value(CASE WHEN is_change THEN tier_name END IGNORE NULLS) OVER ({_WINDOW} 1 PRECEDING), acct_current_tier) AS previous_tier,
+         'TIER-CHG-' || CAST(CAST(floor(epoch(created_at)) AS BIGINT) AS VARCHAR) AS confirmation_id FROM m3)""",
+    f"""m5 AS (SELECT *, CASE WHEN error IS NOT NULL THEN '{{}}' WHEN tool_name = 'check_account_balance' THEN CAST({BAL_RESULT_JSON} AS VARCHAR)
+         WHEN tier_valid THEN CAST({TIER_RESULT_JSON} AS VARCHAR) ELSE CAST({TIER_FAILURE_JSON} AS VARCHAR) END AS result FROM m4)""",
+    """m6 AS (SELECT key, bool_and(error IS NULL) AS all_ok, string_agg('{"tool_name":' || to_json(tool_name) || ',"parameters":' || CAST(json_extract(c, '$.args') AS VARCHAR)
+         || ',"result":' || result || ',"success":' || CASE WHEN error IS NULL THEN 'true' ELSE 'false' END || ',"error":' || coalesce(CAST(to_json(error) AS VARCHAR), 'null') || '}', ',' ORDER BY call_no) AS actions
+  FROM m5 GROUP BY key)""",
+    "m7 AS (SELECT f.*, actions, CAST(CASE WHEN all_ok THEN 0.85 ELSE 0.65 END AS DECIMAL(4,3)) AS confidence_score FROM m_firsts f LEFT JOIN m6 USING (key))",
+    f"""model_rows AS (SELECT sha256(key) AS ticket_key, key AS idempotency_key, ticket_id, customer_id, customer_email, subject, body, 'GENERAL' AS category, {q(C.DEFAULT_PRIORITY)} AS priority,
+       CASE WHEN confidence_score < {THR} THEN 'ESCALATED' ELSE 'RESOLVED' END AS status, confidence_score, {q(C.MODEL_REASONING)} || ' [' || {gate_msg_sql('confidence_score')} || ']' AS resolution_summary,
+       coalesce(nullif(json_extract_string(message_json, '$.content'), ''), {q(C.MODEL_DEFAULT_REPLY)}) AS customer_reply, '[' || coalesce(actions, '') || ']' AS actions_taken,
+       execution_time_ms, CAST({C.DEFAULT_COST_USD} AS DECIMAL(6,4)) AS cost_estimate_usd, created_at, created_at AS updated_at FROM m7)""",
+]
+
+MODEL_STATE_SQL = "SELECT account_id, company_name, current_tier, seats_allocated, tier_changes, tool_calls, is_new FROM (" + account_state_sql(
+    "accts",
+    "(SELECT account_id, created_at, ticket_id || '/' || CAST(call_no AS VARCHAR) AS ticket_id, is_change, tier_name, max_seats FROM m5 WHERE is_change OR (error IS NULL AND tool_name = 'check_account_balance'))",
+) + ")"
+
+FEED_SQL = """SELECT CASE WHEN event_id % 47 <> 0 THEN ticket_id END AS ticket_id, CASE WHEN event_id % 47 <> 0 THEN customer_id END AS customer_id,
+       CASE WHEN event_id % 47 <> 0 THEN customer_email END AS customer_email, CASE WHEN event_id % 47 <> 0 THEN subject END AS subject,
+       CASE WHEN event_id % 47 <> 0 THEN idempotency_key END AS idempotency_key,
+       CASE WHEN event_id % 47 <> 0 AND event_id % 53 <> 0 THEN CASE WHEN event_id % 3 = 0 THEN 'email' ELSE 'portal' END END AS channel,
+       CASE WHEN event_id % 47 <> 0 AND event_id % 53 <> 0 THEN CAST(event_id AS VARCHAR) END AS event,
+       CASE WHEN event_id % 47 <> 0 THEN created_at END AS created_at, event_id % 47 = 0 OR event_id % 53 = 0 AS is_corrupt,
+       CASE WHEN event_id % 47 = 0 OR event_id % 53 = 0 THEN md5(line) END AS corrupt_md5
+FROM (SELECT *, CASE WHEN event_id % 47 = 0 THEN 'x' ELSE '' END || '{"ticket_id":' || to_json(ticket_id) || ',"customer_id":' || to_json(customer_id)
+       || CASE WHEN customer_email IS NULL THEN '' ELSE ',"customer_email":' || to_json(customer_email) END || ',"subject":' || to_json(subject) || ',"body":' || to_json(body)
+       || CASE WHEN idempotency_key IS NULL THEN '' ELSE ',"idempotency_key":' || to_json(idempotency_key) END
+       || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '","metadata":'
+       || CASE WHEN event_id % 47 <> 0 AND event_id % 53 = 0 THEN '"none"' ELSE '{"channel":"' || CASE WHEN event_id % 3 = 0 THEN 'email' ELSE 'portal' END || '","event":"' || CAST(event_id AS VARCHAR) || '"}' END || '}' AS line FROM f1)"""

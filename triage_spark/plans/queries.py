@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import accounts as A
 from ..operators import kpis as K
-from ..operators.dedupe import duplicate_keys, first_fields, replay, with_key
+from ..operators.dedupe import duplicate_keys, first_fields, first_per_key, replay, with_key
 from ..functions.rules import effective_key
 from ..sources import fixtures as FX
 from . import oracle as O
@@ -572,6 +572,8 @@ def q_audit_relink(spark, sf_dir):
 
 from ..operators import contract as CT  # noqa: E402
 from ..operators import model_feed as MF  # noqa: E402
+from ..operators import model_path as MP  # noqa: E402
+from ..session import scratch_path  # noqa: E402
 from ..operators.gate import exception_outcome  # noqa: E402
 from ..sources import feeds as FD  # noqa: E402
 
@@ -751,6 +753,41 @@ def q_model_response_actions(spark, sf_dir):
     )
 
 
+def _model_tickets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """First model tickets per key, and their tool calls after they ran."""
+    tickets = first_per_key(with_key(FX.model_messages(events(spark, sf_dir))))
+    accounts = FX.accounts(FX.table(spark, sf_dir, "customer"))
+    return tickets, MP.run_calls(MP.call_rows(tickets), accounts, FX.tiers(spark))
+
+
+@register("model_ledger_rows", O.with_base(f"SELECT {LEDGER_SELECT} FROM model_rows", O.MODEL_PATH_CTES))
+def q_model_ledger_rows(spark, sf_dir):
+    tickets, calls = _model_tickets(spark, sf_dir)
+    return L.ledger_rows(MP.answered(tickets, calls)).select(*L.LEDGER_COLUMNS)
+
+
+@register("model_account_state", O.with_base(O.MODEL_STATE_SQL, O.MODEL_PATH_CTES))
+def q_model_account_state(spark, sf_dir):
+    _, calls = _model_tickets(spark, sf_dir)
+    state = A.account_state(FX.accounts(FX.table(spark, sf_dir, "customer")), MP.reaching(calls), MP.CALL_ORDER)
+    return state.select("account_id", "company_name", "current_tier", "seats_allocated", "tier_changes", "tool_calls", "is_new")
+
+
+@register("failed_tier_change", O.with_base(O.FAILED_TIER_SQL, O.ASKED_TIER_CTES))
+def q_failed_tier_change(spark, sf_dir):
+    """SCL-7, SCL-13, SCL-32: subscription tickets that ask for the tier of a column (F3), some of them for one that is not on the list."""
+    i = TR.load(spark, sf_dir)
+    asked = i.requests.withColumn("asked_tier", FX.requested_tier(F.col("event_id")))
+    df = TR.resolve(asked, i.accounts, i.tiers, tier_col="asked_tier").filter("category = 'SUBSCRIPTION'")
+    audit = AU.step_rows(df).filter(F.col("step_name") == C.STEP_GATE).select(F.col("idempotency_key").alias("key"), F.col("status").alias("audit_status"), "output_payload")
+    # A rejected tier never reads the account.
+    moved = [F.when(F.col("tier_valid"), F.col(c)).alias(c) for c in ("previous_tier", "seats_after")]
+    rows = df.select(
+        "key", "target_tier", "tier_valid", "confidence_score", "status", *moved, "reasoning", "customer_reply", L.actions_json().alias("actions_taken")
+    )
+    return rows.join(audit, "key")
+
+
 @register(
     "normalize_actions",
     O.with_base(
@@ -771,6 +808,12 @@ def q_normalize_actions(spark, sf_dir):
     return df.select("event_id", "pos", "tool_name", "success", "parameters_json", "result_json", "error")
 
 
+@register("feed_files", O.with_base(O.FEED_SQL))
+def q_feed_files(spark, sf_dir):
+    path = FD.write_lines(FD.request_lines(events(spark, sf_dir)), scratch_path(spark, "feed"), 16)
+    return FD.feed_report(FD.read_requests(spark, path))
+
+
 @register(
     "workflow_failures",
     O.with_base("SELECT * FROM failures", [O.F7_CTE, O.FAILURES_CTE]),
@@ -999,7 +1042,8 @@ def q_ops_alerts(spark, sf_dir):
        coalesce(stored_confidence_score, CAST(1 AS DECIMAL(4,3))) AS confidence_score,
        coalesce(stored_category, {O.q(C.DEFAULT_CATEGORY)}) AS category,
        {O.q(C.CACHED_REASONING_PREFIX)} || coalesce(stored_resolution_summary, 'None') AS reasoning,
-       coalesce(stored_customer_reply, '') AS customer_reply, coalesce(stored_execution_time_ms, 0) AS latency_ms
+       coalesce(stored_customer_reply, '') AS customer_reply, coalesce(stored_execution_time_ms, 0) AS latency_ms,
+       {O.CACHED_ACTIONS_SQL} AS actions_taken
 FROM hits"""
     ),
 )
@@ -1066,6 +1110,13 @@ def q_stream_triage(spark, sf_dir):
     return SJ.triage_stream(spark, sf_dir, SJ.new_run(spark, "stream_triage"))
 
 
+@register("stream_feed", ORACLE["feed_files"])
+def q_stream_feed(spark, sf_dir):
+    run = SJ.new_run(spark, "stream_feed")
+    path = FD.write_lines(FD.request_lines(events(spark, sf_dir)), f"{run.root}/lines", 16)
+    return SJ.feed_stream(spark, path, run, max_files=4)
+
+
 @register("stream_dedupe", ORACLE["dedupe_first"])
 def q_stream_dedupe(spark, sf_dir):
     return SJ.dedupe_stream(spark, sf_dir, SJ.new_run(spark, "stream_dedupe"))

@@ -89,9 +89,13 @@ def resolve(
     hot_rows: int = DEFAULT_HOT_ROWS,
     deduped: bool = False,
     keep: Sequence[str] | None = None,
+    tier_col: str | None = None,
 ) -> DataFrame:
     """Full outcome per first-per-key ticket (the response of the service).
 
+    ``tier_col`` names a request column that holds the tier asked for, in place of the one read from the
+    text; a tier that is not on the list then fails the tool, and the failure is data all the way (SCL-7, SCL-32).
+
     Tools run only for first-per-key tickets (repeats never reach a tool), so
     account state advances once per key.
 
@@ -102,8 +106,11 @@ def resolve(
     broken by a hash of the whole request row, so every variant picks the
     same first row.
     """
-    category, target_tier, _ = classify_columns()
+    category, target_tier, confidence = classify_columns()
     is_sub = category == "SUBSCRIPTION"
+    if tier_col is not None:
+        target_tier = F.when(is_sub, F.col(tier_col)).alias("target_tier")
+    classified = [category, target_tier, confidence]
     # only subscription tickets can change a tier: the rest carry a flag and nulls
     narrow_cols = {
         "is_sub": is_sub,
@@ -111,14 +118,14 @@ def resolve(
         "target_tier": target_tier,
     }
     if deduped:  # ``requests`` is already one row per key (a persisted batch, say)
-        df = classify(requests)
+        df = requests.select("*", *classified)
         narrow = requests.select("key", *ORDER, *[v.alias(k) for k, v in narrow_cols.items()])
     else:
         keyed = with_key(requests)
         payload = [c for c in keyed.columns if c not in ("key", *ORDER)]
         if keep is not None:
             payload = [c for c in payload if c in keep or c == "customer_id"]
-        cls = keyed.select("key", *ORDER, row_hash(keyed).alias("_tb"), *payload, *classify_columns())
+        cls = keyed.select("key", *ORDER, row_hash(keyed).alias("_tb"), *payload, *classified)
         df = first_per_key(cls, order=(*ORDER, "_tb"), hash_ties=False).drop("_tb")
         # the same first rows, but only key, order and three short columns shuffled
         narrow = first_fields(keyed, narrow_cols)

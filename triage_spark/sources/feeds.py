@@ -72,6 +72,34 @@ def parse_requests(df: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
+def request_lines(events: DataFrame) -> DataFrame:
+    """The F1 requests as JSON lines with metadata; every 47th line is malformed, of every 53rd the metadata is a text."""
+    eid = F.col("event_id")
+    channel = F.when(eid % 3 == 0, F.lit("email")).otherwise(F.lit("portal"))
+    extra = F.struct(F.create_map(F.lit("channel"), channel, F.lit("event"), eid.cast("string")).alias("metadata"))
+    fields = ["ticket_id", "customer_id", "customer_email", "subject", "body", "idempotency_key", "created_at"]
+    whole = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    doc = F.to_json(F.struct(*fields, extra["metadata"].alias("metadata")), whole)
+    odd = F.to_json(F.struct(*fields, F.lit("none").alias("metadata")), whole)
+    value = F.when(eid % 47 == 0, F.concat(F.lit("x"), doc)).when(eid % 53 == 0, odd).otherwise(doc)
+    return ticket_requests(events).select(value.alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str, files: int) -> str:
+    """The lines as text files under ``path``, dealt by their hash."""
+    lines.repartition(files, F.xxhash64("value")).write.text(path)
+    return path
+
+
+def feed_report(read: DataFrame) -> DataFrame:
+    """Requests as read from files: the service's fields, two metadata entries, and the raw line of a broken one."""
+    return read.select(
+        "ticket_id", "customer_id", "customer_email", "subject", "idempotency_key",
+        F.col("metadata")["channel"].alias("channel"), F.col("metadata")["event"].alias("event"), "created_at",
+        F.col(CORRUPT).isNotNull().alias("is_corrupt"), F.md5(CORRUPT).alias("corrupt_md5"),
+    )
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1 batch: JSON-lines files with the request schema (PERMISSIVE)."""
     return spark.read.schema(REQUEST_SCHEMA_PERMISSIVE).options(**PERMISSIVE).json(path)

@@ -198,6 +198,30 @@ def model_responses(events: DataFrame) -> DataFrame:
     )
 
 
+def model_messages(events: DataFrame) -> DataFrame:
+    """F1 with the message a model gave: no, one or several ordered tool calls, some of them unknown, incomplete or for an unknown tier."""
+    requests = ticket_requests(events)
+    eid, account = F.col("event_id"), F.concat(F.lit('"account_id":"'), F.col("customer_id"), F.lit('"'))
+    call = lambda name, *args: F.concat(F.lit(f'{{"name":"{name}","args":{{'), *args, F.lit("}}"))
+    tier = lambda t: call(C.TOOL_TIER, account, F.lit(',"new_tier":"'), t, F.lit('"'))
+    balance, unknown = call(C.TOOL_BALANCE, account), F.lit('{"name":"wipe_disk","args":{}}')
+    message = lambda content, *calls: F.concat(F.lit(f'{{"content":{content},"tool_calls":['), F.concat_ws(",", *calls), F.lit("]}"))
+    kinds = [
+        message('"done"'),
+        message('"done"', unknown),
+        message('"done"', balance),
+        message('"done"', tier(requested_tier(eid))),
+        message('""', tier(F.lit("Starter")), balance, tier(F.lit("Enterprise"))),
+        message('"done"', call(C.TOOL_BALANCE)),
+        message('"done"', call(C.TOOL_TIER, account), balance, call(C.TOOL_TIER)),
+        message("null", unknown, tier(F.lit(" professional "))),
+    ]
+    chosen = F.when(eid % 8 == 0, kinds[0])
+    for i, k in enumerate(kinds[1:], 1):
+        chosen = chosen.when(eid % 8 == i, k)
+    return requests.withColumn("message_json", chosen)
+
+
 def workflow_failures_raw(events: DataFrame) -> DataFrame:
     """workflow-failure JSON documents, one per error event."""
     eid = F.col("event_id")

@@ -87,6 +87,15 @@ def triage_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Data
     return spark.read.parquet(f"{run.root}/triage")
 
 
+# --------------------------------------------------------------------- SRC-1
+def feed_stream(spark: SparkSession, path: str, run: StreamRun, max_files: int | None = None) -> DataFrame:
+    """SRC-1: JSON-lines files of requests as a stream; broken lines stay as rows with their raw text."""
+    read = FD.stream_requests(spark, path, max_files)
+    out = FD.feed_report(read)
+    _run(out.writeStream.format("parquet").option("checkpointLocation", run.ck("feed")).trigger(availableNow=True).start(f"{run.root}/feed"))
+    return spark.read.schema(out.schema).parquet(f"{run.root}/feed")
+
+
 # --------------------------------------------------------------------- STR-2
 def dedupe_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> DataFrame:
     """STR-2: first request per key against everything seen so far.
