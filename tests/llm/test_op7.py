@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from triage_spark.llm.op7_chat_format import canonical, checked, faults, format_chats, op7_chat_format
+from triage_spark.llm.op7_chat_format import canonical, check_schema, checked, faults, format_chats, op7_chat_format
 
 MESSAGES = "conv_id long, turn long, role string, text string, place int, kind string"
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after string, depth int"
@@ -31,7 +31,7 @@ def test_schema(value, wrong):
     assert len(faults(value, SCHEMAS["f"])) == wrong
 
 
-@pytest.mark.parametrize("text", [None, "", "{", '{"x":1,"x":2}', "NaN", "1e999", "[" * 100_000])
+@pytest.mark.parametrize("text", [None, "", "{", '{"x":1,"x":2}', "NaN", "1e999", "[" * 100_000, '{"x":"\\ud800"}', '{"\\udc00":1}', "[" * 990 + "]" * 990, "[" * 300 + "]" * 300])
 def test_not_json(text):
     assert checked("f", text, SCHEMAS)[1] == ["not JSON"]
 
@@ -97,3 +97,27 @@ def test_query_keeps_whole_texts(spark, sf_small):
     said = {(r.conv_id, r.place, r.json) for r in got if r.kind == "message"}
     assert said == {(r.conv_id, r.turn, json.dumps({"content": r.text, "role": r.role}, ensure_ascii=False, separators=(",", ":"))) for r in rows}
     assert {r.status for r in got} >= {"ok", "invalid", "no_result", "orphan"}
+
+
+@pytest.mark.parametrize("schema", [{"pattern": "a"}, {"properties": {"x": {"const": 1}}}, {"items": {"exclusiveMinimum": 0}}, {"additionalProperties": {}}, {"type": "text"}])
+def test_schemas_beyond_the_checks_are_refused(schema):
+    with pytest.raises(ValueError):
+        check_schema(schema)
+    check_schema(SCHEMAS["f"])
+
+
+def test_odd_arguments_keep_the_job_alive(spark):
+    got = run(spark, calls=[(1, 1, "a", "f", '{"x":"\\ud800"}', None), (1, 2, "b", "f", "[" * 900 + "]" * 900, None), (1, 3, "c", "f", "[" * 150 + "]" * 150, None)])
+    assert [(r.call_id, r.status, r.faults) for r in got] == [("a", "invalid", ["not JSON"]), ("b", "invalid", ["not JSON"]), ("c", "invalid", ["$: not object"])]
+    assert json.loads(got[0].json)["tool_calls"][0]["function"]["arguments"] == '{"x":"\\ud800"}'
+
+
+def test_a_circle_among_many_calls_takes_few_rounds(spark, monkeypatch):
+    from triage_spark.llm import op7_chat_format as A
+
+    rounds, kept = [], A.saved
+    monkeypatch.setattr(A, "saved", lambda df, name: (rounds.append(name), kept(df, name))[1])
+    calls = [(1, i, f"c{i}", "f", '{"x":1}', f"c{i - 1}" if i % 4 else None) for i in range(400)] + [(2, 0, "p", "f", "{}", "q"), (2, 1, "q", "f", "{}", "p"), (2, 2, "r", "f", "{}", "q")]
+    got = run(spark, calls=calls)
+    assert {r.call_id for r in got if r.status == "cyclic"} == set() and rounds.count("call-places") <= 4
+    assert {r.call_id for r in got if r.conv_id == 2} == {"p", "q", "r"} and {r.step for r in got if r.conv_id == 1} == {1, 3, 5, 7}

@@ -64,3 +64,20 @@ def test_bpe_covers_all_rows(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert Counter(tuple(r) for r in C.run(spark, SF).collect()) == Counter(tuple(r.values()) for r in stages["bpe"][1])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, m_take string, m_l0 int, own_0 int, tox_p double, TOX_grade string, `a.b` string, k_id int, g_no int, part int"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", "src0", 0), (1, "", "en", "src0", 0), (2, "one line of several words here\\nand a second one", None, "src1", 40), (3, "word " * 60_000, "de", None, None)]])
+def test_stages_keep_odd_columns_and_rows(spark, rows):
+    more = ("m", 7, 8, 9.5, "g", "dot", 1, 2, 3)
+    docs = spark.createDataFrame([(*r, *more) for r in rows], ODD)
+    for name, stage in C.STAGES:
+        got = C.saved(stage(spark, docs, "/root/testdata/sf0.001"), f"odd-{name}")
+        if name != "bpe":
+            assert got.columns == docs.columns
+            assert {tuple(r)[5:] for r in got.collect()} <= {more}
+            assert name not in ("toxicity", "line_dedup") or got.count() == len(rows)
+            docs = got
+    assert got.count() == docs.count()

@@ -30,11 +30,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``links`` (a, b: long); only nodes with a link to another."""
     links = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-    while mark[0]:
-        links = saved(_small_star(_large_star(links)), "links")
-        before, mark = mark, links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(before) == tuple(mark):
-            break
+    n, moved = links.count(), True
+    while n and moved:
+        last, before = links, n
+        links = saved(_small_star(_large_star(last)), "links")
+        n = links.count()
+        # Both hold distinct links: as many, and none that the last round did not have, are the same ones.
+        moved = n != before or not links.join(last, ["a", "b"], "left_anti").isEmpty()
     # Only stars are left: each node points to its root.
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -105,7 +105,7 @@ def captures_and_list(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     day = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(n, F.lit(DAYS)).cast("int"))
     captures = pages.select("page_id", "url", day(F.col("page_id") * 7919).alias("fetched_on"))
     seen = pages.select(host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment")).filter("host IS NOT NULL").distinct()
-    listed = seen.select(F.explode(patterns_of(F.col("host"), F.col("segment"))).alias("p")).select("p.pattern", "p.depth").filter("depth > 2").select("pattern").distinct()
+    listed = seen.select(F.explode(patterns_of(F.col("host"), F.col("segment"))).alias("p")).select("p.pattern").distinct()
     change = listed.select("pattern", F.explode(F.sequence(F.lit(1), F.lit(CHANGES))).alias("k"))
     digest = F.md5(F.concat("pattern", F.lit("#"), F.col("k").cast("string")))
     number = lambda at: F.conv(F.substring(digest, at, 4), 16, 10).cast("long")
@@ -128,13 +128,13 @@ WITH p AS (
 k AS (SELECT DISTINCT host, segment, string_split(host, '.') AS labels FROM p WHERE host IS NOT NULL),
 a AS (
   SELECT host, segment, array_to_string(labels[len(labels) - d + 1 :], '.') AS pattern, d AS depth
-  FROM k, range(2, 30) r(d) WHERE d <= len(labels)
+  FROM k, unnest(range(2, len(labels) + 1)) r(d)
   UNION ALL SELECT host, segment, host, 1 FROM k WHERE len(labels) = 1
   UNION ALL SELECT host, segment, host || '/' || segment, len(labels) + 1 FROM k WHERE segment IS NOT NULL),
 e AS (
   SELECT pattern, DATE '{FIRST_DAY}' + CAST(CAST('0x' || substr(md5(pattern || '#' || i), 1, 4) AS INTEGER) % {DAYS} AS INTEGER) AS listed_on,
          max(CAST('0x' || substr(md5(pattern || '#' || i), 5, 4) AS INTEGER) % 3) AS act
-  FROM (SELECT DISTINCT pattern FROM a WHERE depth > 2), range(1, {CHANGES + 1}) t(i) GROUP BY ALL),
+  FROM (SELECT DISTINCT pattern FROM a), range(1, {CHANGES + 1}) t(i) GROUP BY ALL),
 s AS (SELECT pattern, act, listed_on, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS until FROM e),
 m AS (
   SELECT p.page_id, a.depth, s.* FROM p JOIN a ON p.host = a.host AND p.segment IS NOT DISTINCT FROM a.segment

@@ -41,7 +41,8 @@ from triage_spark.llm.tokens import BYTE_CHUNKS, ChunkEncoder, byte_alphabet
 LANE = 512
 #: Bytes of text in a block, one text at least.
 BLOCK_BYTES = 3_000_000
-#: Remembered chunks of the piece encoder.
+#: Bytes of remembered chunks of the byte-level encoder, and number of those of the piece encoder.
+CACHE_BYTES = 64_000_000
 CACHE_CHUNKS = 100_000
 SPACE = "▁"
 
@@ -50,7 +51,7 @@ class BytePieces:
     """Side A: ids and token bytes of a byte-level vocabulary; special-token strings are plain text."""
 
     def __init__(self, path: str):
-        self.encoder = ChunkEncoder(path, BYTE_CHUNKS)
+        self.encoder = ChunkEncoder(path, BYTE_CHUNKS, CACHE_BYTES)
         self.encoder.tok.encode_special_tokens = True
         self.encoder.special = []
         back = {ch: b for b, ch in byte_alphabet().items()}

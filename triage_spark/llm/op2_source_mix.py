@@ -32,6 +32,8 @@ from triage_spark.llm.common import saved, text_col
 DIGITS = 4
 #: Leaves up to which their table is broadcast (about 200 bytes a row).
 BROADCAST_LEAVES = 20_000
+#: Columns that ``mix`` adds.
+ADDED = ("m_levels", "m_epoch", "m_tokens", "m_take")
 
 
 def word_count(text: Column) -> Column:
@@ -90,10 +92,10 @@ def mix(
     document of a leaf, of which the prefix of m_take words fits.  budget: ``budget_percent`` of all words.
     Null level values are the group '', null ids are allowed, null and empty
     texts have no words: they come with whole epochs of their leaf, or
-    in a prefix if their place is before its end.  Columns of ``docs`` whose names begin with
-    m_ are left out.  An empty table gives an empty result.
+    in a prefix if their place is before its end.  Columns of ``docs`` with the name of one of
+    the four new ones are left out.  An empty table gives an empty result.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("m_")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     names = [f"m_l{i}" for i in range(len(levels))]
     marks = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)]
     body = text_col(text)
@@ -119,14 +121,17 @@ def mix(
     last = last.groupBy(*names).agg(F.max("m_key").alias("m_last"), F.max_by(F.col("more") - F.col("start"), "m_key").alias("m_most"))
     leaf = saved(leaf.join(last, names, "left"), "mix-ends")
 
-    full = docs.select("*", *marks, *own).join(near(leaf.drop("total")), names)
+    # Own columns under numbers, so that no name of theirs is met here.
+    kept = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    full = docs.select(*kept, *marks, *own).join(near(leaf.drop("total")), names)
     key = order_key(seed, F.col("m_full"))
     epochs = F.when(F.coalesce(key <= F.col("m_last"), F.lit(False)), F.col("m_full") + 1).otherwise(F.col("m_full"))
     rows = full.withColumn("m_key", key).withColumn("m_epochs", epochs).filter("m_epochs > 0")
     rows = rows.withColumn("m_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_epochs") - 1)))
     cut = (F.col("m_epoch") == F.col("m_full")) & (F.col("m_key") == F.col("m_last"))
     take = F.when(cut, F.least("m_tokens", "m_most")).otherwise(F.col("m_tokens"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.array(*names).alias("m_levels"), "m_epoch", "m_tokens", take.alias("m_take"))
+    mine = [F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return rows.select(*mine, *[c.alias(n) for c, n in zip((F.array(*names), F.col("m_epoch"), F.col("m_tokens"), take), ADDED)])
 
 
 # The query's tree and weights.  The documents name no domain, so one is given by the number in ``source``.

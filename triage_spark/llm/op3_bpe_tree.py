@@ -38,6 +38,8 @@ from triage_spark.llm.tokens import WORD_CHUNKS, chunk_encoder
 
 #: Longest run that is encoded in one piece.
 LEAF_CHARS = 16_384
+#: Bytes of text that are encoded at a time, in and out of a task's memory together.
+STEP_BYTES = 500_000
 #: Tokens on each side of a join in the first window.
 FIRST_WINDOW = 8
 PIECES = "row long, doc_id long, seq long, kind string, run long, last boolean, pieces array<string>"
@@ -160,9 +162,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 def _plain(src: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = chunk_encoder(tokenizer, WORD_CHUNKS)
-        for b in text_steps(batches, "text"):
+        for b in text_steps(batches, "text", STEP_BYTES):
             ids = [np.frombuffer(x, enc.dtype) for x in enc.encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _id_lists(ids), pa.array(_decode(enc.tok, ids), pa.string())], ["doc_id", "ids", "decoded"])
+        # The worker goes on to other stages.
+        enc.cache.clear()
 
     return src.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -39,6 +39,8 @@ BLOCK = 1 << 16
 TRAILER = struct.Struct("<QQQQII8s")
 #: Characters of text for each range of documents, the work of one task.
 RANGE_CHARS = 24_000_000
+#: Bytes of chunks that a worker remembers.
+CACHE_BYTES = 96_000_000
 #: Ids after which a task goes on in a new file; bounds what a reader holds of one file.
 FILE_IDS = 16_000_000
 
@@ -141,13 +143,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows are all kept, other columns are not read.  An empty table gives no file.
     """
     spark = docs.sparkSession
-    enc = chunk_encoder(tokenizer, BYTE_CHUNKS)
+    enc = chunk_encoder(tokenizer, BYTE_CHUNKS, CACHE_BYTES)
     bits, dtype = max(1, (enc.vocab_size - 1).bit_length()), enc.dtype
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
     placed, parts = in_ranges(src, range_chars)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = chunk_encoder(tokenizer, BYTE_CHUNKS)
+        enc = chunk_encoder(tokenizer, BYTE_CHUNKS, CACHE_BYTES)
         end = np.asarray([end_id], dtype).tobytes()
         fs, folder = pafs.FileSystem.from_uri(path)
         fs.create_dir(folder)

@@ -48,6 +48,23 @@ def is_kind(value, kind: str) -> bool:
     return isinstance(value, KINDS[kind])
 
 
+#: Schema keywords that ``faults`` knows, and levels of nested JSON that are read and written.
+KNOWN = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "items", "properties", "required", "additionalProperties", "title", "description"}
+MOST_LEVELS = 200
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """Raises if the schema asks for what ``faults`` cannot judge."""
+    odd = sorted(schema.keys() - KNOWN)
+    kinds = schema.get("type", [])
+    if odd or not isinstance(schema.get("additionalProperties", True), bool) or any(k not in KINDS for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        raise ValueError(f"schema at {at} is not supported: {', '.join(odd) or 'type or additionalProperties'}")
+    for k, part in schema.get("properties", {}).items():
+        check_schema(part, f"{at}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def faults(value, schema: dict, at: str = "$") -> list[str]:
     """Where and how ``value`` breaks the schema (type, enum, required, properties, additionalProperties, items and the bounds of numbers and lengths)."""
     kinds = schema.get("type")
@@ -80,14 +97,16 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def _plain_numbers(value):
+def _plain_numbers(value, level: int = 0):
+    if level > MOST_LEVELS:
+        raise ValueError("nested too deep")
     if isinstance(value, float):
         if not math.isfinite(value):
             raise ValueError("not a JSON number")
         return int(value) if value.is_integer() and abs(value) < 1e21 else value
     if isinstance(value, dict):
-        return {k: _plain_numbers(v) for k, v in value.items()}
-    return [_plain_numbers(v) for v in value] if isinstance(value, list) else value
+        return {k: _plain_numbers(v, level + 1) for k, v in value.items()}
+    return [_plain_numbers(v, level + 1) for v in value] if isinstance(value, list) else value
 
 
 def canonical(value) -> str:
@@ -115,7 +134,9 @@ def checked(name: str | None, text: str | None, schemas: dict[str, dict]) -> tup
     else:
         found = []
     try:
-        value = _plain_numbers(json.loads(text or "", object_pairs_hook=_unique))
+        value = _plain_numbers(json.loads(text or "", object_pairs_hook=_unique), 10)
+        # What cannot be written (a lone surrogate) is not JSON either.
+        canonical(value).encode()
     except (ValueError, RecursionError):
         return text or "", [*found, "not JSON"]
     return value, found or faults(value, schemas[name])
@@ -146,16 +167,21 @@ def _places(calls: DataFrame) -> DataFrame:
     have = calls.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), F.col("own").alias("p_own"))
     met = calls.join(have.hint("shuffle_hash"), (F.col("conv_id") == F.col("p_conv")) & (F.col("after") == F.col("p_call")), "left")
     state = saved(met.select("conv_id", "call_id", F.col("p_call").alias("up"), F.col("p_own").alias("seen"), F.when(F.col("p_call").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "call-places")
-    n, reach = state.filter("up IS NOT NULL").count(), 1
-    while n and reach <= 2 * n:
-        far = state.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), F.col("up").alias("p_up"), F.col("seen").alias("p_seen"), F.col("depth").alias("p_depth"))
+    done, state = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
+    n, reach = state.count(), 1
+    # Calls without a step left are set aside.  On a chain that ends, a call with 2 * reach steps to go has ``reach`` calls behind it that point on as
+    # well; so if no more than that many do, what still points on after the next round stands on a circle or behind one.
+    while n:
+        last_round = n <= reach
+        far = done.unionAll(state).select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), F.col("up").alias("p_up"), F.col("seen").alias("p_seen"), F.col("depth").alias("p_depth"))
         on = (F.col("conv_id") == F.col("p_conv")) & (F.col("up") == F.col("p_call"))
         step = state.join(far.hint("shuffle_hash"), on, "left")
         state = saved(step.select("conv_id", "call_id", F.col("p_up").alias("up"), F.greatest("seen", "p_seen").alias("seen"), (F.col("depth") + F.coalesce("p_depth", F.lit(0))).alias("depth")), "call-places")
-        reach *= 2
-        if state.filter("up IS NOT NULL").isEmpty():
+        done, state = done.unionAll(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
+        n, reach = state.count(), reach * 2
+        if last_round:
             break
-    # Still pointing somewhere after more steps than there are calls: a cycle, or a chain that hangs on one.
+    state = done.unionAll(state)
     cyclic = F.col("up").isNotNull()
     return state.select("conv_id", "call_id", F.when(~cyclic, F.col("seen")).alias("seen"), F.when(cyclic, 0).otherwise(F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
 
@@ -173,6 +199,8 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     empty, a null id links to nothing, null conv_ids are one conversation
     without links.  Only the named columns are read.  Empty tables are allowed.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn")
     conv = F.col("conv_id").cast("long").alias("conv_id")
     said = messages.select(conv, turn, "role", "text").distinct()

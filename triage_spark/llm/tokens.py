@@ -2,7 +2,7 @@
 
 Both vocabularies split a text into words before they merge, and no word
 spans the cuts made here, so the ids of a text are those of its chunks in a
-row.  Each task keeps a bounded dictionary chunk -> ids.  For a chunk not in it,
+row.  Each worker keeps a dictionary chunk -> ids, bounded in bytes.  For a chunk not in it,
 a plain word goes straight to the library's merges, anything else through the whole
 tokenizer.  Texts for which the cuts are not proven (rare white space,
 special-token strings) are encoded by the library as a whole.
@@ -33,8 +33,10 @@ WORD_CHUNKS = rf"[{LETTERS}]+(?![^ \n\t\r.,])|[.,]+(?![^ \n\t\r])|[^ \n\t\r]+"
 BYTE_CHUNKS = rf" ?[{LETTERS}]+(?![^ \n\t\r.,])|[.,]+(?![^ \n\t\r])| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
 #: White space beyond the plain kind, on whose nature regex libraries differ or which can join a run of it.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
-#: Chunks a worker remembers at most before it starts anew.
-CACHE_CHUNKS = 400_000
+#: Bytes that remembered chunks may take before a worker starts anew, and those of an entry besides its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 16_000_000, 200
+#: Characters of the longest chunk that is remembered.
+LONGEST_KEPT = 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -49,17 +51,24 @@ class _Chunks(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.of = encode
+        self.of, self.size = encode, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.of(chunk)
+        ids = self.of(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = ids
+            self.size += len(chunk) + len(ids) + ENTRY_BYTES
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 class ChunkEncoder:
     """Encodes texts to little-endian id bytes; ``chunks`` is WORD_CHUNKS or BYTE_CHUNKS."""
 
-    def __init__(self, path: str, chunks: str):
+    def __init__(self, path: str, chunks: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,7 +83,7 @@ class ChunkEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.plain = re.compile(rf" ?[{LETTERS}]+").fullmatch
         self.alphabet, self.merge = byte_alphabet(), self.tok.model.tokenize
-        self.cache = _Chunks(self._chunk)
+        self.cache, self.cache_bytes = _Chunks(self._chunk), cache_bytes
 
     def _chunk(self, chunk: str) -> bytes:
         if not self.plain(chunk):
@@ -91,13 +100,13 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The id bytes of each text."""
-        if len(self.cache) > CACHE_CHUNKS:
+        if self.cache.size > self.cache_bytes:
             self.cache.clear()
         get = self.cache.__getitem__
         return [self.whole(t) if self.in_one(t) else b"".join(map(get, self.find(t))) for t in texts]
 
 
 @cache
-def chunk_encoder(path: str, chunks: str) -> ChunkEncoder:
+def chunk_encoder(path: str, chunks: str, cache_bytes: int = CACHE_BYTES) -> ChunkEncoder:
     """One encoder for each Python worker, so the tasks it runs share vocabulary and cache."""
-    return ChunkEncoder(path, chunks)
+    return ChunkEncoder(path, chunks, cache_bytes)
