@@ -140,3 +140,30 @@ def test_keep_first(spark):
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(2, long + " end"), (3, "other text"), (3, "third text"), (None, ""), (9, "x y")], key=str)
     assert A.keep_first(docs.limit(0)).count() == 0
+
+
+def family(rnd, members, edits, words=300):
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for d in range(members):
+        own = base[:]
+        for _ in range(rnd.choice(edits)):
+            own[rnd.randrange(words)] = f"e{rnd.randrange(10**6)}"
+        rows.append(" ".join(own))
+    return rows
+
+
+@pytest.mark.parametrize("edits, rounds", [([8, 9], 3), ([3, 5, 6, 7, 8, 10, 14], 3), ([3, 5, 6, 7, 8, 10, 14], 1), ([5, 7], 0)])
+def test_a_family_below_the_bound_is_not_paired_up(spark, monkeypatch, edits, rounds):
+    """Many texts of one base, most of them less alike than asked for; some have a copy with one more edit."""
+    monkeypatch.setattr(A, "HUB_ROUNDS", rounds)
+    rnd = random.Random(sum(edits))
+    texts = family(rnd, 150, edits)
+    texts += [t.replace(f"b{rnd.randrange(300)} ", "copy ") for t in texts[::5]] + family(rnd, 40, edits, 200)
+    tested, kept = [], A._verified
+    monkeypatch.setattr(A, "_verified", lambda docs, nodes, pairs, s: (tested.append(pairs.count()), kept(docs, nodes, pairs, s))[1])
+    rows = list(enumerate(texts))
+    got = A.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes(rows)
+    if rounds and min(edits) >= 8:
+        assert sum(tested) < 8 * len(rows)

@@ -18,8 +18,9 @@ bucket is compared with one hub, its node with the most company, and what is lin
 settles most groups of near copies with rows in proportion to their size.  Where
 buckets still hold nodes of different classes, all their nodes go through an exact set-similarity join:
 shingles in order of rarity among these nodes, and only nodes of different classes that share one in
-their prefixes can be linked.  Members of a family that are less alike than asked for have
-shingles of their own in the prefix and do not meet.  So no link between different texts
+their prefixes can be linked.  In such a bucket the nodes are compared with one hub after the other, and
+nodes around one hub meet each other only by what sets them apart from it (``_around_hubs``), so the members of a family
+that are less alike than asked for do not meet, however many they are.  No link between different texts
 is lost among the candidates.  Hubs with many members are dealt over several tasks, with their text.
 """
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ BROADCAST_KEYS = 1_000_000
 #: Counted shingles up to which they are broadcast, 16 bytes each.
 BROADCAST_TOKENS = 1_000_000
 STEP = 1_500_000
+#: Hubs that a rarity bucket is compared with before what is left of it is paired up.
+HUB_ROUNDS = 3
 
 _STEP, _SLOT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _BAND = mix(np.arange(9001, 9001 + SLOTS, dtype=U64) * _STEP) | U64(1)
@@ -159,13 +163,61 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, held: DataFrame, similarity
     sets = saved(texts.mapInArrow(run, "c1 long, s array<long>").dropDuplicates(["c1"]), "near-sets")
     entries = rare_prefixes(sets, p, q, BROADCAST_TOKENS).join(held.select(F.col("node").alias("c1"), "root"), "c1")
     entries = saved(entries, "near-rare")
-    # In a bucket, members of its largest class meet the others only.
-    sizes = entries.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = entries.join(saved(sizes.filter("roots > 1").select("token", "main"), "near-mixed"), "token")
-    x = side(mixed.filter("root <> main"), "x", ["c1", "n", "at", "root"])
-    y = side(mixed, "y", ["c1", "n", "at", "root", "main"])
-    met = x.join(y, "token").filter("x_root <> y_root AND (y_root = y_main OR x_c1 < y_c1)").filter(fits("x", "y", p, q))
-    return met.select(F.least("x_c1", "y_c1").alias("a"), F.greatest("x_c1", "y_c1").alias("b")).distinct()
+    sizes = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    open_ = saved(entries.join(sizes.select("token"), "token"), "near-mixed")
+    found = []
+    for _ in range(HUB_ROUNDS):
+        if open_.isEmpty():
+            break
+        linked, maybe, open_ = _around_hubs(open_, sets, p, q)
+        found += [linked, maybe]
+    # The exact rest: nodes of a bucket that were unlike each of its hubs.
+    cols = ["c1", "n", "at", "root"]
+    met = side(open_, "x", cols).join(side(open_, "y", cols), "token").filter("x_root <> y_root AND x_c1 < y_c1").filter(fits("x", "y", p, q))
+    return reduce(DataFrame.unionAll, found, met.select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b"))).distinct()
+
+
+def _around_hubs(entries: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every node (token, c1, n, at, root) against one hub of its bucket: (pairs linked with a hub, other pairs that can be linked, entries unlike their hub).
+
+    A node x differs from its hub h in a set of D shingles.  Two nodes differ in D_x + D_y - 2 * common of them, so with
+    e = (p + q) * D - (q - p) * n they are linked if and only if 2 * (p + q) * common >= e_x + e_y: a join of the sets of
+    differences, again by rarity prefixes and positions.  A node is linked with its hub if e <= (q - p) * n_h, and no e is less than
+    -(q - p) * n_h; so two nodes of which the hub links at most one share differences, and of random edits none.
+
+    Only nodes at least half like the hub look for partners here; by the triangle inequality those are not much less like it.
+    The others come back for the next hub.
+    """
+    c, k = q - p, p + q
+    company = entries.groupBy("c1").agg(F.count("*").alias("company"))
+    hubs = entries.join(company, "c1").groupBy("token").agg(F.max(F.struct("company", "c1"))["c1"].alias("hub"))
+    around = saved(entries.join(hubs, "token").filter("c1 <> hub"), "near-around")
+    own, hub = sets.select("c1", "s"), sets.select(F.col("c1").alias("hub"), F.col("s").alias("h"))
+    both = around.select("hub", "c1", "root").distinct().join(own, "c1").join(hub, "hub")
+    differ = both.select("hub", "c1", "root", F.size("s").alias("n"), F.size("h").alias("nh"), F.concat(F.array_except("s", "h"), F.array_except("h", "s")).alias("diff"))
+    differ = differ.withColumn("d", F.size("diff")).withColumn("e", F.expr(f"{k} * d - {c} * n"))
+    differ = differ.withColumns({"linked": F.expr(f"e <= {c} * nh"), "near": F.expr("3 * d <= n + nh")})
+    # Partners of a node half like the hub are at least (p / q - 1 / 2) like it.
+    differ = saved(differ.withColumn("partner", F.expr(f"d * {2 * p + q} <= {max(3 * q - 2 * p, 0)} * (n + nh)") if 2 * p > q else F.lit(True)), "near-differ")
+
+    each = differ.filter("partner").select("hub", "c1", F.explode("diff").alias("token"))
+    counts = each.groupBy("hub", "token").agg(F.count("*").alias("df"))
+    order = each.join(counts, ["hub", "token"]).groupBy("hub", "c1").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    met = differ.filter("partner").drop("diff").join(order, ["hub", "c1"])
+    least = f"greatest(1, (e - {c} * nh + {2 * k - 1}) div {2 * k})"
+    among = f"(e + {c} * nh + 1 + {2 * k - 1}) div {2 * k}"
+    met = met.withColumns({"long": F.expr(f"d + 1 - CASE WHEN linked THEN {among} ELSE {least} END"), "short": F.expr(f"d + 1 - {among}")})
+    front = met.filter("long > 0").selectExpr("*", "posexplode(slice(order, 1, long)) AS (i, t)").filter("t.df > 1")
+    front = front.select("hub", "t.token", "c1", "root", "d", "e", "linked", "near", (F.col("i") + 1).alias("at"), F.expr("linked OR i < short").alias("short"))
+    front = saved(front, "near-front")
+    cols = [x for x in front.columns if x not in ("hub", "token")]
+    x, y = (front.select(F.struct("hub", "token").alias("key"), *[F.col(v).alias(f"{name}_{v}") for v in cols]) for name in "xy")
+    most = 1 + F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
+    ask = "x_c1 < y_c1 AND x_root <> y_root AND (x_near OR y_near) AND NOT (x_linked AND y_linked) AND (x_linked OR y_linked OR x_short AND y_short)"
+    pairs = x.join(y, "key").filter(ask).filter(most * (2 * k) >= F.col("x_e") + F.col("y_e"))
+    linked = differ.filter("linked").select(F.least("hub", "c1").alias("a"), F.greatest("hub", "c1").alias("b"))
+    far = around.join(differ.filter("NOT near").select("hub", "c1"), ["hub", "c1"]).select("token", "c1", "n", "at", "root")
+    return linked, saved(pairs.select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b")).distinct(), "near-maybe"), saved(far, "near-far")
 
 
 def _rooted(docs: DataFrame, similarity: float, id_col: str, text: str) -> DataFrame:
