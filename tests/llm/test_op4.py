@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triage_spark.llm.op4_ann_graph import build_graph, greedy, nearest, op4_ann_graph, prune
+from triage_spark.llm.op4_ann_graph import build_graph, build_index, greedy, nearest, op4_ann_graph, prune, search_index
 
 COLS = "vec_id long, embedding array<float>, label int, v string, score double, shard int, ids string"
 
@@ -88,3 +88,29 @@ def test_recall_with_a_few_long_vectors(spark):
     got, want = found(nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, shard_rows=1000)), brute(rows, lambda i: i % 20 == 0, 20)
     assert got.keys() == want.keys()
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.97
+
+
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, (1.0 + rng.normal(size=4) * 1e-10).tolist()) for i in range(60)] + [(100, [1e300, 0.0, 0.0, 1.0]), (101, [1e-300, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest(df, F.col("vec_id") % 20 == 0, 5, shard_rows=30, beam=100))
+    for q in (i for i, _ in rows if i % 20 == 0):
+        v = np.array(dict(rows)[q])
+        want = sorted(((j, float(np.array(w) @ v)) for j, w in rows if j != q), key=lambda p: (-p[1], p[0]))[:5]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-15)
+        assert got[q][0][0] == want[0][0]
+    whole = spark.createDataFrame([(0, [1, 2]), (1, [2, 1])], "vec_id long, embedding array<int>")
+    assert found(nearest(whole, F.col("vec_id") % 20 == 0)) == {0: [(1, 4.0)]}
+
+
+def test_a_task_takes_in_one_shard(spark):
+    rng = np.random.default_rng(13)
+    vectors = frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))]).selectExpr("vec_id", "embedding AS v")
+    index = build_index(vectors, 21, shard_rows=50)
+    assert index.select("shard").distinct().count() == 8
+    assert index.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+    search = search_index(index, vectors.selectExpr("vec_id AS query_id", "v"), 20)
+    plan = search._jdf.queryExecution().executedPlan().toString()
+    # Index and queries meet by one shuffle, without a copy of the index for each block of queries.
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan and plan.count("REPARTITION_BY_NUM") == 1

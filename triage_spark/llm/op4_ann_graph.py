@@ -7,30 +7,35 @@ in one task: from a random start, greedy beam searches propose neighbours
 for every node, and relaxed distance pruning keeps diverse ones (a
 candidate goes if a kept neighbour is closer to it by the factor alpha), in two
 passes with reverse edges.  The index is a table (shard, node, vector,
-ids, edges).  A query is searched in every shard by beam search; the queries go in blocks,
-so a task holds one shard and one block.  The best of all shards are merged.
+ids, edges).  A query is searched in every shard by beam search: a task takes in one shard, each of
+which is shuffled once, and streams the queries past it batch by batch, so it holds one shard and one
+batch however many queries there are.  The best of all shards are merged.
 
 Largest inner product becomes least distance by one more component,
 sqrt(M^2 - |x|^2) with M the largest norm of all vectors (queries have 0 there), so all
 nodes have norm M and the build works on true distances.  These are taken from the original
 vectors, and the difference of the components from their norms, so a few long
 vectors do not drown the distances of the rest; the longest nodes are entries too.  Scores are
-inner products of the original vectors in double precision.
+inner products of the original vectors in double precision: floats stay floats, other numbers are
+taken as doubles, and graphs and searches work on vectors scaled by a power of two, so that no size of
+a number overflows there.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from triage_spark.llm.common import saved
 
-SHARD_ROWS, BLOCK_QUERIES = 8_192, 4_096
+SHARD_ROWS, SEARCH_BATCH = 8_192, 512
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, ENTRIES = 32, 64, 128, 1.2, 16
 BUILD_BATCH, EXPAND = 512, 4
 
@@ -186,9 +191,16 @@ def usable(vector: Column) -> Column:
 
 def vectors_of(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, v: the distinct rows that take part, all of the most frequent length (of equals the least); rows without an id are left out."""
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    of = embeddings.schema[vector].dataType
+    kind = "float" if isinstance(of, ArrayType) and isinstance(of.elementType, FloatType) else "double"
+    rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast(f"array<{kind}>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return rows.filter(F.size("v") == (width.w if width else 0)).select("vec_id", F.transform("v", lambda c: c + F.lit(0).cast("float")).alias("v")).distinct()
+    return rows.filter(F.size("v") == (width.w if width else 0)).select("vec_id", F.transform("v", lambda c: c + F.lit(0).cast(kind)).alias("v")).distinct()
+
+
+def power(most: float) -> float:
+    """The power of two that brings numbers of up to ``most`` to one or less, as far as a double holds it."""
+    return 2.0 ** -max(-1000, min(1000, math.frexp(most)[1]))
 
 
 def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -196,59 +208,100 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) ->
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     classes = vectors.withColumn("place", place).filter(F.col("place") <= keep).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = saved(classes, "ann-classes")
-    n, norm = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))).first()
-    shards = max(1, math.ceil(n / shard_rows))
+    n, most = classes.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs))).cast("double")).first()
+    shards, scale = max(1, math.ceil(n / shard_rows)), power(most or 1.0)
+    square = F.aggregate("v", F.lit(0.0), lambda a, c: a + (c.cast("double") * scale) * (c.cast("double") * scale))
+    norm = classes.agg(F.max(F.sqrt(square))).first()[0]
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("ids", key=lambda s: s.str[0], kind="stable").reset_index(drop=True)
-        edges, entries = build_graph(np.stack(f["v"].to_numpy()).astype(np.float32), norm=norm)
+        edges, entries = build_graph((np.stack(f["v"].to_numpy()).astype(np.float64) * scale).astype(np.float32), norm=norm)
         entry = np.zeros(len(f), bool)
         entry[entries] = True
         return f.assign(node=np.arange(len(f)), edges=[e[e >= 0] for e in edges], entry=entry)[["shard", "node", "v", "ids", "edges", "entry"]]
 
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return saved(dealt.groupBy("shard").applyInPandas(build, "shard int, node int, v array<float>, ids array<long>, edges array<int>, entry boolean"), "ann-index")
+    # One task for each shard: a graph is the unit of work, so shards are not packed together.
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    kind = classes.schema["v"].dataType.simpleString()
+    return saved(dealt.groupBy("shard").applyInPandas(build, f"shard int, node int, v {kind}, ids array<long>, edges array<int>, entry boolean"), "ann-index")
+
+
+def stacked(lists: pa.Array) -> np.ndarray:
+    """Lists of one length, none null, as the rows of a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
 
+class Shard:
+    """One shard's graph as arrays, for searches."""
 
-def _searcher(k: int, beam: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        index = index.sort_values("node")
-        x, q = np.stack(index["v"].to_numpy()).astype(np.float32), np.stack(asked["v"].to_numpy()).astype(np.float32)
-        ids, lists = index["ids"].to_numpy(), index["edges"].to_numpy()
-        edges = np.full((len(x), max(1, max(map(len, lists)))), -1)
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("node").combine_chunks()
+        columns = {c: rows.column(c).combine_chunks() for c in ("v", "ids", "edges", "entry")}
+        self.v = stacked(columns["v"]).astype(np.float64)
+        self.x = (self.v * power(np.abs(self.v).max())).astype(np.float32)
+        lists = columns["edges"].to_pylist()
+        self.edges = np.full((len(lists), max(1, max(map(len, lists)))), -1)
         for i, e in enumerate(lists):
-            edges[i, : len(e)] = e
-        entries, out = np.flatnonzero(index["entry"].to_numpy()), []
-        for i in range(0, len(q), 512):
-            part = q[i : i + 512]
-            for j, nodes in enumerate(greedy(x, edges, part, entries, max(beam, k + 1))):
-                nodes = nodes[nodes >= 0]
-                # The last step is exact on what the search has met.
-                scores = x[nodes].astype(np.float64) @ part[j].astype(np.float64)
-                nodes, scores = nodes[o := np.argsort(-scores, kind="stable")], scores[o]
-                own, taken, last = asked["query_id"].iloc[i + j], 0, None
-                for node, score in zip(nodes, scores):
-                    if taken >= k and score != last:
-                        break
-                    members = ids[node][ids[node] != own][:k]
-                    out += [(own, m, score) for m in members]
-                    taken, last = taken + len(members), score
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            self.edges[i, : len(e)] = e
+        self.ids = [np.array(i, np.int64) for i in columns["ids"].to_pylist()]
+        self.entries = np.flatnonzero(columns["entry"].to_numpy(zero_copy_only=False))
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        """(query, member, score) of the k nearest met for each query, with all ties of the last node."""
+        small = (q * np.array([power(m) for m in np.abs(q).max(axis=1)])[:, None]).astype(np.float32)
+        for j, nodes in enumerate(greedy(self.x, self.edges, small, self.entries, max(beam, k + 1))):
+            nodes = nodes[nodes >= 0]
+            # The last step is exact on what the search has met.
+            scores = self.v[nodes] @ q[j]
+            order = np.argsort(-scores, kind="stable")
+            taken, last = 0, None
+            for node, score in zip(nodes[order], scores[order]):
+                if taken >= k and score != last:
+                    break
+                members = self.ids[node][self.ids[node] != own[j]][:k]
+                yield from ((own[j], m, score) for m in members)
+                taken, last = taken + len(members), score
+
+
+def _searcher(k: int, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by shard, in each first its nodes, then the queries.
+        nodes, shard, at = [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(keys)]):
+                part = batch.slice(start, end - start)
+                if not part.num_rows:
+                    continue
+                number, asks = keys[start]
+                if number != at:
+                    nodes, shard, at = [], None, number
+                if not asks:
+                    nodes.append(part)
+                    continue
+                if shard is None and nodes:
+                    shard, nodes = Shard(pa.Table.from_batches(nodes)), []
+                if shard is None:
+                    continue
+                for i in range(0, part.num_rows, SEARCH_BATCH):
+                    some = part.slice(i, SEARCH_BATCH)
+                    out = [*shard.search(some.column("node").to_numpy(), stacked(some.column("v")).astype(np.float64), k, beam)]
+                    own, ids, scores = zip(*out) if out else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
 
     return search
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, block: int = BLOCK_QUERIES) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``queries`` (query_id, v), ties to the smaller vec_id."""
-    blocks = max(1, math.ceil(queries.count() / block))
-    shards = index.agg(F.max("shard")).first()[0]
-    shards = 0 if shards is None else shards + 1
-    # The stated query set meets every shard, in blocks.
-    asked = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_searcher(k, beam), "query_id long, vec_id long, score double")
+    last = index.agg(F.max("shard")).first()[0]
+    shards = 1 if last is None else last + 1
+    held = index.select("shard", F.lit(False).alias("asks"), F.col("node").cast("long").alias("node"), "v", "ids", "edges", "entry")
+    # The stated query set meets every shard.
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), F.col("query_id").alias("node"), "v")
+    met = held.unionByName(asked, allowMissingColumns=True).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(_searcher(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
