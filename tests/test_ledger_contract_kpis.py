@@ -121,3 +121,29 @@ def test_reports_prune_the_stored_ledger(spark, sf_small):
     plan = Q.QUERIES["route_counts"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     schema = [x for x in plan.split("\n") if "ReadSchema" in x]
     assert len(schema) == 1 and "status" in schema[0] and "body" not in schema[0]
+
+
+def test_empty_payload_is_null_and_missing_latency_is_zero(spark):
+    from triage_spark.operators import audit as AU
+
+    entries = spark.createDataFrame([({}, None), (None, 3), ({"a": "1"}, -2)], "input_payload map<string,string>, latency_ms int")
+    assert [tuple(r) for r in AU.entry_rows(entries).collect()] == [(None, 0), (None, 3), ('{"a":"1"}', -2)]
+
+
+def test_defaults_fill_omitted_columns_only(spark, tmp_path):
+    from triage_spark.operators import ledger as L
+
+    left_out = spark.createDataFrame([("a", "T1")], "idempotency_key string, ticket_id string")
+    given = spark.createDataFrame([("b", "T2", None, None)], "idempotency_key string, ticket_id string, status string, cost_estimate_usd decimal(6,4)")
+    got = {r.idempotency_key: r for r in L.insert_rows([left_out, given], str(tmp_path / "t")).collect()}
+    assert (got["a"].status, got["a"].category, got["a"].priority, got["a"].actions_taken, got["a"].execution_time_ms, str(got["a"].cost_estimate_usd)) == ("PENDING", "GENERAL", "MEDIUM", "[]", 0, "0.0300")
+    assert got["b"].status is None and got["b"].cost_estimate_usd is None and got["b"].category == "GENERAL"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledger_")]
+
+
+def test_counts_of_an_empty_feed_are_zero(spark, tmp_path):
+    from triage_spark.operators import contract as CT
+
+    none = spark.createDataFrame([], "step_name string, status string, latency_ms int, confidence_score decimal(4,3)")
+    counts = CT.store_checked(CT.check(none, CT.audit_rules()), CT.audit_rules(), str(tmp_path / "c"))
+    assert counts["rows"] == counts["broken"] == counts["STATUS_DOMAIN"] == 0

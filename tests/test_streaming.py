@@ -195,3 +195,29 @@ def test_contract_stream_loses_no_request(spark, sf_small, split_events):
     assert audit.count() == 2 * bad.count() > 0
     want = Q.q_fallback_rows(spark, sf_small).collect()
     assert sorted(map(tuple, bad.drop("batch_id").collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_ledger_stream_sets_broken_requests_aside(spark, sf_small, split_events):
+    run = SJ.new_run(spark, "t-mixed", tempfile.mkdtemp(prefix="t-mixed-", dir="/tmp"))
+    feed = lambda ev: FX.broken_requests(ev).withColumn("customer_email", F.lit(None).cast("string"))
+    job = SJ.ledger_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events), requests=feed)
+    good, bad = Q.split_requests(feed(FX.table(spark, sf_small, "events")))
+    ledger, firsts = job.ledger.read(), first_per_key(with_key(good))
+    assert rows(ledger.withColumnRenamed("idempotency_key", "key"), "key", "ticket_id") == rows(firsts, "key", "ticket_id")
+    fallback = job.committed_rows(job.fallback_root)
+    assert bad.count() > 0 and rows(fallback, "event_id", "violation_text") == rows(bad, "event_id", "violation_text")
+    audit = job.committed_rows(job.audit_root)
+    assert audit.count() == 2 * (firsts.count() + bad.count())
+    assert audit.filter(F.col("step_name") == "FALLBACK_EXCEPTION_HANDLER").count() == bad.count()
+
+
+def test_checked_stream_counts_and_keeps_every_request(spark, sf_small, split_events):
+    run = SJ.new_run(spark, "t-checked", tempfile.mkdtemp(prefix="t-checked-", dir="/tmp"))
+    got = SJ.checked_stream(spark, sf_small, run, source=_source(spark, sf_small, split_events))
+    total = {r.rule: r.n for r in got.groupBy("rule").agg(F.sum("n_rows").alias("n")).collect()}
+    stored = spark.read.parquet(f"{run.root}/checked")
+    assert got.filter("rule = 'rows'").count() == 4
+    assert total["rows"] == stored.count() == FX.table(spark, sf_small, "events").count()
+    assert total["broken"] == stored.filter("broken = 'true'").count() > 0
+    for rule in ("SUBJECT_EMPTY", "BODY_REQUIRED", "TICKET_ID_REQUIRED", "SUBJECT_REQUIRED"):
+        assert total[rule] == stored.filter(F.array_contains("violations", rule)).count()

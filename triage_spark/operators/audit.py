@@ -44,6 +44,12 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
 
 
+def entry_rows(entries: DataFrame) -> DataFrame:
+    """SCL-20 + CON-10: arriving audit entries as stored: an empty or missing payload is null, a missing latency 0."""
+    payload = F.when(F.size("input_payload") > 0, F.to_json("input_payload"))
+    return entries.withColumns({"input_payload": payload, "latency_ms": F.coalesce("latency_ms", F.lit(0))})
+
+
 def step_rows(decided: DataFrame) -> DataFrame:
     """SET-1: ingestion row + gate row for every processed ticket.
 

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..sinks.runs import overwrite
 
 Rule = tuple[str, Column]
 
@@ -41,6 +42,21 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("n_violations") == 0), checked.filter(F.col("n_violations") > 0)
 
 
+def store_checked(checked: DataFrame, rules: Sequence[Rule], path: str) -> dict[str, int]:
+    """Write a checked frame, good and quarantined rows in folders of their own, and count in the same pass.
+
+    The counts (``rows``, ``broken`` and one for each rule) are observed while the rows are written, so
+    neither the input is read again nor a row is held; they are a few numbers whatever the input.
+    """
+    seen = Observation()
+    each = [F.count_if(F.array_contains("violations", code)).alias(code) for code, _ in rules]
+    marked = checked.withColumn("broken", F.col("n_violations") > 0)
+    watched = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("broken").alias("broken"), *each)
+    overwrite(watched, path, "broken")
+    got = seen.get
+    return {name: got.get(name) or 0 for name in ("rows", "broken", *(code for code, _ in rules))}
+
+
 def _missing(c: str) -> Column:
     return F.col(c).isNull()
 

@@ -10,6 +10,8 @@ without a join (JOIN-4).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,3 +202,31 @@ def cached_actions(stored: str) -> Column:
         return F.concat(*[x for i, (k, v) in enumerate(texts.items()) for x in (F.lit(f'{"," if i else "{"}"{k}":'), v)], F.lit("}"))
 
     return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(normalized(F.col(stored)), item), ","), F.lit("")), F.lit("]"))
+
+
+#: CON-6: the ledger's columns with a default; it fills a column that an insert leaves out, never an explicit null.
+DEFAULTS = {
+    "category": ("STRING", f"'{C.DEFAULT_CATEGORY}'"),
+    "priority": ("STRING", f"'{C.DEFAULT_PRIORITY}'"),
+    "status": ("STRING", f"'{C.DEFAULT_STATUS}'"),
+    "actions_taken": ("STRING", "'[]'"),
+    "execution_time_ms": ("INT", "0"),
+    "cost_estimate_usd": ("DECIMAL(6,4)", str(C.DEFAULT_COST_USD)),
+}
+
+
+def insert_rows(parts: list[DataFrame], path: str) -> DataFrame:
+    """CON-6: insert frames, each with the columns that it has, into a Parquet table at ``path`` whose columns have defaults.
+
+    The table is external, so its rows stay at ``path`` when its name is dropped from the session's catalog.
+    """
+    spark, name = parts[0].sparkSession, f"ledger_{uuid.uuid4().hex}"
+    columns = ", ".join(["idempotency_key STRING", "ticket_id STRING", *(f"{c} {t} DEFAULT {d}" for c, (t, d) in DEFAULTS.items())])
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{path}'")
+    try:
+        for part in parts:
+            spark.sql(f"INSERT INTO {name} ({', '.join(part.columns)}) SELECT * FROM {{part}}", part=part)
+        schema = spark.table(name).schema
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(schema).parquet(path)

@@ -353,6 +353,27 @@ FAILURES_CTE = f"""failures AS (
   FROM f7)"""
 
 
+F10_CTE = """f10 AS (
+  SELECT event_id, CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 37 = 0 THEN repeat('s', 65) ELSE 'TICKET_INGESTION' END AS step_name,
+         CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'DONE' ELSE 'SUCCESS' END AS status,
+         CAST(CASE WHEN event_id % 41 = 0 THEN -5 WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 400 END AS INTEGER) AS latency_ms,
+         CASE WHEN event_id % 43 = 0 THEN 1.5 ELSE 0.9 END AS confidence_score,
+         CASE WHEN event_id % 7 <> 0 AND event_id % 3 <> 0 THEN '{"ticket_id":"TCK-' || CAST(event_id AS VARCHAR) || '"}' END AS input_payload
+  FROM events)"""
+
+F11_CTE = """f11 AS (
+  SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 1.5 WHEN event_id % 29 = 0 THEN -0.1 WHEN event_id % 13 = 0 THEN NULL ELSE 0.9 END AS confidence_score,
+         CASE WHEN event_id % 31 = 0 THEN 'PENDING' WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'NEEDS_INFO' ELSE 'RESOLVED' END AS status,
+         CASE WHEN event_id % 47 = 0 OR event_id % 4 = 0 THEN 0 WHEN event_id % 41 = 0 THEN 1 WHEN event_id % 6 = 1 THEN 1 ELSE 0 END AS incomplete
+  FROM events)"""
+
+
+def counts_sql(contract: str, src: str, rules: list[tuple[str, str]]) -> str:
+    """One row for each rule of a contract, and two for all and all broken rows."""
+    each = [("rows", "true"), ("broken", " OR ".join(f"coalesce({p}, false)" for _, p in rules)), *rules]
+    return "\nUNION ALL\n".join(f"SELECT {q(contract)} AS contract, {q(c)} AS rule, CAST(count(*) FILTER (WHERE {p}) AS BIGINT) AS n_rows FROM {src}" for c, p in each)
+
+
 def violations_sql(rules: list[tuple[str, str]]) -> str:
     """violation_text and n_violations columns from (code, SQL predicate) pairs."""
     text = "concat_ws(',', " + ", ".join(f"CASE WHEN {p} THEN {q(c)} END" for c, p in rules) + ")"
@@ -399,6 +420,13 @@ AUDIT_RULES_SQL = [
 ]
 
 
+RESPONSE_RULES_SQL = [
+    ("CONFIDENCE_RANGE", "confidence_score < 0 OR confidence_score > 1"),
+    ("STATUS_DOMAIN", "NOT coalesce(status IN ('RESOLVED', 'ESCALATED', 'NEEDS_INFO'), false)"),
+    ("ACTION_INCOMPLETE", "incomplete > 0"),
+]
+
+
 # ------------------------------------------------------------------ cached actions, asked tiers, model path, feed files
 
 

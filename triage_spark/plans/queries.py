@@ -676,6 +676,71 @@ def q_response_contract(spark, sf_dir):
     return CT.check(resolved(spark, sf_dir), CT.response_rules()).select("key", "violation_text", "n_violations")
 
 
+@register(
+    "audit_intake",
+    O.with_base(
+        f"""SELECT event_id, step_name, status, latency_ms, input_payload, {O.violations_sql(O.AUDIT_RULES_SQL)}
+FROM (SELECT * REPLACE (coalesce(latency_ms, 0) AS latency_ms) FROM f10)""",
+        [O.F10_CTE],
+    ),
+)
+def q_audit_intake(spark, sf_dir):
+    """CON-3, CON-10, SCL-20 over arriving audit entries, broken ones among them."""
+    entries = AU.entry_rows(FX.audit_entries(events(spark, sf_dir)))
+    return CT.check(entries, CT.audit_rules()).select("event_id", "step_name", "status", "latency_ms", "input_payload", "violation_text", "n_violations")
+
+
+@register("response_intake", O.with_base(f"SELECT event_id, {O.violations_sql(O.RESPONSE_RULES_SQL)} FROM f11", [O.F11_CTE]))
+def q_response_intake(spark, sf_dir):
+    """CON-9 over arriving responses, broken ones among them."""
+    return CT.check(FX.model_service_responses(events(spark, sf_dir)), CT.response_rules()).select("event_id", "violation_text", "n_violations")
+
+
+def count_rows(spark: SparkSession, counts: dict[str, dict[str, int]]) -> DataFrame:
+    """contract, rule, n_rows of observed counts: one row for each rule."""
+    listed = [(contract, rule, n) for contract, of in counts.items() for rule, n in of.items()]
+    return spark.createDataFrame(listed, "contract string, rule string, n_rows long")
+
+
+CONTRACT_COUNTS_SQL = {
+    "request": O.counts_sql("request", "f8", O.REQUEST_RULES_SQL),
+    "audit": O.counts_sql("audit", "f10", O.AUDIT_RULES_SQL),
+    "response": O.counts_sql("response", "f11", O.RESPONSE_RULES_SQL),
+}
+
+
+@register("contract_counts", O.with_base("\nUNION ALL\n".join(CONTRACT_COUNTS_SQL.values()), [O.F8_CTE, O.F10_CTE, O.F11_CTE]))
+def q_contract_counts(spark, sf_dir):
+    """CON-1, CON-3, CON-9: rows, broken rows and rows of each rule, observed while good rows and quarantine are written."""
+    ev = events(spark, sf_dir)
+    feeds = {
+        "request": (FX.broken_requests(ev), CT.request_rules()),
+        "audit": (AU.entry_rows(FX.audit_entries(ev)), CT.audit_rules()),
+        "response": (FX.model_service_responses(ev), CT.response_rules()),
+    }
+    return count_rows(spark, {name: CT.store_checked(CT.check(df, rules), rules, scratch_path(spark, f"checked-{name}")) for name, (df, rules) in feeds.items()})
+
+
+@register(
+    "column_defaults",
+    O.with_base(
+        f"""SELECT key AS idempotency_key, ticket_id, CASE event_id % 3 WHEN 0 THEN {O.q(C.DEFAULT_CATEGORY)} WHEN 2 THEN 'BILLING' END AS category,
+       CASE event_id % 3 WHEN 0 THEN {O.q(C.DEFAULT_PRIORITY)} WHEN 2 THEN 'HIGH' END AS priority, CASE event_id % 3 WHEN 0 THEN {O.q(C.DEFAULT_STATUS)} WHEN 2 THEN 'RESOLVED' END AS status,
+       CASE WHEN event_id % 3 <> 1 THEN '[]' END AS actions_taken, CAST(CASE event_id % 3 WHEN 0 THEN 0 WHEN 2 THEN execution_time_ms END AS INTEGER) AS execution_time_ms,
+       CASE WHEN event_id % 3 <> 1 THEN CAST(0.0300 AS DECIMAL(6,4)) END AS cost_estimate_usd FROM firsts"""
+    ),
+)
+def q_column_defaults(spark, sf_dir):
+    """CON-6: first tickets inserted with the columns left out, given as null, or given in part."""
+    first = first_fields(with_key(requests(spark, sf_dir)), {c: F.col(c) for c in ("event_id", "execution_time_ms")}).withColumnRenamed("key", "idempotency_key")
+    first = LF.as_table(first, "defaults-firsts")
+    kind, keys = F.col("event_id") % 3, ["idempotency_key", "ticket_id"]
+    nulls = [F.lit(None).cast(t).alias(c) for c, (t, _) in L.DEFAULTS.items()]
+    some = [F.lit("BILLING").alias("category"), F.lit("HIGH").alias("priority"), F.lit("RESOLVED").alias("status"), "execution_time_ms"]
+    parts = [first.filter(kind == 0).select(*keys), first.filter(kind == 1).select(*keys, *nulls), first.filter(kind == 2).select(*keys, *some)]
+    return L.insert_rows(parts, scratch_path(spark, "defaults"))
+
+
 MODEL_OUT_SQL = f"""mo AS (
   SELECT event_id, v,
          CASE WHEN v THEN json_extract_string(output_json, '$.category') END AS category,
@@ -1156,6 +1221,12 @@ def q_stream_fallback(spark, sf_dir):
     return spark.read.parquet(f"{run.root}/fallback").drop("batch_id")
 
 
+@register("stream_contract_counts", O.with_base(CONTRACT_COUNTS_SQL["request"], [O.F8_CTE]))
+def q_stream_contract_counts(spark, sf_dir):
+    run = SJ.new_run(spark, "stream_contract_counts")
+    return SJ.checked_stream(spark, sf_dir, run).groupBy("contract", "rule").agg(F.sum("n_rows").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- rules over the text tables
 
 from ..functions.rules import classify_text_columns  # noqa: E402

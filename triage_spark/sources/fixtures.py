@@ -262,3 +262,39 @@ def broken_requests(events: DataFrame) -> DataFrame:
         .otherwise(F.lit(Decimal("0.9")).cast("decimal(10,3)"))
         .alias("confidence_raw"),
     )
+
+
+def audit_entries(events: DataFrame) -> DataFrame:
+    """audit entries as they arrive, some of them broken; the payload is a map that may be missing or empty."""
+    eid = F.col("event_id")
+    text = F.lit(None).cast("string")
+    return events.select(
+        "event_id",
+        F.when(eid % 23 == 0, text).when(eid % 37 == 0, F.repeat(F.lit("s"), 65)).otherwise(F.lit(C.STEP_INGESTION)).alias("step_name"),
+        F.when(eid % 29 == 0, text).when(eid % 31 == 0, F.lit("DONE")).otherwise(F.lit("SUCCESS")).alias("status"),
+        F.when(eid % 41 == 0, F.lit(-5)).when(eid % 5 == 0, F.lit(None)).otherwise((eid % 400).cast("int")).cast("int").alias("latency_ms"),
+        F.when(eid % 43 == 0, F.lit(Decimal("1.5"))).otherwise(F.lit(Decimal("0.9"))).cast("decimal(4,3)").alias("confidence_score"),
+        F.when(eid % 7 == 0, F.lit(None))
+        .when(eid % 3 == 0, F.create_map().cast("map<string,string>"))
+        .otherwise(F.create_map(F.lit("ticket_id"), F.concat(F.lit("TCK-"), eid.cast("string"))))
+        .alias("input_payload"),
+    )
+
+
+def model_service_responses(events: DataFrame) -> DataFrame:
+    """whole responses as they arrive, some of them broken: confidence, status, none to two actions."""
+    eid = F.col("event_id")
+    act = lambda tool, ok: F.struct(F.lit(tool).cast("string").alias("tool_name"), F.lit(ok).cast("boolean").alias("success"))
+    acts = (
+        F.when(eid % 47 == 0, F.lit(None))
+        .when(eid % 4 == 0, F.array().cast("array<struct<tool_name:string,success:boolean>>"))
+        .when(eid % 41 == 0, F.array(act(None, True)))
+        .when(eid % 6 == 1, F.array(act(C.TOOL_BALANCE, True), act(C.TOOL_TIER, None)))
+        .otherwise(F.array(act(C.TOOL_BALANCE, True)))
+    )
+    return events.select(
+        "event_id",
+        F.when(eid % 23 == 0, F.lit(Decimal("1.5"))).when(eid % 29 == 0, F.lit(Decimal("-0.1"))).when(eid % 13 == 0, F.lit(None)).otherwise(F.lit(Decimal("0.9"))).cast("decimal(4,3)").alias("confidence_score"),
+        F.when(eid % 31 == 0, F.lit("PENDING")).when(eid % 37 == 0, F.lit(None)).when(eid % 5 == 0, F.lit("NEEDS_INFO")).otherwise(F.lit("RESOLVED")).alias("status"),
+        acts.alias("actions_taken"),
+    )

@@ -19,6 +19,7 @@ forget keys, which the service never does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import accounts as A
 from ..operators import audit as AU
+from ..operators import contract as CT
 from ..operators import ledger as L
 from ..operators import routing as RT
 from ..operators.dedupe import ORDER, first_fields, first_per_key, with_key
@@ -131,6 +133,7 @@ class LedgerJob:
     audit_root: str
     replies_root: str
     routes_root: str
+    fallback_root: str
 
     def committed_rows(self, root: str) -> DataFrame:
         """The rows of an append-only output that belong to committed batches."""
@@ -150,24 +153,33 @@ def ledger_job(spark: SparkSession, sf_dir: str, run: StreamRun) -> LedgerJob:
         audit_root=f"{run.root}/audit",
         replies_root=f"{run.root}/replies",
         routes_root=f"{run.root}/routes",
+        fallback_root=f"{run.root}/fallback",
     )
 
 
-def ledger_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> LedgerJob:
+def ledger_stream(
+    spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None, requests: Callable[[DataFrame], DataFrame] = FX.ticket_requests
+) -> LedgerJob:
     """STR-3 + STR-4: per micro-batch, one transaction-like step.
 
+    Requests (``requests`` of the batch) that break the contract (CON-1) get the fallback response and two audit rows and
+    touch neither the ledger nor an account; of the others,
     hits -> cached replies; misses -> first per key -> resolve against the
     account state left by earlier batches -> changed ledger rows + audit rows + the state of the
     accounts in the batch.  All writes of batch ``n`` are keyed by ``n``, in proportion to the batch,
     and become visible together, by one marker at the end.
     """
+    from ..plans.queries import fallback_outcomes, split_requests
+
     job = ledger_job(spark, sf_dir, run)
     tiers = FX.tiers(spark)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if job.commits.committed(batch_id):
             return
-        keyed = with_key(FX.ticket_requests(batch)).persist()
+        asked = requests(batch).persist()
+        good, bad = split_requests(asked)
+        keyed = with_key(good.select(*asked.columns))
         known = None
         if job.commits.newest() < 0:
             # nothing stored yet: no repeats of earlier batches
@@ -185,14 +197,16 @@ def ledger_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Data
             rows = L.upsert(known, rows).filter("change <> 'KEPT'").drop("change")
         job.ledger.append(rows, batch_id)
         # SNK-2: append-only audit, one folder per batch (replay-safe), by log date inside
-        overwrite(AU.with_log_date(AU.step_rows(res)), f"{job.audit_root}/batch_id={batch_id}", "log_date")
+        steps = AU.step_rows(res).select(*AU.AUDIT_COLUMNS).unionAll(AU.fallback_step_rows(bad).select(*AU.AUDIT_COLUMNS))
+        overwrite(AU.with_log_date(steps), f"{job.audit_root}/batch_id={batch_id}", "log_date")
+        overwrite(fallback_outcomes(bad), f"{job.fallback_root}/batch_id={batch_id}")
         # SNK-3, SNK-4, SNK-7: one folder per route, each row with its message and the full response
         routed = RT.with_route(res).withColumn("message", RT.route_message(L.actions_json()))
         routed = routed.select("key", "ticket_id", "message", RT.response_json(L.actions_json()).alias("response"), "route")
         overwrite(routed, f"{job.routes_root}/batch_id={batch_id}", "route")
         job.state.append(A.account_state(state_t, A.tool_calls(res)), batch_id)
         job.commits.commit(batch_id)
-        for d in (res, state_t, new, keyed, known):
+        for d in (res, state_t, new, asked, known):
             if d is not None:
                 d.unpersist()
 
@@ -239,3 +253,22 @@ def contract_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Da
 
     ev = source if source is not None else event_stream(spark, sf_dir)
     _run(ev.writeStream.foreachBatch(step).option("checkpointLocation", run.ck("contract")).trigger(availableNow=True).start())
+
+
+# --------------------------------------------------------------------- CON-1, one pass
+def checked_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> DataFrame:
+    """CON-1: good and quarantined requests of each batch, stored in one pass that also counts them.
+
+    Returns contract, rule, n_rows with one row for each rule and batch; a replayed batch writes its counts again.
+    """
+    from ..plans.queries import count_rows
+
+    rules = CT.request_rules()
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        counts = CT.store_checked(CT.check(FX.broken_requests(batch), rules), rules, f"{run.root}/checked/batch_id={batch_id}")
+        overwrite(count_rows(batch.sparkSession, {"request": counts}), f"{run.root}/counts/batch_id={batch_id}")
+
+    ev = source if source is not None else event_stream(spark, sf_dir)
+    _run(ev.writeStream.foreachBatch(step).option("checkpointLocation", run.ck("checked")).trigger(availableNow=True).start())
+    return spark.read.parquet(f"{run.root}/counts").drop("batch_id")
