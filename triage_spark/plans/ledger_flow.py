@@ -20,6 +20,7 @@ from ..operators import ledger as L
 from ..operators.dedupe import first_per_key, with_key
 from ..operators.skew import DEFAULT_HOT_ROWS
 from ..session import scratch_path
+from ..sinks.points import write_sorted
 from ..sources.fixtures import LEDGER_CUTOFF
 from . import triage as TR
 
@@ -40,6 +41,13 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def points(li: LedgerInputs) -> DataFrame:
+    """The stored ledger laid out for point lookups by idempotency key."""
+    if "points" not in li.stored:
+        li.stored["points"] = write_sorted(li.seed, scratch_path(li.seed.sparkSession, "ledger-points"), "idempotency_key")
+    return li.stored["points"]
+
+
 def cutoff():
     return F.lit(LEDGER_CUTOFF).cast("timestamp_ntz")
 

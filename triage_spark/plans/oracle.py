@@ -307,6 +307,17 @@ def with_ledger(body: str, extra: list[str] | None = None) -> str:
     return with_base(body, LEDGER_CTES + list(extra or []))
 
 
+F12_CTE = """f12 AS (
+  SELECT event_id, created_at, epoch_ns(date_trunc('second', created_at)) // 1000000000 // 345600
+         + CASE WHEN event_id % 19 = 0 THEN 1 WHEN event_id % 31 = 0 THEN 3 ELSE 0 END + late AS slot
+  FROM f1, (VALUES (1, 0), (7, 0), (5, 1), (3, 3)) c(n, late) WHERE event_id % n = 0)"""
+
+#: A copy is late if its time is at or before the watermark: the largest time of all earlier slots in whole milliseconds, less two days.
+REDELIVERIES_SQL = """SELECT event_id, CASE WHEN bool_or(w.mark IS NULL OR created_at > w.mark) THEN 'PASSED' ELSE 'LATE' END AS outcome, count(*) AS n_copies
+FROM f12 JOIN (SELECT a.slot, date_trunc('milliseconds', max(b.latest)) - INTERVAL 2 DAYS AS mark
+               FROM (SELECT DISTINCT slot FROM f12) a LEFT JOIN (SELECT slot, max(created_at) AS latest FROM f12 GROUP BY slot) b ON b.slot < a.slot GROUP BY a.slot) w USING (slot)
+GROUP BY event_id"""
+
 F8_CTE = """f8 AS (
   SELECT event_id, CASE WHEN event_id % 23 = 0 THEN NULL ELSE ticket_id END AS ticket_id, customer_id, idempotency_key,
          CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 37 = 0 THEN repeat('x', 256) ELSE subject END AS subject,

@@ -413,6 +413,7 @@ def q_tool_dispatch(spark, sf_dir):
 
 from ..operators import audit as AU  # noqa: E402
 from ..operators import ledger as L  # noqa: E402
+from ..sinks.points import lookup  # noqa: E402
 from . import ledger_flow as LF  # noqa: E402
 
 LEDGER_SELECT = ", ".join(L.LEDGER_COLUMNS)
@@ -446,6 +447,25 @@ def q_ledger_hits(spark, sf_dir):
     )
 
 
+@register(
+    "ledger_points",
+    O.with_ledger(
+        """SELECT a.key, s.idempotency_key IS NOT NULL AS found, s.ticket_id, s.status, s.confidence_score, s.category
+FROM (SELECT DISTINCT key FROM (SELECT key FROM inc ORDER BY created_at, event_id LIMIT 100)) a
+LEFT JOIN seed s ON s.idempotency_key = a.key AND s.status IN ('RESOLVED', 'ESCALATED')"""
+    ),
+)
+def q_ledger_points(spark, sf_dir):
+    """SRC-8: the stored outcomes of the 100 requests at the head of the queue, by point lookup."""
+    li = LF.prepare(spark, sf_dir)
+    head = li.incoming.orderBy("created_at", "event_id").limit(100).select("key").distinct()
+    keys = [r.key for r in head.collect()]
+    found = L.readable(lookup(LF.points(li), "idempotency_key", keys))
+    asked = spark.createDataFrame([(k,) for k in keys], "key string")
+    j = asked.join(found, F.col("key") == F.col("idempotency_key"), "left")
+    return j.select("key", F.col("idempotency_key").isNotNull().alias("found"), "ticket_id", "status", "confidence_score", "category")
+
+
 @register("new_tickets", O.with_ledger("SELECT key, event_id, ticket_id, created_at FROM new_firsts"))
 def q_new_tickets(spark, sf_dir):
     li = LF.prepare(spark, sf_dir)
@@ -1187,6 +1207,25 @@ def q_stream_dedupe(spark, sf_dir):
     return SJ.dedupe_stream(spark, sf_dir, SJ.new_run(spark, "stream_dedupe"))
 
 
+@register("stream_redeliveries", O.with_base(O.REDELIVERIES_SQL, [O.F12_CTE]))
+def q_stream_redeliveries(spark, sf_dir):
+    """F12 slot by slot; the stream stops after each slot and starts again from its checkpoint."""
+    run = SJ.new_run(spark, "stream_redeliveries")
+    narrow = with_key(requests(spark, sf_dir)).select("event_id", "key", "ticket_id", "created_at")
+    FX.deliveries(narrow).write.partitionBy("slot").parquet(f"{run.root}/slots")
+    slots = spark.read.parquet(f"{run.root}/slots")
+    once = None
+    for (slot,) in slots.select("slot").distinct().orderBy("slot").collect():  # one row for each four days
+        slots.filter(F.col("slot") == slot).drop("slot").write.mode("append").parquet(f"{run.root}/feed")
+        once = SJ.redelivery_stream(spark, f"{run.root}/feed", narrow.schema, run, "2 days")
+    if once is None:
+        return slots.selectExpr("event_id", "key AS outcome", "event_id AS n_copies")
+    feed = spark.read.schema(narrow.schema).parquet(f"{run.root}/feed")
+    passed = feed.groupBy("event_id").agg(F.count("*").alias("n_copies")).join(once.select("event_id"), "event_id")
+    outcome = lambda name: F.lit(name).alias("outcome")
+    return passed.select("event_id", outcome("PASSED"), "n_copies").unionAll(SJ.late_rows(feed, once).select("event_id", outcome("LATE"), "n_copies"))
+
+
 @register("stream_ledger", O.with_res(f"SELECT {LEDGER_SELECT} FROM ({O.ledger_rows_sql('res')})"))
 def q_stream_ledger(spark, sf_dir):
     job = SJ.ledger_stream(spark, sf_dir, SJ.new_run(spark, "stream_ledger"))

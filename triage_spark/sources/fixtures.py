@@ -1,4 +1,4 @@
-"""Ticket-shaped inputs derived from the driver tables (FIXTURES.md F1-F8).
+"""Ticket-shaped inputs derived from the driver tables (FIXTURES.md F1-F8 and F10-F12).
 
 The driver tables hold no support tickets, so each feed is a projection of a
 driver table (``events`` or ``customer``).  Every function is a narrow
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.text import epoch_seconds
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: the twelve request templates of fixture F1 (subject, body)
@@ -298,3 +299,20 @@ def model_service_responses(events: DataFrame) -> DataFrame:
         F.when(eid % 31 == 0, F.lit("PENDING")).when(eid % 37 == 0, F.lit(None)).when(eid % 5 == 0, F.lit("NEEDS_INFO")).otherwise(F.lit("RESOLVED")).alias("status"),
         acts.alias("actions_taken"),
     )
+
+
+#: F12: days of one delivery slot.
+SLOT_DAYS = 4
+
+
+def deliveries(requests: DataFrame) -> DataFrame:
+    """requests as a feed that delivers at least once: ``slot`` says when a copy arrives.
+
+    A request arrives in the slot of its time, every 19th one slot later, every 31st three later; every 7th comes
+    twice in its slot, every 5th again one slot later and every 3rd again three slots later.
+    """
+    eid = F.col("event_id")
+    own = F.floor(epoch_seconds("created_at") / F.lit(SLOT_DAYS * 86400)) + F.when(eid % 19 == 0, 1).when(eid % 31 == 0, 3).otherwise(0)
+    again = [F.when(eid % n == 0, F.lit(late)) for n, late in ((7, 0), (5, 1), (3, 3))]
+    copies = F.array_compact(F.array(F.lit(0), *again))
+    return requests.withColumn("late", F.explode(copies)).withColumn("slot", (own + F.col("late")).cast("long")).drop("late")

@@ -13,8 +13,8 @@ Order: tickets are applied in arrival (micro-batch) order, and by
 ``(created_at, ticket_id)`` inside a batch.  The stream equals the batch
 query when batches arrive in time order, as the service saw them.  Keys are
 remembered for ever (the ledger is the memory), so no watermark is needed
-for correctness; ``dropDuplicatesWithinWatermark`` would bound memory but
-forget keys, which the service never does.
+for correctness.  In front of it, ``redelivery_stream`` takes out copies of one delivery with
+bounded memory: there a copy is the same row, so it matters neither which one stays nor that old ones are forgotten.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.text import epoch_micros
 from ..operators import accounts as A
 from ..operators import audit as AU
 from ..operators import contract as CT
@@ -124,6 +126,29 @@ def dedupe_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: Data
     return store.read()
 
 
+def redelivery_stream(spark: SparkSession, path: str, schema: T.StructType, run: StreamRun, bound: str, id_col: str = "event_id", time: str = "created_at") -> DataFrame:
+    """STR-2 with bounded memory: each row of an at-least-once feed goes on once, whatever the number of its copies.
+
+    Reads what is new under ``path`` since the last call (same ``run``) and stops.  An id is kept in the state store
+    until the watermark (the largest time read by earlier batches, in whole milliseconds, less ``bound``) has passed its time by ``bound``; a row
+    whose time the watermark has passed does not go on.  So a copy that comes later than the
+    bound is late as well, and no id goes on twice.  Rows without a time are not late and are one delivery for each id; a null id is an id.
+    Returns all rows that went on; ``late_rows`` gives those that did not, so that none is lost.
+    """
+    read = spark.readStream.schema(schema).parquet(path)
+    timed = read.withColumn("event_time", F.timestamp_micros(epoch_micros(time))).withWatermark("event_time", bound)
+    out = timed.dropDuplicatesWithinWatermark([id_col]).drop("event_time")
+    # The state needs no more memory than the feed of two bounds has ids; its rows are in RocksDB if the session says so.
+    _run(out.writeStream.format("parquet").option("checkpointLocation", run.ck("redeliveries")).trigger(availableNow=True).start(f"{run.root}/once"))
+    return spark.read.schema(schema).parquet(f"{run.root}/once")
+
+
+def late_rows(feed: DataFrame, once: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """id and number of copies of the deliveries of which no copy went on."""
+    copies = feed.groupBy(id_col).agg(F.count("*").alias("n_copies"))
+    return copies.join(once.select(F.col(id_col).alias("once_id")), F.col(id_col).eqNullSafe(F.col("once_id")), "left_anti")
+
+
 # ------------------------------------------------------------------ STR-3/4
 @dataclass
 class LedgerJob:
