@@ -366,6 +366,14 @@ FROM accts a FULL OUTER JOIN (
 @register("account_state", ACCOUNT_STATE_SQL)
 def q_account_state(spark, sf_dir):
     i = inputs(spark, sf_dir)
+    return A.account_state(i.accounts, reaching_calls(i)).select(*STATE_REPORT)
+
+
+STATE_REPORT = ("account_id", "company_name", "current_tier", "seats_allocated", "tier_changes", "tool_calls", "is_new")
+
+
+def reaching_calls(i: TR.Inputs) -> DataFrame:
+    """The tool calls of each key's first request that reach an account, narrow."""
     category, target_tier, _ = TR.classify_columns()
     narrow = {"customer_id": F.col("customer_id"), "category": category, "target_tier": target_tier}
     d = first_fields(with_key(i.requests), narrow)
@@ -375,9 +383,7 @@ def q_account_state(spark, sf_dir):
     calls = A.join_tiers(calls, i.tiers, "target_tier").withColumn(
         "is_change", (F.col("category") == "SUBSCRIPTION") & F.col("tier_valid")
     )
-    return A.account_state(i.accounts, A.tool_calls(calls)).select(
-        "account_id", "company_name", "current_tier", "seats_allocated", "tier_changes", "tool_calls", "is_new"
-    )
+    return A.tool_calls(calls)
 
 
 @register(
@@ -1240,6 +1246,17 @@ def q_stream_account_state(spark, sf_dir):
     )
 
 
+@register("stream_account_fold", ACCOUNT_STATE_SQL)
+def q_stream_account_fold(spark, sf_dir):
+    """Tool calls before and from the cut-off of F4; the second part starts from the checkpoint of the first."""
+    i, run = inputs(spark, sf_dir), SJ.new_run(spark, "stream_account_fold")
+    calls = LF.as_table(reaching_calls(i), "account-fold-calls")
+    for part in (F.col("created_at") < LF.cutoff(), ~F.coalesce(F.col("created_at") < LF.cutoff(), F.lit(False))):
+        calls.filter(part).write.mode("append").parquet(f"{run.root}/calls")
+        state = SJ.account_fold_stream(spark, f"{run.root}/calls", i.accounts, run)
+    return state.select(*STATE_REPORT)
+
+
 @register("stream_failures", ORACLE["failure_audit_rows"])
 def q_stream_failures(spark, sf_dir):
     audit_root, _ = SJ.failure_stream(spark, sf_dir, SJ.new_run(spark, "stream_failures"))

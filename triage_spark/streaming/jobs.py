@@ -40,6 +40,7 @@ from ..session import scratch_path
 from ..sinks.runs import Commits, KeyedRuns, overwrite
 from ..sources import feeds as FD
 from ..sources import fixtures as FX
+from . import account_fold as AF
 
 
 def table_glob(sf_dir: str, name: str) -> str:
@@ -240,6 +241,28 @@ def ledger_stream(
     return job
 
 
+def account_fold_stream(spark: SparkSession, path: str, accounts: DataFrame, run: StreamRun) -> DataFrame:
+    """STR-4 with keyed state in the state store: applies the tool calls that are new under ``path`` and stops.
+
+    ``accounts`` is the account table before the first call; later calls with the same ``run`` go on from the checkpoint.  Each
+    batch stores the accounts that it moved, replay-safe; returns all accounts as of the last batch.
+    """
+    base = accounts.withColumns({"tier_changes": F.lit(0).cast("long"), "tool_calls": F.lit(0).cast("long"), "is_new": F.lit(False)}).select(*S.ACCOUNT_STATE_SCHEMA.fieldNames())
+    commits = Commits(spark, run.root)
+    store = KeyedRuns(commits, "accounts", "account_id", S.ACCOUNT_STATE_SCHEMA, base=base)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if not commits.committed(batch_id):
+            store.append(AF.with_fields(batch, base, A.default_account_values(F.col("account_id"))), batch_id)
+            commits.commit(batch_id)
+
+    calls = spark.readStream.schema(AF.CALLS).parquet(path)
+    with AF.rocksdb(spark):
+        moved = AF.moved_accounts(calls, base)
+        _run(moved.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", run.ck("accounts")).trigger(availableNow=True).start())
+    return store.read()
+
+
 # --------------------------------------------------------------------- STR-5
 def failure_stream(spark: SparkSession, sf_dir: str, run: StreamRun, source: DataFrame | None = None) -> tuple[str, str]:
     """STR-5: failure feed -> audit rows and alert rows, two sinks from one batch."""
