@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from triage_spark.operators.dedupe import duplicate_keys, first_per_key, replay, with_key
-from triage_spark.operators.skew import hot_keys, skew_join
+from triage_spark.operators.skew import heavy_hitters, hot_keys, skew_join
 from triage_spark.sources import fixtures as FX
 
 
@@ -66,3 +66,18 @@ def test_replay_marks_repeats(spark, sf_small):
     assert r.count() == 1000
     assert r.filter("cached").count() == 192
     assert r.filter(~F.col("cached")).filter(F.col("req_ticket_id") != F.col("first_ticket_id")).count() == 0
+
+
+def test_heavy_hitters_with_empty_partitions(spark):
+    """More shuffle partitions than sketches, not coalesced: partitions without a sketch are nothing to merge."""
+    names = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) AS k")
+        assert [(r.k, r.n) for r in heavy_hitters(df, "k", 500).collect()] == [("hot", 1000)]
+        assert heavy_hitters(df.limit(0), "k", 1).collect() == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

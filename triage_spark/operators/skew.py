@@ -42,7 +42,8 @@ def heavy_hitters(df: DataFrame, key: str, hot_rows: int = DEFAULT_HOT_ROWS) ->
     # One null key more, as there is nothing to merge for a table without rows.
     none = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[key].dataType).alias("_k"), F.lit(0).alias("_g"))
     sketches = df.select(F.col(key).alias("_k"), group).unionAll(none).groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(_k, {TRACKED})").alias("_s"))
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {TRACKED}), {MOST_HOT})").alias("_t"))
+    # Grouped by a constant: without a key, each empty partition would send a sketch of its own, which Spark cannot write.
+    top = sketches.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {TRACKED}), {MOST_HOT})").alias("_t"))
     found = top.select(F.inline("_t").alias(key, "n"))
     return found.filter((F.col("n") >= hot_rows) & F.col(key).isNotNull())
 
