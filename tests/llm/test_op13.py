@@ -116,6 +116,15 @@ def test_alignments_hold_groups_and_links(spark, libraries):
         assert (r.a_ids, r.b_ids, list(zip(r.links_a, r.links_b))) == (a, b, links)
 
 
+def test_one_space_at_the_end(spark, libraries):
+    texts = ["tail ", "tail", "x y ", "a\n ", "日本 ", "tail. ", " ", "  ", "tail  ", "▁ ", "long" * 20 + " "]
+    got = A.Aligned(texts, PATH_A, PATH_B)
+    assert [n for n, t in zip(np.diff(got.docs[1]), texts) if t != "▁ "] == [len(libraries[1].encode(t)) for t in texts if t != "▁ "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = sorted(map(tuple, A.align(docs, PATH_A, PATH_B).collect()))
+    assert rows == [(i, *w) for i, w in enumerate(brute(texts, libraries))]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], COLS)
     assert A.align(docs, PATH_A, PATH_B).count() == 0 and A.alignments(docs, PATH_A, PATH_B).count() == 0

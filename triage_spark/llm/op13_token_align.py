@@ -68,6 +68,7 @@ class SpacePieces:
 
     No piece has a space behind another character, so no merge spans the place before a run of
     spaces: the ids of a text are those of its chunks (spaces, then a word), which are remembered.
+    One space at the end of a text stays with the word before it: alone it would be encoded as an empty text.
     """
 
     def __init__(self, path: str):
@@ -78,7 +79,7 @@ class SpacePieces:
         pieces = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.find = re.compile(" +[^ ]*" if apart else "(?s).+").findall
+        self.find = re.compile(r" +[^ ]+(?: \Z)?| +" if apart else "(?s).+").findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
