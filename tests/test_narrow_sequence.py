@@ -1,5 +1,7 @@
 """The narrow tier-change branch of ``resolve``: same picks, same sequence, pruned when unused."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,27 @@ def test_first_row_queries_shuffle_no_body(spark, sf_small):
     for name in ("dedupe_first", "account_state", "new_tickets"):
         picks = [x for x in _plan(Q.QUERIES[name](spark, sf_small)).splitlines() if "min(struct(" in x]
         assert picks and not any("body, body" in x for x in picks), name
+
+
+def shuffled_inputs(df):
+    """The input columns of every exchange in the plan."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+
+
+def test_ledger_texts_are_not_shuffled_again(spark, sf_small):
+    """The load and the new tickets are stored by key: lookups, sequence and upsert move narrow rows only."""
+    li = LF.prepare(spark, sf_small)
+    moved = shuffled_inputs(LF.upserted(li))
+    assert moved and not [m for m in moved if re.search("body|customer_reply|reasoning", m)]
+    assert LF.points(li).inputFiles() == li.seed.inputFiles()
+
+
+def test_misses_of_firsts_are_firsts_of_misses(spark):
+    from triage_spark.operators import ledger as L
+    from triage_spark.operators.dedupe import first_per_key
+
+    asked = spark.createDataFrame([("a", 2, "t2", 1), ("a", 1, "t1", 2), ("b", 1, "t3", 3), ("c", 1, "t4", 5), ("c", 1, "t4", 5), ("d", 5, "t5", 6), ("d", 4, "t6", 7)], "key string, created_at int, ticket_id string, event_id int")
+    stored = spark.createDataFrame([("a", "RESOLVED"), ("b", "PENDING"), ("d", "ESCALATED"), ("d", "RESOLVED"), ("x", "RESOLVED")], "idempotency_key string, status string")
+    want = first_per_key(L.misses(asked, stored))
+    assert rows(L.misses(first_per_key(asked), stored, hot_rows=None)) == rows(want) == [("b", 1, "t3", 3), ("c", 1, "t4", 5)]
