@@ -94,3 +94,14 @@ def test_state_of_redeliveries_is_bounded(spark):
         state = spark.read.format("statestore").load(run.ck("redeliveries"))
         kept.append(state.count())
     assert kept == [100] * 4 and spark.read.parquet(f"{root}/once").count() == 400
+
+
+def test_bucketed_layout_is_looked_up_and_joined_without_a_shuffle(spark, tmp_path):
+    df = spark.range(400).selectExpr("concat('K', id % 200) AS k", "id AS v").unionByName(spark.createDataFrame([(None, -1)], "k string, v long"))
+    stored = P.write_sorted(df, str(tmp_path / "t"), "k", buckets=4)
+    assert rows(stored, "v") == rows(df, "v") and stored.columns == df.columns
+    assert rows(P.lookup(stored, "k", ["K7", "K199", "absent", None]), "v") == [(7,), (199,), (207,), (399,)]
+    other = P.write_sorted(df.select("k").distinct(), str(tmp_path / "o"), "k", buckets=4)
+    joined = stored.join(other.hint("merge"), "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 400
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("points_")]
