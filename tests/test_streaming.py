@@ -221,3 +221,16 @@ def test_checked_stream_counts_and_keeps_every_request(spark, sf_small, split_ev
     assert total["broken"] == stored.filter("broken = 'true'").count() > 0
     for rule in ("SUBJECT_EMPTY", "BODY_REQUIRED", "TICKET_ID_REQUIRED", "SUBJECT_REQUIRED"):
         assert total[rule] == stored.filter(F.array_contains("violations", rule)).count()
+
+
+def test_batch_keeps_only_what_its_outputs_read(spark, sf_small, tmp_path, monkeypatch):
+    """The resolved batch is kept without account columns, with its actions as text; an unwritten table adds no empty part."""
+    seen = []
+    rows_of = SJ.L.ledger_rows
+    monkeypatch.setattr(SJ.L, "ledger_rows", lambda res, *a, **k: seen.append(res.columns) or rows_of(res, *a, **k))
+    job = SJ.ledger_stream(spark, sf_small, SJ.new_run(spark, "kept", str(tmp_path / "run")))
+    assert seen and all(set(c) == {*SJ.KEPT, "actions_text"} and not [x for x in c if x.startswith("acct_")] for c in seen)
+    empty = SJ.ledger_job(spark, sf_small, SJ.new_run(spark, "none", str(tmp_path / "none")))
+    assert "Union" not in empty.state.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert empty.state.read().count() == spark.read.parquet(f"{sf_small}/customer.parquet").count() and empty.ledger.read().count() == 0
+    assert job.ledger.read().count() > 0
