@@ -101,3 +101,30 @@ def test_short_lines_of_equal_words_go_and_lines_without_words_stay(spark):
     rows = [(1, "All rights reserved.\n\n \nb a"), (2, "all  rights\treserved.\n\n \na b"), (3, "rights reserved.\nall rights reserved. x y\na b"), (4, None)]
     assert {r.doc_id: r.removed for r in A.removed_lines(frame(spark, rows)).collect()} == {1: [], 2: [0], 3: [2], 4: []}
     assert {r.doc_id: r.text for r in A.dedup_lines(frame(spark, rows)).collect()}[2] == "\n \na b"
+
+
+def test_lines_that_share_a_small_part_are_not_read_again(spark, monkeypatch):
+    rnd = random.Random(3)
+    shared = [f"p{i}" for i in range(12)]
+    rows = [(d, " ".join(shared + [f"w{rnd.randrange(10**9)}" for _ in range(60)])) for d in range(100)]
+    rows += [(100 + d, rows[d][1] + " end") for d in range(3)]
+    asked, kept = [], A.fetch_sets
+    monkeypatch.setattr(A, "fetch_sets", lambda docs, classes, keys, *a: (asked.append(keys.count()), kept(docs, classes, keys, *a))[1])
+    got = {r.doc_id: r.removed for r in A.removed_lines(frame(spark, rows)).collect()}
+    assert got == {d: [0] if d >= 100 else [] for d, _ in rows} and 6 <= asked[0] < 30
+
+
+def test_prefixes_of_matching_lines_share_what_is_required(spark):
+    from pyspark.sql import functions as F
+
+    from triage_spark.llm import setjoin as S
+
+    rnd = random.Random(4)
+    pairs = spark.range(1, 300).selectExpr("int(id) AS x").crossJoin(spark.range(1, 300).selectExpr("int(id) AS y")).filter("y <= x AND 5 * y >= 4 * x")
+    got = {(r.x, r.y): (r.c, r.r) for r in pairs.select("x", "y", S.least_common(F.col("x"), F.col("y"), 4, 5).alias("c"), S.required(F.col("x"), F.col("y"), 4, 5).alias("r")).collect()}
+    assert got == {(x, y): (c, c + 1 - -(-4 * x // 5)) for x, y in got for c in [-(-4 * (x + y) // 9)]}
+    for (x, y), (c, r) in rnd.sample(sorted(got.items()), 3000):
+        tokens = rnd.sample(range(10**6), x + y - c)
+        a, b = sorted(tokens[:x]), sorted(tokens[x - c :])
+        fronts = [set(t[: len(t) - -(-4 * len(t) // 5) + 1]) for t in (a, b)]
+        assert len(b) == y and len(fronts[0] & fronts[1]) >= r >= 1

@@ -12,8 +12,10 @@ The join, on classes of equal lines (the first line stands for its class):
 1. Filter.  Under any one order of the tokens, matching lines share a token among their
    first n - ceil(4n/5) + 1.  Order by hash needs no statistics, so a first pass keeps the lines that share
    a token of this prefix with another line: a small part.
-2. Pairs in light buckets (tokens in fewer than ``HEAVY`` prefixes) are tested by length and position.
-3. Lines in heavy buckets (passages that many lines share, near copies) are joined again among
+2. Pairs in light buckets (tokens in fewer than ``HEAVY`` prefixes) are tested by length, position and
+   the number of prefix tokens that matching lines must share (``required``).
+3. Lines in heavy buckets (passages that many lines share, near copies) stay if the bucket has lines of a length
+   with which theirs can share as many prefix tokens as both have in common with others.  They are joined again among
    themselves with their tokens ordered by rarity, counted over all their tokens: what many share
    goes last, so only lines that consist of it meet in its bucket.  There lines are compared with the
    bucket's earliest lines first, one hub after the other; a matched line is done,
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage_spark.llm.common import saved, text_col, unused
-from triage_spark.llm.setjoin import fits, prefix_size, rare_prefixes, side, small
+from triage_spark.llm.setjoin import fits, least_common, lengths_fit, prefix_size, rare_prefixes, required, side, small
 
 WORDS = 5
 #: The least Jaccard likeness, P / Q.
@@ -43,10 +45,13 @@ HUBS = 1
 #: Rows up to which a table of tokens or line keys is broadcast (8 to 60 bytes each).
 BROADCAST_ROWS = 1_000_000
 
-#: Sorted distinct shingle hashes of the words ``w``; of one to four words the hash of all of them, of none null.
-TOKENS = f"CASE WHEN size(w) >= {WORDS} THEN sort_array(array_distinct(transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(WORDS))})))) WHEN size(w) > 0 THEN array(xxhash64(w)) END"
+#: Shingle hashes of the words ``w`` in a row; of one to four words the hash of all of them, of none null.
+SHINGLES = f"CASE WHEN size(w) >= {WORDS} THEN transform(slice(w, 1, size(w) - {WORDS - 1}), (x, i) -> xxhash64(x, {', '.join(f'w[i + {j}]' for j in range(1, WORDS))})) WHEN size(w) > 0 THEN array(xxhash64(w)) END"
 #: Each expression is bound once by a lambda, so that nothing is computed twice.
 WORDS_OF = "array_remove(split(line, ' '), '')"
+SHINGLES_OF = f"inline(transform(array({WORDS_OF}), w -> struct({SHINGLES} AS t)))"
+#: The sorted distinct tokens; apart from the lambda, as Spark compiles no code for what is inside one.
+TOKENS_OF = "explode(array(sort_array(array_distinct(t)))) AS s"
 #: A bitmap of the parities of the tokens ``s`` in 64 buckets, by the given bits of the hash.
 PARITY = "aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, CAST(shiftrightunsigned(x, {}) & 63 AS INT)))"
 
@@ -63,11 +68,10 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     listed = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.explode(F.array(lines_of(F.col("text")))).alias("ls"))
     numbered = listed.select("doc_id", "dh", F.size("ls").alias("lines"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "ls")).alias("place", "raw"))
     numbered = numbered.withColumn("line", F.lower("raw"))
-    words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", "xxhash64(line) AS c1", "xxhash64(1, line) AS c2", f"inline(transform(array({WORDS_OF}), w -> struct({TOKENS} AS s)))")
+    words = numbered.selectExpr("doc_id", "dh", "place - 1 AS no", "lines", "xxhash64(line) AS c1", "xxhash64(1, line) AS c2", SHINGLES_OF)
+    sets = words.filter("no < 0 OR t IS NOT NULL").selectExpr("doc_id", "dh", "no", "lines", "c1", "c2", TOKENS_OF)
     # Tokens are sorted by hash, so the prefix is the front of the list.
-    cut = f"inline(transform(array(s), s -> struct(size(s) AS n, slice(s, 1, {prefix_size('size(s)', P, Q)}) AS prefix)))"
-    cut_lines = words.filter("no < 0 OR s IS NOT NULL").selectExpr("doc_id", "dh", "no", "lines", "c1", "c2", cut)
-    return cut_lines.withColumn("n", F.when(F.col("no") < 0, F.col("lines")).otherwise(F.col("n"))).drop("lines")
+    return sets.selectExpr("doc_id", "dh", "no", "c1", "c2", "CASE WHEN no < 0 THEN lines ELSE size(s) END AS n", f"slice(s, 1, {prefix_size('size(s)', P, Q)}) AS prefix")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -84,18 +88,51 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.size(F.array_intersect("a_s", "b_s")) * (P + Q) >= (F.size("a_s") + F.size("b_s")) * P).select("a", "b")
 
 
-def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """c1, first, s (all tokens), n, g0, g1 (number and bitmaps of the tokens) of the classes with the given keys, read from their first line."""
+def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, repeated: bool) -> DataFrame:
+    """c1, first, s (all tokens), n, g0, g1 (number and bitmaps of the tokens) of the classes with the given keys, read from their first line.
+
+    ``repeated``: whether there are rows equal in id and text.
+    """
     wanted = classes.join(keys, "c1").groupBy("first.doc_id", "first.dh").agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "c1", "first")).alias("lines"))
     wanted = saved(wanted.select(F.col("doc_id").alias("w_id"), F.col("dh").alias("w_dh"), "lines"), "line-wanted")
     on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_dh"))
     got = docs.join(small(wanted, BROADCAST_ROWS // 4), on).select(F.col("lines").alias("ls"), lines_of(F.col("text")).alias("ts"))
     got = got.selectExpr("inline(transform(ls, l -> struct(l.c1 AS c1, l.first AS first, lower(ts[l.no]) AS line)))")
-    # Repeated rows of a document give their lines repeatedly.
-    sets = got.selectExpr("c1", "first", f"inline(transform(array({WORDS_OF}), w -> struct({TOKENS} AS s)))").dropDuplicates(["c1"])
+    sets = got.selectExpr("c1", "first", SHINGLES_OF).selectExpr("c1", "first", TOKENS_OF)
+    # Repeated rows of a document give their lines repeatedly; without them the sets need no shuffle.
+    sets = sets.dropDuplicates(["c1"]) if repeated else sets
     return sets.selectExpr("*", "size(s) AS n", f"{PARITY.format(0)} AS g0", f"{PARITY.format(6)} AS g1")
 
 
+def light_pairs(entries: DataFrame) -> DataFrame:
+    """a, b: pairs of classes that share a light token and can match: the light tokens that they share, and the heavy ones that each has, bound what is common."""
+    cols = ["c1", "n", "at", "h"]
+    light = entries.filter(~F.col("heavy"))
+    met = side(light, "x", cols).join(side(light, "y", cols), "token").filter("x_c1 < y_c1").filter(lengths_fit("x_n", "y_n", P, Q))
+    # The position filter holds for the first common token only, so all are counted.
+    pairs = met.groupBy("x_c1", "y_c1", "x_n", "y_n", "x_h", "y_h").agg(F.count("*").alias("k"), F.max(fits("x", "y", P, Q)).alias("fits"))
+    enough = F.col("k") + F.least("x_h", "y_h") >= required(F.greatest("x_n", "y_n"), F.least("x_n", "y_n"), P, Q)
+    return pairs.filter(F.col("fits") & enough).select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b")).distinct()
+
+
+def heavy_classes(entries: DataFrame) -> DataFrame:
+    """c1 of the classes that can match another by a first common token that is heavy.
+
+    Judged by the lengths (x the longer) that meet in a bucket, not by pairs of lines: a length's lines have
+    ``m`` shared prefix tokens at most and stand at place ``at`` at least.
+    """
+    heavy = entries.filter("heavy")
+    lengths = saved(heavy.groupBy("token", "n").agg(F.count("*").alias("k"), F.max("m").alias("m"), F.min("at").alias("at")), "line-lengths")
+    cols = ["n", "k", "m", "at"]
+    met = side(lengths, "x", cols).join(side(lengths, "y", cols), "token").filter("y_n < x_n OR y_n = x_n AND x_k > 1").filter(lengths_fit("x_n", "y_n", P, Q))
+    common = least_common(F.col("x_n"), F.col("y_n"), P, Q)
+    met = met.withColumns({"least": required(F.col("x_n"), F.col("y_n"), P, Q), "x_most": F.col("x_n") - common + 1, "y_most": F.col("y_n") - common + 1})
+    met = met.filter("x_m >= least AND y_m >= least AND x_at <= x_most AND y_at <= y_most")
+    ends = met.select("token", F.explode(F.array(*[F.struct(F.col(f"{x}_n").alias("n"), "least", F.col(f"{x}_most").alias("most")) for x in "xy"])).alias("e"))
+    need = ends.groupBy("token", F.col("e.n").alias("n")).agg(F.min("e.least").alias("least"), F.max("e.most").alias("most"))
+    return heavy.join(need, ["token", "n"]).filter("m >= least AND at <= most").select("c1").distinct()
+
+
 def later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of each matching pair the class whose first line comes later."""
     a, b = sets.select(F.col("c1").alias("a"), F.col("first").alias("a_first")), sets.select(F.col("c1").alias("b"), F.col("first").alias("b_first"))
@@ -139,16 +176,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     shared = saved(shared.select(F.col("token").alias("s_token")), "line-shared")
     entries = entry.join(small(shared, BROADCAST_ROWS), F.col("token") == F.col("s_token")).select("token", "c1", "n", (F.col("i") + 1).alias("at")).distinct()
     entries = saved(entries, "line-entries")
-    count = entries.groupBy("token").agg(F.count("*").alias("k")).withColumnRenamed("token", "k_token")
-    counted = entries.join(count, F.col("token") == F.col("k_token"))
-    light = saved(counted.filter(F.col("k") < HEAVY).select("token", "c1", "n", "at"), "line-light")
-    heavy = saved(counted.filter(F.col("k") >= HEAVY).select("c1").distinct(), "line-heavy")
-    cols = ["c1", "n", "at"]
-    pairs = side(light, "x", cols).join(side(light, "y", cols), "token").filter("x_c1 < y_c1").filter(fits("x", "y", P, Q))
-    pairs = saved(pairs.select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b")).distinct(), "line-pairs")
+    count = entries.groupBy("token").agg((F.count("*") >= HEAVY).alias("heavy"))
+    counted = saved(entries.join(count, "token"), "line-counted")
+    # m: tokens of a class's prefix that others have in theirs, h: the heavy ones among them.
+    own = counted.groupBy("c1").agg(F.count("*").alias("m"), F.count_if("heavy").alias("h"))
+    counted = saved(counted.join(own, "c1"), "line-marked")
+    heavy = saved(heavy_classes(counted), "line-heavy")
+    pairs = saved(light_pairs(counted), "line-pairs")
 
     wanted = heavy.unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
-    sets = saved(fetch_sets(rows, classes, wanted), "line-sets")
+    repeated = not lines.filter("no < 0").groupBy("doc_id", "dh").count().filter("count > 1").isEmpty()
+    sets = saved(fetch_sets(rows, classes, wanted, repeated), "line-sets")
     gone = later(verified(pairs, sets), sets).unionAll(heavy_removed(sets.join(heavy, "c1"))).distinct()
     stays = classes.join(saved(gone, "line-gone"), "c1", "left_anti").select("first.doc_id", "first.dh", "first.no")
 

@@ -25,6 +25,25 @@ def fits(a: str, b: str, p: int, q: int) -> Column:
     return (F.least(na, nb) * q >= F.greatest(na, nb) * p) & (most * (p + q) >= (na + nb) * p)
 
 
+def lengths_fit(a: str, b: str, p: int, q: int) -> Column:
+    """Length filter of two sets with so many tokens."""
+    return F.least(a, b) * q >= F.greatest(a, b) * p
+
+
+def least_common(x: Column, y: Column, p: int, q: int) -> Column:
+    """How many tokens sets of x and y tokens must have in common."""
+    return F.ceil((x + y) * p / F.lit(p + q)).cast("int")
+
+
+def required(x: Column, y: Column, p: int, q: int) -> Column:
+    """How many tokens the prefixes of matching sets of x and y <= x tokens must share.
+
+    The set whose prefix ends first in the order has all but n - common of that prefix's tokens in the other
+    one's, too: prefix_size(n) - (n - common), which is least for the larger set.
+    """
+    return least_common(x, y, p, q) + 1 - F.ceil(x * p / F.lit(q)).cast("int")
+
+
 def side(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
     """``token`` and the columns, these with ``name`` in front, as one side of a join on token."""
     return df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in cols])
