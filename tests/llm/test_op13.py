@@ -141,3 +141,17 @@ def test_query_against_brute_force(spark, sf_small, libraries):
     want = {d.doc_id: w for d, w in zip(docs, brute([d.text for d in docs], libraries))}
     got = A.op13_token_align(spark, sf_small).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(docs)
+
+
+def test_texts_are_compared_as_a_whole_only_after_odd_chunks(libraries):
+    sides = A.BytePieces(PATH_A), A.SpacePieces(PATH_B)
+    plain = rows_of(6, 20) + [t for t in ODD if t and "▁" not in t]
+    for side in sides:
+        side.encode([t for t in plain if t])
+    assert [s.odd for s in sides] == [False, False]
+    for side in sides:
+        side.encode(["x▁y"])
+    assert [s.odd for s in sides] == [False, True]
+    sides[0].bytes = [b"?"] * len(sides[0].bytes)
+    sides[0].encode(["never_met_before"])
+    assert sides[0].odd

@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -58,6 +58,17 @@ class BytePieces:
         self.bytes = [b""] * self.encoder.vocab_size
         for token, i in self.encoder.tok.get_vocab(with_added_tokens=True).items():
             self.bytes[i] = bytes(back[ch] for ch in token) if all(ch in back for ch in token) else token.encode()
+        #: Whether anything encoded so far did not give its bytes back; chunks and whole texts are looked at once, when they are encoded.
+        self.odd = False
+        self.encoder.cache.of, self.encoder.whole = self._noted(self.encoder.cache.of), self._noted(self.encoder.whole)
+
+    def _noted(self, encode: Callable[[str], bytes]) -> Callable[[str], bytes]:
+        def run(text: str) -> bytes:
+            ids = encode(text)
+            self.odd = self.odd or b"".join(map(self.bytes.__getitem__, memoryview(ids).cast(self.encoder.code))) != text.encode()
+            return ids
+
+        return run
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(ids, self.encoder.dtype).astype(np.int32) for ids in self.encoder.encode([f" {t}" for t in texts])]
@@ -81,6 +92,8 @@ class SpacePieces:
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.find = re.compile(r" +[^ ]+(?: \Z)?| +" if apart else "(?s).+").findall
         self.known: dict[str, bytes] = {}
+        #: Whether any chunk so far did not give its bytes back.
+        self.odd = False
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_CHUNKS:
@@ -88,7 +101,9 @@ class SpacePieces:
         parts = [self.find(f" {t}") for t in texts]
         new = list({c for p in parts for c in p} - self.known.keys())
         # Long chunks are rarely met again, so they are not kept beyond this block.
-        fresh = {c: array("i", ids).tobytes() for c, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1))}
+        encoded = self.model.encode([c[1:] for c in new], num_threads=1)
+        self.odd = self.odd or any(b"".join(map(self.bytes.__getitem__, ids)) != c.encode() for c, ids in zip(new, encoded))
+        fresh = {c: array("i", ids).tobytes() for c, ids in zip(new, encoded)}
         both = fresh | self.known if len(self.known) < len(fresh) else self.known | fresh
         self.known.update((c, ids) for c, ids in fresh.items() if len(c) <= 32)
         return [np.frombuffer(b"".join(map(both.__getitem__, p)), np.int32) for p in parts]
@@ -135,9 +150,10 @@ class Aligned:
         self.sides = _sides(path_a, path_b)
         whole = [t or "" for t in texts]
         ids = [list(side.encode(whole)) for side in self.sides]
+        # A text is its chunks in a row, so it comes back whole if each of them did.
+        odd = [(side, i) for side, i in zip(self.sides, ids) if side.odd]
         for d, t in enumerate(whole):
-            data = f" {t}".encode()
-            if not t or any(b"".join(map(side.bytes.__getitem__, i[d].tolist())) != data for side, i in zip(self.sides, ids)):
+            if not t or odd and any(b"".join(map(side.bytes.__getitem__, i[d].tolist())) != f" {t}".encode() for side, i in odd):
                 ids[0][d] = ids[1][d] = np.zeros(0, np.int32)
         self.ids = [np.concatenate(i or [np.zeros(0, np.int32)]) for i in ids]
         self.docs = [np.cumsum([0, *map(len, i)]) for i in ids]
