@@ -128,3 +128,28 @@ def test_prefixes_of_matching_lines_share_what_is_required(spark):
         a, b = sorted(tokens[:x]), sorted(tokens[x - c :])
         fronts = [set(t[: len(t) - -(-4 * len(t) // 5) + 1]) for t in (a, b)]
         assert len(b) == y and len(fronts[0] & fronts[1]) >= r >= 1
+
+
+def test_tokens_are_counted_once_for_each_class_of_equal_lines(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    copied, near = " ".join(words), " ".join(words[:-1] + ["end"])
+    rows = [(d, copied if d % 2 else f"{copied}\n{copied.upper()}") for d in range(100)] + [(100, near), (101, " ".join(reversed(words)))]
+    kept, seen = A.saved, {}
+    monkeypatch.setattr(A, "saved", lambda df, name: seen.setdefault(name, (df.inputFiles(), kept(df, name)))[1])
+    got = {r.doc_id: r.removed for r in A.removed_lines(frame(spark, rows)).collect()}
+    assert got == {0: [1], **{d: [0] if d % 2 else [0, 1] for d in range(1, 100)}, 100: [0], 101: []}
+    # Counted over the classes, not over all lines: 150 equal lines make no token heavy.
+    assert seen["line-shared"][0] and all("/line-classes-" in f for f in seen["line-shared"][0])
+    assert seen["line-classes"][1].count() == 3 and [r.heavy for r in seen["line-shared"][1].select("heavy").distinct().collect()] == [False]
+
+
+def test_verification_moves_only_the_sets_in_pairs(spark):
+    rows = [(i, (i, 0, 0), [10 * i + t for t in range(9)] if i != 1 else [*range(8), 9]) for i in range(2000)]
+    sets = spark.createDataFrame(rows, "c1 long, first struct<doc_id: long, dh: long, no: int>, s array<long>")
+    sets = A.saved(sets.selectExpr("*", "size(s) AS n", f"{A.PARITY.format(0)} AS g0", f"{A.PARITY.format(6)} AS g1"), "test-sets")
+    # 1 and 0 have 8 of 10 tokens in common, 2 and 0 none.
+    got = A.verified(spark.createDataFrame([(1, 0), (2, 0), (3, 3)], "a long, b long"), sets)
+    assert sorted((r.a, r.b, r.a_first.doc_id, r.b_first.doc_id) for r in got.collect()) == [(1, 0, 1, 0), (3, 3, 3, 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # The sets of one side meet the broadcast pairs, those of the other are filtered by them before they are joined.
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan

@@ -10,8 +10,8 @@ x + y tokens in all, 9 * common >= 4 * (x + y).
 The join, on classes of equal lines (the first line stands for its class):
 
 1. Filter.  Under any one order of the tokens, matching lines share a token among their
-   first n - ceil(4n/5) + 1.  Order by hash needs no statistics, so a first pass keeps the lines that share
-   a token of this prefix with another line: a small part.
+   first n - ceil(4n/5) + 1.  Order by hash needs no statistics, so a first pass counts the tokens of this prefix,
+   once for each class, and keeps the lines that share one with another line: a small part.
 2. Pairs in light buckets (tokens in fewer than ``HEAVY`` prefixes) are tested by length, position and
    the number of prefix tokens that matching lines must share (``required``).
 3. Lines in heavy buckets (passages that many lines share, near copies) stay if the bucket has lines of a length
@@ -21,7 +21,8 @@ The join, on classes of equal lines (the first line stands for its class):
    bucket's earliest lines first, one hub after the other; a matched line is done,
    and only lines without a match are compared with all earlier ones of their buckets.
 4. Pairs are tested by two bitmaps of the parities of their hashed tokens: matching lines differ in
-   (x + y) / 9 tokens at most, so in as many bits.  What passes is verified on the whole token sets.
+   (x + y) / 9 tokens at most, so in as many bits.  What passes is verified on the whole token sets, of which
+   only those in such pairs move.
 
 A match needs one earlier line only, so a group of near copies costs rows in proportion to its
 size.  Everything is DataFrame code; counts and prefixes cover all lines.
@@ -75,17 +76,19 @@ def judged_lines(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: class keys) whose token sets are as like as asked for; first by the bitmaps, then whole."""
+    """The pairs (a, b: class keys) whose token sets are as like as asked for, with a_first and b_first; first by the bitmaps, then whole."""
     maps = [sets.select(F.col("c1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "g0", "g1")]) for x in "ab"]
     most = (F.col("a_n") + F.col("b_n")) * (Q - P)
     near = pairs.join(maps[0], "a").join(maps[1], "b")
     for g in ("g0", "g1"):
         near = near.filter(F.bit_count(F.col(f"a_{g}").bitwiseXOR(F.col(f"b_{g}"))) * (P + Q) <= most)
     near = saved(near.select("a", "b"), "line-near")
-    left = sets.select(F.col("c1").alias("a"), F.col("s").alias("a_s"))
-    right = sets.select(F.col("c1").alias("b"), F.col("s").alias("b_s"))
-    both = near.join(left, "a").join(right, "b")
-    return both.filter(F.size(F.array_intersect("a_s", "b_s")) * (P + Q) >= (F.size("a_s") + F.size("b_s")) * P).select("a", "b")
+    few = near.count() <= BROADCAST_ROWS
+    met = F.broadcast(near) if few else near
+    left, right = (sets.select(F.col("c1").alias(x), F.col("s").alias(f"{x}_s"), F.col("first").alias(f"{x}_first")) for x in "ab")
+    # b, the hub of many pairs, meets the pairs first; of the other sets only those in a pair are shuffled.
+    both = right.join(met, "b").join(left.join(met.select("a"), "a", "left_semi"), "a")
+    return both.filter(F.size(F.array_intersect("a_s", "b_s")) * (P + Q) >= (F.size("a_s") + F.size("b_s")) * P).select("a", "b", "a_first", "b_first")
 
 
 def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, repeated: bool) -> DataFrame:
@@ -133,10 +136,9 @@ def heavy_classes(entries: DataFrame) -> DataFrame:
     return heavy.join(need, ["token", "n"]).filter("m >= least AND at <= most").select("c1").distinct()
 
 
-def later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def later(pairs: DataFrame) -> DataFrame:
     """Of each matching pair the class whose first line comes later."""
-    a, b = sets.select(F.col("c1").alias("a"), F.col("first").alias("a_first")), sets.select(F.col("c1").alias("b"), F.col("first").alias("b_first"))
-    return pairs.join(a, "a").join(b, "b").select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("c1"))
+    return pairs.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("c1"))
 
 
 def heavy_removed(sets: DataFrame) -> DataFrame:
@@ -169,25 +171,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
     lines = saved(judged_lines(rows), "lines")
     judged = lines.filter("no >= 0")
-    classes = saved(judged.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "dh", "no")).alias("first")), "line-classes")
-
-    entry = judged.selectExpr("c1", "n", "posexplode(prefix) AS (i, token)")
-    shared = judged.select("c1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi")
-    shared = saved(shared.select(F.col("token").alias("s_token")), "line-shared")
-    entries = entry.join(small(shared, BROADCAST_ROWS), F.col("token") == F.col("s_token")).select("token", "c1", "n", (F.col("i") + 1).alias("at")).distinct()
-    entries = saved(entries, "line-entries")
-    count = entries.groupBy("token").agg((F.count("*") >= HEAVY).alias("heavy"))
-    counted = saved(entries.join(count, "token"), "line-counted")
+    # Equal lines have equal prefixes: a class has that of its first line, so each token is counted and looked up once for a class.
+    classes = judged.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "dh", "no", "n", "prefix")).alias("f"))
+    classes = saved(classes.select("c1", F.struct("f.doc_id", "f.dh", "f.no").alias("first"), "f.n", "f.prefix"), "line-classes")
+
+    counts = classes.select(F.explode("prefix").alias("s_token")).groupBy("s_token").agg(F.count("*").alias("k"))
+    shared = saved(counts.filter("k > 1").select("s_token", (F.col("k") >= HEAVY).alias("heavy")), "line-shared")
+    entry = classes.selectExpr("c1", "n", "posexplode(prefix) AS (i, token)")
+    met = entry.join(small(shared, BROADCAST_ROWS), F.col("token") == F.col("s_token"))
     # m: tokens of a class's prefix that others have in theirs, h: the heavy ones among them.
-    own = counted.groupBy("c1").agg(F.count("*").alias("m"), F.count_if("heavy").alias("h"))
-    counted = saved(counted.join(own, "c1"), "line-marked")
+    of = met.groupBy("c1", "n").agg(F.count("*").alias("m"), F.count_if("heavy").alias("h"), F.collect_list(F.struct("token", (F.col("i") + 1).alias("at"), "heavy")).alias("entries"))
+    counted = saved(of, "line-entries").selectExpr("c1", "n", "m", "h", "inline(entries)")
     heavy = saved(heavy_classes(counted), "line-heavy")
     pairs = saved(light_pairs(counted), "line-pairs")
 
     wanted = heavy.unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
     repeated = not lines.filter("no < 0").groupBy("doc_id", "dh").count().filter("count > 1").isEmpty()
     sets = saved(fetch_sets(rows, classes, wanted, repeated), "line-sets")
-    gone = later(verified(pairs, sets), sets).unionAll(heavy_removed(sets.join(heavy, "c1"))).distinct()
+    gone = later(verified(pairs, sets)).unionAll(heavy_removed(sets.join(heavy, "c1"))).distinct()
     stays = classes.join(saved(gone, "line-gone"), "c1", "left_anti").select("first.doc_id", "first.dh", "first.no")
 
     # A document's lines without the first lines of the classes that stay.
