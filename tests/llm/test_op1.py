@@ -153,3 +153,21 @@ def test_verification_moves_only_the_sets_in_pairs(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     # The sets of one side meet the broadcast pairs, those of the other are filtered by them before they are joined.
     assert "LeftSemi" in plan and "strategy=broadcast" in plan
+
+
+def test_whole_sets_and_classes_are_not_shuffled_to_meet_a_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(A, "HEAVY", 2)
+    rows = corpus(random.Random(8), 60)
+    kept, plans, counts = A.saved, {}, {}
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        out = kept(df, name)
+        counts.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(A, "saved", noted)
+    assert {r.doc_id: r.removed for r in A.removed_lines(frame(spark, rows)).collect()} == brute(rows)
+    assert counts["line-heavy-sets"] == counts["line-heavy"] > 0
+    # By a hint, so whatever Spark's own threshold for broadcasts is.
+    assert all("strategy=broadcast" in plans[name] for name in ("line-wanted", "line-heavy-sets"))

@@ -94,9 +94,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def fetch_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, repeated: bool) -> DataFrame:
     """c1, first, s (all tokens), n, g0, g1 (number and bitmaps of the tokens) of the classes with the given keys, read from their first line.
 
-    ``repeated``: whether there are rows equal in id and text.
+    ``keys`` is a saved table.  ``repeated``: whether there are rows equal in id and text.
     """
-    wanted = classes.join(keys, "c1").groupBy("first.doc_id", "first.dh").agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "c1", "first")).alias("lines"))
+    wanted = classes.join(small(keys, BROADCAST_ROWS), "c1").groupBy("first.doc_id", "first.dh").agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "c1", "first")).alias("lines"))
     wanted = saved(wanted.select(F.col("doc_id").alias("w_id"), F.col("dh").alias("w_dh"), "lines"), "line-wanted")
     on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_dh"))
     got = docs.join(small(wanted, BROADCAST_ROWS // 4), on).select(F.col("lines").alias("ls"), lines_of(F.col("text")).alias("ts"))
@@ -185,10 +185,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     heavy = saved(heavy_classes(counted), "line-heavy")
     pairs = saved(light_pairs(counted), "line-pairs")
 
-    wanted = heavy.unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
+    wanted = saved(heavy.unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct(), "line-keys")
     repeated = not lines.filter("no < 0").groupBy("doc_id", "dh").count().filter("count > 1").isEmpty()
     sets = saved(fetch_sets(rows, classes, wanted, repeated), "line-sets")
-    gone = later(verified(pairs, sets)).unionAll(heavy_removed(sets.join(heavy, "c1"))).distinct()
+    heavy_sets = saved(sets.join(small(heavy, BROADCAST_ROWS), "c1"), "line-heavy-sets")
+    gone = later(verified(pairs, sets)).unionAll(heavy_removed(heavy_sets)).distinct()
     stays = classes.join(saved(gone, "line-gone"), "c1", "left_anti").select("first.doc_id", "first.dh", "first.no")
 
     # A document's lines without the first lines of the classes that stay.
