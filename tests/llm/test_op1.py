@@ -171,3 +171,21 @@ def test_whole_sets_and_classes_are_not_shuffled_to_meet_a_few_keys(spark, monke
     assert counts["line-heavy-sets"] == counts["line-heavy"] > 0
     # By a hint, so whatever Spark's own threshold for broadcasts is.
     assert all("strategy=broadcast" in plans[name] for name in ("line-wanted", "line-heavy-sets"))
+
+
+def test_only_lines_that_go_are_gathered(spark):
+    # (6, 60) is no copy of (6, 61): c2 tells them apart.
+    lines = [(1, 11, -1, 0, 0, 3), (1, 11, 0, 5, 50, 9), (1, 11, 1, 6, 60, 9), (1, 11, 2, 5, 50, 9), (None, 10, -1, 0, 0, 1), (None, 10, 0, 5, 50, 9), (2, 12, -1, 0, 0, 2), (2, 12, 0, 6, 61, 9), (2, 12, 1, 7, 70, 9)]
+    lines += lines[6:]
+    classes = [(5, 50, (None, 10, 0)), (6, None, (1, 11, 1)), (6, 61, (2, 12, 0)), (7, 70, (2, 12, 1))]
+    frames = [spark.createDataFrame(lines, "doc_id long, dh long, no int, c1 long, c2 long, n int"), spark.createDataFrame(classes, "c1 long, c2 long, first struct<doc_id: long, dh: long, no: int>"), spark.createDataFrame([((1, 11, 1),), ((2, 12, 1),)], "first struct<doc_id: long, dh: long, no: int>")]
+    got = A.numbers_by_document(*frames).collect()
+    assert sorted((r.dh, r.doc_id, r.n_lines, r.removed) for r in got) == [(10, None, 1, []), (11, 1, 3, [0, 1, 2]), (12, 2, 2, [1])]
+
+
+def test_lines_that_stay_are_not_joined_again(spark):
+    rows = corpus(random.Random(12), 60)
+    got = A.removed_lines(frame(spark, rows))
+    assert {r.doc_id: r.removed for r in got.collect()} == brute(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "strategy=broadcast" in plan

@@ -19,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors."""
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder (with the writer's ``options``) and read it back: cuts the lineage and outlives executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_hashes(df: DataFrame, name: str) -> DataFrame:
+    """``saved`` for a table of mostly hashes: as they hardly repeat, no dictionary is tried."""
+    return saved(df, name, **{"parquet.enable.dictionary": "false"})
+
+
 def text_col(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

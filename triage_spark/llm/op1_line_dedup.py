@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage_spark.llm.common import saved, text_col, unused
+from triage_spark.llm.common import saved, saved_hashes, text_col, unused
 from triage_spark.llm.setjoin import fits, least_common, lengths_fit, prefix_size, rare_prefixes, required, side, small
 
 WORDS = 5
@@ -137,12 +137,12 @@ def heavy_classes(entries: DataFrame) -> DataFrame:
 
 
 def later(pairs: DataFrame) -> DataFrame:
-    """Of each matching pair the class whose first line comes later."""
-    return pairs.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("c1"))
+    """Of each matching pair the first line of the class whose first line comes later."""
+    return pairs.select(F.greatest("a_first", "b_first").alias("first"))
 
 
 def heavy_removed(sets: DataFrame) -> DataFrame:
-    """c1 of the sets that match an earlier one, by rarity prefixes and hubs."""
+    """first of the sets that match an earlier one, by rarity prefixes and hubs."""
     entries = saved(rare_prefixes(sets, P, Q, BROADCAST_ROWS).join(sets.select("c1", "first"), "c1"), "line-rare")
     removed, hubs, open_ = None, None, entries
     for turn in range(HUBS + 1):
@@ -156,10 +156,23 @@ def heavy_removed(sets: DataFrame) -> DataFrame:
         cols = ["c1", "first", "n", "at"]
         met = side(open_, "x", cols).join(side(early, "y", cols), "token").filter(F.col("y_first") < F.col("x_first")).filter(fits("x", "y", P, Q))
         pairs = saved(met.select(F.col("x_c1").alias("a"), F.col("y_c1").alias("b")).distinct(), "line-pairs")
-        found = saved(verified(pairs, sets).select(F.col("a").alias("c1")).distinct(), "line-found")
+        found = saved(verified(pairs, sets).select(F.col("a").alias("c1"), F.col("a_first").alias("first")).distinct(), "line-found")
         removed = found if removed is None else removed.unionAll(found)
         open_ = saved(open_.join(found, "c1", "left_anti"), "line-open")
-    return removed
+    return removed.select("first")
+
+
+def numbers_by_document(lines: DataFrame, classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, dh, n_lines, removed of each document: the first lines of the classes that go (``gone``, first) and all lines that are not the first of their class.
+
+    Only what goes is gathered, not the lines that stay; lines are looked up in the classes of several lines.
+    """
+    several = classes.filter("c2 IS NOT NULL").select(F.col("c1").alias("s_c1"), F.col("c2").alias("s_c2"), "first")
+    met = lines.filter("no >= 0").join(small(several, BROADCAST_ROWS), (F.col("c1") == F.col("s_c1")) & (F.col("c2") == F.col("s_c2")))
+    again = met.filter("NOT (doc_id <=> first.doc_id AND dh = first.dh AND no = first.no)").select("doc_id", "dh", "no")
+    rows = gone.select("first.doc_id", "first.dh", "first.no").unionAll(again).withColumn("n", F.lit(None).cast("int"))
+    seen = lines.filter("no < 0").select("doc_id", "dh", F.lit(None).cast("int").alias("no"), "n").unionAll(rows)
+    return seen.groupBy("doc_id", "dh").agg(F.max("n").alias("n_lines"), F.sort_array(F.collect_set("no")).alias("removed"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,11 +182,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     line, without words).  Only the two columns are read.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col(text).alias("text"))
-    lines = saved(judged_lines(rows), "lines")
+    lines = saved_hashes(judged_lines(rows), "lines")
     judged = lines.filter("no >= 0")
     # Equal lines have equal prefixes: a class has that of its first line, so each token is counted and looked up once for a class.
-    classes = judged.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "dh", "no", "n", "prefix")).alias("f"))
-    classes = saved(classes.select("c1", F.struct("f.doc_id", "f.dh", "f.no").alias("first"), "f.n", "f.prefix"), "line-classes")
+    classes = judged.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "dh", "no", "n", "prefix")).alias("f"), F.count("*").alias("k"))
+    # c2 is kept for the classes of several lines only.
+    classes = saved(classes.select("c1", F.when(F.col("k") > 1, F.col("c2")).alias("c2"), F.struct("f.doc_id", "f.dh", "f.no").alias("first"), "f.n", "f.prefix"), "line-classes")
 
     counts = classes.select(F.explode("prefix").alias("s_token")).groupBy("s_token").agg(F.count("*").alias("k"))
     shared = saved(counts.filter("k > 1").select("s_token", (F.col("k") >= HEAVY).alias("heavy")), "line-shared")
@@ -189,15 +203,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     repeated = not lines.filter("no < 0").groupBy("doc_id", "dh").count().filter("count > 1").isEmpty()
     sets = saved(fetch_sets(rows, classes, wanted, repeated), "line-sets")
     heavy_sets = saved(sets.join(small(heavy, BROADCAST_ROWS), "c1"), "line-heavy-sets")
-    gone = later(verified(pairs, sets)).unionAll(heavy_removed(heavy_sets)).distinct()
-    stays = classes.join(saved(gone, "line-gone"), "c1", "left_anti").select("first.doc_id", "first.dh", "first.no")
-
-    # A document's lines without the first lines of the classes that stay.
-    seen = lines.select("doc_id", "dh", "no", "n", F.lit(False).alias("kept")).unionByName(stays.withColumn("n", F.lit(0)).withColumn("kept", F.lit(True)))
-    of = seen.groupBy("doc_id", "dh").agg(
-        F.max(F.when(F.col("no") < 0, F.col("n"))).alias("n_lines"), F.collect_set(F.when((F.col("no") >= 0) & ~F.col("kept"), F.col("no"))).alias("judged"), F.collect_list(F.when(F.col("kept"), F.col("no"))).alias("stay")
-    )
-    return of.select("doc_id", "dh", "n_lines", F.sort_array(F.array_except("judged", "stay")).alias("removed"))
+    gone = later(verified(pairs, sets)).unionAll(heavy_removed(heavy_sets))
+    return numbers_by_document(lines, classes, saved(gone, "line-gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
